@@ -6,7 +6,7 @@ import importlib
 
 from .base import REGISTRY, Query
 
-MODULES = ("core",)
+MODULES = ("core", "norm")
 
 
 def load() -> dict[str, Query]:

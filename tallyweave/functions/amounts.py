@@ -17,7 +17,18 @@ def _number(c: Column) -> Column:
 
 def amount_strict(c: Column) -> Column:
     """Commas, blanks and one leading plus removed; null when not a number."""
-    return _number(F.regexp_replace(F.translate(strip(c), ", ", ""), r"^\+", ""))
+    return _number(without_marks(c))
+
+
+def without_marks(c: Column) -> Column:
+    """The number as written, without commas, blanks and one leading plus."""
+    t = F.translate(strip(c), ", ", "")
+    return F.when(t.startswith("+"), F.substring(t, 2, 64)).otherwise(t)
+
+
+def without_currency(c: Column) -> Column:
+    """Text without commas, blanks, ￥ and the CNY mark."""
+    return F.replace(F.replace(F.translate(strip(c), ", ￥", ""), F.lit("CNY"), F.lit("")), F.lit("cny"), F.lit(""))
 
 
 def amount_lenient(c: Column) -> Column:
@@ -28,8 +39,7 @@ def amount_lenient(c: Column) -> Column:
 
 def amount_clean(c: Column) -> Column:
     """Commas, blanks, ￥ and the CNY mark removed; null when empty or no number."""
-    bare = F.replace(F.replace(F.translate(strip(c), ", ￥", ""), F.lit("CNY"), F.lit("")), F.lit("cny"), F.lit(""))
-    return _number(bare)
+    return _number(without_currency(c))
 
 
 def amount_cny(c: Column) -> Column:

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-_CN = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
-_LOOSE = r"(\d{4})[年-](\d{1,2})[月-](\d{1,2})"
-_ISO = r"(\d{4})-(\d{2})-(\d{2})"
-_PACKED = r"(\d{4})(\d{2})(\d{2})"
+_CN = r"\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日"
+_LOOSE = r"\d{4}[年-]\d{1,2}[月-]\d{1,2}"
+_ISO = r"\d{4}-\d{2}-\d{2}"
+_PACKED = r"\d{8}"
 
 
-def _from_groups(c: Column, pattern: str) -> Column:
-    """Date from the three groups of the first hit; null if no hit or impossible."""
-    text = F.concat_ws("-", *(F.regexp_extract(c, pattern, g) for g in (1, 2, 3)))
-    return F.try_to_date(F.when(c.rlike(pattern), text), "y-M-d")
+def _find(c: Column, pattern: str) -> Column:
+    """Date of the first hit, one regex pass; null if there is no hit or no such day."""
+    hit = F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
+    if "\\d{8}" in pattern:
+        return F.try_to_date(hit, "yyyyMMdd")
+    return F.try_to_date(F.translate(hit, "年月日 \t\n\r\x0b\x0c", "--"), "y-M-d")
 
 
 def _whole(pattern: str) -> str:
@@ -24,14 +26,13 @@ def _whole(pattern: str) -> str:
 
 
 def looks_compact(c: Column) -> Column:
-    t = strip(c)
-    return t.rlike(_whole(_PACKED)) | t.rlike(_whole(_ISO))
+    return strip(c).rlike(f"^({_PACKED}|{_ISO})$")
 
 
 def date_compact(c: Column) -> Column:
     """YYYYMMDD or YYYY-MM-DD, whole text."""
     t = strip(c)
-    return F.coalesce(_from_groups(t, _whole(_PACKED)), _from_groups(t, _whole(_ISO)))
+    return F.coalesce(_find(t, _whole(_PACKED)), _find(t, _whole(_ISO)))
 
 
 def date_compact_failed(c: Column) -> Column:
@@ -41,7 +42,7 @@ def date_compact_failed(c: Column) -> Column:
 
 def date_iso(c: Column) -> Column:
     """YYYY-MM-DD only, whole text."""
-    return _from_groups(strip(c), _whole(_ISO))
+    return _find(strip(c), _whole(_ISO))
 
 
 def date_iso_failed(c: Column) -> Column:
@@ -50,14 +51,14 @@ def date_iso_failed(c: Column) -> Column:
 
 def date_chinese(c: Column) -> Column:
     """First Y年M月D or Y-M-D in the text."""
-    return F.coalesce(_from_groups(c, _LOOSE), _from_groups(c, _ISO))
+    return F.coalesce(_find(c, _LOOSE), _find(c, _ISO))
 
 
 def date_flexible(c: Column) -> Column:
     """ISO, packed, or Y年M月D日 with blanks."""
     t = strip(c)
     return F.coalesce(
-        _from_groups(t, r"^(\d{4})-(\d{1,2})-(\d{1,2})$"), _from_groups(t, _whole(_PACKED)), _from_groups(t, _CN)
+        _find(t, r"^\d{4}-\d{1,2}-\d{1,2}$"), _find(t, _whole(_PACKED)), _find(t, _CN)
     )
 
 
@@ -69,15 +70,15 @@ def date_flexible_failed(c: Column) -> Column:
 def date_receipt(c: Column) -> Column:
     """Receipt order: the first form found decides, even if the day does not exist."""
     return (
-        F.when(c.rlike(_CN), _from_groups(c, _CN))
-        .when(c.rlike(_PACKED), _from_groups(c, _PACKED))
-        .otherwise(_from_groups(c, _ISO))
+        F.when(c.rlike(_CN), _find(c, _CN))
+        .when(c.rlike(_PACKED), _find(c, _PACKED))
+        .otherwise(_find(c, _ISO))
     )
 
 
 def timestamp_date(c: Column) -> Column:
     """Date in front of a timestamp such as 2026-03-26-19.33.30."""
-    return _from_groups(c, "^" + _ISO)
+    return _find(c, "^" + _ISO)
 
 
 def month_label(c: Column) -> Column:

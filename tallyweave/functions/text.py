@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 # Java's \s knows ASCII blanks only; statements also carry NBSP and the full-width blank.
 BLANK = r"[\s\x{00A0}\x{3000}]"
+_BLANK_CHARS = " \t\n\r\x0b\x0c\u00a0\u3000"
 
 
 def strip(c: Column) -> Column:
     """Remove blanks at both ends."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(_BLANK_CHARS))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -85,6 +85,23 @@ def _dot(a: Column, b_by_gram: Column) -> Column:
     )
 
 
+def cosine_similarity(a: DataFrame, b: DataFrame, keys: list[str], left: list[str]) -> DataFrame:
+    """Cosine of each ``left`` vector of ``a`` with the one vector of ``b`` per key.
+
+    Long form: (keys, left, gram, w) and (keys, gram, w).  A zero norm gives 0.
+    """
+    other = b.select(*keys, "gram", F.col("w").alias("__v"))
+    norms = b.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__nb"))
+    w, v = F.col("w"), F.coalesce("__v", F.lit(0.0))
+    sums = a.join(other, [*keys, "gram"], "left").groupBy(*keys, *left).agg(
+        F.sum(w * v).alias("__dot"), F.sqrt(F.sum(w * w)).alias("__na")
+    )
+    size = F.col("__na") * F.col("__nb")
+    return sums.join(norms, keys, "left").select(
+        *keys, *left, F.when(F.coalesce(size, F.lit(0.0)) == 0, 0.0).otherwise(F.col("__dot") / size).alias("score")
+    )
+
+
 def similar_history(
     queries: DataFrame,
     history: DataFrame,
