@@ -6,7 +6,7 @@ import importlib
 
 from .base import REGISTRY, Query
 
-MODULES = ("core", "norm")
+MODULES = ("core", "norm", "ledger")
 
 
 def load() -> dict[str, Query]:

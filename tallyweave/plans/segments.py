@@ -42,6 +42,7 @@ def segmented(
     running: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
     carry: Mapping[str, Column] | None = None,
+    prior: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ordered columns computed over each ``keys`` group.
@@ -49,14 +50,15 @@ def segmented(
     rank      name of a row number (1..n) column
     running   name -> numeric value, summed from the first row up to this one
     totals    name -> numeric value, summed over the group
-    carry     name -> value, the last non-null one up to this row
+    carry     name -> value, the last non-null one up to and with this row
+    prior     name -> value, the last non-null one before this row
     previous  name -> value of the row before (null on the first row)
 
     ``keys`` and ``segment`` must not be null, ``order`` must be a total order (ascending)
     and ``segment`` must not decrease along it.
     """
     running, totals = dict(running or {}), dict(totals or {})
-    carry, previous = dict(carry or {}), dict(previous or {})
+    carry, prior, previous = dict(carry or {}), dict(prior or {}), dict(previous or {})
     keys, order = list(keys), list(order)
 
     base = df.withColumn(_SEG, segment)
@@ -74,8 +76,9 @@ def segmented(
         reduced.append(F.sum(value).alias(f"__s_{name}"))
     for name, value in totals.items():
         reduced.append(F.sum(value).alias(f"__t_{name}"))
-    for name, value in carry.items():
-        added[f"__c_{name}"] = F.last(value, ignorenulls=True).over(upto)
+    for name, value in {**carry, **prior}.items():
+        frame = upto if name in carry else local.rowsBetween(Window.unboundedPreceding, -1)
+        added[f"__c_{name}"] = F.last(value, ignorenulls=True).over(frame)
         reduced.append(F.max_by(F.struct(value.alias("v")), F.when(value.isNotNull(), at)).alias(f"__l_{name}"))
     for name, value in previous.items():
         added[f"__p_{name}"] = F.lag(F.struct(value.alias("v"))).over(local)
@@ -94,7 +97,7 @@ def segmented(
         offsets.append(F.sum(f"__s_{name}").over(before).alias(f"__before_s_{name}"))
     for name in totals:
         offsets.append(F.sum(f"__t_{name}").over(whole).alias(f"__whole_{name}"))
-    for name in carry:
+    for name in (*carry, *prior):
         offsets.append(F.last(f"__l_{name}", ignorenulls=True).over(before).alias(f"__before_l_{name}"))
     for name in previous:
         offsets.append(F.lag(f"__e_{name}").over(line).alias(f"__before_e_{name}"))
@@ -109,7 +112,7 @@ def segmented(
         out.append(F.coalesce(here + prior, here, prior).alias(name))
     for name in totals:
         out.append(F.col(f"__whole_{name}").alias(name))
-    for name in carry:
+    for name in (*carry, *prior):
         out.append(F.coalesce(F.col(f"__c_{name}"), F.col(f"__before_l_{name}.v")).alias(name))
     for name in previous:
         held = F.coalesce(F.col(f"__p_{name}"), F.col(f"__before_e_{name}"))
