@@ -6,7 +6,7 @@ import importlib
 
 from .base import REGISTRY, Query
 
-MODULES = ("core", "norm", "ledger")
+MODULES = ("core", "norm", "ledger", "pages")
 
 
 def load() -> dict[str, Query]:

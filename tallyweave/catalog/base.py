@@ -34,7 +34,7 @@ REGISTRY: dict[str, Query] = {}
 class Data:
     """The given tables and the views derived from them, for one directory."""
 
-    _entries: dict[tuple[str, str], DataFrame] = {}
+    _stored: dict[tuple[str, str, str], DataFrame] = {}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -53,16 +53,19 @@ class Data:
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}", (name,))
 
+    def stored(self, name: str, build: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """A derived table written once per session and directory, as a real input would be."""
+        key = (self.spark.sparkContext.applicationId, self.path, name)
+        if key not in self._stored:
+            self._stored[key] = materialize(build() if build else self.view(name), name)
+        return self._stored[key]
+
     def entries(self) -> DataFrame:
-        """Composed voucher entries, written once per session and directory."""
-        key = (self.spark.sparkContext.applicationId, self.path)
-        if key not in self._entries:
-            from ..operators.similarity import classify
-            from ..operators.vouchers import compose_vouchers
-
-            done = compose_vouchers(classify(self.view("txn"), self.rules()), self.view("accounts"))
-            self._entries[key] = materialize(done, "entries")
-        return self._entries[key]
+        """Composed voucher entries."""
+        from ..operators.similarity import classify
+        from ..operators.vouchers import compose_vouchers
+
+        return self.stored("entries", lambda: compose_vouchers(classify(self.view("txn"), self.rules()), self.view("accounts")))
 
     def rules(self) -> DataFrame:
         """The rule view in the shape the classifier expects ('' = no condition)."""

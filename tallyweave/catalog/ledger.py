@@ -454,9 +454,9 @@ def prefix_hierarchy(d: Data):
     return SU.hierarchy(d.view("subjects"))
 
 
-@register("subject_search", "code:s", "SELECT code FROM subjects WHERE enabled AND category = 'C2' AND (contains(lower(code),'l_1') OR contains(lower(name),'l_1') OR contains(lower(full_name),'l_1'))", ("subjects",))
+@register("subject_search", "code:s", "SELECT code FROM subjects WHERE enabled AND category = 'C3' AND (contains(lower(code),'l_1') OR contains(lower(name),'l_1') OR contains(lower(full_name),'l_1'))", ("subjects",))
 def subject_search(d: Data):
-    return SU.search_subjects(d.view("subjects"), "L_1", "C2")
+    return SU.search_subjects(d.view("subjects"), "L_1", "C3")
 
 
 @register("load_subjects", "code:s name:s category:s direction:s aux_category:s is_cash:b enabled:b",

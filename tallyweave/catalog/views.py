@@ -174,6 +174,87 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber
 """)
 
 
+# A table statement: titles, a header, rows with continuation lines, a footer.
+_view("page_spans", ("stmt_rows",), """
+SELECT page_id, span_id, cast(x0 as double) AS x0, cast(y0 as double) AS y0, cast(x0 + 20 as double) AS x1,
+       cast(y0 + 8 as double) AS y1, text, cast(9 as double) AS size
+FROM (
+ SELECT page_id, k*10+j AS span_id,
+        CASE j WHEN 1 THEN 40 WHEN 2 THEN 70 WHEN 3 THEN 200 WHEN 4 THEN 330 WHEN 5 THEN 430 ELSE 205 END AS x0,
+        y + CASE j WHEN 3 THEN 1 WHEN 6 THEN 5 ELSE 0 END AS y0,
+        CASE j WHEN 1 THEN packed WHEN 2 THEN flag WHEN 3 THEN summary
+               WHEN 4 THEN CASE WHEN k % 2 = 0 THEN concat('-', num) ELSE num END
+               WHEN 5 THEN counterparty ELSE concat('more ', cast(k % 7 as string)) END AS text
+ FROM (SELECT b.*, {explode}({list}(1,2,3,4,5,6)) AS j
+       FROM (SELECT row_no AS k, row_no % 40 AS page_id, packed, flag, summary, num, counterparty,
+                    112 + 12 * row_number() OVER (PARTITION BY row_no % 40 ORDER BY row_no) AS y FROM stmt_rows) AS b) AS r
+ WHERE j < 6 OR k % 3 = 0
+ UNION ALL
+ SELECT page_id, j, CASE j WHEN 2 THEN 70 WHEN 4 THEN 90 WHEN 6 THEN 90 ELSE 40 END,
+        CASE WHEN j <= 2 THEN 100 WHEN j <= 4 THEN 20 ELSE 147 + 12 * n + j END,
+        CASE j WHEN 1 THEN '交易日期' WHEN 2 THEN '业务类型' WHEN 3 THEN '账号：' WHEN 4 THEN concat('6222', cast(page_id as string))
+               WHEN 5 THEN '期末余额' ELSE concat(cast(n as string), '.50') END
+ FROM (SELECT page_id, n, {explode}({list}(1,2,3,4,5,6)) AS j
+       FROM (SELECT row_no % 40 AS page_id, count(*) AS n FROM stmt_rows GROUP BY row_no % 40) AS a) AS p) AS u
+""")
+
+# A sheet per file: four lines of metadata, a header at row 5, records from row 6.
+_view("sheet_cells", ("stmt_rows",), """
+SELECT file_id, cast(r as bigint) AS row, cast(c as bigint) AS col, value FROM (
+ SELECT file_id, 5 + rn AS r, c,
+        CASE c WHEN 1 THEN iso WHEN 2 THEN packed WHEN 3 THEN out_text WHEN 4 THEN num
+               WHEN 5 THEN concat(' ', summary, ' ') WHEN 6 THEN counterparty ELSE 'ignored' END AS value
+ FROM (SELECT b.*, {explode}({list}(1,2,3,4,5,6,7)) AS c
+       FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_no) AS rn FROM stmt_rows) AS b) AS x
+ WHERE (c <> 2 OR row_no % 3 = 0) AND (c <> 3 OR row_no % 2 = 0) AND (c <> 4 OR row_no % 3 = 0)
+ UNION ALL
+ SELECT file_id, CASE WHEN j <= 7 THEN 5 WHEN j <= 12 THEN 1 WHEN j <= 15 THEN 2 WHEN j <= 17 THEN 3 ELSE 4 END,
+        CASE j WHEN 8 THEN 1 WHEN 9 THEN 3 WHEN 10 THEN 5 WHEN 11 THEN 6 WHEN 12 THEN 7 WHEN 13 THEN 1 WHEN 14 THEN 2
+               WHEN 15 THEN 4 WHEN 16 THEN 1 WHEN 17 THEN 6 WHEN 18 THEN 1 WHEN 19 THEN 5 ELSE j END,
+        CASE j WHEN 1 THEN '起息日' WHEN 2 THEN '起息日' WHEN 3 THEN ' 借方金额' WHEN 4 THEN '贷方金额' WHEN 5 THEN '摘要'
+               WHEN 6 THEN '收(付)方名称' WHEN 7 THEN '备用' WHEN 8 THEN '账号' WHEN 9 THEN concat('6222', file_id)
+               WHEN 10 THEN '账号名称：' WHEN 11 THEN '' WHEN 12 THEN concat('公司', file_id) WHEN 13 THEN '期初余额'
+               WHEN 14 THEN 'x' WHEN 15 THEN concat(cast(n as string), ',000.50') WHEN 16 THEN '期末余额' WHEN 17 THEN '9'
+               WHEN 18 THEN '对账单余额' ELSE cast(n + 1 as string) END
+ FROM (SELECT file_id, n, {explode}({seq}(1, 19)) AS j
+       FROM (SELECT file_id, count(*) AS n FROM stmt_rows GROUP BY file_id) AS a) AS f) AS u
+""")
+
+# A statement with one value per line; every record has nine lines.
+_view("statement_lines", ("stmt_rows",), """
+SELECT page_id, cast(line_no as bigint) AS line_no, line FROM (
+ SELECT page_id, b + j AS line_no,
+        CASE j WHEN 0 THEN iso WHEN 1 THEN 'CNY'
+               WHEN 2 THEN CASE WHEN row_no % 9 = 0 THEN 'bad' WHEN row_no % 2 = 0 THEN concat(' -', num) ELSE num END
+               WHEN 3 THEN '99.00' WHEN 4 THEN '转账' WHEN 5 THEN CASE WHEN row_no % 4 = 0 THEN '' ELSE summary END
+               WHEN 6 THEN counterparty WHEN 7 THEN 'Balance' ELSE CASE WHEN row_no % 5 = 0 THEN 'tail' ELSE '' END END AS line
+ FROM (SELECT x.*, {explode}({seq}(0, 8)) AS j FROM (SELECT *, row_no % 30 AS page_id,
+         9 * row_number() OVER (PARTITION BY row_no % 30 ORDER BY row_no) AS b FROM stmt_rows) AS x) AS r
+ UNION ALL
+ SELECT page_id, j, CASE j WHEN 0 THEN '2024-01-01' WHEN 1 THEN 'Date' WHEN 2 THEN 'Currency' WHEN 3 THEN 'Transaction'
+        WHEN 4 THEN 'Counter Party' ELSE '温馨提示' END
+ FROM (SELECT page_id, {explode}({seq}(0, 5)) AS j FROM (SELECT DISTINCT row_no % 30 AS page_id FROM stmt_rows) AS p) AS q) AS u
+""")
+
+# Grid cells of receipts: headings of one or two rows, some below the bank's name, then fixed places.
+_view("grid_cells", ("stmt_rows",), """
+SELECT page_id, cast(b + CASE j WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 6 THEN 3 WHEN 7 THEN 3
+         WHEN 8 THEN 4 WHEN 9 THEN 4 WHEN 10 THEN 6 WHEN 11 THEN 6 WHEN 12 THEN 7 WHEN 13 THEN 7 WHEN 14 THEN 7 WHEN 15 THEN 8
+         WHEN 16 THEN 9 WHEN 17 THEN 10 ELSE 12 END as bigint) AS row,
+       cast(CASE j WHEN 1 THEN 2 WHEN 4 THEN 1 WHEN 6 THEN 6 WHEN 7 THEN 7 WHEN 9 THEN 6 WHEN 11 THEN 6 WHEN 13 THEN 5
+         WHEN 14 THEN 6 WHEN 18 THEN 7 ELSE 3 END as bigint) AS col,
+       CASE j WHEN 1 THEN '中国工商银行' WHEN 2 THEN '网上银行电子回单'
+         WHEN 3 THEN concat('电子回单号码 1234-5678-0000-', lpad(cast(row_no % 10000 as string), 4, '0')) WHEN 4 THEN '户名'
+         WHEN 5 THEN counterparty WHEN 6 THEN '公司' WHEN 7 THEN concat('收款', cast(row_no % 9 as string)) WHEN 8 THEN account_number
+         WHEN 9 THEN '6222****1' WHEN 10 THEN concat('￥', num, '元') WHEN 11 THEN '柒分' WHEN 12 THEN summary
+         WHEN 13 THEN CASE WHEN row_no % 2 = 0 THEN '业务（产品）种类' ELSE '业务（产品）种类汇款' END WHEN 14 THEN '外部'
+         WHEN 15 THEN remark WHEN 16 THEN plain WHEN 17 THEN concat('备注：', flag) ELSE iso END AS text, row_no
+FROM (SELECT x.*, {explode}({seq}(1, 18)) AS j FROM (SELECT *, row_no % 20 AS page_id,
+        14 * row_number() OVER (PARTITION BY row_no % 20 ORDER BY row_no) AS b FROM stmt_rows) AS x) AS r
+WHERE (j <> 1 OR row_no % 3 <> 0) AND (j <> 3 OR row_no % 2 = 0) AND (j <> 15 OR remark <> '')
+""")
+
+
 def chain(names: tuple[str, ...]) -> list[str]:
     """Texts of the named views and all they read."""
     return [_VIEWS[n][1] for n in order(names)]

@@ -108,8 +108,8 @@ def segmented(
     if rank:
         out.append((F.col("__rn") + F.col("__before_n")).cast("bigint").alias(rank))
     for name in running:
-        here, prior = F.col(f"__run_{name}"), F.col(f"__before_s_{name}")
-        out.append(F.coalesce(here + prior, here, prior).alias(name))
+        here, earlier = F.col(f"__run_{name}"), F.col(f"__before_s_{name}")
+        out.append(F.coalesce(here + earlier, here, earlier).alias(name))
     for name in totals:
         out.append(F.col(f"__whole_{name}").alias(name))
     for name in (*carry, *prior):
