@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,20 +35,25 @@ REGISTRY: dict[str, Query] = {}
 class Data:
     """The given tables and the views derived from them, for one directory."""
 
+    _tables: dict[tuple[str, str, str], DataFrame] = {}
     _stored: dict[tuple[str, str, str], DataFrame] = {}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        for key in ("spark.sql.session.timeZone",):
-            spark.conf.set(key, DEFAULTS[key])
+        for key, value in DEFAULTS.items():
+            spark.conf.set(key, value)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.path, f"{name}.parquet"))
+        """One given table; its schema is read once per session and directory."""
+        key = (self.spark.sparkContext.applicationId, self.path, name)
+        if key not in self._tables:
+            self._tables[key] = self.spark.read.parquet(os.path.join(self.path, f"{name}.parquet"))
+        return self._tables[key]
 
     def sql(self, text: str, names: tuple[str, ...]) -> DataFrame:
-        for name in TABLES:
-            if name in text or any(name in v for v in views.chain(names)):
-                self.table(name).createOrReplaceTempView(name)
+        everything = " ".join((text, *views.chain(names)))
+        for name in set(re.findall(r"(?:FROM|JOIN)\s+(\w+)", everything)).intersection(TABLES):
+            self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(views.with_views(text, names, "spark"))
 
     def view(self, name: str) -> DataFrame:

@@ -71,13 +71,13 @@ def _similar(queries: str) -> str:
           "SELECT direction, ct, hid, code, round(score, 6) AS score FROM best", ("matched", "history"))
 def history_similarity(d: Data):
     rest = C.apply_rules(d.view("txn"), d.rules()).where("match IS NULL")
-    return S.similar_history(rest, d.view("history")).withColumn("score", F.round("score", 6))
+    return S.similar_history(rest, S.index_history(d.view("history"))).withColumn("score", F.round("score", 6))
 
 
 @register("top1_similarity", "direction:s ct:s hid:l",
           f"WITH {_similar('txn')} SELECT direction, ct, hid FROM best", ("txn", "history"))
 def top1_similarity(d: Data):
-    return S.similar_history(d.view("txn"), d.view("history"))
+    return S.similar_history(d.view("txn"), S.index_history(d.view("history")))
 
 
 @register("classify_cascade", "txn_seq:l subject_code:s subject_name:s source:s rule_id:s",

@@ -167,8 +167,7 @@ _RECSQL = """SELECT row_no % 40 AS page_id, row_number() OVER (PARTITION BY row_
 
 
 def _table_rows(d: Data):
-    table = L.partition_spans(d.stored("page_spans"), _TITLES).where("part = 'table'")
-    return L.table_records(table, CMB_BANDS, ["amount"])
+    return L.table_records(d.stored("page_spans"), _TITLES, CMB_BANDS, ["amount"])
 
 
 @register("merge_continuations", _REC, _RECSQL, ("stmt_rows",))
@@ -337,3 +336,30 @@ def party_pick(d: Data):
           FROM (SELECT *, row_no % 30 AS page_id, 9 * row_number() OVER (PARTITION BY row_no % 30 ORDER BY row_no) AS b FROM stmt_rows) WHERE row_no % 9 <> 0""", ("stmt_rows",))
 def line_record_parse(d: Data):
     return L.column_statement(d.stored("statement_lines"))
+
+
+# --- arriving files ----------------------------------------------------------------------
+
+@register("ingest_stream", "txn_seq:l txn_date:s amount:f direction:s files:l",
+          """SELECT o_orderkey AS txn_seq, cast(o_orderdate as date) AS txn_date, cast(o_totalprice as decimal(18,2)) AS amount,
+          CASE WHEN o_orderstatus='F' THEN 'income' ELSE 'expense' END AS direction, 1 AS files FROM orders WHERE o_orderkey % 10 <> 3""")
+def ingest_stream(d: Data):
+    from ..operators.normalize import flagged_debit_credit
+    from ..streaming.ingest import ingest
+
+    rows = (
+        d.spark.readStream.schema(d.table("orders").schema).option("pathGlobFilter", "orders.parquet")
+        .option("maxFilesPerTrigger", 1).parquet(d.path)
+    )
+    income, amount = c("o_orderstatus") == "F", c("o_totalprice").cast("decimal(18,2)").cast("string")
+    empty = F.lit("")
+    stream = rows.select(
+        c("_metadata.file_name").alias("file_id"), c("o_orderkey").alias("txn_seq"),
+        F.when(c("o_orderkey") % 10 == 3, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value_date"),
+        F.when(income, "贷").otherwise("借").alias("flag"), F.when(~income, amount).alias("debit"), F.when(income, amount).alias("credit"),
+        c("o_orderpriority").alias("summary"), *(empty.alias(x) for x in ("remark", "counterparty", "ref_account", "own_account", "balance")))
+    out = work_path(d.spark, "stream")
+    query = ingest(stream, lambda df: flagged_debit_credit(df, ["file_id", "txn_seq"]), out, f"{out}/checkpoint", once=True)
+    query.awaitTermination()
+    files = d.spark.read.parquet(f"{out}/files").where("status = 'success'").groupBy("file_id").agg(F.count(F.lit(1)).alias("files"))
+    return d.spark.read.parquet(f"{out}/transactions").join(files, "file_id")

@@ -14,11 +14,17 @@ _PACKED = r"\d{8}"
 
 
 def _find(c: Column, pattern: str) -> Column:
-    """Date of the first hit, one regex pass; null if there is no hit or no such day."""
+    """Date of the first hit, one regex pass; null if there is no hit or no such day.
+
+    The hit is brought to Y-M-D and cast: unlike a format parser the cast does not raise
+    and catch for every impossible day.
+    """
     hit = F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
-    if "\\d{8}" in pattern:
-        return F.try_to_date(hit, "yyyyMMdd")
-    return F.try_to_date(F.translate(hit, "年月日 \t\n\r\x0b\x0c", "--"), "y-M-d")
+    if _PACKED in pattern:
+        ymd = F.concat(F.substring(hit, 1, 4), F.lit("-"), F.substring(hit, 5, 2), F.lit("-"), F.substring(hit, 7, 2))
+    else:
+        ymd = F.translate(hit, "年月日 \t\n\r\x0b\x0c", "--")
+    return ymd.try_cast("date")
 
 
 def _whole(pattern: str) -> str:
@@ -29,6 +35,15 @@ def looks_compact(c: Column) -> Column:
     return strip(c).rlike(f"^({_PACKED}|{_ISO})$")
 
 
+def looks_iso(c: Column) -> Column:
+    return strip(c).rlike(_whole(_ISO))
+
+
+def looks_flexible(c: Column) -> Column:
+    """Holds the Y年M月D日 form, the only flexible form whose impossible days are errors."""
+    return strip(c).rlike(_CN)
+
+
 def date_compact(c: Column) -> Column:
     """YYYYMMDD or YYYY-MM-DD, whole text."""
     t = strip(c)
@@ -46,7 +61,7 @@ def date_iso(c: Column) -> Column:
 
 
 def date_iso_failed(c: Column) -> Column:
-    return F.coalesce(strip(c).rlike(_whole(_ISO)) & date_iso(c).isNull(), F.lit(False))
+    return F.coalesce(looks_iso(c) & date_iso(c).isNull(), F.lit(False))
 
 
 def date_chinese(c: Column) -> Column:
@@ -64,7 +79,7 @@ def date_flexible(c: Column) -> Column:
 
 def date_flexible_failed(c: Column) -> Column:
     """Only the Y年M月D日 form reports an impossible day."""
-    return F.coalesce(strip(c).rlike(_CN) & date_flexible(c).isNull(), F.lit(False))
+    return F.coalesce(looks_flexible(c) & date_flexible(c).isNull(), F.lit(False))
 
 
 def date_receipt(c: Column) -> Column:

@@ -20,6 +20,7 @@ from ..functions.amounts import amount_strict
 from ..functions.dates import date_iso
 from ..functions.text import compact_ws, lookup, normalize_key, strip
 from ..plans.segments import nearest_site, ordinal_segment, segmented
+from ..session import materialize
 from .normalize import business_type, receipt_number, verify_code
 
 #: Height of a page segment in points.
@@ -67,11 +68,15 @@ def table_regions(
     spans: DataFrame, titles: Sequence[str], fallback: float = 105.0, require_all: bool = False, gap: float = 2.5
 ) -> DataFrame:
     """(page_id, table_start, table_end) from the column titles and the last row that looks like data."""
+    return _regions(gap_clusters(spans, gap), titles, fallback, require_all)
+
+
+def _regions(clustered: DataFrame, titles: Sequence[str], fallback: float, require_all: bool) -> DataFrame:
     marks = [F.col("text").contains(t) for t in titles]
     titled = marks[0]
     for m in marks[1:]:
         titled = (titled & m) if require_all else (titled | m)
-    rows = gap_clusters(spans, gap).groupBy("page_id", "cluster").agg(
+    rows = clustered.groupBy("page_id", "cluster").agg(
         F.max(F.col("text").rlike(r"\d{8}")).alias("d"), F.max(F.col("text").rlike(r"-?\d[\d,]*\.\d{2}")).alias("a"),
         F.max("y1").alias("bottom"), F.min(F.when(titled, F.col("y0"))).alias("title"),
     )
@@ -107,21 +112,29 @@ def merge_continuations(rows: DataFrame, is_record: Column) -> DataFrame:
     return rows.join(numbered, ["page_id", "cluster"])
 
 
-def table_records(spans: DataFrame, bands: Mapping[str, tuple[float, float]], amounts: Sequence[str], gap: float = 2.5) -> DataFrame:
-    """Table spans to one text row per record: cluster, assign columns, merge, join the fragments.
+def table_records(
+    spans: DataFrame, titles: Sequence[str], bands: Mapping[str, tuple[float, float]], amounts: Sequence[str],
+    require_all: bool = False, gap: float = 2.5,
+) -> DataFrame:
+    """Page spans to one row of texts per table record: cluster, cut out the table, assign columns, merge.
 
     A record starts at a text row with a date and one of the ``amounts`` columns.  The
     fragments of a column are joined by blanks, text row by text row and left to right.
     """
-    placed = gap_clusters(spans, gap).withColumn("column", column_band(F.col("x0"), bands)).where("column IS NOT NULL")
-    has = lambda c: F.max((F.col("column") == c) & (strip(F.col("text")) != ""))
+    # Regions, records and texts all read the clustered spans: they are written once.
+    clustered = materialize(gap_clusters(spans, gap), "clusters")
+    table = clustered.join(_regions(clustered, titles, 105.0, require_all), "page_id").where(
+        F.col("y0").cast("double").between(F.col("table_start") - 5, F.col("table_end") + 5)
+    )
+    placed = table.withColumn("column", column_band(F.col("x0"), bands)).where("column IS NOT NULL").withColumn(
+        "text", strip(F.col("text")))
+    has = lambda c: F.max((F.col("column") == c) & (F.col("text") != ""))
     money = has(amounts[0])
     for c in amounts[1:]:
         money = money | has(c)
     merged = merge_continuations(placed, has("date") & money)
-    one = merged.withColumn("text", strip(F.col("text")))
     order = F.struct("cluster", "y0", "x0", "span_id")
-    return one.groupBy("page_id", "record").agg(*(
+    return merged.groupBy("page_id", "record").agg(*(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct(order.alias("o"), F.col("text").alias("t"))))),
             lambda p: p["t"]), " ").alias(c)
@@ -272,6 +285,7 @@ def assign_cells(blocks: DataFrame, cells: DataFrame, nearest: bool = True, bin_
     apart = blocks.join(best.select("page_id", "span_id"), ["page_id", "span_id"], "left_anti").withColumns({
         "__y": (F.col("y0") + F.col("y1")).cast("double") / 2, "__x": (F.col("x0") + F.col("x1")).cast("double") / 2,
     })
+    apart = materialize(apart, "apart")  # read by both passes below, costly to find again
     # The height of a grid row is that of its first cell.
     rows = cells.groupBy("page_id", "row").agg(F.min_by((F.col("cy0") + F.col("cy1")).cast("double") / 2, "col").alias("__y"))
     cols = cells.select("page_id", "row", F.col("col").cast("bigint").alias("col"), ((F.col("cx0") + F.col("cx1")).cast("double") / 2).alias("__x"))
@@ -354,18 +368,20 @@ def column_statement(lines: DataFrame) -> DataFrame:
     t = lines.withColumn("line", strip(F.col("line")))
     start = _statement_start(t)
     body = t.join(start, "page_id", "left").where(F.col("line_no") >= F.coalesce("__start", F.lit(0))).drop("__start")
-    dated = F.col("line").rlike(r"^\d{4}-\d{2}-\d{2}$")
     seg = ordinal_segment("line_no", 12)
-    marked = body.withColumn("__date", F.when(dated, F.col("line_no")))
     # A date in one of a record's three fixed lines does not start another record.
-    marked = segmented(marked, ["page_id"], ["line_no"], seg, prior={"__before": F.col("__date")})
-    anchor = F.col("__date").isNotNull() & (F.col("__before").isNull() | (F.col("line_no") - F.col("__before") > 3))
-    marked = marked.withColumn("__anchor", F.when(anchor, F.col("line_no")))
-    owned = segmented(marked, ["page_id"], ["line_no"], seg, carry={"record": F.col("__anchor")}).where("record IS NOT NULL")
-    step = owned.withColumn("__step", F.col("line_no") - F.col("record"))
-    stop = (F.col("line") == "") & (F.col("__step") >= 4)
-    open_ = segmented(step, ["page_id", "record"], ["line_no"], seg, running={"__stops": stop.cast("bigint")}).where(
-        (F.col("__stops") == 0) & ((F.col("__step") < 4) | ~F.col("line").isin(*COLUMN_STATEMENT_HEADER)))
+    dates = body.where(F.col("line").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("page_id", "line_no")
+    dates = segmented(dates, ["page_id"], ["line_no"], seg, previous={"__before": F.col("line_no")})
+    starts = dates.where(F.col("__before").isNull() | (F.col("line_no") - F.col("__before") > 3)).select(
+        "page_id", "line_no", F.col("line_no").alias("__anchor"))
+    marked = body.join(starts, ["page_id", "line_no"], "left")
+    owned = segmented(
+        marked, ["page_id"], ["line_no"], seg,
+        carry={"record": F.col("__anchor"), "__blank": F.when(F.col("line") == "", F.col("line_no"))},
+    ).where("record IS NOT NULL").withColumn("__step", F.col("line_no") - F.col("record"))
+    # Closed once the latest blank line lies in the free text of the record.
+    stopped = F.coalesce(F.col("__blank") >= F.col("record") + 4, F.lit(False))
+    open_ = owned.where(~stopped & ((F.col("__step") < 4) | ~F.col("line").isin(*COLUMN_STATEMENT_HEADER)))
     rows = open_.groupBy("page_id", "record").agg(
         F.max(F.when(F.col("__step") == 0, F.col("line"))).alias("date"),
         F.max(F.when(F.col("__step") == 2, F.col("line"))).alias("amount"),

@@ -59,7 +59,7 @@ def flagged_debit_credit(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """value_date, flag, debit, credit, summary, remark, counterparty, ref_account, own_account, balance."""
     t = _texts(df, ids, "value_date flag debit credit summary remark counterparty ref_account own_account balance")
     t = t.withColumns({
-        "__day": D.date_iso(F.col("value_date")), "__bad": D.date_iso_failed(F.col("value_date")),
+        "__day": D.date_iso(F.col("value_date")), "__shaped": D.looks_iso(F.col("value_date")),
         "__balance": A.amount_strict(F.col("balance")),
         "__amount": A.amount_strict(F.when(F.col("flag") == "借", F.col("debit")).otherwise(F.col("credit"))),
     })
@@ -67,7 +67,7 @@ def flagged_debit_credit(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return _result(
         t, ids,
         skip=F.col("__day").isNull() | ~flag.isin("借", "贷"),
-        error=F.col("__bad"),
+        error=F.col("__shaped") & F.col("__day").isNull(),
         fields={
             "txn_date": F.col("__day"),
             "description": join_nonempty([F.col("summary"), labelled("附言:", F.col("remark"))], " | ", DEFAULT_DESCRIPTION),
@@ -90,7 +90,7 @@ def two_amount_columns(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     )
     t = t.withColumn("__date", F.when(F.col("value_date") != "", F.col("value_date")).otherwise(F.col("trade_date")))
     t = t.withColumns({
-        "__day": D.date_flexible(F.col("__date")), "__bad": D.date_flexible_failed(F.col("__date")),
+        "__day": D.date_flexible(F.col("__date")), "__shaped": D.looks_flexible(F.col("__date")),
         "__out": A.amount_clean(F.col("debit_amount")), "__in": A.amount_clean(F.col("credit_amount")),
         "__balance": A.amount_clean(F.col("balance")),
     })
@@ -100,7 +100,7 @@ def two_amount_columns(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return _result(
         t, ids,
         skip=F.col("__day").isNull() | ~(out | inn),
-        error=F.col("__bad"),
+        error=F.col("__shaped") & F.col("__day").isNull(),
         fields={
             "txn_date": F.col("__day"),
             "description": F.coalesce(blank_to_null(F.col("summary")), blank_to_null(F.col("transaction_type")), spare),
@@ -126,13 +126,13 @@ def signed_amount(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """date, business_type, bill_no, description, amount, balance, counterparty."""
     t = _texts(df, ids, "date business_type bill_no description amount balance counterparty")
     t = t.withColumns({
-        "__day": D.date_compact(F.col("date")), "__bad": D.date_compact_failed(F.col("date")),
+        "__day": D.date_compact(F.col("date")), "__shaped": D.looks_compact(F.col("date")),
         "__amount": A.amount_strict(F.col("amount")), "__balance": A.amount_strict(F.col("balance")),
     })
     return _result(
         t, ids,
         skip=F.col("__day").isNull() | F.col("__amount").isNull(),
-        error=(F.col("amount") != "") & F.col("__bad"),
+        error=(F.col("amount") != "") & F.col("__shaped") & F.col("__day").isNull(),
         fields={
             "txn_date": F.col("__day"),
             "description": join_nonempty(
@@ -158,7 +158,7 @@ def exclusive_out_in(df: DataFrame, ids: Sequence[str]) -> DataFrame:
         return F.when(F.col(c) == "", zero).otherwise(A.amount_strict(F.col(c)))
 
     t = t.withColumns({
-        "__day": D.date_compact(F.col("date")), "__bad": D.date_compact_failed(F.col("date")),
+        "__day": D.date_compact(F.col("date")), "__shaped": D.looks_compact(F.col("date")),
         "__out": given("expense"), "__in": given("income"), "__balance": A.amount_strict(F.col("balance")),
         "__kind": F.coalesce(blank_to_null(F.col("biz_type")), F.lit(DEFAULT_DESCRIPTION)),
     })
@@ -166,7 +166,7 @@ def exclusive_out_in(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return _result(
         t, ids,
         skip=F.col("__day").isNull() | out.isNull() | inn.isNull() | ~((out > 0) | (inn > 0)),
-        error=F.col("__bad"),
+        error=F.col("__shaped") & F.col("__day").isNull(),
         fields={
             "txn_date": F.col("__day"),
             "description": F.when(bill != "", F.concat("__kind", F.lit(" | 票据号:"), bill)).otherwise(F.col("__kind")),

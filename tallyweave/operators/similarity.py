@@ -15,20 +15,28 @@ such as the gram of "pay" never has to meet itself.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SIMILARITY_THRESHOLD
 from ..functions.text import char_bigrams, matching_text
+from ..session import materialize
 
 _SLACK = 1e-9
 
 
-def gram_counts(docs: DataFrame, keys: list[str], text: str = "ct") -> DataFrame:
-    """Term frequency: one row per (keys, text, gram) with ``cnt`` and the text's ``total``."""
-    grams = docs.select(*keys, text, F.explode(char_bigrams(F.col(text))).alias("gram"))
+def gram_counts(docs: DataFrame, keys: list[str], text: str = "ct", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Term frequency: one row per (keys, text, gram) with ``cnt`` and the text's ``total``.
+
+    ``keep`` names columns that depend on the text only and travel along.
+    """
+    grams = docs.select(*keys, text, *keep, F.explode(char_bigrams(F.col(text))).alias("gram"))
     total = F.greatest(F.length(text) - 1, F.lit(1))
-    return grams.groupBy(*keys, text, "gram").agg(F.count(F.lit(1)).alias("cnt")).withColumn("total", total)
+    return grams.groupBy(*keys, text, "gram").agg(
+        F.count(F.lit(1)).alias("cnt"), *(F.first(c).alias(c) for c in keep)
+    ).withColumn("total", total)
 
 
 def distinct_history(history: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,26 +52,26 @@ def distinct_history(history: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def inverse_frequency(docs: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gram) -> df, idf = ln(N/df) + 1; N counts empty texts too."""
-    n = docs.groupBy(*keys).agg(F.sum("mult").alias("n"))
-    df = (
-        counts.join(docs.select(*keys, "ct", "mult"), [*keys, "ct"])
-        .groupBy(*keys, "gram").agg(F.sum("mult").alias("df"))
-    )
-    # ``n`` has one row per key value; keys are the direction (two values) by default.
-    return df.join(F.broadcast(n), keys).select(
-        *keys, "gram", "df", "n", (F.log(F.col("n") / F.col("df")) + 1.0).alias("idf")
-    )
+def inverse_frequency(history: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, gram) -> df, idf = ln(N/df) + 1; N counts empty texts too.
+
+    ``counts`` carries the multiplicity of its texts.
+    """
+    n = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    df = counts.groupBy(*keys, "gram").agg(F.sum("mult").alias("df"))
+    # One row of N per key value (two directions): the size check of the session decides how it travels.
+    return df.join(n, keys).select(*keys, "gram", "df", "n", (F.log(F.col("n") / F.col("df")) + 1.0).alias("idf"))
 
 
 def document_frequency(history: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["direction"]
-    docs = distinct_history(history, keys)
-    return inverse_frequency(docs, gram_counts(docs, keys), keys)
+    counts = gram_counts(distinct_history(history, keys), keys, keep=("mult",))
+    return inverse_frequency(history, counts, keys)
 
 
-def weighted_vectors(counts: DataFrame, idf: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def weighted_vectors(
+    counts: DataFrame, idf: DataFrame, keys: list[str], threshold: float, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per text: ``vec`` rare-first, ``norm`` and the prefix entries with their remaining norm."""
     weighed = counts.join(idf, [*keys, "gram"]).withColumn("w", F.col("cnt") / F.col("total") * F.col("idf"))
     doc = Window.partitionBy(*keys, "ct")
@@ -75,7 +83,8 @@ def weighted_vectors(counts: DataFrame, idf: DataFrame, keys: list[str], thresho
     ).withColumn("left", F.sqrt(F.col("rest2") / F.col("norm2")))
     entry = F.struct("df", "gram", "w", "left")
     return scored.groupBy(*keys, "ct").agg(
-        F.array_sort(F.collect_list(entry)).alias("vec"), F.sqrt(F.max("norm2")).alias("norm")
+        F.array_sort(F.collect_list(entry)).alias("vec"), F.sqrt(F.max("norm2")).alias("norm"),
+        *(F.first(c).alias(c) for c in keep),
     ).withColumn("prefix", F.filter("vec", lambda e: e["left"] >= threshold - _SLACK))
 
 
@@ -102,45 +111,60 @@ def cosine_similarity(a: DataFrame, b: DataFrame, keys: list[str], left: list[st
     )
 
 
-def similar_history(
-    queries: DataFrame,
-    history: DataFrame,
-    threshold: float = SIMILARITY_THRESHOLD,
-    keys: list[str] | None = None,
-) -> DataFrame:
-    """Best history record for each distinct cleaned query text, if it reaches ``threshold``.
+@dataclass(frozen=True)
+class HistoryIndex:
+    """Learned history prepared for lookups: gram weights and weighted texts, both written once.
 
-    queries  (keys, description);  history  (keys, hid, description, code, name, confirmed)
-    Returns (keys, ct, hid, code, name, score).  Ties go to the most recently confirmed
-    record, then the lowest id.
+    Build it when the history changes and use it for any number of query sets.
     """
+
+    idf: DataFrame
+    texts: DataFrame
+    keys: tuple[str, ...]
+    threshold: float
+
+
+def index_history(
+    history: DataFrame, threshold: float = SIMILARITY_THRESHOLD, keys: list[str] | None = None
+) -> HistoryIndex:
+    """history (keys, hid, description, code, name, confirmed)."""
     keys = keys or ["direction"]
-    docs = distinct_history(history, keys)
-    counts = gram_counts(docs, keys)
-    idf = inverse_frequency(docs, counts, keys)
+    counts = gram_counts(distinct_history(history, keys), keys, keep=("mult", "rec"))
+    idf = materialize(inverse_frequency(history, counts, keys), "idf")
+    texts = materialize(weighted_vectors(counts, idf, keys, threshold, keep=("rec",)), "history")
+    return HistoryIndex(idf, texts, tuple(keys), threshold)
+
+
+def similar_history(queries: DataFrame, index: HistoryIndex) -> DataFrame:
+    """Best history record for each distinct cleaned query text, if it reaches the threshold.
+
+    queries (keys, description).  Returns (keys, ct, hid, code, name, score).  Ties go to the
+    most recently confirmed record, then the lowest id.
+    """
+    keys, threshold = list(index.keys), index.threshold
     asked = queries.select(*keys, matching_text(F.col("description")).alias("ct")).distinct()
 
-    def postings(vectors: DataFrame, tag: str) -> DataFrame:
+    def postings(vectors: DataFrame, tag: str, keep: tuple[str, ...] = ()) -> DataFrame:
         return vectors.select(
-            *keys, F.col("ct").alias(f"{tag}_ct"), F.col("norm").alias(f"{tag}_norm"), F.col("vec").alias(f"{tag}_vec"),
-            F.transform("prefix", lambda e: e["gram"]).alias(f"{tag}_prefix"), F.explode("prefix").alias("__e"),
+            *keys, *keep, F.col("ct").alias(f"{tag}_ct"), F.col("norm").alias(f"{tag}_norm"),
+            F.col("vec").alias(f"{tag}_vec"), F.transform("prefix", lambda e: e["gram"]).alias(f"{tag}_prefix"),
+            F.explode("prefix").alias("__e"),
         ).withColumns({"gram": F.col("__e.gram"), f"{tag}_left": F.col("__e.left")}).drop("__e")
 
-    q = postings(weighted_vectors(gram_counts(asked, keys), idf, keys, threshold), "q")
-    h = postings(weighted_vectors(counts, idf, keys, threshold), "h")
+    q = postings(weighted_vectors(gram_counts(asked, keys), index.idf, keys, threshold), "q")
+    h = postings(index.texts, "h", keep=("rec",))
     pairs = q.join(h, [*keys, "gram"]).where(
         (F.col("q_left") * F.col("h_left") >= threshold - _SLACK)
         & (F.get(F.array_intersect("q_prefix", "h_prefix"), F.lit(0)) == F.col("gram"))
     )
     by_gram = F.map_from_entries(F.transform("h_vec", lambda e: F.struct(e["gram"], e["w"])))
-    scored = (
-        pairs.withColumn("score", _dot(F.col("q_vec"), by_gram) / (F.col("q_norm") * F.col("h_norm")))
-        .where(F.round("score", 12) >= threshold)
-        .select(*keys, F.col("q_ct").alias("ct"), "h_ct", "score")
-        .join(docs.select(*keys, F.col("ct").alias("h_ct"), "rec"), [*keys, "h_ct"])
+    scored = pairs.withColumn("score", _dot(F.col("q_vec"), by_gram) / (F.col("q_norm") * F.col("h_norm"))).where(
+        F.round("score", 12) >= threshold
     )
     best = F.struct(F.round("score", 12), F.col("rec.confirmed"), -F.col("rec.hid"))
-    return scored.groupBy(*keys, "ct").agg(F.max_by(F.struct("rec", "score"), best).alias("b")).select(
+    return scored.groupBy(*keys, F.col("q_ct").alias("ct")).agg(
+        F.max_by(F.struct("rec", "score"), best).alias("b")
+    ).select(
         *keys, "ct", F.col("b.rec.hid").alias("hid"), F.col("b.rec.code").alias("code"),
         F.col("b.rec.name").alias("name"), F.col("b.score").alias("score"),
     )
@@ -149,7 +173,7 @@ def similar_history(
 def classify(
     txns: DataFrame,
     rules,
-    history: DataFrame | None = None,
+    history: DataFrame | HistoryIndex | None = None,
     subjects: DataFrame | None = None,
     threshold: float = SIMILARITY_THRESHOLD,
     out: str = "match",
@@ -167,7 +191,8 @@ def classify(
     else:
         taken = ruled.where(F.col(out).isNotNull())
         rest = ruled.where(F.col(out).isNull()).drop(out)
-        found = similar_history(rest, history, threshold).select(
+        index = history if isinstance(history, HistoryIndex) else index_history(history, threshold)
+        found = similar_history(rest, index).select(
             "direction", "ct",
             F.struct(
                 F.col("code").alias("subject_code"), F.coalesce("name", F.lit("")).alias("subject_name"),

@@ -43,6 +43,7 @@ def segmented(
     totals: Mapping[str, Column] | None = None,
     carry: Mapping[str, Column] | None = None,
     prior: Mapping[str, Column] | None = None,
+    ahead: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ordered columns computed over each ``keys`` group.
@@ -52,6 +53,7 @@ def segmented(
     totals    name -> numeric value, summed over the group
     carry     name -> value, the last non-null one up to and with this row
     prior     name -> value, the last non-null one before this row
+    ahead     name -> value, the first non-null one from this row on
     previous  name -> value of the row before (null on the first row)
 
     ``keys`` and ``segment`` must not be null, ``order`` must be a total order (ascending)
@@ -59,6 +61,7 @@ def segmented(
     """
     running, totals = dict(running or {}), dict(totals or {})
     carry, prior, previous = dict(carry or {}), dict(prior or {}), dict(previous or {})
+    ahead = dict(ahead or {})
     keys, order = list(keys), list(order)
 
     base = df.withColumn(_SEG, segment)
@@ -80,6 +83,10 @@ def segmented(
         frame = upto if name in carry else local.rowsBetween(Window.unboundedPreceding, -1)
         added[f"__c_{name}"] = F.last(value, ignorenulls=True).over(frame)
         reduced.append(F.max_by(F.struct(value.alias("v")), F.when(value.isNotNull(), at)).alias(f"__l_{name}"))
+    for name, value in ahead.items():
+        from_here = local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        added[f"__a_{name}"] = F.first(value, ignorenulls=True).over(from_here)
+        reduced.append(F.min_by(F.struct(value.alias("v")), F.when(value.isNotNull(), at)).alias(f"__f_{name}"))
     for name, value in previous.items():
         added[f"__p_{name}"] = F.lag(F.struct(value.alias("v"))).over(local)
         reduced.append(F.max_by(F.struct(value.alias("v")), at).alias(f"__e_{name}"))
@@ -99,6 +106,9 @@ def segmented(
         offsets.append(F.sum(f"__t_{name}").over(whole).alias(f"__whole_{name}"))
     for name in (*carry, *prior):
         offsets.append(F.last(f"__l_{name}", ignorenulls=True).over(before).alias(f"__before_l_{name}"))
+    after = line.rowsBetween(1, Window.unboundedFollowing)
+    for name in ahead:
+        offsets.append(F.first(f"__f_{name}", ignorenulls=True).over(after).alias(f"__after_{name}"))
     for name in previous:
         offsets.append(F.lag(f"__e_{name}").over(line).alias(f"__before_e_{name}"))
     pieces = pieces.select(*keys, _SEG, *offsets)
@@ -114,6 +124,8 @@ def segmented(
         out.append(F.col(f"__whole_{name}").alias(name))
     for name in (*carry, *prior):
         out.append(F.coalesce(F.col(f"__c_{name}"), F.col(f"__before_l_{name}.v")).alias(name))
+    for name in ahead:
+        out.append(F.coalesce(F.col(f"__a_{name}"), F.col(f"__after_{name}.v")).alias(name))
     for name in previous:
         held = F.coalesce(F.col(f"__p_{name}"), F.col(f"__before_e_{name}"))
         out.append(held["v"].alias(name))
@@ -157,7 +169,7 @@ def nearest_site(
     """For each point the site with the closest position; the lower index wins a tie.
 
     A one-dimensional nearest neighbour is the closer of "last site before" and "first site
-    after", i.e. two as-of passes and no pairwise comparison.  Adds ``<site_index>``.
+    after": one ordered pass, no pairwise comparison.  Adds ``<site_index>``.
     """
     keys = list(keys)
     unique_sites = sites.groupBy(*keys, position).agg(F.min(site_index).alias("__site"))
@@ -173,14 +185,9 @@ def nearest_site(
             F.xxhash64(*points.columns).alias("__tie"),
         )
     )
-    ahead = both.withColumn("__neg", -F.col("__pos"))
-    fwd = segmented(
-        ahead, keys, ["__pos", "__kind", "__tie"], F.floor(F.col("__pos") / segment_width),
-        carry={"__lo": F.col("__s")},
-    )
     out = segmented(
-        fwd, keys, ["__neg", "__kind", "__tie"], F.floor(F.col("__neg") / segment_width),
-        carry={"__hi": F.col("__s")},
+        both, keys, ["__pos", "__kind", "__tie"], F.floor(F.col("__pos") / segment_width),
+        carry={"__lo": F.col("__s")}, ahead={"__hi": F.col("__s")},
     ).where("__kind = 1")
 
     def cand(c: str) -> Column:

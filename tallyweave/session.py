@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Joins back to row level keep their hot keys; the runtime splits them.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JIT leaves methods above 8000 bytes uncompiled; wide projections then run from split methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
