@@ -57,10 +57,11 @@ SELECT code, min(ord) AS ord, concat('n', code) AS name, max(category) AS catego
        CASE WHEN substring(code,1,1) IN ('1','5') THEN 'aux' ELSE '' END AS aux_category,
        CASE WHEN substring(code,1,1) IN ('1','5') THEN concat('Aux ', code) ELSE '' END AS aux_category_name,
        (length(code) <> 3) AS enabled, concat('FULL_', code) AS full_name
-FROM (SELECT substring(cast(p_partkey as string), 1, n) AS code, p_partkey AS ord,
-             CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('C', cast(p_size % 4 as string)) END AS category
-      FROM part JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS w
-        ON n <= length(cast(p_partkey as string))) AS x
+FROM (SELECT substring(key, 1, n) AS code, ord, category
+      FROM (SELECT cast(p_partkey as string) AS key, p_partkey AS ord,
+                   CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('C', cast(p_size % 4 as string)) END AS category,
+                   {explode}({list}(1,2,3,4)) AS n FROM part) AS p
+      WHERE n <= length(key)) AS x
 GROUP BY code
 """)
 
