@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BANK_CODES, BANK_NAMES
@@ -76,72 +79,75 @@ def q_cny(e: str) -> str:
 # --- scalars -----------------------------------------------------------------------------
 
 
-def _scalar(name: str, columns: str, sql: str, **cols):
+def _scalar(name: str, columns: str, sql: str, cols: Callable[[], dict[str, Column]]) -> None:
     @register(name, "row_no:l " + columns, f"SELECT row_no, {sql} FROM stmt_rows", ("stmt_rows",))
     def build(d: Data):
-        return d.view("stmt_rows").select("row_no", *(c.alias(n) for n, c in cols.items()))
+        return d.view("stmt_rows").select("row_no", *(v.alias(n) for n, v in cols().items()))
 
 
 c = F.col
 _scalar("date_compact", "day:s bad:b", f"{q_compact('d_compact')} AS day, coalesce({q_compact_bad('d_compact')}, false) AS bad",
-        day=D.date_compact(c("d_compact")), bad=D.date_compact_failed(c("d_compact")))
-_scalar("date_chinese", "day:s", f"{q_cn('d_cn')} AS day", day=D.date_chinese(c("d_cn")))
-_scalar("date_iso", "day:s", f"{q_iso('d_iso')} AS day", day=D.date_iso(c("d_iso")))
-_scalar("date_flexible", "day:s", f"{q_flex('d_flex')} AS day", day=D.date_flexible(c("d_flex")))
-_scalar("timestamp_date", "day:s", f"{_day('d_ts', '^' + ISO)} AS day", day=D.timestamp_date(c("d_ts")))
+        lambda: dict(day=D.date_compact(c("d_compact")), bad=D.date_compact_failed(c("d_compact"))))
+_scalar("date_chinese", "day:s", f"{q_cn('d_cn')} AS day", lambda: dict(day=D.date_chinese(c("d_cn"))))
+_scalar("date_iso", "day:s", f"{q_iso('d_iso')} AS day", lambda: dict(day=D.date_iso(c("d_iso"))))
+_scalar("date_flexible", "day:s", f"{q_flex('d_flex')} AS day", lambda: dict(day=D.date_flexible(c("d_flex"))))
+_scalar("timestamp_date", "day:s", f"{_day('d_ts', '^' + ISO)} AS day", lambda: dict(day=D.timestamp_date(c("d_ts"))))
 _scalar("receipt_date", "day:s",
         f"CASE WHEN regexp_matches(d_receipt,'{CN}') THEN {_day('d_receipt', CN)} "
         f"WHEN regexp_matches(d_receipt,'{PACKED}') THEN {_day('d_receipt', PACKED)} ELSE {_day('d_receipt', ISO)} END AS day",
-        day=D.date_receipt(c("d_receipt")))
-_scalar("amount_strict", "amount:f", f"{q_strict('a_strict')} AS amount", amount=A.amount_strict(c("a_strict")))
-_scalar("amount_lenient", "amount:f", f"{q_lenient('a_lenient')} AS amount", amount=A.amount_lenient(c("a_lenient")))
-_scalar("amount_clean", "amount:f", f"{q_clean('a_clean')} AS amount", amount=A.amount_clean(c("a_clean")))
-_scalar("amount_cny", "amount:f", f"{q_cny('a_cny')} AS amount", amount=A.amount_cny(c("a_cny")))
+        lambda: dict(day=D.date_receipt(c("d_receipt"))))
+_scalar("amount_strict", "amount:f", f"{q_strict('a_strict')} AS amount", lambda: dict(amount=A.amount_strict(c("a_strict"))))
+_scalar("amount_lenient", "amount:f", f"{q_lenient('a_lenient')} AS amount", lambda: dict(amount=A.amount_lenient(c("a_lenient"))))
+_scalar("amount_clean", "amount:f", f"{q_clean('a_clean')} AS amount", lambda: dict(amount=A.amount_clean(c("a_clean"))))
+_scalar("amount_cny", "amount:f", f"{q_cny('a_cny')} AS amount", lambda: dict(amount=A.amount_cny(c("a_cny"))))
 _scalar("normalize_key", "k:s", "concat(replace(replace(summary,' ',''),':',''),'key') AS k",
-        k=T.normalize_key(F.concat(c("summary"), F.lit("： key:"))))
-_scalar("clean_text", "v:s", "concat(summary,'ab') AS v", v=T.clean_text(F.concat(F.lit("  "), c("summary"), F.lit("\ta\r\nb \n"))))
-_scalar("compact_ws", "v:s", "replace(summary,' ','') AS v", v=T.compact_ws(F.concat(F.lit(" 　"), c("summary"), F.lit("\n"))))
+        lambda: dict(k=T.normalize_key(F.concat(c("summary"), F.lit("： key:")))))
+_scalar("clean_text", "v:s", "concat(summary,'ab') AS v", lambda: dict(v=T.clean_text(F.concat(F.lit("  "), c("summary"), F.lit("\ta\r\nb \n")))))
+_scalar("compact_ws", "v:s", "replace(summary,' ','') AS v", lambda: dict(v=T.compact_ws(F.concat(F.lit(" 　"), c("summary"), F.lit("\n")))))
 _scalar("char_bigrams", "n:l first:s last:s",
         "length(replace(summary,' ','')) - 1 AS n, substring(replace(summary,' ',''),1,2) AS first, right(replace(summary,' ',''),2) AS last",
-        n=F.size(T.char_bigrams(T.matching_text(c("summary")))),
+        lambda: dict(n=F.size(T.char_bigrams(T.matching_text(c("summary")))),
         first=F.try_element_at(T.char_bigrams(T.matching_text(c("summary"))), F.lit(1)),
-        last=F.try_element_at(T.char_bigrams(T.matching_text(c("summary"))), F.lit(-1)))
-_scalar("summary_hash", "h:s", "substring(sha256(summary),1,16) AS h", h=T.summary_hash(c("summary")))
-_scalar("round2", "r:f", "floor(cast(amount as double) / 7 * 100 + 0.5) / 100 AS r", r=A.round2(c("amount").cast("double") / 7))
+        last=F.try_element_at(T.char_bigrams(T.matching_text(c("summary"))), F.lit(-1))))
+_scalar("summary_hash", "h:s", "substring(sha256(summary),1,16) AS h", lambda: dict(h=T.summary_hash(c("summary"))))
+_scalar("round2", "r:f", "floor(cast(amount as double) / 7 * 100 + 0.5) / 100 AS r", lambda: dict(r=A.round2(c("amount").cast("double") / 7)))
 _scalar("join_nonempty", "v:s w:s",
         "coalesce(nullif(concat_ws(' | ', nullif(remark,''), nullif(in_text,'')),''),'none') AS v, "
         "concat_ws('; ', flag, CASE WHEN num <> flag THEN num END) AS w",
-        v=T.join_nonempty([c("remark"), c("in_text")], " | ", "none"),
-        w=T.join_nonempty([c("flag"), c("num"), c("flag")], "; ", distinct=True))
+        lambda: dict(v=T.join_nonempty([c("remark"), c("in_text")], " | ", "none"),
+        w=T.join_nonempty([c("flag"), c("num"), c("flag")], "; ", distinct=True)))
 _scalar("split_first_colon", "k:s v:s",
         "CASE row_no % 3 WHEN 0 THEN summary WHEN 1 THEN 'key' ELSE NULL END AS k, "
         "CASE row_no % 3 WHEN 0 THEN concat(num,':x') WHEN 1 THEN num ELSE NULL END AS v",
-        **(lambda s: {"k": T.colon_key(s), "v": T.colon_value(s)})(
+        lambda: (lambda s: {"k": T.colon_key(s), "v": T.colon_value(s)})(
             F.when(c("row_no") % 3 == 0, F.concat("summary", F.lit("： "), "num", F.lit(":x")))
             .when(c("row_no") % 3 == 1, F.concat(F.lit(" key:"), "num")).otherwise(c("summary"))))
 _scalar("is_masked", "m:b a:b", "row_no % 2 = 0 AS m, true AS a",
-        m=T.is_masked(F.when(c("row_no") % 2 == 0, F.concat("account_number", F.lit("**"))).otherwise(c("account_number"))),
-        a=T.is_account_like(F.when(c("row_no") % 2 == 0, F.concat("account_number", F.lit("** "))).otherwise(c("account_number"))))
-_CODE = F.element_at(F.array(*(F.lit(x) for x in ("ICBC", "CMB", "GFB", "X"))), (c("row_no") % 4 + 1).cast("int"))
+        lambda: dict(m=T.is_masked(F.when(c("row_no") % 2 == 0, F.concat("account_number", F.lit("**"))).otherwise(c("account_number"))),
+        a=T.is_account_like(F.when(c("row_no") % 2 == 0, F.concat("account_number", F.lit("** "))).otherwise(c("account_number")))))
+def _code() -> Column:
+    return F.element_at(F.array(*(F.lit(x) for x in ("ICBC", "CMB", "GFB", "X"))), (c("row_no") % 4 + 1).cast("int"))
+
+
 _scalar("bank_code_name", "bank:s code:s",
         "CASE row_no % 4 WHEN 0 THEN '工商银行' WHEN 1 THEN '招商银行' WHEN 2 THEN '广发银行' ELSE 'X' END AS bank, "
         "CASE row_no % 4 WHEN 0 THEN 'ICBC' WHEN 1 THEN 'CMB' WHEN 2 THEN 'GFB' ELSE 'X' END AS code",
-        bank=T.lookup(_CODE, BANK_NAMES, True), code=T.lookup(T.lookup(_CODE, BANK_NAMES, True), BANK_CODES, True))
+        lambda: dict(bank=T.lookup(_code(), BANK_NAMES, True), code=T.lookup(T.lookup(_code(), BANK_NAMES, True), BANK_CODES, True)))
 _scalar("regex_fields", "receipt:s code:s account:s holder:s",
         "concat('1234-5678-9012-', lpad(cast(row_no % 10000 as varchar),4,'0')) AS receipt, "
         "concat('ABCDEFGHIJKLMNOPQRST', cast(row_no as varchar), '=') AS code, account_number AS account, "
         "concat('测试公司', cast(row_no % 9 as varchar)) AS holder",
-        receipt=N.receipt_number(F.concat(F.lit("号码："), F.lit("1234-5678-9012-"), F.lpad((c("row_no") % 10000).cast("string"), 4, "0"))),
+        lambda: dict(receipt=N.receipt_number(F.concat(F.lit("号码："), F.lit("1234-5678-9012-"), F.lpad((c("row_no") % 10000).cast("string"), 4, "0"))),
         code=N.verify_code(F.concat(F.lit("验证码：ABCDEFGHIJKLMNOPQRST"), c("row_no").cast("string"), F.lit("= "))),
         account=N.holder_account(F.concat(F.lit("账号： "), c("account_number"), F.lit(" 户名：x"))),
-        holder=N.holder_name(F.concat(F.lit("户名: 测试公司"), (c("row_no") % 9).cast("string"), F.lit("，其他"))))
+        holder=N.holder_name(F.concat(F.lit("户名: 测试公司"), (c("row_no") % 9).cast("string"), F.lit("，其他")))))
 _scalar("strip_affixes", "note:s kind:s inline:s",
         "summary AS note, CASE row_no % 3 WHEN 2 THEN remark ELSE summary END AS kind, num AS inline",
-        note=F.regexp_replace(F.concat(F.lit("备注："), c("summary")), "^备注：", ""),
+        lambda: dict(note=F.regexp_replace(F.concat(F.lit("备注："), c("summary")), "^备注：", ""),
         kind=N.business_type(
             F.when(c("row_no") % 3 == 0, F.concat(F.lit("业务（产品）种类"), "summary")).when(c("row_no") % 3 == 1, c("summary"))
             .otherwise(F.lit("业务（产品）种类")), c("remark")),
-        inline=N.inline_value(F.concat(F.lit("金额：) "), c("num"), F.lit("。")), "金额"))
+        inline=N.inline_value(F.concat(F.lit("金额：) "), c("num"), F.lit("。")), "金额")))
 
 
 @register("json_stats", "file_id:s stats:s",
