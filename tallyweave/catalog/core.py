@@ -98,6 +98,12 @@ def doc_freq(d: Data):
     return S.document_frequency(d.view("history")).withColumn("idf", F.round("idf", 9))
 
 
+@register("idf", "direction:s gram:s idf:f",
+          f"WITH {_similar('txn')} SELECT direction, gram, round(idf, 9) AS idf FROM idf", ("txn", "history"))
+def idf(d: Data):
+    return S.document_frequency(d.view("history")).withColumn("idf", F.round("idf", 9))
+
+
 @register("term_freq", "direction:s ct:s gram:s cnt:l total:l",
           f"WITH {_similar('txn')} SELECT direction, ct, gram, cnt, total FROM qg JOIN qt USING (direction, ct)",
           ("txn", "history"))

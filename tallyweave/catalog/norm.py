@@ -122,6 +122,8 @@ _scalar("split_first_colon", "k:s v:s",
         lambda: (lambda s: {"k": T.colon_key(s), "v": T.colon_value(s)})(
             F.when(c("row_no") % 3 == 0, F.concat("summary", F.lit("： "), "num", F.lit(":x")))
             .when(c("row_no") % 3 == 1, F.concat(F.lit(" key:"), "num")).otherwise(c("summary"))))
+_scalar("is_account_like", "a:b b:b", "true AS a, false AS b",
+        lambda: dict(a=T.is_account_like(F.concat("account_number", F.lit("**  "))), b=T.is_account_like(F.concat("account_number", "summary"))))
 _scalar("is_masked", "m:b a:b", "row_no % 2 = 0 AS m, true AS a",
         lambda: dict(m=T.is_masked(F.when(c("row_no") % 2 == 0, F.concat("account_number", F.lit("**"))).otherwise(c("account_number"))),
         a=T.is_account_like(F.when(c("row_no") % 2 == 0, F.concat("account_number", F.lit("** "))).otherwise(c("account_number")))))

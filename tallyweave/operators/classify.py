@@ -207,17 +207,15 @@ def with_aux(df: DataFrame, subjects: DataFrame, code: str = "subject_code") ->
 
 def lint_rules(rules: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     """Findings per rule: (ord, rule_id, finding).  A null or empty subject table skips that check."""
-    from pyspark.sql import Window
-
     named = rules.withColumn("__id", F.coalesce("rule_id", F.lit("")))
-    seen = F.row_number().over(Window.partitionBy("__id").orderBy("ord"))
     has_code = F.coalesce("code", F.lit("")) != ""
-    flagged = named.withColumn("__n", seen).select(
+    first = named.where("__id <> ''").groupBy("__id").agg(F.min("ord").alias("__first"))
+    flagged = named.join(first, "__id", "left").select(
         "ord", F.col("__id").alias("rule_id"), "code",
         F.filter(
             F.array(
                 F.when(F.col("__id") == "", F.lit("missing id")),
-                F.when((F.col("__id") != "") & (F.col("__n") > 1), F.lit("duplicate id")),
+                F.when(F.col("ord") > F.col("__first"), F.lit("duplicate id")),
                 F.when(F.coalesce(F.size("keywords"), F.lit(0)) <= 0, F.lit("no keywords")),
                 F.when(~has_code, F.lit("missing subject")),
             ),

@@ -24,7 +24,7 @@ from ..session import materialize
 from .normalize import business_type, receipt_number, verify_code
 
 #: Height of a page segment in points.
-BAND_HEIGHT = 8.0
+BAND_HEIGHT = 32.0
 
 
 def _band(c: str) -> Column:
@@ -34,14 +34,22 @@ def _band(c: str) -> Column:
 def gap_clusters(spans: DataFrame, gap: float = 2.0, key: str = "page_id") -> DataFrame:
     """Add ``cluster`` 1..k per page: a new row of text starts after a vertical gap.
 
-    Only the distinct heights of a page matter, and a page has few of them whatever it holds.
+    Only the distinct heights matter.  Gaps are found inside bands of a page; the bands then
+    tell each other where they start.
     """
-    heights = spans.select(key, "y0").distinct()
-    page = Window.partitionBy(key).orderBy("y0")
-    jump = F.coalesce(F.col("y0") - F.lag("y0").over(page) > gap, F.lit(True))
-    numbered = heights.withColumn("__new", jump.cast("int")).withColumn(
-        "cluster", F.sum("__new").over(page.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("bigint")
-    ).drop("__new")
+    band = Window.partitionBy(key, "__band").orderBy("y0")
+    heights = spans.select(key, "y0").distinct().withColumn("__band", _band("y0"))
+    jumps = heights.withColumn("__jump", F.coalesce(F.col("y0") - F.lag("y0").over(band) > gap, F.lit(False)).cast("int"))
+    bands = jumps.groupBy(key, "__band").agg(F.sum("__jump").alias("__n"), F.min("y0").alias("__lo"), F.max("y0").alias("__hi"))
+    page = Window.partitionBy(key).orderBy("__band")
+    opens = F.coalesce(F.col("__lo") - F.lag("__hi").over(page) > gap, F.lit(True)).cast("int")
+    bands = bands.withColumn("__opens", opens).select(
+        key, "__band",
+        (F.sum(F.col("__n") + F.col("__opens")).over(page.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__base"),
+    )
+    here = F.sum("__jump").over(band.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = jumps.withColumn("__here", here).join(bands, [key, "__band"]).select(
+        key, "y0", (F.col("__base") + F.col("__here")).cast("bigint").alias("cluster"))
     return spans.join(numbered, [key, "y0"]).select(*spans.columns, "cluster")
 
 
@@ -105,10 +113,10 @@ def merge_continuations(rows: DataFrame, is_record: Column) -> DataFrame:
     ``is_record`` is an aggregate over one text row that tells whether it starts a record;
     rows before the first record are dropped.
     """
-    lines = rows.groupBy("page_id", "cluster").agg(is_record.cast("int").alias("__starts"))
-    # One row per text row of a page: a page has as many as its height allows.
-    page = Window.partitionBy("page_id").orderBy("cluster").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = lines.withColumn("record", F.sum("__starts").over(page).cast("bigint")).where("record > 0").drop("__starts")
+    lines = rows.groupBy("page_id", "cluster").agg(is_record.cast("bigint").alias("__starts"))
+    numbered = segmented(
+        lines, ["page_id"], ["cluster"], ordinal_segment("cluster", 12), running={"record": F.col("__starts")}
+    ).where("record > 0").drop("__starts")
     return rows.join(numbered, ["page_id", "cluster"])
 
 
@@ -134,12 +142,12 @@ def table_records(
         money = money | has(c)
     merged = merge_continuations(placed, has("date") & money)
     order = F.struct("cluster", "y0", "x0", "span_id")
-    return merged.groupBy("page_id", "record").agg(*(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct(order.alias("o"), F.col("text").alias("t"))))),
-            lambda p: p["t"]), " ").alias(c)
-        for c in bands
-    ))
+
+    def texts(name: str) -> Column:
+        parts = F.collect_list(F.when(F.col("column") == name, F.struct(order.alias("o"), F.col("text").alias("t"))))
+        return F.array_join(F.transform(F.array_sort(parts), lambda p: p["t"]), " ").alias(name)
+
+    return merged.groupBy("page_id", "record").agg(*(texts(c) for c in bands))
 
 
 def split_receipts(spans: DataFrame) -> DataFrame:
@@ -289,8 +297,8 @@ def assign_cells(blocks: DataFrame, cells: DataFrame, nearest: bool = True, bin_
     # The height of a grid row is that of its first cell.
     rows = cells.groupBy("page_id", "row").agg(F.min_by((F.col("cy0") + F.col("cy1")).cast("double") / 2, "col").alias("__y"))
     cols = cells.select("page_id", "row", F.col("col").cast("bigint").alias("col"), ((F.col("cx0") + F.col("cx1")).cast("double") / 2).alias("__x"))
-    in_row = nearest_site(apart, rows.withColumn("row", F.col("row").cast("bigint")), ["page_id"], "__y", "row", BAND_HEIGHT * 8)
-    placed = nearest_site(in_row, cols.withColumn("row", F.col("row").cast("bigint")), ["page_id", "row"], "__x", "col", BAND_HEIGHT * 8)
+    in_row = nearest_site(apart, rows.withColumn("row", F.col("row").cast("bigint")), ["page_id"], "__y", "row", BAND_HEIGHT * 2)
+    placed = nearest_site(in_row, cols.withColumn("row", F.col("row").cast("bigint")), ["page_id", "row"], "__x", "col", BAND_HEIGHT * 2)
     return inside.unionByName(placed.select(*inside.columns))
 
 
@@ -301,9 +309,8 @@ def title_groups(cells: DataFrame) -> DataFrame:
     one or two rows above, else at the first title row.  Cells before the first are dropped.
     """
     titles = cells.where(F.col("text").rlike("|".join(GRID_RECEIPT_TITLES))).select("page_id", "row").distinct()
-    page = Window.partitionBy("page_id").orderBy("row")
-    heads = titles.withColumn("__gap", F.col("row") - F.lag("row").over(page)).where(
-        F.col("__gap").isNull() | (F.col("__gap") > 3)).select("page_id", F.col("row").alias("head"))
+    apart = segmented(titles, ["page_id"], ["row"], ordinal_segment("row", 12), previous={"__last": F.col("row")})
+    heads = apart.where(F.col("__last").isNull() | (F.col("row") - F.col("__last") > 3)).select("page_id", F.col("row").alias("head"))
     banks = cells.where(F.col("text").contains(GRID_RECEIPT_BANK)).select("page_id", "row").distinct()
     above = heads.withColumn("row", F.explode(F.array(F.col("head") - 2, F.col("head") - 1))).join(banks, ["page_id", "row"])
     starts = heads.join(above.groupBy("page_id", "head").agg(F.min("row").alias("b")), ["page_id", "head"], "left").select(
@@ -312,7 +319,7 @@ def title_groups(cells: DataFrame) -> DataFrame:
     lines = cells.select("page_id", F.col("row").cast("bigint").alias("row")).distinct().join(
         starts.select("page_id", F.col("receipt").alias("row"), F.col("receipt").alias("__s")), ["page_id", "row"], "full"
     )
-    owned = segmented(lines, ["page_id"], ["row"], ordinal_segment("row", 8), carry={"receipt": F.col("__s")})
+    owned = segmented(lines, ["page_id"], ["row"], ordinal_segment("row", 12), carry={"receipt": F.col("__s")})
     return cells.join(owned.where(F.col("receipt").isNotNull()).select("page_id", "row", "receipt"), ["page_id", "row"])
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SIMILARITY_THRESHOLD
 from ..functions.text import char_bigrams, matching_text
+from ..plans.segments import segmented
 from ..session import materialize
 
 _SLACK = 1e-9
@@ -69,28 +70,37 @@ def document_frequency(history: DataFrame, keys: list[str] | None = None) -> Dat
     return inverse_frequency(history, counts, keys)
 
 
+def number_grams(idf: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``gid``, the place of a gram in the global order: rare first, then by text."""
+    return segmented(idf, keys, ["df", "gram"], F.col("df"), rank="gid")
+
+
 def weighted_vectors(
-    counts: DataFrame, idf: DataFrame, keys: list[str], threshold: float, keep: tuple[str, ...] = ()
+    counts: DataFrame, grams: DataFrame, keys: list[str], threshold: float, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per text: ``vec`` rare-first, ``norm`` and the prefix entries with their remaining norm."""
-    weighed = counts.join(idf, [*keys, "gram"]).withColumn("w", F.col("cnt") / F.col("total") * F.col("idf"))
+    """One row per text: ``vec`` (gid, w, left) rare-first, ``norm`` and ``prefix``.
+
+    ``left`` is the share of the norm from an entry on; the prefix ends where it falls below
+    the threshold.  Grams the history never saw drop out.
+    """
+    weighed = counts.join(grams.select(*keys, "gram", "gid", "idf"), [*keys, "gram"]).withColumn(
+        "w", F.col("cnt") / F.col("total") * F.col("idf"))
     doc = Window.partitionBy(*keys, "ct")
-    from_here = doc.orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    from_here = doc.orderBy("gid").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     sq = F.col("w") * F.col("w")
-    scored = weighed.withColumns(
-        {"rest2": F.sum(sq).over(from_here), "norm2": F.sum(sq).over(doc.orderBy().rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing))}
-    ).withColumn("left", F.sqrt(F.col("rest2") / F.col("norm2")))
-    entry = F.struct("df", "gram", "w", "left")
+    scored = weighed.withColumns({"rest2": F.sum(sq).over(from_here), "norm2": F.sum(sq).over(doc)}).withColumn(
+        "left", F.sqrt(F.col("rest2") / F.col("norm2")))
+    # One array per text, as long as the text has distinct grams.
     return scored.groupBy(*keys, "ct").agg(
-        F.array_sort(F.collect_list(entry)).alias("vec"), F.sqrt(F.max("norm2")).alias("norm"),
+        F.array_sort(F.collect_list(F.struct("gid", "w", "left"))).alias("vec"), F.sqrt(F.max("norm2")).alias("norm"),
         *(F.first(c).alias(c) for c in keep),
     ).withColumn("prefix", F.filter("vec", lambda e: e["left"] >= threshold - _SLACK))
 
 
-def _dot(a: Column, b_by_gram: Column) -> Column:
+def _dot(a: Column, b: Column) -> Column:
+    """Sum over the entries of ``a`` of w times the weight ``b`` maps its gram to."""
     return F.aggregate(
-        a, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(b_by_gram, e["gram"]), F.lit(0.0))
+        a, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(b, e["gid"]), F.lit(0.0))
     )
 
 
@@ -113,12 +123,12 @@ def cosine_similarity(a: DataFrame, b: DataFrame, keys: list[str], left: list[st
 
 @dataclass(frozen=True)
 class HistoryIndex:
-    """Learned history prepared for lookups: gram weights and weighted texts, both written once.
+    """Learned history prepared for lookups: numbered grams and weighted texts, both written once.
 
     Build it when the history changes and use it for any number of query sets.
     """
 
-    idf: DataFrame
+    grams: DataFrame
     texts: DataFrame
     keys: tuple[str, ...]
     threshold: float
@@ -130,9 +140,11 @@ def index_history(
     """history (keys, hid, description, code, name, confirmed)."""
     keys = keys or ["direction"]
     counts = gram_counts(distinct_history(history, keys), keys, keep=("mult", "rec"))
-    idf = materialize(inverse_frequency(history, counts, keys), "idf")
-    texts = materialize(weighted_vectors(counts, idf, keys, threshold, keep=("rec",)), "history")
-    return HistoryIndex(idf, texts, tuple(keys), threshold)
+    grams = materialize(number_grams(inverse_frequency(history, counts, keys), keys), "grams")
+    vectors = weighted_vectors(counts, grams, keys, threshold, keep=("rec",))
+    by_gram = F.map_from_entries(F.transform("vec", lambda e: F.struct(e["gid"], e["w"])))
+    texts = vectors.select(*keys, "ct", "rec", "norm", by_gram.alias("weights"), "prefix")
+    return HistoryIndex(grams, materialize(texts, "history"), tuple(keys), threshold)
 
 
 def similar_history(queries: DataFrame, index: HistoryIndex) -> DataFrame:
@@ -144,25 +156,23 @@ def similar_history(queries: DataFrame, index: HistoryIndex) -> DataFrame:
     keys, threshold = list(index.keys), index.threshold
     asked = queries.select(*keys, matching_text(F.col("description")).alias("ct")).distinct()
 
-    def postings(vectors: DataFrame, tag: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    def postings(vectors: DataFrame, tag: str, *keep: str) -> DataFrame:
         return vectors.select(
-            *keys, *keep, F.col("ct").alias(f"{tag}_ct"), F.col("norm").alias(f"{tag}_norm"),
-            F.col("vec").alias(f"{tag}_vec"), F.transform("prefix", lambda e: e["gram"]).alias(f"{tag}_prefix"),
+            *keys, *keep, F.col("norm").alias(f"{tag}_norm"), F.transform("prefix", lambda e: e["gid"]).alias(f"{tag}_prefix"),
             F.explode("prefix").alias("__e"),
-        ).withColumns({"gram": F.col("__e.gram"), f"{tag}_left": F.col("__e.left")}).drop("__e")
+        ).withColumns({"gid": F.col("__e.gid"), f"{tag}_left": F.col("__e.left")}).drop("__e")
 
-    q = postings(weighted_vectors(gram_counts(asked, keys), index.idf, keys, threshold), "q")
-    h = postings(index.texts, "h", keep=("rec",))
-    pairs = q.join(h, [*keys, "gram"]).where(
+    q = postings(weighted_vectors(gram_counts(asked, keys), index.grams, keys, threshold), "q", "ct", "vec")
+    h = postings(index.texts, "h", "rec", "weights")
+    pairs = q.join(h, [*keys, "gid"]).where(
         (F.col("q_left") * F.col("h_left") >= threshold - _SLACK)
-        & (F.get(F.array_intersect("q_prefix", "h_prefix"), F.lit(0)) == F.col("gram"))
+        & (F.get(F.array_intersect("q_prefix", "h_prefix"), F.lit(0)) == F.col("gid"))
     )
-    by_gram = F.map_from_entries(F.transform("h_vec", lambda e: F.struct(e["gram"], e["w"])))
-    scored = pairs.withColumn("score", _dot(F.col("q_vec"), by_gram) / (F.col("q_norm") * F.col("h_norm"))).where(
+    scored = pairs.withColumn("score", _dot(F.col("vec"), F.col("weights")) / (F.col("q_norm") * F.col("h_norm"))).where(
         F.round("score", 12) >= threshold
     )
     best = F.struct(F.round("score", 12), F.col("rec.confirmed"), -F.col("rec.hid"))
-    return scored.groupBy(*keys, F.col("q_ct").alias("ct")).agg(
+    return scored.groupBy(*keys, "ct").agg(
         F.max_by(F.struct("rec", "score"), best).alias("b")
     ).select(
         *keys, "ct", F.col("b.rec.hid").alias("hid"), F.col("b.rec.code").alias("code"),

@@ -36,8 +36,9 @@ def with_group_key(classified: DataFrame, reference: str = "reference_number") -
     return classified.withColumns({
         "account_number": F.coalesce("account_number", empty),
         "counter_code": code,
-        "group_ref": F.when(alone, F.concat(F.lit("#"), F.col("txn_seq").cast("string"))).otherwise(
-            F.coalesce(reference, empty)
+        # Plainly not null, so no "is not null" filter evaluates the rules a second time.
+        "group_ref": F.coalesce(
+            F.when(alone, F.concat(F.lit("#"), F.col("txn_seq").cast("string"))).otherwise(F.col(reference)), empty
         ),
     })
 
