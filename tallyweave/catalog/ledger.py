@@ -429,11 +429,10 @@ def _statement(d: Data):
 
 
 @register("statement_summary", "file_id:s opening_balance:f closing_balance:f statement_date:s transactions:l error_count:l confidence:f",
-          f"""SELECT file_id, arg_min(bal, row_no) AS opening_balance, arg_max(bal, row_no) AS closing_balance,
+          f"""SELECT file_id, first(bal ORDER BY row_no) AS opening_balance, last(bal ORDER BY row_no) AS closing_balance,
           max(CASE WHEN status='ok' THEN txn_date END) AS statement_date, count(*) FILTER (WHERE status='ok') AS transactions, count(*) FILTER (WHERE status='error') AS error_count,
           round(greatest(0.0, 1.0 - 0.01 * count(*) FILTER (WHERE status='error')), 4) AS confidence
-          FROM (SELECT *, {_STMT_STATUS} AS status, CASE WHEN balance_text = '' THEN NULL ELSE [cast(replace(balance_text,',','') as decimal(18,2))] END AS b0,
-                cast(nullif(replace(balance_text,',',''),'') as decimal(18,2)) AS bal FROM stmt_rows) GROUP BY file_id""".replace("arg_min(bal, row_no)", "first(bal ORDER BY row_no)").replace("arg_max(bal, row_no)", "last(bal ORDER BY row_no)"),
+          FROM (SELECT *, {_STMT_STATUS} AS status, cast(nullif(replace(balance_text,',',''),'') as decimal(18,2)) AS bal FROM stmt_rows) GROUP BY file_id""",
           ("stmt_rows",))
 def statement_summary(d: Data):
     return SM.statement_summary(_statement(d))
@@ -576,8 +575,8 @@ def file_listing_dedup(d: Data):
 def detect_account_in_text(d: Data):
     from ..operators.accounts import detect_account_in_text as op
 
-    texts = d.view("stmt_rows").select("row_no", F.concat(
-        F.when(c("row_no") % 2 == 0, "回单编号 11").otherwise("no 99999999999999 "), F.lit(" acct "), "account_number", F.lit(" then 6222080000000014")).alias("text"))
-    texts = texts.join(d.view("stmt_rows").select("row_no", "account_number"), "row_no").where(
-        c("account_number").rlike("[47]$")).select("row_no", "text")
+    known = d.view("stmt_rows").where(c("account_number").rlike("[47]$"))
+    texts = known.select("row_no", F.concat(
+        F.when(c("row_no") % 2 == 0, "回单编号 11").otherwise("no 99999999999999 "), F.lit(" acct "), "account_number",
+        F.lit(" then 6222080000000014")).alias("text"))
     return op(texts, d.view("accounts"), key="row_no")

@@ -216,26 +216,42 @@ def is_label(text: Column) -> Column:
 def right_neighbours(blocks: DataFrame, label: Column, value_pattern: str | None = None) -> DataFrame:
     """(page_id, label_id, value): nearest value right of each label block, -10 < dx < 500, |dy| <= 40.
 
-    blocks (page_id, span_id, x0, x1, cy, text).  Values are binned by height (40) and
-    position (510), so a label meets the blocks of six neighbouring bins only; blocks at the
-    same spot are reduced to one beforehand.
+    blocks (page_id, span_id, x0, x1, cy, text).  Blocks and labels at the same spot are
+    reduced to one beforehand.  Spots are binned by height (40) and position (510), so a
+    label spot meets the value spots of six bins only, however many blocks share them.
     """
     xw, yw = 510.0, 40.0
-    labels = blocks.where(label).select("page_id", F.col("span_id").alias("label_id"), F.col("x1").alias("lx"), F.col("cy").alias("ly"))
+    labels = blocks.where(label).select(
+        "page_id", F.col("span_id").alias("label_id"), F.col("x0").alias("__own"), F.col("x1").alias("lx"), F.col("cy").alias("ly"))
     ok = ~is_label(F.col("text"))
     if value_pattern:
         ok = ok & strip(F.col("text")).rlike(f"^({value_pattern})")
+    # Two blocks per spot, so that a label that is itself a candidate can skip itself.
+    first = F.struct("span_id", strip(F.col("text")).alias("v"))
     values = blocks.where(ok).groupBy("page_id", "x0", "cy").agg(
-        F.min_by(F.struct("span_id", strip(F.col("text")).alias("v")), "span_id").alias("b")
+        F.min_by(first, "span_id").alias("a"), F.max_by(first, "span_id").alias("z")
     ).withColumns({"__bx": F.floor(F.col("x0") / xw), "__by": F.floor(F.col("cy") / yw)})
-    spots = labels.withColumn("__by", F.explode(F.sequence(F.floor((F.col("ly") - yw) / yw), F.floor((F.col("ly") + yw) / yw)))).withColumn(
+    spots = labels.groupBy("page_id", "lx", "ly", "__own").agg(F.min("label_id").alias("__l"))
+    near = spots.withColumn("__by", F.explode(F.sequence(F.floor((F.col("ly") - yw) / yw), F.floor((F.col("ly") + yw) / yw)))).withColumn(
         "__bx", F.explode(F.sequence(F.floor((F.col("lx") - 10) / xw), F.floor((F.col("lx") + 500) / xw)))
     )
     dx = F.col("x0") - F.col("lx")
-    hit = spots.join(values, ["page_id", "__bx", "__by"]).where(
-        (dx > -10) & (dx < 500) & (F.abs(F.col("cy") - F.col("ly")) <= yw) & (F.col("b.span_id") != F.col("label_id"))
+    hit = near.join(values, ["page_id", "__bx", "__by"]).where((dx > -10) & (dx < 500) & (F.abs(F.col("cy") - F.col("ly")) <= yw))
+    # Best spot that is not the label's own, and the label's own spot if it qualifies.
+    own = (F.col("x0") == F.col("__own")) & (F.col("cy") == F.col("ly"))
+    order = F.struct(dx.alias("dx"), F.col("a.span_id").alias("i"))
+    found = hit.groupBy("page_id", "lx", "ly", "__own").agg(
+        F.min_by(F.struct(order.alias("o"), F.col("a.v").alias("v")), F.when(~own, order)).alias("__other"),
+        F.max(F.when(own, F.struct(order.alias("o"), "a", "z"))).alias("__same"),
     )
-    return hit.groupBy("page_id", "label_id").agg(F.min_by("b.v", F.struct(dx, F.col("b.span_id"))).alias("value"))
+    mine = F.when(F.col("label_id") == F.col("__same.a.span_id"), F.when(
+        F.col("__same.z.span_id") != F.col("label_id"),
+        F.struct(F.struct(F.col("__same.o.dx").alias("dx"), F.col("__same.z.span_id").alias("i")).alias("o"), F.col("__same.z.v").alias("v")),
+    )).otherwise(F.struct(F.col("__same.o").alias("o"), F.col("__same.a.v").alias("v")))
+    mine = F.when(F.col("__same").isNotNull(), mine)
+    best = F.least(mine, F.col("__other"))
+    return labels.join(found, ["page_id", "lx", "ly", "__own"]).withColumn("value", best["v"]).where(
+        F.col("value").isNotNull()).select("page_id", "label_id", "value")
 
 
 def key_values(spans: DataFrame, keys: Mapping[str, str]) -> DataFrame:

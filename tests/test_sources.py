@@ -141,3 +141,14 @@ def test_zero_amounts_follow_their_source(spark):
     receipt = one("receipt_type trade_date amount_raw payer_name payer_account payee_name payee_account summary business_type receipt_no transaction_id business_no",
                   "expense", day, "CNY 0.00", "", "", "", "", "", "", "", "", "")
     assert N.receipt_by_type(receipt, ["id"]).first().status == "error"
+
+
+def test_right_neighbour_takes_nearest_value_not_labels(spark):
+    rows = [(1, 1, 0.0, 10.0, 5.0, "金额"), (1, 2, 20.0, 40.0, 6.0, "摘要"), (1, 3, 60.0, 70.0, 40.0, "12.50"), (1, 4, 50.0, 55.0, 50.0, "9.00"),
+            (1, 5, 600.0, 610.0, 5.0, "1.00"), (1, 6, 60.0, 70.0, 40.0, "77.00")]
+    blocks = spark.createDataFrame(rows, "page_id bigint, span_id bigint, x0 double, x1 double, cy double, text string")
+    got = L.right_neighbours(blocks, F.col("text") == "金额", r"\d+\.\d{2}").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "12.50")]
+    # a label that is itself a candidate never picks itself
+    own = L.right_neighbours(blocks.withColumn("x1", F.col("x0") + 5), F.col("span_id").isin(3, 6)).collect()
+    assert sorted(tuple(r) for r in own) == [(1, 3, "77.00"), (1, 6, "12.50")]
