@@ -7,6 +7,7 @@ import os
 import pytest
 
 import check
+from tallyweave.catalog import load
 import __spark_entry__ as entry
 
 PATH = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -18,7 +19,7 @@ def con():
     return check.duck(PATH)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(load()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, PATH)
     plan = df._jdf.queryExecution().executedPlan().toString()
