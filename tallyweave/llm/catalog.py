@@ -4,26 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, mixing, quality, urls, warc
+from . import bpe, chat, html, jaccard, mixing, neighbours, quality, tokens, urls, warc
 from .batches import folder, store
 
 WORDS = r"[^\x20\x09-\x0D]+"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+#: Fewer tokens for texts of several languages; id 50256 is free and ends a document.
+MANY_LANGUAGES, END = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), 50256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens has each document in flat token files of the whole table?"""
+    return tokens.document_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", MANY_LANGUAGES, public_tokenizers.PATTERN, END)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens has each document, and does decoding give its bytes back?"""
     return bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which 20 vectors are nearest to every twentieth one?"""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents repeat themselves too much?"""
     return quality.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -36,6 +50,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(made).withColumnRenamed("conv", "conv_id")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are connected by sharing 85 % of their four-word shingles?"""
+    return jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text", n=4, pct=85)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What do archives written from the pages hold when they are read back?"""
     return warc.archived(table(spark, sf_dir, "pages"), folder(spark, "warc"))
@@ -116,6 +135,23 @@ def _op5_sql() -> str:
     FROM c GROUP BY conv_id"""
 
 
+OP6_SQL = rf"""
+    WITH RECURSIVE d AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws
+        FROM documents),
+    s AS MATERIALIZED (
+        SELECT DISTINCT r, g FROM (
+            SELECT r, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 3], ' ') END AS g
+            FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0))),
+    size AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+    shared AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+    link AS MATERIALIZED (
+        SELECT a, b FROM shared JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+    reach AS (SELECT r, r AS other FROM size UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.other),
+    least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.other GROUP BY reach.r)
+    SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id
+    FROM d LEFT JOIN size USING (r) LEFT JOIN least USING (r)"""
+
 OP7_SQL = """
     WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
     q AS (
@@ -129,13 +165,17 @@ OP7_SQL = """
     FROM q"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_token_counts": (op1, None),
     "op2_byte_bpe": (op2, None),
+    "op3_graph_neighbours": (op3, None),
     "op4_quality_rules": (op4, _op4_sql()),
     "op5_chat_format": (op5, _op5_sql()),
+    "op6_jaccard_join": (op6, OP6_SQL),
     "op7_warc_archive": (op7, OP7_SQL),
     "op8_html_text": (op8, None),
     "op9_url_filter": (op9, None),
     "op10_source_mix": (op10, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import byte_texts
 from .words import SPACES, Words, grams, mix, portions, repeated, scan
 
 #: The characters that count as symbols.
@@ -100,7 +101,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, limits: Limits = Limits())
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.large_binary())]
+            texts = byte_texts(batch.column(1))
             for some in portions([len(t) for t in texts]):
                 out = measure(texts[some], limits)
                 yield pa.RecordBatch.from_arrays(
@@ -111,3 +112,14 @@ def judge(df: DataFrame, id_col: str, text_col: str, limits: Limits = Limits())
     picked = df.select(df[id_col], df[text_col].alias("text"))
     kinds = ", ".join(f"{c} {'bigint' if k == pa.int64() else 'boolean' if k == pa.bool_() else 'double'}" for c, k in COLUMNS)
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, {kinds}")
+
+
+def keep_rows(df: DataFrame, text_col: str, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``df`` that the rules keep, with all their columns.  Map-only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_texts(batch.column(text_col))
+            kept = [measure(texts[some], limits)["kept"] for some in portions([len(t) for t in texts])]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=bool)))
+
+    return df.mapInArrow(run, df.schema)
