@@ -51,8 +51,10 @@ def renumber(d: Data):
 def manual_patch(d: Data):
     e = d.entries()
     patches = e.where((c("voucher_no") % 11 == 0) & (c("direction") != "bank")).select(
-        "batch_id", "voucher_no", "entry_seq", F.lit("P1").alias("subject_code"), F.when(c("entry_seq") % 2 == 1, "patched").alias("summary"))
-    return E.manual_patch(e, patches)
+        "batch_id", "voucher_no", "entry_seq", F.lit("P1").alias("subject_code"), F.when(c("entry_seq") % 2 == 1, "patched").alias("summary"), F.lit(2).alias("turn"))
+    # An earlier patch of the same entries; the later one takes effect where it has a value.
+    earlier = patches.withColumns({"subject_code": F.lit("P0"), "turn": F.lit(1), "summary": F.when(c("entry_seq") % 2 == 1, "first")})
+    return E.manual_patch(e, earlier.unionByName(patches), "turn")
 
 
 _OPEN = "match_source='unmatched' AND direction<>'bank'"
@@ -152,8 +154,9 @@ def partial_update(d: Data):
     patches = s.where(n > 1).select(
         "code", F.when(n == 2, F.create_map(F.lit("name"), F.concat(F.lit("  x "), "code", F.lit(" "))))
         .when(n == 3, F.create_map(F.lit("name"), F.lit(None).cast("string")))
-        .otherwise(F.create_map(F.lit("aux_category"), F.lit(""), F.lit("code"), F.lit("never"))).alias("patch"))
-    return E.partial_update(s, patches, "code")
+        .otherwise(F.create_map(F.lit("aux_category"), F.lit(""), F.lit("code"), F.lit("never"))).alias("patch"), F.lit(2).alias("turn"))
+    earlier = patches.withColumns({"patch": F.transform_values("patch", lambda k, v: F.lit("earlier")), "turn": F.lit(1)})
+    return E.partial_update(s, patches.unionByName(earlier), "code", ordinal="turn")
 
 
 # --- stored tables -----------------------------------------------------------------------
@@ -184,7 +187,9 @@ def insert_or_ignore(d: Data):
 def upsert(d: Data):
     old = d.table("customer").select("c_custkey", "c_name", "c_acctbal")
     new = old.where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
-    return ST.upsert(old, new.unionByName(new.withColumn("c_custkey", c("c_custkey") + 10000000)), ["c_custkey"])
+    new = new.unionByName(new.withColumn("c_custkey", c("c_custkey") + 10000000))
+    again = new.withColumn("c_name", F.lit("replaced"))  # comes first and is replaced itself
+    return ST.upsert(old, again.withColumn("ord", F.lit(0)).unionByName(new.withColumn("ord", F.lit(1))), ["c_custkey"], "ord")
 
 
 @register("delete_rows", "txn_seq:l amount:f", "SELECT txn_seq, amount FROM txn WHERE txn_seq % 5 <> 0", ("txn",))
@@ -223,7 +228,7 @@ def delete_cascade(d: Data):
 
 
 @register("sink_draft", "draft_id:s name:s status:s voucher_no:l entry_seq:l",
-          "SELECT substring(sha256(batch_id),1,8) AS draft_id, concat('draft ', batch_id) AS name, 'draft' AS status, voucher_no, entry_seq FROM entries", ("entries",))
+          "SELECT sha256(batch_id) AS draft_id, concat('draft ', batch_id) AS name, 'draft' AS status, voucher_no, entry_seq FROM entries", ("entries",))
 def sink_draft(d: Data):
     heads, rows = ST.save_drafts(ST.check_entries(d.entries()), c("batch_id"), F.concat(F.lit("draft "), c("batch_id")), F.lit("2024-01-01"))
     path = work_path(d.spark, "draft")
@@ -272,7 +277,7 @@ def export_stats(d: Data):
 
 
 @register("sink_export_log", _LOGC + " source_files:s draft_id:s",
-          f"""SELECT x.*, files AS source_files, substring(sha256(x.batch_id),1,8) AS draft_id FROM ({_STATS}) x JOIN (
+          f"""SELECT x.*, files AS source_files, sha256(x.batch_id) AS draft_id FROM ({_STATS}) x JOIN (
           SELECT batch_id, concat('["', string_agg(f, '","' ORDER BY f), '"]') AS files FROM (
             SELECT DISTINCT batch_id, concat('m', lpad(cast(month(txn_date) as varchar),2,'0'), '.csv') AS f FROM txn) GROUP BY batch_id) y USING (batch_id)""",
           ("entries", "txn"))
@@ -291,7 +296,7 @@ def sink_export_log(d: Data):
 def sink_voucher_25col(d: Data):
     from ..constants import EXPORT_COLUMNS
 
-    out = SK.voucher_export(d.entries(), F.substring("batch_id", 2, 9))
+    out = SK.voucher_export(d.entries(), F.expr("substring(batch_id, 2)"))
     path = work_path(d.spark, "export")
     SK.write_partitioned(out, path, "batch_id")
     back = d.spark.read.schema(out.schema).parquet(path)
@@ -354,7 +359,7 @@ def txn_summary(d: Data):
 
 def _file_status(d: Data):
     rows = d.view("stmt_rows").groupBy("file_id").agg(F.count(F.lit(1)).alias("transactions"))
-    n = F.substring("file_id", 2, 9).cast("bigint")
+    n = F.expr("substring(file_id, 2)").cast("bigint")
     return rows.select("file_id", n.alias("file_ord"), F.when(n % 4 == 0, "failed").otherwise("success").alias("status"), "transactions",
                        F.concat(c("file_id"), F.lit(".csv")).alias("file_name"), F.concat(F.lit("set"), (n % 3).cast("string")).alias("batch"))
 
@@ -540,7 +545,7 @@ def extractor_candidates(d: Data):
           UNION ALL SELECT file_id, 1, row_no FROM stmt_rows WHERE row_no % 2 = 0 UNION ALL SELECT file_id, 2, row_no FROM stmt_rows)) WHERE cand_ord = best""", ("stmt_rows",))
 def first_nonempty_parser(d: Data):
     r = d.view("stmt_rows").select("file_id", "row_no")
-    tries = [r.where(F.substring("file_id", 2, 9).cast("bigint") % 3 == 0), r.where("row_no % 2 = 0"), r]
+    tries = [r.where(F.expr("substring(file_id, 2)").cast("bigint") % 3 == 0), r.where("row_no % 2 = 0"), r]
     union = None
     for i, t in enumerate(tries):
         t = t.withColumn("cand_ord", F.lit(i))
@@ -570,13 +575,13 @@ def file_listing_dedup(d: Data):
 
 
 @register("detect_account_in_text", "row_no:l account:s bank_code:s doc_type:s",
-          """SELECT row_no, s.account_number AS account, bank_code, CASE WHEN row_no % 2 = 0 THEN '回单' ELSE '流水' END AS doc_type
-          FROM stmt_rows s JOIN own_account o ON o.account_number = s.account_number""", ("stmt_rows", "own_account"))
+          """SELECT row_no, coalesce(o.account_number, '6222080000000014') AS account, coalesce(o.bank_code, 'ICBC') AS bank_code,
+          CASE WHEN row_no % 2 = 0 THEN '回单' ELSE '流水' END AS doc_type
+          FROM stmt_rows s LEFT JOIN own_account o ON o.account_number = s.account_number WHERE o.account_number IS NOT NULL OR row_no % 3 <> 0""", ("stmt_rows", "own_account"))
 def detect_account_in_text(d: Data):
     from ..operators.accounts import detect_account_in_text as op
 
-    known = d.view("stmt_rows").where(c("account_number").rlike("[47]$"))
-    texts = known.select("row_no", F.concat(
+    texts = d.view("stmt_rows").select("row_no", F.concat(
         F.when(c("row_no") % 2 == 0, "回单编号 11").otherwise("no 99999999999999 "), F.lit(" acct "), "account_number",
-        F.lit(" then 6222080000000014")).alias("text"))
+        F.when(c("row_no") % 3 == 0, "").otherwise(" then 6222080000000014")).alias("text"))
     return op(texts, d.view("accounts"), key="row_no")

@@ -104,11 +104,11 @@ _scalar("normalize_key", "k:s", "concat(replace(replace(summary,' ',''),':',''),
         lambda: dict(k=T.normalize_key(F.concat(c("summary"), F.lit("： key:")))))
 _scalar("clean_text", "v:s", "concat(summary,'ab') AS v", lambda: dict(v=T.clean_text(F.concat(F.lit("  "), c("summary"), F.lit("\ta\r\nb \n")))))
 _scalar("compact_ws", "v:s", "replace(summary,' ','') AS v", lambda: dict(v=T.compact_ws(F.concat(F.lit(" 　"), c("summary"), F.lit("\n")))))
-_scalar("char_bigrams", "n:l first:s last:s",
-        "length(replace(summary,' ','')) - 1 AS n, substring(replace(summary,' ',''),1,2) AS first, right(replace(summary,' ',''),2) AS last",
+_scalar("char_bigrams", "n:l grams:s",
+        "length(replace(summary,' ','')) - 1 AS n, array_to_string(list_transform(range(1, length(replace(summary,' ',''))), "
+        "lambda i: substring(replace(summary,' ',''), i, 2)), '|') AS grams",
         lambda: dict(n=F.size(T.char_bigrams(T.matching_text(c("summary")))),
-        first=F.try_element_at(T.char_bigrams(T.matching_text(c("summary"))), F.lit(1)),
-        last=F.try_element_at(T.char_bigrams(T.matching_text(c("summary"))), F.lit(-1))))
+        grams=F.array_join(T.char_bigrams(T.matching_text(c("summary"))), "|")))
 _scalar("summary_hash", "h:s", "substring(sha256(summary),1,16) AS h", lambda: dict(h=T.summary_hash(c("summary"))))
 _scalar("round2", "r:f", "floor(cast(amount as double) / 7 * 100 + 0.5) / 100 AS r", lambda: dict(r=A.round2(c("amount").cast("double") / 7)))
 _scalar("join_nonempty", "v:s w:s",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CMB_BANDS, GFB_HEADER_KEYS
+from ..constants import CMB_BANDS, CMB_HEADER_KEYS, GFB_BANDS, GFB_HEADER_KEYS, GFB_LABELS
 from ..operators import layout as L
 from ..operators import normalize as N
 from ..session import work_path
@@ -161,7 +161,7 @@ def partition_spans(d: Data):
 
 
 _REC = "page_id:l record:l date:s business_type:s description:s amount:s counterparty:s"
-_RECSQL = """SELECT row_no % 40 AS page_id, row_number() OVER (PARTITION BY row_no % 40 ORDER BY row_no) AS record, packed AS date, flag AS business_type,
+_RECSQL = """SELECT cast(floor(row_no / 50) as bigint) AS page_id, row_number() OVER (PARTITION BY cast(floor(row_no / 50) as bigint) ORDER BY row_no) AS record, packed AS date, flag AS business_type,
  CASE WHEN row_no % 3 = 0 THEN concat(summary, ' more ', cast(row_no % 7 as varchar)) ELSE summary END AS description,
  CASE WHEN row_no % 2 = 0 THEN concat('-', num) ELSE num END AS amount, counterparty FROM stmt_rows"""
 
@@ -184,6 +184,24 @@ def table_statement(d: Data):
     return N.signed_amount(rows, ["page_id", "record"])
 
 
+@register("table_statement_gfb", "page_id:l record:l status:s txn_date:s amount:f direction:s description:s counterparty:s",
+          f"""SELECT cast(floor(row_no / 50) as bigint) AS page_id, row_number() OVER (PARTITION BY cast(floor(row_no / 50) as bigint) ORDER BY row_no) AS record, 'ok' AS status,
+          {_day('iso', '^' + ISO)} AS txn_date, amount, CASE WHEN row_no % 2 = 0 THEN 'expense' ELSE 'income' END AS direction,
+          concat(CASE WHEN row_no % 5 = 0 OR remark = '' THEN '银行交易' ELSE remark END, CASE WHEN row_no % 3 = 0 THEN concat(' | 票据号:', reference_number) ELSE '' END) AS description,
+          counterparty FROM stmt_rows""", ("stmt_rows",))
+def table_statement_gfb(d: Data):
+    rows = L.table_records(d.stored("two_way_spans"), ["交易日期", "交易类型"], GFB_BANDS, ["expense", "income"], require_all=True, labels=GFB_LABELS)
+    return N.exclusive_out_in(rows, ["page_id", "record"])
+
+
+@register("page_statement_summary", "page_id:l account_no:s account_name:s opening_balance:f closing_balance:f period_start:s period_end:s",
+          """SELECT page_id, concat('6222', cast(page_id as varchar)) AS account_no, concat('公司', cast(page_id as varchar)) AS account_name,
+          page_id * 1000 + 1.25 AS opening_balance, count(*) + 0.5 AS closing_balance, '2024-01-01' AS period_start, concat('2024-01-', cast(10 + page_id % 20 as varchar)) AS period_end
+          FROM (SELECT cast(floor(row_no / 50) as bigint) AS page_id FROM stmt_rows) GROUP BY page_id""", ("stmt_rows",))
+def page_statement_summary(d: Data):
+    return L.page_statement(d.stored("headed_spans"), _TITLES, CMB_HEADER_KEYS, "期末余额", same_line=True)
+
+
 _ASOF = """(SELECT * FROM (SELECT *, last_value(anchor IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos, kind, span_id ROWS UNBOUNDED PRECEDING) AS owner FROM (
  SELECT page_id, span_id, cast(y0 as double) AS pos, 1 AS kind, NULL AS anchor FROM spans
  UNION ALL SELECT page_id, span_id, cast(y0 as double) - 5, 0, span_id FROM spans WHERE span_id % 50 = 11 AND page_id % 7 <> 0)) WHERE kind = 1)"""
@@ -251,6 +269,19 @@ def key_value_lookup(d: Data):
     return L.key_values(spans, GFB_HEADER_KEYS)
 
 
+@register("key_value_lookup_same_line", "page_id:l field:s value:s",
+          """SELECT c_custkey AS page_id, f AS field, CASE f WHEN 'account_name' THEN c_name WHEN 'bank_branch' THEN concat('Branch ', cast(c_custkey as varchar))
+          WHEN 'opening_balance' THEN cast(c_custkey as varchar) WHEN 'period' THEN '账号：' ELSE 'CNY' END AS value
+          FROM customer, (SELECT unnest(['account_name','bank_branch','opening_balance','period','currency']) AS f)""")
+def key_value_lookup_same_line(d: Data):
+    rows = d.table("customer").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    spans = rows.selectExpr(
+        "c_custkey AS page_id", "j AS span_id", "CASE WHEN j IN (2, 5) THEN 200.0D ELSE 40.0D END AS x0",
+        "element_at(array(10.0D, 11.0D, 20.0D, 30.0D, 32.0D, 40.0D, 50.0D, 60.0D, 70.0D), j) AS y0",
+        "element_at(array('账号：', '账户名称：', c_name, '开户银行：', concat('上页余额：', c_custkey), concat('Branch ', c_custkey), '账单所属期间：', '账号：', '货币: CNY'), j) AS text")
+    return L.key_values_same_line(spans, CMB_HEADER_KEYS)
+
+
 _GRID = "SELECT DISTINCT page_id, r AS row, k AS col, cast(k * 50 as double) AS cx0, cast(r * 80 as double) AS cy0, cast(k * 50 + 50 as double) AS cx1, cast(r * 80 + 80 as double) AS cy1 FROM spans CROSS JOIN (SELECT {0} AS r) a CROSS JOIN (SELECT {1} AS k) b"
 _GRID_DUCK = _GRID.format("unnest(range(1,8))", "unnest(range(1,9))")
 _BOXES = "SELECT page_id, span_id, cast(x0 as double) AS x0, cast(y0 as double) AS y0, cast(x0 as double) + 30 AS x1, cast(y0 as double) + 6 AS y1 FROM spans"
@@ -288,7 +319,7 @@ def ordered_text_concat(d: Data):
 
 
 _START = "CASE WHEN row_no % 3 <> 0 THEN b ELSE b + 1 END"
-_GROWS = "(SELECT *, row_no % 20 AS page_id, 14 * row_number() OVER (PARTITION BY row_no % 20 ORDER BY row_no) AS b FROM stmt_rows)"
+_GROWS = "(SELECT *, cast(floor(row_no / 25) as bigint) AS page_id, 14 * row_number() OVER (PARTITION BY cast(floor(row_no / 25) as bigint) ORDER BY row_no) AS b FROM stmt_rows)"
 
 
 @register("title_group", "page_id:l row:l col:l receipt:l",
@@ -333,7 +364,7 @@ def party_pick(d: Data):
           f"""SELECT page_id, b AS record, txn_date, amount, CASE WHEN row_no % 2 = 0 THEN 'expense' ELSE 'income' END AS direction,
           CASE WHEN row_no % 4 = 0 THEN '转账' ELSE concat_ws(' ', summary, counterparty, CASE WHEN row_no % 5 = 0 THEN 'tail' END) END AS description,
           CASE WHEN row_no % 4 = 0 THEN '转账' ELSE CASE WHEN row_no % 5 = 0 THEN concat(counterparty, ' tail') ELSE concat(summary, ' ', counterparty) END END AS counterparty
-          FROM (SELECT *, row_no % 30 AS page_id, 9 * row_number() OVER (PARTITION BY row_no % 30 ORDER BY row_no) AS b FROM stmt_rows) WHERE row_no % 9 <> 0""", ("stmt_rows",))
+          FROM (SELECT *, cast(floor(row_no / 60) as bigint) AS page_id, 9 * row_number() OVER (PARTITION BY cast(floor(row_no / 60) as bigint) ORDER BY row_no) AS b FROM stmt_rows) WHERE row_no % 9 <> 0""", ("stmt_rows",))
 def line_record_parse(d: Data):
     return L.column_statement(d.stored("statement_lines"))
 

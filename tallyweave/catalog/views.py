@@ -21,12 +21,13 @@ def _view(name: str, reads: tuple[str, ...], text: str) -> None:
 _view("txn", (), """
 SELECT concat('B', cast(year(o_orderdate) as string)) AS batch_id, o_orderkey AS txn_seq,
        cast(o_orderdate as date) AS txn_date,
-       concat(lower(substring(o_orderpriority,3)),' ',p_name,' ',cast(o_orderkey % 50 as string)) AS description,
+       concat(lower(substring(o_orderpriority,3)),' ',p_name,' ',cast(p_partkey as string)) AS description,
        cast(o_totalprice as decimal(18,2)) AS amount, 'CNY' AS currency,
        CASE WHEN o_orderstatus='F' THEN 'income' ELSE 'expense' END AS direction,
        c_name AS counterparty, concat('R',cast(o_orderkey % 7 as string)) AS reference_number,
        concat('622208',lpad(cast(o_custkey % 23 as string),10,'0')) AS account_number
-FROM orders JOIN customer ON c_custkey=o_custkey JOIN part ON p_partkey = o_orderkey % 200
+FROM (SELECT o.*, o_orderkey % (SELECT count(*) FROM part) AS o_part FROM orders o) AS q
+JOIN customer ON c_custkey=o_custkey JOIN part ON p_partkey = o_part
 """)
 
 _view("rules", (), """
@@ -49,7 +50,7 @@ FROM (VALUES (1,'a1','suffix','4','CMB','1000203'),(2,'a2','exact','622208000000
 _view("history", ("txn",), """
 SELECT txn_seq AS hid, description, direction, concat('H',cast(txn_seq % 9 as string)) AS code,
        concat('history ',cast(txn_seq % 9 as string)) AS name, txn_date AS confirmed
-FROM txn WHERE txn_seq % 37 = 0
+FROM txn WHERE batch_id = (SELECT min(batch_id) FROM txn)
 """)
 
 _view("subjects", (), """
@@ -128,7 +129,7 @@ FROM txn GROUP BY batch_id
 
 # Text-typed statement rows: dates in several forms, amounts with marks, some of them broken.
 _view("stmt_rows", ("txn",), """
-SELECT concat('F', cast(txn_seq % 40 as string)) AS file_id, txn_seq AS row_no, description AS summary, counterparty,
+SELECT concat('F', cast(cast(floor(txn_seq / 500) as bigint) as string)) AS file_id, txn_seq AS row_no, description AS summary, counterparty,
        account_number, reference_number, amount,
        ymd AS iso, replace(ymd,'-','') AS packed,
        CASE txn_seq % 5 WHEN 0 THEN replace(ymd,'-','') WHEN 1 THEN ymd WHEN 2 THEN concat(substring(ymd,1,4),'0231')
@@ -165,9 +166,9 @@ FROM (SELECT t.*, cast(txn_date as string) AS ymd, cast(year(txn_date) as string
              cast(amount as string) AS plain FROM txn t) AS x
 """)
 
-# 400 pages of positioned values; (l_orderkey, l_linenumber) is not unique.
+# Pages of positioned values, as many as the orders ask for; (l_orderkey, l_linenumber) is not unique.
 _view("spans", (), """
-SELECT l_orderkey % 400 AS page_id, l_orderkey*10+l_linenumber AS span_id,
+SELECT cast(floor(l_orderkey / 50) as bigint) AS page_id, l_orderkey*10+l_linenumber AS span_id,
        cast(max(l_quantity)*11 as decimal(18,2)) AS x0,
        cast(max(l_extendedprice) as decimal(18,2)) % 800 AS y0,
        max(cast(l_extendedprice as decimal(18,2))) AS amt
@@ -187,8 +188,8 @@ FROM (
                WHEN 4 THEN CASE WHEN k % 2 = 0 THEN concat('-', num) ELSE num END
                WHEN 5 THEN counterparty ELSE concat('more ', cast(k % 7 as string)) END AS text
  FROM (SELECT b.*, {explode}({list}(1,2,3,4,5,6)) AS j
-       FROM (SELECT row_no AS k, row_no % 40 AS page_id, packed, flag, summary, num, counterparty,
-                    112 + 12 * row_number() OVER (PARTITION BY row_no % 40 ORDER BY row_no) AS y FROM stmt_rows) AS b) AS r
+       FROM (SELECT row_no AS k, cast(floor(row_no / 50) as bigint) AS page_id, packed, flag, summary, num, counterparty,
+                    112 + 12 * row_number() OVER (PARTITION BY cast(floor(row_no / 50) as bigint) ORDER BY row_no) AS y FROM stmt_rows) AS b) AS r
  WHERE j < 6 OR k % 3 = 0
  UNION ALL
  SELECT page_id, j, CASE j WHEN 2 THEN 70 WHEN 4 THEN 90 WHEN 6 THEN 90 ELSE 40 END,
@@ -196,7 +197,37 @@ FROM (
         CASE j WHEN 1 THEN '交易日期' WHEN 2 THEN '业务类型' WHEN 3 THEN '账号：' WHEN 4 THEN concat('6222', cast(page_id as string))
                WHEN 5 THEN '期末余额' ELSE concat(cast(n as string), '.50') END
  FROM (SELECT page_id, n, {explode}({list}(1,2,3,4,5,6)) AS j
-       FROM (SELECT row_no % 40 AS page_id, count(*) AS n FROM stmt_rows GROUP BY row_no % 40) AS a) AS p) AS u
+       FROM (SELECT cast(floor(row_no / 50) as bigint) AS page_id, count(*) AS n FROM stmt_rows GROUP BY cast(floor(row_no / 50) as bigint)) AS a) AS p) AS u
+""")
+
+# A table statement with a column for each direction; every title stands alone and two share one span.
+_view("two_way_spans", ("stmt_rows",), """
+SELECT page_id, span_id, cast(x0 as double) AS x0, cast(y0 as double) AS y0, cast(x0 + 20 as double) AS x1,
+       cast(y0 + 8 as double) AS y1, text, cast(9 as double) AS size
+FROM (
+ SELECT page_id, k*10+j AS span_id,
+        CASE j WHEN 1 THEN 22 WHEN 2 THEN 68 WHEN 3 THEN 120 WHEN 4 THEN CASE WHEN k % 2 = 0 THEN 190 ELSE 280 END WHEN 5 THEN 390 ELSE 525 END AS x0,
+        y + CASE j WHEN 3 THEN 1 ELSE 0 END AS y0,
+        CASE j WHEN 1 THEN packed WHEN 2 THEN CASE WHEN k % 5 = 0 THEN '' ELSE remark END WHEN 3 THEN CASE WHEN k % 3 = 0 THEN reference_number ELSE '' END
+               WHEN 4 THEN num WHEN 5 THEN counterparty ELSE '7.00' END AS text
+ FROM (SELECT b.*, {explode}({list}(1,2,3,4,5,6)) AS j
+       FROM (SELECT row_no AS k, cast(floor(row_no / 50) as bigint) AS page_id, packed, remark, reference_number, num, counterparty,
+                    112 + 12 * row_number() OVER (PARTITION BY cast(floor(row_no / 50) as bigint) ORDER BY row_no) AS y FROM stmt_rows) AS b) AS r
+ UNION ALL
+ SELECT page_id, j, CASE j WHEN 2 THEN 190 WHEN 3 THEN 525 ELSE 22 END, CASE j WHEN 1 THEN 96 WHEN 2 THEN 108 WHEN 3 THEN 108 ELSE 108 END,
+        CASE j WHEN 1 THEN '交易日期 交易类型' WHEN 2 THEN '本期支出' WHEN 3 THEN '余额' ELSE '交易日期' END
+ FROM (SELECT page_id, {explode}({list}(1,2,3,4)) AS j FROM (SELECT DISTINCT cast(floor(row_no / 50) as bigint) AS page_id FROM stmt_rows) AS a) AS p) AS u
+""")
+
+# Pages with what stands above and below the table: keys that share a line, a period, balances.
+_view("headed_spans", ("page_spans", "stmt_rows"), """
+SELECT * FROM page_spans
+UNION ALL
+SELECT page_id, 100 + j, CASE j WHEN 1 THEN 40.0 WHEN 2 THEN 200.0 WHEN 3 THEN 300.0 WHEN 4 THEN 40.0 WHEN 5 THEN 90.0 WHEN 6 THEN 40.0 ELSE 300.0 END,
+       CASE j WHEN 1 THEN 40.0 WHEN 2 THEN 41.0 WHEN 3 THEN 41.5 WHEN 4 THEN 55.0 WHEN 5 THEN 56.0 WHEN 6 THEN 70.0 ELSE 71.0 END, 0.0, 50.0,
+       CASE j WHEN 1 THEN '开户银行：' WHEN 2 THEN '账户名称：' WHEN 3 THEN concat('公司', cast(page_id as string)) WHEN 4 THEN '账单所属期间：'
+              WHEN 5 THEN concat('2024-01-01  2024-01-', cast(10 + page_id % 20 as string)) WHEN 6 THEN '上页余额：' ELSE concat(cast(page_id as string), ',001.25') END, 9.0
+FROM (SELECT page_id, {explode}({list}(1,2,3,4,5,6,7)) AS j FROM (SELECT DISTINCT cast(floor(row_no / 50) as bigint) AS page_id FROM stmt_rows) AS a) AS p
 """)
 
 # A sheet per file: four lines of metadata, a header at row 5, records from row 6.
@@ -229,12 +260,12 @@ SELECT page_id, cast(line_no as bigint) AS line_no, line FROM (
                WHEN 2 THEN CASE WHEN row_no % 9 = 0 THEN 'bad' WHEN row_no % 2 = 0 THEN concat(' -', num) ELSE num END
                WHEN 3 THEN '99.00' WHEN 4 THEN '转账' WHEN 5 THEN CASE WHEN row_no % 4 = 0 THEN '' ELSE summary END
                WHEN 6 THEN counterparty WHEN 7 THEN 'Balance' ELSE CASE WHEN row_no % 5 = 0 THEN 'tail' ELSE '' END END AS line
- FROM (SELECT x.*, {explode}({seq}(0, 8)) AS j FROM (SELECT *, row_no % 30 AS page_id,
-         9 * row_number() OVER (PARTITION BY row_no % 30 ORDER BY row_no) AS b FROM stmt_rows) AS x) AS r
+ FROM (SELECT x.*, {explode}({seq}(0, 8)) AS j FROM (SELECT *, cast(floor(row_no / 60) as bigint) AS page_id,
+         9 * row_number() OVER (PARTITION BY cast(floor(row_no / 60) as bigint) ORDER BY row_no) AS b FROM stmt_rows) AS x) AS r
  UNION ALL
  SELECT page_id, j, CASE j WHEN 0 THEN '2024-01-01' WHEN 1 THEN 'Date' WHEN 2 THEN 'Currency' WHEN 3 THEN 'Transaction'
         WHEN 4 THEN 'Counter Party' ELSE '温馨提示' END
- FROM (SELECT page_id, {explode}({seq}(0, 5)) AS j FROM (SELECT DISTINCT row_no % 30 AS page_id FROM stmt_rows) AS p) AS q) AS u
+ FROM (SELECT page_id, {explode}({seq}(0, 5)) AS j FROM (SELECT DISTINCT cast(floor(row_no / 60) as bigint) AS page_id FROM stmt_rows) AS p) AS q) AS u
 """)
 
 # Grid cells of receipts: headings of one or two rows, some below the bank's name, then fixed places.
@@ -250,8 +281,8 @@ SELECT page_id, cast(b + CASE j WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4
          WHEN 9 THEN '6222****1' WHEN 10 THEN concat('￥', num, '元') WHEN 11 THEN '柒分' WHEN 12 THEN summary
          WHEN 13 THEN CASE WHEN row_no % 2 = 0 THEN '业务（产品）种类' ELSE '业务（产品）种类汇款' END WHEN 14 THEN '外部'
          WHEN 15 THEN remark WHEN 16 THEN plain WHEN 17 THEN concat('备注：', flag) ELSE iso END AS text, row_no
-FROM (SELECT x.*, {explode}({seq}(1, 18)) AS j FROM (SELECT *, row_no % 20 AS page_id,
-        14 * row_number() OVER (PARTITION BY row_no % 20 ORDER BY row_no) AS b FROM stmt_rows) AS x) AS r
+FROM (SELECT x.*, {explode}({seq}(1, 18)) AS j FROM (SELECT *, cast(floor(row_no / 25) as bigint) AS page_id,
+        14 * row_number() OVER (PARTITION BY cast(floor(row_no / 25) as bigint) ORDER BY row_no) AS b FROM stmt_rows) AS x) AS r
 WHERE (j <> 1 OR row_no % 3 <> 0) AND (j <> 3 OR row_no % 2 = 0) AND (j <> 15 OR remark <> '')
 """)
 
@@ -286,6 +317,7 @@ def with_views(text: str, names: tuple[str, ...], engine: str) -> str:
             sql = _VIEWS[n][1]
             for token, word in _DIALECT[engine].items():
                 sql = sql.replace("{" + token + "}", word)
-            ctes.append(f"{n} AS ({sql.strip()})")
+            # Computed once in the engine that would otherwise inline them again and again.
+            ctes.append(f"{n} AS {'MATERIALIZED ' if engine == 'duckdb' else ''}({sql.strip()})")
         body = "WITH " + ",\n".join(ctes) + "\n" + text
     return body

@@ -23,7 +23,7 @@ def amount_strict(c: Column) -> Column:
 def without_marks(c: Column) -> Column:
     """The number as written, without commas, blanks and one leading plus."""
     t = F.translate(strip(c), ", ", "")
-    return F.when(t.startswith("+"), F.substring(t, 2, 64)).otherwise(t)
+    return F.when(t.startswith("+"), F.substring(t, F.lit(2), F.length(t))).otherwise(t)
 
 
 def without_currency(c: Column) -> Column:
@@ -52,6 +52,3 @@ def round2(c: Column) -> Column:
     """Two decimals, halves go up."""
     return F.floor(c * 100 + F.lit(0.5)) / 100
 
-
-def money(c: Column) -> Column:
-    return c.cast(MONEY)

@@ -69,16 +69,23 @@ def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
 
 def rules_if_few(rules: DataFrame, limit: int = COMPILED_RULE_LIMIT) -> list[Rule] | None:
     """The rules as a list when there are at most ``limit``; the read stops just beyond it."""
-    rows = rules.limit(limit + 1).collect()
+    rows = plain_rules(rules).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     return [
-        Rule(r.ord, r.rule_id, r.direction, r.priority, tuple(r.keywords or ()), tuple(r.exclude or ()),
-             tuple(r.require or ()), r.counterparty_pattern or "", r.code or "", r.name or "")
+        Rule(r.ord, r.rule_id, r.direction, r.priority, tuple(r.keywords), tuple(r.exclude), tuple(r.require),
+             r.counterparty_pattern, r.code, r.name)
         for r in rows
     ]
 
 
+def plain_rules(rules: DataFrame) -> DataFrame:
+    """Rules as both ways of matching read them: no null condition, text or priority."""
+    words = {c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda w: w.isNotNull()) for c in ("keywords", "exclude", "require")}
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("rule_id", "counterparty_pattern", "code", "name")}
+    return rules.withColumns({**words, **texts, "priority": F.coalesce("priority", F.lit(DEFAULT_PRIORITY)).cast("bigint")})
+
+
 def _any_in(text: Column, words: Sequence[str]) -> Column:
     cond = F.lit(False)
     for w in words:
@@ -134,13 +141,14 @@ def join_rules(df: DataFrame, rules: DataFrame, out: str = "match") -> DataFrame
     "Contains a keyword" becomes an equality: every substring of a text whose length is
     one of the keyword lengths is looked up.  Each distinct text is looked up once.
     """
+    rules = plain_rules(rules)
     sizes = [r[0] for r in rules.select(F.explode("keywords").alias("k")).select(F.length("k")).distinct().collect()]
     by_word = rules.select(F.explode(F.array_distinct("keywords")).alias("__word"), "*").withColumnRenamed(
         "direction", "__way"
     )
     key = ["direction", "description", "counterparty"]
-    keyed = df.withColumn("counterparty", F.coalesce("counterparty", F.lit("")))
-    texts = keyed.select(*key).distinct()
+    keyed = df.withColumn("__cp", F.coalesce("counterparty", F.lit("")))
+    texts = keyed.select("direction", "description", F.col("__cp").alias("counterparty")).distinct()
     text = F.col("description")
     pieces = F.array().cast("array<string>")
     for n in sorted(sizes):
@@ -154,7 +162,7 @@ def join_rules(df: DataFrame, rules: DataFrame, out: str = "match") -> DataFrame
     ok = hits.where(
         ~F.exists("exclude", lambda w: text.contains(w))
         & F.forall("require", lambda w: text.contains(w))
-        & F.col("counterparty").contains(F.coalesce("counterparty_pattern", F.lit("")))
+        & F.col("counterparty").contains(F.col("counterparty_pattern"))
     )
     won = ok.groupBy(*key).agg(
         F.min_by(
@@ -162,16 +170,11 @@ def join_rules(df: DataFrame, rules: DataFrame, out: str = "match") -> DataFrame
                 F.col("code").alias("subject_code"), F.col("name").alias("subject_name"),
                 F.lit("rule").alias("source"), F.col("rule_id"),
             ),
-            F.struct(F.coalesce("priority", F.lit(DEFAULT_PRIORITY)), "ord"),
+            F.struct("priority", "ord"),
         ).alias(out)
     )
-    back = keyed.withColumn("__cp", F.col("counterparty")).drop("counterparty")
     won = won.withColumnRenamed("counterparty", "__cp")
-    return (
-        back.join(won, ["direction", "description", "__cp"], "left")
-        .withColumnRenamed("__cp", "counterparty")
-        .select(*df.columns, out)
-    )
+    return keyed.join(won, ["direction", "description", "__cp"], "left").select(*df.columns, out)
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule] | DataFrame, out: str = "match") -> DataFrame:
@@ -188,9 +191,9 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule] | DataFrame, out: str = "ma
 
 def with_aux(df: DataFrame, subjects: DataFrame, code: str = "subject_code") -> DataFrame:
     """Auxiliary category of the subject, '' when the code is unknown."""
-    dim = subjects.select(
-        F.col("code").alias(code), F.col("aux_category").alias("__aux"), F.col("aux_category_name").alias("__auxn")
-    )
+    dim = subjects.groupBy(F.col("code").alias(code)).agg(
+        F.max(F.struct("aux_category", "aux_category_name")).alias("__dim")  # one row for a code, however often it is listed
+    ).select(code, F.col("__dim.aux_category").alias("__aux"), F.col("__dim.aux_category_name").alias("__auxn"))
     empty = F.lit("")
     kept = [c for c in df.columns if c not in ("aux_category", "aux_category_name")]
 

@@ -78,14 +78,17 @@ def _renumber_vouchers(entries: DataFrame, vouchers: DataFrame, bits: int) -> Da
     return entries.join(numbered, VOUCHER).withColumn("voucher_no", F.col("__no")).select(*entries.columns)
 
 
-def manual_patch(entries: DataFrame, patches: DataFrame) -> DataFrame:
+def manual_patch(entries: DataFrame, patches: DataFrame, ordinal: str | None = None) -> DataFrame:
     """Patch entries by (batch, voucher, seq); a null in the patch keeps the old value.
 
-    A patched entry is manual.
+    A patched entry is manual.  Several patches of an entry take effect in the order of ``ordinal``: for each field
+    the last value that isn't null counts.
     """
     at = [*VOUCHER, "entry_seq"]
-    changed = [c for c in patches.columns if c not in at]
-    new = patches.select(*at, *(F.col(c).alias(f"__{c}") for c in changed), F.lit(True).alias("__hit"))
+    changed = [c for c in patches.columns if c not in (*at, ordinal)]
+    turn = F.col(ordinal) if ordinal else F.struct(*changed)
+    new = patches.groupBy(*at).agg(
+        F.lit(True).alias("__hit"), *(F.max_by(c, F.when(F.col(c).isNotNull(), turn)).alias(f"__{c}") for c in changed))
     joined = entries.join(new, at, "left")
     hit = F.col("__hit").isNotNull()
     out = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in changed}
@@ -197,12 +200,18 @@ def replace_rows(rows: DataFrame, edited: DataFrame, keys: list[str]) -> DataFra
     return joined.select(*keys, F.coalesce("__new", "__old").alias("__v")).select(*keys, "__v.*").select(*rows.columns)
 
 
-def partial_update(rows: DataFrame, patches: DataFrame, key: str, patch: str = "patch") -> DataFrame:
+def partial_update(rows: DataFrame, patches: DataFrame, key: str, patch: str = "patch", ordinal: str | None = None) -> DataFrame:
     """Text columns change only where the patch map has them; null or '' in it clears.
 
-    patches (key, map<string,string>).  The key itself never changes.
+    patches (key, map<string,string>).  The key itself never changes.  Of several patches of a row the last by
+    ``ordinal`` counts for each column.
     """
-    joined = rows.join(patches.select(key, F.col(patch).alias("__p")), key, "left")
+    turn = F.col(ordinal) if ordinal else F.lit(0)
+    each = patches.select(key, turn.alias("__at"), F.explode(patch).alias("__c", "__v"))
+    # One entry for each column that is patched at most.
+    last = each.groupBy(key, "__c").agg(F.max_by("__v", F.struct("__at", "__v")).alias("__v")).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("__c", "__v"))).alias("__p"))
+    joined = rows.join(last, key, "left")
 
     def value(c: str) -> Column:
         has = F.col("__p").isNotNull() & F.map_contains_key("__p", F.lit(c))

@@ -122,12 +122,13 @@ def merge_continuations(rows: DataFrame, is_record: Column) -> DataFrame:
 
 def table_records(
     spans: DataFrame, titles: Sequence[str], bands: Mapping[str, tuple[float, float]], amounts: Sequence[str],
-    require_all: bool = False, gap: float = 2.5,
+    require_all: bool = False, gap: float = 2.5, labels: Sequence[str] = (),
 ) -> DataFrame:
     """Page spans to one row of texts per table record: cluster, cut out the table, assign columns, merge.
 
     A record starts at a text row with a date and one of the ``amounts`` columns.  The
     fragments of a column are joined by blanks, text row by text row and left to right.
+    ``labels`` are column titles, which are no values of a record.
     """
     # Regions, records and texts all read the clustered spans: they are written once.
     clustered = materialize(gap_clusters(spans, gap), "clusters")
@@ -136,18 +137,22 @@ def table_records(
     )
     placed = table.withColumn("column", column_band(F.col("x0"), bands)).where("column IS NOT NULL").withColumn(
         "text", strip(F.col("text")))
+    if labels:
+        placed = placed.where(~F.col("text").isin(*labels))
     has = lambda c: F.max((F.col("column") == c) & (F.col("text") != ""))
     money = has(amounts[0])
     for c in amounts[1:]:
         money = money | has(c)
     merged = merge_continuations(placed, has("date") & money)
-    order = F.struct("cluster", "y0", "x0", "span_id")
+    # The fragments of a record are gathered and ordered once, then dealt out to the columns.
+    order = F.struct("cluster", "y0", "x0", "span_id", "column", "text")
+    gathered = merged.groupBy("page_id", "record").agg(F.array_sort(F.collect_list(order)).alias("__all"))
 
     def texts(name: str) -> Column:
-        parts = F.collect_list(F.when(F.col("column") == name, F.struct(order.alias("o"), F.col("text").alias("t"))))
-        return F.array_join(F.transform(F.array_sort(parts), lambda p: p["t"]), " ").alias(name)
+        own = F.filter("__all", lambda p: p["column"] == name)
+        return F.array_join(F.transform(own, lambda p: p["text"]), " ").alias(name)
 
-    return merged.groupBy("page_id", "record").agg(*(texts(c) for c in bands))
+    return gathered.select("page_id", "record", *(texts(c) for c in bands))
 
 
 def split_receipts(spans: DataFrame) -> DataFrame:
@@ -285,6 +290,71 @@ def key_values(spans: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     return found.groupBy("page_id", "field").agg(F.max_by("value", "__i").alias("value"))
 
 
+def key_values_same_line(spans: DataFrame, keys: Mapping[str, str], slack: float = 3.0) -> DataFrame:
+    """(page_id, field, value) like ``key_values``, for headers that print several keys on one line.
+
+    An open key takes the next text as its value, unless that text is a known key at most ``slack`` below or above
+    it: such a key is read as usual, and replaces the open one if it is open itself.  The last value of a field wins.
+    The spans of one page's header are folded in reading order.
+    """
+    t = spans.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
+    pattern = r"^(.+?)[:：](.*)$"
+    hit = F.col("text").rlike(pattern)
+    read = t.select(
+        "page_id", F.col("y0").cast("double").alias("y0"), F.col("x0").cast("double").alias("x0"), "span_id", "text",
+        F.when(hit, lookup(strip(F.regexp_extract("text", pattern, 1)), dict(keys))).alias("field"),
+        F.when(hit, strip(F.regexp_extract("text", pattern, 2))).otherwise("").alias("value"),
+    )
+    page = read.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "span_id", "text", "field", "value"))).alias("__all"))
+    state = "struct<open:string,y:double,found:array<struct<field:string,value:string>>>"
+    start = F.struct(F.lit(None), F.lit(0.0), F.array()).cast(state)
+
+    def step(acc: Column, s: Column) -> Column:
+        made = lambda open_, y, found: F.struct(open_.alias("open"), y.alias("y"), found.alias("found")).cast(state)
+        plus = lambda field, value: F.concat(acc["found"], F.array(F.struct(field.alias("field"), value.alias("value"))))
+        beside = s["field"].isNotNull() & (F.abs(s["y0"] - acc["y"]) <= slack)
+        nothing = F.lit(None).cast("string")
+        return (
+            F.when(acc["open"].isNotNull() & ~beside, made(nothing, acc["y"], plus(acc["open"], s["text"])))
+            .when(s["field"].isNull(), acc)
+            .when(s["value"] != "", made(acc["open"], acc["y"], plus(s["field"], s["value"])))
+            .otherwise(made(s["field"], s["y0"], acc["found"]))
+        )
+
+    folded = page.select("page_id", F.posexplode(F.aggregate("__all", start, step)["found"]).alias("__i", "f"))
+    return folded.groupBy("page_id", F.col("f.field").alias("field")).agg(F.max_by("f.value", "__i").alias("value"))
+
+
+def page_statement(
+    spans: DataFrame, titles: Sequence[str], keys: Mapping[str, str], closing_label: str, opening_label: str | None = None, require_all: bool = False,
+    same_line: bool = False,
+) -> DataFrame:
+    """One row per page: account_no, account_name, opening_balance, closing_balance, period_start, period_end.
+
+    Fields come from the spans above the table; the opening balance from there or, with ``opening_label``, beside that
+    label in the table; the closing balance beside its label below the table.  A period is split at white space.
+    """
+    parted = materialize(partition_spans(spans, titles, require_all=require_all), "parts")
+    part = lambda name: parted.where(F.col("part") == name)
+    found = (key_values_same_line if same_line else key_values)(part("header"), keys)
+    named = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    heads = found.groupBy("page_id").agg(
+        named("account_no").alias("account_no"), named("account_name").alias("account_name"), named("opening_balance").alias("__opening"),
+        F.split(named("period"), r"\s+").alias("__period"),
+    )
+    below = nearest_values(part("footer"), closing_label).select("page_id", F.col("value").alias("__closing"))
+    out = parted.select("page_id").distinct().join(heads, "page_id", "left").join(below, "page_id", "left")
+    opening = F.col("__opening")
+    if opening_label:
+        inside = nearest_values(part("table"), opening_label).select("page_id", F.col("value").alias("__inside"))
+        out = out.join(inside, "page_id", "left")
+        opening = F.coalesce(F.col("__inside"), opening)
+    return out.select(
+        "page_id", "account_no", "account_name", amount_strict(opening).alias("opening_balance"), amount_strict(F.col("__closing")).alias("closing_balance"),
+        F.get("__period", F.lit(0)).alias("period_start"), F.get("__period", F.lit(1)).alias("period_end"),
+    )
+
+
 def assign_cells(blocks: DataFrame, cells: DataFrame, nearest: bool = True, bin_height: float = 50.0) -> DataFrame:
     """Add (row, col) of the cell with the largest overlap to each block.
 
@@ -392,11 +462,18 @@ def column_statement(lines: DataFrame) -> DataFrame:
     start = _statement_start(t)
     body = t.join(start, "page_id", "left").where(F.col("line_no") >= F.coalesce("__start", F.lit(0))).drop("__start")
     seg = ordinal_segment("line_no", 12)
-    # A date in one of a record's three fixed lines does not start another record.
+    # A date in one of a record's three fixed lines does not start another record.  Dates at most three lines apart
+    # form a run, which is walked from its first: the next start is the first date more than three lines further.
     dates = body.where(F.col("line").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("page_id", "line_no")
     dates = segmented(dates, ["page_id"], ["line_no"], seg, previous={"__before": F.col("line_no")})
-    starts = dates.where(F.col("__before").isNull() | (F.col("line_no") - F.col("__before") > 3)).select(
-        "page_id", "line_no", F.col("line_no").alias("__anchor"))
+    opens = F.col("__before").isNull() | (F.col("line_no") - F.col("__before") > 3)
+    runs = segmented(dates.withColumn("__open", F.when(opens, F.col("line_no"))), ["page_id"], ["line_no"], seg, carry={"__run": F.col("__open")})
+    walked = runs.groupBy("page_id", "__run").agg(F.array_sort(F.collect_list("line_no")).alias("__all")).select(
+        "page_id", F.explode(F.aggregate(
+            "__all", F.array().cast("array<bigint>"),
+            lambda taken, at: F.when((F.size(taken) == 0) | (at - F.try_element_at(taken, F.lit(-1)) > 3), F.concat(taken, F.array(at.cast("bigint")))).otherwise(taken),
+        )).alias("line_no"))
+    starts = walked.select("page_id", "line_no", F.col("line_no").alias("__anchor"))
     marked = body.join(starts, ["page_id", "line_no"], "left")
     owned = segmented(
         marked, ["page_id"], ["line_no"], seg,

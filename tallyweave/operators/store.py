@@ -33,10 +33,17 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[st
     return fresh.join(existing.select(*keys), keys, "left_anti").select(*incoming.columns)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Whole table after insert-or-replace by key."""
+def last_by_key(df: DataFrame, keys: Sequence[str], ordinal: str | Column) -> DataFrame:
+    """The row with the highest ordinal for each key (partially aggregated, no sort)."""
+    packed = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), ordinal).alias("__r"))
+    return packed.select("__r.*")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], ordinal: str | Column) -> DataFrame:
+    """Whole table after insert-or-replace by key; of incoming rows of one key the last by ``ordinal`` counts."""
     keys = list(keys)
-    return existing.join(incoming.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(incoming)
+    fresh = last_by_key(incoming, keys, ordinal).select(*existing.columns)
+    return existing.join(fresh.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(fresh)
 
 
 def delete_rows(existing: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,8 +66,8 @@ def delete_cascade(
 
 
 def draft_id(*parts: Column) -> Column:
-    """Eight characters derived from what identifies the draft, so a retried write repeats it."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8)
+    """Digest of what identifies the draft, so a retried write repeats it; its first eight characters are enough to show."""
+    return F.sha2(F.concat_ws("|", *parts), 256)
 
 
 def save_drafts(entries: DataFrame, period: Column, name: Column, at: Column) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +182,7 @@ def evolve_schema(old: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 def fill_blank(rows: DataFrame, source: DataFrame, key: str, column: str) -> DataFrame:
-    """Take ``column`` from ``source`` where it is '' here and not '' there."""
-    new = source.select(key, F.col(column).alias("__new"))
+    """Take ``column`` from ``source`` where it is '' here and not '' there; of several the largest."""
+    new = source.where(F.col(column) != "").groupBy(key).agg(F.max(column).alias("__new"))
     value = F.when((F.col(column) == "") & (F.coalesce("__new", F.lit("")) != ""), F.col("__new")).otherwise(F.col(column))
     return rows.join(new, key, "left").withColumn(column, value).select(*rows.columns)

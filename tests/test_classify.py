@@ -64,6 +64,28 @@ def test_large_rule_set_joins(spark):
         assert (row.match and row.match.rule_id) == (min(hits)[2] if hits else None)
 
 
+def test_both_ways_agree_on_null_bearing_rules(spark):
+    """Null conditions, priorities and patterns mean the same whether rules are compiled or joined."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abc", k=rnd.randint(1, 3)))
+    rows = [
+        (i, f"r{i}", rnd.choice(["expense", "income"]), rnd.choice([None, 1, 2, 999]), rnd.choice([None, [], [word()], [word(), None]]), rnd.choice([None, [word()]]),
+         rnd.choice([None, [word()]]), rnd.choice([None, "", "b"]), rnd.choice([None, "c"]), None)
+        for i in range(60)
+    ]
+    rules = spark.createDataFrame(rows, C.RULE_SCHEMA)
+    texts = [(i, rnd.choice(["expense", "income", None]), rnd.choice([None, "", "".join(rnd.choices("abc ", k=6))]), rnd.choice([None, "", "ab"])) for i in range(80)]
+    df = spark.createDataFrame(texts, "id int, direction string, description string, counterparty string")
+    compiled = [tuple(r) for r in C.apply_rules(df, rules).orderBy("id").collect()]
+    assert compiled == [tuple(r) for r in C.join_rules(df, rules).orderBy("id").collect()]
+    assert [r[3] for r in compiled] == [t[3] for t in texts]
+
+
+def test_repeated_subject_codes_do_not_multiply(spark):
+    subjects = spark.createDataFrame([("1", "a", "A"), ("1", "b", "B")], "code string, aux_category string, aux_category_name string")
+    assert [tuple(r) for r in C.with_aux(spark.createDataFrame([("1",), ("2",)], "subject_code string"), subjects).orderBy("subject_code").collect()] == [("1", "b", "B"), ("2", "", "")]
+
+
 def test_missing_rule_file_gives_no_rules(spark):
     assert C.load_rules(spark, "/tmp/no-such-rules.json") == []
     assert C.load_rules(spark, {"expense": {"rules": [{"match": {"keywords": ["x"]}}]}})[0].priority == 999
@@ -134,3 +156,15 @@ def test_match_column_needs_no_shuffle(spark):
     texts = spark.range(10).select(F.lit("expense").alias("direction"), F.lit("报销").alias("description"), F.lit("").alias("counterparty"))
     plan = C.apply_rules(texts, C.load_rules(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_most_grams_rare_stay_spread(spark):
+    """Grams of one frequency, the largest class of any history, never meet in one window or group."""
+    history = spark.createDataFrame([("expense", i, f"u{i:05d}v", "c", "n", date(2024, 1, 1)) for i in range(400)],
+                                    "direction string, hid bigint, description string, code string, name string, confirmed date")
+    grams = S.number_grams(S.document_frequency(history), ["direction"])
+    plan = grams._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    got = S.similar_history(history.select("direction", "description"), S.index_history(history)).collect()
+    # Some texts hold the same grams as another one, so only the score tells that each was found.
+    assert {r.ct for r in got} == {f"u{i:05d}v" for i in range(400)} and all(r.score > 1 - 1e-9 for r in got)

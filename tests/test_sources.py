@@ -6,6 +6,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
+from tallyweave.constants import CMB_HEADER_KEYS
 from tallyweave.operators import accounts as A
 from tallyweave.operators import layout as L
 from tallyweave.operators import normalize as N
@@ -129,6 +130,28 @@ def test_column_statement(spark):
         (date(2026, 1, 2), D("1000.50"), "expense", "甲公司 账号1", "甲公司 账号1"), (date(2026, 1, 3), D("7.00"), "income", "利息", "利息")]
 
 
+def test_dates_inside_a_record_are_walked_in_order(spark):
+    """The sequential reading: the next record starts at the first date more than three lines below the last start."""
+    texts = {1: ["2024-01-01", "CNY", "2024-01-02", "9.00", "x", "2024-01-03", "CNY", "5.00", "7.00", "kind", "who", ""],
+             2: ["2024-01-01", "2024-01-02", "3.00", "2024-01-04", "2024-01-05", "CNY", "8.00", "1.00", "k", ""]}
+    rows = [(p, i, line) for p, lines in texts.items() for i, line in enumerate(lines)]
+    out = L.column_statement(spark.createDataFrame(rows, "page_id bigint, line_no bigint, line string")).collect()
+    assert sorted((r.page_id, r.record, str(r.amount)) for r in out) == [(1, 5, "5.00"), (2, 0, "3.00"), (2, 4, "8.00")]
+
+
+def test_long_amount_after_a_plus(spark):
+    df = spark.createDataFrame([("+" + "0" * 63 + "12.50",), ("+1,000.5",), ("12.50",)], "t string")
+    assert [str(r[0]) for r in df.select(amount_strict(F.col("t"))).collect()] == ["12.50", "1000.50", "12.50"]
+
+
+def test_keys_on_one_line(spark):
+    rows = [(1, 1, 0.0, 10.0, "账号："), (1, 2, 90.0, 12.0, "货币："), (1, 3, 200.0, 12.0, "CNY"), (1, 4, 0.0, 20.0, "账户名称："), (1, 5, 0.0, 30.0, "账号："),
+            (1, 6, 0.0, 40.0, "上页余额："), (1, 7, 90.0, 41.0, "账号：7"), (1, 8, 0.0, 50.0, "5.00"), (2, 1, 0.0, 1.0, "plain")]
+    got = L.key_values_same_line(spark.createDataFrame(rows, "page_id bigint, span_id bigint, x0 double, y0 double, text string"), CMB_HEADER_KEYS).collect()
+    assert {(r.page_id, r.field, r.value) for r in got} == {
+        (1, "currency", "CNY"), (1, "account_name", "账号："), (1, "account_no", "7"), (1, "opening_balance", "5.00")}
+
+
 def test_zero_amounts_follow_their_source(spark):
     day = "2026-01-02"
     one = lambda names, *v: spark.createDataFrame([(1, *v)], "id int, " + ", ".join(f"{n} string" for n in names.split()))

@@ -152,3 +152,16 @@ def test_unknown_fields_are_named(spark):
         ST.require_columns(_frame(spark, BASE).withColumn("bogus", F.lit(1)), V.ENTRY_COLUMNS)
     with pytest.raises(ValueError):
         ST.check_entries(_frame(spark, []))
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (3, "z", 1), (3, "w", 0)], "k int, v string, ord int")
+    assert sorted(map(tuple, ST.upsert(old, new, ["k"], "ord").collect())) == [(1, "y"), (2, "b"), (3, "z")]
+    blank = spark.createDataFrame([(1, ""), (2, "kept")], "k int, v string")
+    assert sorted(map(tuple, ST.fill_blank(blank, new, "k", "v").collect())) == [(1, "y"), (2, "kept")]
+
+
+def test_draft_ids_do_not_collide(spark):
+    ids = spark.range(300_000).select(ST.draft_id(F.col("id").cast("string")).alias("d"))
+    assert ids.distinct().count() == 300_000
