@@ -8,6 +8,7 @@ from ..operators import accounts as A
 from ..operators import classify as C
 from ..operators import similarity as S
 from ..operators import vouchers as V
+from ..session import materialize
 from .base import Data, register
 
 _ENTRY = (
@@ -16,9 +17,14 @@ _ENTRY = (
 )
 
 
+def _classified(d: Data):
+    """Classified rows, written once: grouping reads them three times."""
+    return materialize(S.classify(d.view("txn"), d.rules()), "classified")
+
+
 @register("compose_vouchers", _ENTRY, "SELECT * FROM entries", ("entries",))
 def compose_vouchers(d: Data):
-    return V.compose_vouchers(S.classify(d.view("txn"), d.rules()), d.view("accounts"))
+    return V.compose_vouchers(_classified(d), d.view("accounts"))
 
 
 @register("rule_first_match", "txn_seq:l rule_id:s subject_code:s subject_name:s",
@@ -185,19 +191,19 @@ def _account_answer(matched):
           "SELECT batch_id, txn_seq, counter_code, voucher_size, cast(voucher_total as decimal(18,2)) AS voucher_total FROM member",
           ("member",))
 def voucher_group(d: Data):
-    return V.grouped(S.classify(d.view("txn"), d.rules()))
+    return V.grouped(_classified(d))
 
 
 @register("voucher_number", "batch_id:s txn_seq:l voucher_no:l",
           "SELECT batch_id, txn_seq, voucher_no FROM member", ("member",))
 def voucher_number(d: Data):
-    return V.grouped(S.classify(d.view("txn"), d.rules()))
+    return V.grouped(_classified(d))
 
 
 @register("entry_sequence", "batch_id:s voucher_no:l entry_seq:l direction:s",
           "SELECT batch_id, voucher_no, entry_seq, direction FROM entries", ("entries",))
 def entry_sequence(d: Data):
-    return V.compose_vouchers(S.classify(d.view("txn"), d.rules()), d.view("accounts"))
+    return V.compose_vouchers(_classified(d), d.view("accounts"))
 
 
 @register("voucher_heads", "batch_id:s voucher_no:l date:s direction:s bank_subject_code:s counterpart_subject_code:s voucher_total:f",
@@ -205,7 +211,7 @@ def entry_sequence(d: Data):
           counter_code AS counterpart_subject_code, cast(voucher_total as decimal(18,2)) AS voucher_total
           FROM member LEFT JOIN own_account o USING (account_number) WHERE pos = 1""", ("member", "own_account"))
 def voucher_heads(d: Data):
-    return V.voucher_heads(S.classify(d.view("txn"), d.rules()), d.view("accounts"))
+    return V.voucher_heads(_classified(d), d.view("accounts"))
 
 
 @register("first_of_group", "batch_id:s account_number:s direction:s first_date:s first_description:s",

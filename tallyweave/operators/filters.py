@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..constants import (
 )
 from ..functions.text import compact_ws, lookup
 from ..plans.segments import SEGMENT_BITS, ordinal_segment, segmented
+from ..session import materialize
 from .accounts import first_by_key
 
 
@@ -102,6 +103,24 @@ def first_nonempty(candidates: DataFrame, file_key: str = "file_id") -> DataFram
     return candidates.join(best, [file_key, "cand_ord"], "left_semi")
 
 
+def run_extractors(
+    rows: DataFrame, candidates: DataFrame, extractors: Mapping[str, Callable[[DataFrame], DataFrame]], file_key: str = "file_id"
+) -> DataFrame:
+    """Run each file's extractors and keep the rows of the first that produced any.
+
+    candidates (file_id, cand_ord, extractor).  Every extractor gets the rows of the files that name it and returns
+    rows with ``file_id``, all extractors the same columns.  A name without an extractor produces nothing.
+    """
+    out = None
+    for name, extract in extractors.items():
+        mine = candidates.where(F.col("extractor") == name).select(file_key, "cand_ord").distinct()
+        made = extract(rows.join(mine.select(file_key).distinct(), file_key, "left_semi")).join(mine, file_key)
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        raise ValueError("no extractors")
+    return first_nonempty(materialize(out, "extracted"), file_key)
+
+
 def ready_status(files: DataFrame) -> DataFrame:
     """Whether a file may be parsed: configured with a known bank and a type; else the reason."""
     bank, kind = F.coalesce("bank", F.lit("")), F.coalesce("doc_type", F.lit(""))
@@ -133,5 +152,5 @@ def union_successful(rows: DataFrame, files: DataFrame, file_key: str = "file_id
 
 __all__ = [
     "RECEIPT", "document_class", "extension", "extractor_candidates", "file_name", "first_nonempty", "list_files",
-    "ready_status", "route_files", "statement_subtype", "union_successful",
+    "ready_status", "route_files", "run_extractors", "statement_subtype", "union_successful",
 ]

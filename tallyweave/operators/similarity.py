@@ -15,6 +15,7 @@ such as the gram of "pay" never has to meet itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -179,41 +180,67 @@ def similar_history(queries: DataFrame, index: HistoryIndex) -> DataFrame:
     )
 
 
+#: Adds a match struct column, null where it has no answer.
+Tier = Callable[[DataFrame, str], DataFrame]
+
+
+def rule_tier(rules) -> Tier:
+    """The first matching rule."""
+    from .classify import apply_rules
+
+    return lambda rows, out: apply_rules(rows, rules, out)
+
+
+def history_tier(history: DataFrame | HistoryIndex, threshold: float = SIMILARITY_THRESHOLD) -> Tier:
+    """The nearest learned text that reaches the threshold."""
+    def tier(rows: DataFrame, out: str) -> DataFrame:
+        index = history if isinstance(history, HistoryIndex) else index_history(history, threshold)
+        found = similar_history(rows, index).select(
+            "direction", "ct",
+            F.struct(
+                F.col("code").alias("subject_code"), F.coalesce("name", F.lit("")).alias("subject_name"),
+                F.lit("history").alias("source"), F.lit("").alias("rule_id"),
+            ).alias(out),
+        )
+        return rows.withColumn("ct", matching_text(F.col("description"))).join(found, ["direction", "ct"], "left").drop("ct")
+
+    return tier
+
+
 def classify(
     txns: DataFrame,
-    rules,
+    rules=None,
     history: DataFrame | HistoryIndex | None = None,
     subjects: DataFrame | None = None,
     threshold: float = SIMILARITY_THRESHOLD,
     out: str = "match",
+    tiers: Sequence[Tier] | None = None,
 ) -> DataFrame:
-    """Rule, then history, then unmatched.  History is consulted for rows no rule took."""
-    from .classify import apply_rules, with_aux
+    """Rule, then history, then unmatched.  A tier is asked for the rows that no earlier one took.
+
+    ``tiers`` are other tiers than these, in order.  Between tiers the rows are written once to the shared folder,
+    since taken and open rows go different ways.
+    """
+    from .classify import with_aux
 
-    ruled = apply_rules(txns, rules, out)
+    if tiers is None:
+        tiers = [rule_tier(rules), *([history_tier(history, threshold)] if history is not None else [])]
     nothing = F.struct(
         F.lit("").alias("subject_code"), F.lit("").alias("subject_name"),
         F.lit("unmatched").alias("source"), F.lit("").alias("rule_id"),
     )
-    if history is None:
-        done = ruled.withColumn(out, F.coalesce(F.col(out), nothing))
-    else:
-        taken = ruled.where(F.col(out).isNotNull())
-        rest = ruled.where(F.col(out).isNull()).drop(out)
-        index = history if isinstance(history, HistoryIndex) else index_history(history, threshold)
-        found = similar_history(rest, index).select(
-            "direction", "ct",
-            F.struct(
-                F.col("code").alias("subject_code"), F.coalesce("name", F.lit("")).alias("subject_name"),
-                F.lit("history").alias("source"), F.lit("").alias("rule_id"),
-            ).alias(out),
-        )
-        looked = (
-            rest.withColumn("ct", matching_text(F.col("description")))
-            .join(found, ["direction", "ct"], "left").drop("ct")
-            .withColumn(out, F.coalesce(F.col(out), nothing))
-        )
-        done = taken.unionByName(looked)
+    open_, parts = txns, []
+    for i, tier in enumerate(tiers):
+        asked = tier(open_, out)
+        if i < len(tiers) - 1:
+            asked = materialize(asked, "tier")
+            parts.append(asked.where(F.col(out).isNotNull()))
+            open_ = asked.where(F.col(out).isNull()).drop(out)
+        else:
+            parts.append(asked.withColumn(out, F.coalesce(F.col(out), nothing)))
+    done = parts[0]
+    for part in parts[1:]:
+        done = done.unionByName(part)
     flat = done.select(*txns.columns, f"{out}.*")
     if subjects is None:
         return flat.withColumns({"aux_category": F.lit(""), "aux_category_name": F.lit("")})

@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DETAIL_COLUMNS, EXPORT_COLUMNS
 
-# Position -> column expression; positions not named stay empty.
-EXPORT_MAP: dict[int, Column] = {}
-
-
-def _export_map() -> dict[int, Column]:
-    if not EXPORT_MAP:
-        EXPORT_MAP.update({
-            1: F.coalesce(F.col("date").cast("string"), F.lit("")),
-            2: F.lit("记"),
-            3: F.col("voucher_no"),
-            4: F.lit(0),
-            5: F.col("entry_seq"),
-            6: F.col("summary"),
-            7: F.col("subject_code"),
-            8: F.col("subject_name"),
-            9: F.col("debit_amount").cast("double"),
-            10: F.col("credit_amount").cast("double"),
-            15: F.nullif(F.col("aux_category"), F.lit("")),
-            23: F.col("original_amount").cast("double"),
-            24: F.lit("RMB"),
-            25: F.lit(1.0),
-        })
-    return EXPORT_MAP
-
-
-def voucher_export(entries: DataFrame, period: Column | None = None) -> DataFrame:
-    """The 25-column layout, as composed and edited: no row is matched again."""
-    mapped = _export_map()
+
+def default_export() -> dict[int, Column]:
+    """Position -> column expression; positions not named stay empty."""
+    return {
+        1: F.coalesce(F.col("date").cast("string"), F.lit("")),
+        2: F.lit("记"),
+        3: F.col("voucher_no"),
+        4: F.lit(0),
+        5: F.col("entry_seq"),
+        6: F.col("summary"),
+        7: F.col("subject_code"),
+        8: F.col("subject_name"),
+        9: F.col("debit_amount").cast("double"),
+        10: F.col("credit_amount").cast("double"),
+        15: F.nullif(F.col("aux_category"), F.lit("")),
+        23: F.col("original_amount").cast("double"),
+        24: F.lit("RMB"),
+        25: F.lit(1.0),
+    }
+
+
+def voucher_export(entries: DataFrame, period: Column | None = None, columns: Mapping[int, Column] | None = None) -> DataFrame:
+    """The 25-column layout, as composed and edited: no row is matched again.
+
+    ``columns`` replaces what stands at the positions.
+    """
+    mapped = default_export() if columns is None else columns
     cells = [mapped.get(i, F.lit(None).cast("string")).alias(name) for i, name in enumerate(EXPORT_COLUMNS, 1)]
     sheet = F.lit("凭证列表") if period is None else F.when(
         F.coalesce(period, F.lit("")) != "", F.concat(F.lit("凭证列表#"), period)).otherwise("凭证列表")

@@ -168,3 +168,13 @@ def test_most_grams_rare_stay_spread(spark):
     got = S.similar_history(history.select("direction", "description"), S.index_history(history)).collect()
     # Some texts hold the same grams as another one, so only the score tells that each was found.
     assert {r.ct for r in got} == {f"u{i:05d}v" for i in range(400)} and all(r.score > 1 - 1e-9 for r in got)
+
+
+def test_own_tiers(spark):
+    """Tiers are functions: each is asked only for what is still open."""
+    def fixed(word, code):
+        hit = F.struct(F.lit(code).alias("subject_code"), F.lit("").alias("subject_name"), F.lit(word).alias("source"), F.lit("").alias("rule_id"))
+        return lambda rows, out: rows.withColumn(out, F.when(F.col("description").contains(word), hit))
+
+    out = S.classify(_texts(spark, [("expense", "ab", ""), ("expense", "b", ""), ("expense", "c", "")]), tiers=[fixed("a", "1"), fixed("b", "2")]).orderBy("id").collect()
+    assert [(r.subject_code, r.source) for r in out] == [("1", "a"), ("2", "b"), ("", "unmatched")]

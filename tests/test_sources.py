@@ -11,9 +11,11 @@ from tallyweave.operators import accounts as A
 from tallyweave.operators import layout as L
 from tallyweave.operators import normalize as N
 from tallyweave.operators.classify import load_rules
+from tallyweave.operators.filters import run_extractors
 from tallyweave.session import work_path
 from tallyweave.sources.csv_statement import edge_balances, number_rows, scan_csv_statement
 from tallyweave.functions.amounts import amount_strict
+from tallyweave.sources.sinks import voucher_export
 from tallyweave.streaming.ingest import failed_files, ingest, retry_failed
 
 
@@ -175,3 +177,18 @@ def test_right_neighbour_takes_nearest_value_not_labels(spark):
     # a label that is itself a candidate never picks itself
     own = L.right_neighbours(blocks.withColumn("x1", F.col("x0") + 5), F.col("span_id").isin(3, 6)).collect()
     assert sorted(tuple(r) for r in own) == [(1, 3, "77.00"), (1, 6, "12.50")]
+
+
+def test_extractors_are_functions_tried_in_order(spark):
+    rows = spark.createDataFrame([("f", "x 1"), ("f", "y 2"), ("g", "y 3"), ("h", "z")], "file_id string, line string")
+    tries = spark.createDataFrame([("f", 0, "none"), ("f", 1, "x"), ("f", 2, "y"), ("g", 0, "x"), ("g", 1, "y"), ("h", 0, "x"), ("h", 1, "absent")],
+                                  "file_id string, cand_ord int, extractor string")
+    take = lambda mark: lambda df: df.where(F.col("line").startswith(mark)).select("file_id", F.upper("line").alias("value"))
+    got = run_extractors(rows, tries, {"none": take("#"), "x": take("x"), "y": take("y")}).collect()
+    assert {(r.file_id, r.cand_ord, r.value) for r in got} == {("f", 1, "X 1"), ("g", 1, "Y 3")}
+
+
+def test_own_export_columns(spark):
+    entries = spark.createDataFrame([("B", "text", 7)], "batch_id string, summary string, voucher_no int")
+    out = voucher_export(entries, columns={2: F.upper("summary"), 25: F.col("voucher_no")}).first()
+    assert len(out) == 27 and out[3] == "TEXT" and out[26] == 7 and all(out[i] is None for i in range(4, 26))
