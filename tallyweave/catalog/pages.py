@@ -371,17 +371,19 @@ def line_record_parse(d: Data):
 
 # --- arriving files ----------------------------------------------------------------------
 
-@register("ingest_stream", "txn_seq:l txn_date:s amount:f direction:s files:l",
+@register("ingest_stream", "txn_seq:l txn_date:s amount:f direction:s files:l failed:l",
           """SELECT o_orderkey AS txn_seq, cast(o_orderdate as date) AS txn_date, cast(o_totalprice as decimal(18,2)) AS amount,
-          CASE WHEN o_orderstatus='F' THEN 'income' ELSE 'expense' END AS direction, 1 AS files FROM orders WHERE o_orderkey % 10 <> 3""")
+          CASE WHEN o_orderstatus='F' THEN 'income' ELSE 'expense' END AS direction, 1 AS files, 1 AS failed FROM orders WHERE o_orderkey % 10 <> 3""")
 def ingest_stream(d: Data):
+    """Several files, one of them unreadable, taken in several batches; a second run finds nothing new."""
     from ..operators.normalize import flagged_debit_credit
-    from ..streaming.ingest import ingest
+    from ..streaming.ingest import SOURCE, failed_files, ingest, record_unread
 
-    rows = (
-        d.spark.readStream.schema(d.table("orders").schema).option("pathGlobFilter", "orders.parquet")
-        .option("maxFilesPerTrigger", 1).parquet(d.path)
-    )
+    out = work_path(d.spark, "stream")
+    orders = d.table("orders")
+    orders.repartition(6, "o_orderkey").write.parquet(f"{out}/landing/good")
+    d.spark.range(1, numPartitions=1).selectExpr("'no statement' AS value").write.text(f"{out}/landing/bad")
+    rows = d.spark.readStream.schema(orders.schema).options(**SOURCE).option("maxFilesPerTrigger", 3).parquet(f"{out}/landing/*")
     income, amount = c("o_orderstatus") == "F", c("o_totalprice").cast("decimal(18,2)").cast("string")
     empty = F.lit("")
     stream = rows.select(
@@ -389,8 +391,11 @@ def ingest_stream(d: Data):
         F.when(c("o_orderkey") % 10 == 3, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value_date"),
         F.when(income, "贷").otherwise("借").alias("flag"), F.when(~income, amount).alias("debit"), F.when(income, amount).alias("credit"),
         c("o_orderpriority").alias("summary"), *(empty.alias(x) for x in ("remark", "counterparty", "ref_account", "own_account", "balance")))
-    out = work_path(d.spark, "stream")
-    query = ingest(stream, lambda df: flagged_debit_credit(df, ["file_id", "txn_seq"]), out, f"{out}/checkpoint", once=True)
-    query.awaitTermination()
+    for _ in range(2):
+        ingest(stream, lambda df: flagged_debit_credit(df, ["file_id", "txn_seq"]), out, f"{out}/checkpoint", once=True).awaitTermination()
+    arrived = d.spark.read.format("binaryFile").load(f"{out}/landing/*").select(F.element_at(F.split("path", "/"), -1).alias("file_id"))
+    record_unread(d.spark, arrived, out)
+    failed = failed_files(d.spark, out).agg(F.count(F.lit(1)).alias("failed"))
     files = d.spark.read.parquet(f"{out}/files").where("status = 'success'").groupBy("file_id").agg(F.count(F.lit(1)).alias("files"))
-    return d.spark.read.parquet(f"{out}/transactions").join(files, "file_id")
+    found = d.spark.read.parquet(f"{out}/transactions").join(files, "file_id")
+    return found.withColumn("failed", F.lit(failed.first()["failed"]))

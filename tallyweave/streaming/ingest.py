@@ -2,7 +2,8 @@
 
 The file source hands each path over once.  Every micro-batch is normalised by the batch
 operators and written under its own number, so a batch that runs twice replaces itself.  A
-row that cannot be read is a row with status ``error``; it never stops the other files.
+row that cannot be read is a row with status ``error``.  A file that cannot be read at all is
+skipped by the source (``SOURCE``), and listed as failed afterwards: neither stops the other files.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..session import materialize
 from ..sources.sinks import write_partitioned
 
 Normalizer = Callable[[DataFrame], DataFrame]
+#: Options of the file source with which an unreadable file doesn't end the stream.
+SOURCE = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
 
 
 def file_outcomes(parsed: DataFrame) -> DataFrame:
@@ -45,6 +48,15 @@ def ingest(stream: DataFrame, normalize: Normalizer, out: str, checkpoint: str,
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def record_unread(spark: SparkSession, arrived: DataFrame, out: str) -> None:
+    """List the files of ``arrived`` (file_id) that no attempt got a row from as failed, under batch number -1."""
+    known = spark.read.parquet(f"{out}/files").where("micro_batch <> -1").select("file_id").distinct()
+    unread = arrived.select("file_id").distinct().join(known, "file_id", "left_anti")
+    lost = unread.select(
+        "file_id", F.lit(0).cast("bigint").alias("transactions"), F.lit(0).cast("bigint").alias("errors"), F.lit("failed").alias("status"), F.lit(-1).alias("micro_batch"))
+    write_partitioned(materialize(lost, "unread"), f"{out}/files", "micro_batch")
+
+
 def failed_files(spark: SparkSession, out: str) -> DataFrame:
     """Files no attempt got a transaction from."""
     files = spark.read.parquet(f"{out}/files")
@@ -59,7 +71,7 @@ def retry_failed(spark: SparkSession, rows: DataFrame, normalize: Normalizer, ou
     recorded only for files that now succeed.
     """
     again = materialize(normalize(rows.join(failed_files(spark, out), "file_id", "left_semi")), "retry")
-    number = F.lit(-abs(attempt))
+    number = F.lit(-1 - abs(attempt))
     good = file_outcomes(again).where(F.col("status") == "success")
     write_partitioned(again.where("status = 'ok'").withColumn("micro_batch", number), f"{out}/transactions", "micro_batch")
     write_partitioned(good.withColumn("micro_batch", number), f"{out}/files", "micro_batch")
