@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Batches, byte_texts, only
+from .batches import Batches, byte_texts, only, store
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Records of one file at most; a file is read whole by one task.
 RECORDS_PER_FILE = 2000
+#: Bits that tell which digests are shared, 2 MB; any number of at least 32768 gives the same archives.
+SHARED_BITS = 1 << 24
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
@@ -130,13 +132,24 @@ def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str,
     Of rows with equal payloads of at least ``least`` bytes those with the smallest id are responses, the others
     revisits of them; rows that repeat the smallest id are all responses, and a null id is larger than any other.
     Payloads meet by SHA-1; a payload that many rows share is grouped in part before it is shuffled, and the join back
-    to the rows is one whose large keys Spark splits.
+    to the rows is one whose large keys Spark splits.  Only rows whose payload may be shared are shuffled: a bitmap of
+    fixed size, broadcast, has a bit for each shared digest.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = only(pages, id=id_col, url=url_col, html=html_col).withColumn("html", html)
-    rows = rows.withColumn("sha", F.sha1(F.col("html")))
-    first = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.lit(True).alias("known"))
-    ready = rows.join(first, "sha", "left").select("id", "url", "html", "first", (F.col("known") & ~F.col("id").eqNullSafe(F.col("first"))).alias("again"))
+    rows = rows.withColumn("sha", F.sha1(F.col("html"))).withColumn("spot", F.pmod(F.xxhash64("sha"), F.lit(SHARED_BITS)) + 1)
+    long = rows.where(F.octet_length("html") >= least).groupBy("sha", "spot").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = store(long.where("n > 1").select("sha", "spot", "first", F.lit(True).alias("known")), "warc-shared")
+    pieces = first.groupBy(F.bitmap_bucket_number("spot").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    at = F.bitmap_bit_position("spot")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("piece", F.bitmap_bucket_number("spot")).join(F.broadcast(pieces), "piece", "left")
+    marked = marked.withColumn("shared", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(spot) % 8 as int))")) != 0, F.lit(False)))
+    alone = marked.where(~F.col("shared")).select("id", "url", "html", F.lit(None).cast(rows.schema["id"].dataType).alias("first"), F.lit(False).alias("again"))
+    shared = marked.where("shared").select("id", "url", "html", "sha").join(first.drop("spot"), "sha", "left").select(
+        "id", "url", "html", "first", (F.col("known") & ~F.col("id").eqNullSafe(F.col("first"))).alias("again")
+    )
+    ready = alone.unionByName(shared)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
