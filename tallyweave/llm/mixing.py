@@ -150,7 +150,7 @@ def mix(df: DataFrame, source_col: str, size_col: str, draw_by: list[str], keep:
     """
     named = df.select(
         F.col(f"`{source_col}`").alias("source"), F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("bigint").alias("size"),
-        (F.abs(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in draw_by)) % (1 << 52)) / float(1 << 52)).alias("u"),
+        (F.pmod(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in draw_by)), F.lit(1 << 52)) / float(1 << 52)).alias("u"),
         F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
     )
     totals = named.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
