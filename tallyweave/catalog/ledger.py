@@ -276,19 +276,35 @@ def export_stats(d: Data):
     return ST.export_stats(d.entries())
 
 
-@register("sink_export_log", _LOGC + " source_files:s draft_id:s",
-          f"""SELECT x.*, files AS source_files, sha256(x.batch_id) AS draft_id FROM ({_STATS}) x JOIN (
-          SELECT batch_id, concat('["', string_agg(f, '","' ORDER BY f), '"]') AS files FROM (
-            SELECT DISTINCT batch_id, concat('m', lpad(cast(month(txn_date) as varchar),2,'0'), '.csv') AS f FROM txn) GROUP BY batch_id) y USING (batch_id)""",
+_FILESQL = "SELECT DISTINCT batch_id, concat('m', lpad(cast(month(txn_date) as varchar),2,'0'), '.csv') AS file_name FROM txn"
+
+
+def _source_files(d: Data):
+    return d.view("txn").select("batch_id", F.concat(F.lit("m"), F.date_format("txn_date", "MM"), F.lit(".csv")).alias("file_name"))
+
+
+@register("sink_export_log", _LOGC + " source_file_count:l draft_id:s",
+          f"""SELECT x.*, source_file_count, sha256(x.batch_id) AS draft_id FROM ({_STATS}) x JOIN (
+          SELECT batch_id, count(*) AS source_file_count FROM ({_FILESQL}) GROUP BY batch_id) y USING (batch_id)""",
           ("entries", "txn"))
 def sink_export_log(d: Data):
-    files = d.view("txn").select("batch_id", F.concat(F.lit("m"), F.date_format("txn_date", "MM"), F.lit(".csv")).alias("file_name")).distinct()
-    log = ST.export_log(d.entries(), files, F.lit("2024-01-01T00:00:00"), F.concat(c("batch_id"), F.lit(".xlsx")))
+    log = ST.export_log(d.entries(), _source_files(d), F.lit("2024-01-01T00:00:00"), F.concat(c("batch_id"), F.lit(".xlsx")))
     path = work_path(d.spark, "export_log")
     SK.append_rows(log, path)
     return d.spark.read.schema(log.schema).parquet(path)
 
 
+@register("export_log_files", "batch_id:s file_name:s", _FILESQL, ("txn",))
+def export_log_files(d: Data):
+    return ST.export_log_files(_source_files(d))
+
+
+@register("export_files_text", "batch_id:s source_files:s",
+          f"""SELECT batch_id, concat('["', string_agg(file_name, '","' ORDER BY file_name), '"]') AS source_files FROM ({_FILESQL}) GROUP BY batch_id""", ("txn",))
+def export_files_text(d: Data):
+    return ST.files_text(ST.export_log_files(_source_files(d)))
+
+
 @register("sink_voucher_25col", "batch_id:s sheet:s d1:s d2:s d3:l d4:l d5:l d7:s d9:f d10:f d11:s d15:s d23:f d24:s d25:f",
           """SELECT batch_id, concat('凭证列表#', substring(batch_id,2)) AS sheet, cast(date as varchar) AS d1, '记' AS d2, voucher_no AS d3, 0 AS d4, entry_seq AS d5,
           subject_code AS d7, debit_amount AS d9, credit_amount AS d10, NULL AS d11, nullif(aux_category,'') AS d15, original_amount AS d23, 'RMB' AS d24, 1.0 AS d25 FROM entries""",

@@ -159,15 +159,28 @@ def export_stats(entries: DataFrame) -> DataFrame:
 
 
 def export_log(entries: DataFrame, files: DataFrame, at: Column, path: Column) -> DataFrame:
-    """One audit row per batch; ``files`` (batch_id, file_name) become a sorted JSON list."""
-    listed = files.groupBy("batch_id").agg(F.to_json(F.array_sort(F.collect_set("file_name"))).alias("source_files"))
-    return export_stats(entries).join(listed, "batch_id", "left").select(
+    """One audit row per batch, with how many different source files (batch_id, file_name) it had.
+
+    The names themselves are rows of ``export_log_files``: a batch may have any number.
+    """
+    counted = export_log_files(files).groupBy("batch_id").agg(F.count(F.lit(1)).alias("source_file_count"))
+    return export_stats(entries).join(counted, "batch_id", "left").select(
         at.alias("exported_at"), F.col("batch_id"), path.alias("file_path"), "voucher_count", "entry_count",
-        "transaction_count", F.coalesce("source_files", F.lit("[]")).alias("source_files"), "match_stats",
+        "transaction_count", F.coalesce("source_file_count", F.lit(0)).alias("source_file_count"), "match_stats",
         draft_id(F.col("batch_id")).alias("draft_id"),
     )
 
 
+def export_log_files(files: DataFrame) -> DataFrame:
+    """(batch_id, file_name), each once: the source files of the export log."""
+    return files.select("batch_id", "file_name").distinct()
+
+
+def files_text(log_files: DataFrame) -> DataFrame:
+    """The names of one batch's files as sorted JSON, for writing a log out: as long as the list is."""
+    return log_files.groupBy("batch_id").agg(F.to_json(F.array_sort(F.collect_set("file_name"))).alias("source_files"))
+
+
 def require_columns(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Refuse unknown fields by name before any job runs, then order the known ones."""
     unknown = sorted(set(df.columns) - set(allowed))
