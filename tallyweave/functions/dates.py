@@ -60,10 +60,6 @@ def date_iso(c: Column) -> Column:
     return _find(strip(c), _whole(_ISO))
 
 
-def date_iso_failed(c: Column) -> Column:
-    return F.coalesce(looks_iso(c) & date_iso(c).isNull(), F.lit(False))
-
-
 def date_chinese(c: Column) -> Column:
     """First Y年M月D or Y-M-D in the text."""
     return F.coalesce(_find(c, _LOOSE), _find(c, _ISO))
@@ -77,11 +73,6 @@ def date_flexible(c: Column) -> Column:
     )
 
 
-def date_flexible_failed(c: Column) -> Column:
-    """Only the Y年M月D日 form reports an impossible day."""
-    return F.coalesce(looks_flexible(c) & date_flexible(c).isNull(), F.lit(False))
-
-
 def date_receipt(c: Column) -> Column:
     """Receipt order: the first form found decides, even if the day does not exist."""
     return (

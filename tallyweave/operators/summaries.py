@@ -74,11 +74,6 @@ def period_label(txns: DataFrame, supplied: Column | None = None) -> DataFrame:
     return out.withColumn("period", F.coalesce("period", F.lit("")))
 
 
-def sort_by_date(txns: DataFrame) -> DataFrame:
-    """By date, source order inside a day."""
-    return txns.orderBy("batch_id", "txn_date", "txn_seq")
-
-
 def date_position(txns: DataFrame) -> DataFrame:
     """Position of each transaction in its batch by (date, source order).
 
@@ -104,12 +99,6 @@ def page_rows(txns: DataFrame, page: int, size: int, bits: int = SEGMENT_BITS) -
     return numbered.where(F.col("display_no").between((page - 1) * size + 1, page * size))
 
 
-def top_similar(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Best-scored row per key by a partially aggregated max, not a sort."""
-    packed = scores.groupBy(*keys).agg(F.max_by(F.struct(*scores.columns), F.struct("score", -F.col("hid"))).alias("b"))
-    return packed.select("b.*")
-
-
 def first_of_group(txns: DataFrame, keys: list[str]) -> DataFrame:
     """Date and text of each group's first transaction."""
     return txns.groupBy(*keys).agg(
