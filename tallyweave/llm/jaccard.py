@@ -31,7 +31,7 @@ BLOCK, FAN, LOAD = 1024, 8, 4
 #: Checks of one leader in one task.
 CHECKS = 4096
 #: Candidates of a node with each other component in successive rounds; the last round takes all.
-ROUNDS = (1, 8, None)
+ROUNDS = (4, None)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def _frequent(n: int):
         for batch in batches:
             texts = byte_texts(batch.column("text"))
             for some in portions([len(t) for t in texts]):
-                keys, counts = np.unique(shingle_sets(texts[some], n)[0], return_counts=True)
+                keys, counts = np.unique(shingle_sets(list(set(texts[some])), n)[0], return_counts=True)  # copies count once
                 yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= 3].view(np.int64)), pa.array(counts[counts >= 3])], names=["h", "c"])
 
     return run
@@ -249,22 +249,38 @@ def _fold(raw: list[bytes], size: int) -> np.ndarray:
 
 
 def _block_pairs(pct: int, quota: int | None):
-    """Rows of one pair of blocks at a time, ordered by (h, low, high): candidate pairs (a, b, cut)."""
-    def pairs(rows: dict[str, list], same: bool) -> Iterator[tuple]:
-        size = min(len(b) for b in rows["bits"]) * 8
-        bits = _fold(rows["bits"], size)
+    """Rows of one pair of blocks at a time, ordered by (h, low, high): candidate pairs (a, b, cut).
+
+    Nodes of a block are dealt over trees by size class; classes are so wide that similar sets lie in the same class
+    or in neighbouring ones.
+    """
+    step = float(np.log(100 / pct)) * 1.0000001
+
+    def leaf_pairs(rows: dict[str, list], same: bool) -> Iterator[tuple]:
         node, n, root, side = (np.array(rows[c]) for c in ("node", "n", "root", "side"))
-        parts = []
-        for s in (0, 1) if not same else (0,):
-            at = np.flatnonzero(side == s)
-            at = at[np.lexsort((bits[at, 0], root[at], n[at]))] if len(at) else at
-            parts.append(at)
-        if not len(parts[0]) or not len(parts[-1]):
-            return
-        trees = [Tree(bits[at], n[at], root[at]) for at in parts]
+        by: dict[tuple[int, int], np.ndarray] = {}
+        size_class = np.floor(np.log(n) / step).astype(np.int64)
+        for c in np.unique(size_class):
+            for s in (0, 1):
+                at = np.flatnonzero((size_class == c) & (side == s))
+                if len(at):
+                    by[int(c), s] = at[np.lexsort((n[at], root[at]))]
+        for (c, s), left in by.items():
+            if s:
+                continue
+            for d in (0, 1) if same else (-1, 0, 1):
+                right = by.get((c + d, 0 if same else 1))
+                if right is None or (same and d == 0 and len(left) == 1):
+                    continue
+                size = 8 * min(min(len(rows["bits"][x]) for x in part) for part in (left, right))
+                trees = [Tree(_fold([rows["bits"][x] for x in part], size), n[part], root[part]) for part in (left, right)]
+                for i, j, slack in walk(trees[0], trees[1], pct, same and d == 0):
+                    yield left[i], right[j], slack
+
+    def pairs(rows: dict[str, list], same: bool) -> Iterator[tuple]:
+        node, root = np.array(rows["node"]), np.array(rows["root"])
         best: dict[tuple[int, int], list] = {}
-        for i, j, slack in walk(trees[0], trees[-1], pct, same):
-            a, b = parts[0][i], parts[-1][j]
+        for a, b, slack in leaf_pairs(rows, same):
             keep = (root[a] != root[b]) & (node[a] != node[b])
             for x, y, s in zip(a[keep], b[keep], slack[keep], strict=True):
                 if quota is None:
@@ -311,30 +327,22 @@ def _block_pairs(pct: int, quota: int | None):
 def _candidates(members: DataFrame, classes: DataFrame, roots: DataFrame, pct: int, block: int, quota: int | None) -> DataFrame:
     """Pairs (a, b, cut) of nodes of one group in different components that their bitmaps allow.
 
-    Groups that lie in one component are left out.  A group is dealt over blocks by size class and, beyond ``block``
-    members, by a hash; size classes are so wide that similar sets lie in the same or in neighbouring ones.
+    Groups that lie in one component are left out, those of two (whose pair was checked in the first round), and all
+    but one of those with the same members.  A group of more than ``block`` members is dealt over pairs of blocks.
     """
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = labelled.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1")
-    step = float(np.log(100 / pct) * 1.0000001)
+    who = F.struct(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s")).alias("who")
+    groups = labelled.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), who)
+    groups = groups.where("r0 <> r1 AND size > 2").groupBy("who", "size").agg(F.min("h").alias("h"))
     rows = labelled.join(groups.select("h", F.ceil(F.col("size") / block).cast("int").alias("salts")), "h")
-    rows = rows.withColumn("size_class", F.floor(F.log("n") / step).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    own = F.struct(F.col("size_class").alias("c"), F.col("salt").alias("s"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     salts = F.sequence(F.lit(0), F.col("salts") - 1)
-    pair = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
-    other = lambda c, s: F.struct((F.col("size_class") + c).alias("c"), s.alias("s"))
-    places = F.concat(
-        F.transform(F.filter(salts, lambda s: s >= F.col("salt")), lambda s: pair(own, other(0, s), 0)),
-        F.transform(F.filter(salts, lambda s: s < F.col("salt")), lambda s: pair(other(0, s), own, 1)),
-        F.transform(salts, lambda s: pair(own, other(1, s), 0)),
-        F.transform(salts, lambda s: pair(other(-1, s), own, 1)),
-    )
+    place = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
+    places = F.transform(salts, lambda s: F.when(s >= F.col("salt"), place(F.col("salt"), s, 0)).otherwise(place(s, F.col("salt"), 1)))
     dealt = rows.select("h", "node", "n", "root", F.explode(places).alias("p")).select("h", "node", "n", "root", "p.low", "p.high", "p.side")
     full = dealt.join(classes.select("node", "bits"), "node")
     ordered = full.select("h", "low", "high", "node", "n", "root", "side", "bits").repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
-    found = ordered.withColumns({"low": F.col("low").cast("string"), "high": F.col("high").cast("string")}).mapInArrow(
-        _block_pairs(pct, quota), "a bigint, b bigint, cut boolean"
-    )
+    found = ordered.mapInArrow(_block_pairs(pct, quota), "a bigint, b bigint, cut boolean")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
 
