@@ -175,7 +175,7 @@ def _join_parts(size: int) -> Callable[[Batches], Batches]:
 
 
 def encoded_parts(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, overlap: int = OVERLAP, pattern: str = "") -> tuple[DataFrame, DataFrame]:
-    """Texts of at most one chunk, and the stitched regions of the others: both (id, key, part, text).
+    """Texts of at most one chunk, (id, key, part, text), and the others' pieces, which ``_join_parts`` makes regions.
 
     Every region is to be encoded on its own.  ``key`` tells texts apart even where ids repeat; it is null for texts
     of one chunk.  Long texts are read once, written as chunks to the shared folder, and only small boundary lists
@@ -195,8 +195,7 @@ def encoded_parts(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK,
         .select("key", "part", "cut", "next", "region")
     )
     pieces = long.join(cuts, ["key", "part"]).select("id", "key", "part", "region", "cut", "next", "text")
-    regions = pieces.repartition("key", "region").sortWithinPartitions("key", "region", "part")
-    return short, regions.mapInArrow(_join_parts(chunk), f"{kinds}, text string")
+    return short, pieces.repartition("key", "region").sortWithinPartitions("key", "region", "part")
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -209,7 +208,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, c
     short, long = encoded_parts(df, id_col, text_col, chunk, overlap, pattern)
     kinds = f"id {kind(short, 'id')}, key string, part int, ids array<int>"
     step = encode_step(path, pattern)
-    ordered = long.mapInArrow(step, kinds).repartition("key").sortWithinPartitions("key", "part")
+    ordered = long.mapInArrow(chain(_join_parts(chunk), step), kinds).repartition("key").sortWithinPartitions("key", "part")
     return short.mapInArrow(step, kinds).unionByName(ordered)
 
 
@@ -228,5 +227,5 @@ def round_trip(df: DataFrame, id_col: str, text_col: str, path: str, pattern: st
     id_kind = kind(short, "id")
     kinds = f"id {id_kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     step, back = encode_step(path, pattern), decode_step(path, pattern)
-    ordered = long.mapInArrow(step, f"id {id_kind}, key string, part int, ids array<int>").repartition("key").sortWithinPartitions("key", "part")
+    ordered = long.mapInArrow(chain(_join_parts(chunk), step), f"id {id_kind}, key string, part int, ids array<int>").repartition("key").sortWithinPartitions("key", "part")
     return short.mapInArrow(chain(step, back, digest_step), kinds).unionByName(ordered.mapInArrow(chain(back, digest_step), kinds)).withColumnRenamed("id", id_col)

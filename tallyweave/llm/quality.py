@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import byte_texts
+from .batches import bounded, byte_texts
 from .words import SPACES, Words, grams, mix, portions, repeated, scan
 
 #: The characters that count as symbols.
@@ -109,6 +109,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, limits: Limits = Limits())
                     names=[id_col] + [c for c, _ in COLUMNS],
                 )
 
+    bounded(df.sparkSession)
     picked = df.select(df[id_col], df[text_col].alias("text"))
     kinds = ", ".join(f"{c} {'bigint' if k == pa.int64() else 'boolean' if k == pa.bool_() else 'double'}" for c, k in COLUMNS)
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, {kinds}")
@@ -122,4 +123,5 @@ def keep_rows(df: DataFrame, text_col: str, limits: Limits = Limits()) -> DataFr
             kept = [measure(texts[some], limits)["kept"] for some in portions([len(t) for t in texts])]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=bool)))
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -19,7 +19,7 @@ _SOLID[list(SPACES)] = False
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 #: Bytes hashed at a time; bounds the arrays that hold eight bytes for each byte of text.
-SPAN = 1 << 22
+SPAN = 1 << 20
 
 
 class Words(NamedTuple):
