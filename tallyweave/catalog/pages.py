@@ -375,27 +375,54 @@ def line_record_parse(d: Data):
           """SELECT o_orderkey AS txn_seq, cast(o_orderdate as date) AS txn_date, cast(o_totalprice as decimal(18,2)) AS amount,
           CASE WHEN o_orderstatus='F' THEN 'income' ELSE 'expense' END AS direction, 1 AS files, 1 AS failed FROM orders WHERE o_orderkey % 10 <> 3""")
 def ingest_stream(d: Data):
-    """Several files, one of them unreadable, taken in several batches; a second run finds nothing new."""
+    """Several files, one of them unreadable and one damaged in the middle, taken in several batches; a second run finds nothing new, a retry reads a whole copy."""
     from ..operators.normalize import flagged_debit_credit
-    from ..streaming.ingest import SOURCE, failed_files, ingest, record_unread
+    from ..streaming.ingest import SOURCE, failed_files, ingest, parquet_rows, record_unread, retry_failed
 
     out = work_path(d.spark, "stream")
     orders = d.table("orders")
-    orders.repartition(6, "o_orderkey").write.parquet(f"{out}/landing/good")
+    few = c("o_orderkey") <= 300
+    orders.where(~few).repartition(6, "o_orderkey").write.parquet(f"{out}/landing/good")
+    orders.where(few).repartition(1).write.option("parquet.block.size", 4096).parquet(f"{out}/repaired")
+    _damaged_copy(d.spark, f"{out}/repaired", f"{out}/landing/damaged")
     d.spark.range(1, numPartitions=1).selectExpr("'no statement' AS value").write.text(f"{out}/landing/bad")
-    rows = d.spark.readStream.schema(orders.schema).options(**SOURCE).option("maxFilesPerTrigger", 3).parquet(f"{out}/landing/*")
     income, amount = c("o_orderstatus") == "F", c("o_totalprice").cast("decimal(18,2)").cast("string")
     empty = F.lit("")
-    stream = rows.select(
-        c("_metadata.file_name").alias("file_id"), c("o_orderkey").alias("txn_seq"),
-        F.when(c("o_orderkey") % 10 == 3, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value_date"),
-        F.when(income, "贷").otherwise("借").alias("flag"), F.when(~income, amount).alias("debit"), F.when(income, amount).alias("credit"),
-        c("o_orderpriority").alias("summary"), *(empty.alias(x) for x in ("remark", "counterparty", "ref_account", "own_account", "balance")))
+
+    def statement(rows):
+        return rows.select(
+            c("_metadata.file_name").alias("file_id"), c("o_orderkey").alias("txn_seq"),
+            F.when(c("o_orderkey") % 10 == 3, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value_date"),
+            F.when(income, "贷").otherwise("借").alias("flag"), F.when(~income, amount).alias("debit"), F.when(income, amount).alias("credit"),
+            c("o_orderpriority").alias("summary"), *(empty.alias(x) for x in ("remark", "counterparty", "ref_account", "own_account", "balance")))
+
+    def normalize(rows):
+        return flagged_debit_credit(rows, ["file_id", "txn_seq"])
+
+    stream = statement(d.spark.readStream.schema(orders.schema).options(**SOURCE).option("maxFilesPerTrigger", 3).parquet(f"{out}/landing/*"))
     for _ in range(2):
-        ingest(stream, lambda df: flagged_debit_credit(df, ["file_id", "txn_seq"]), out, f"{out}/checkpoint", once=True).awaitTermination()
+        ingest(stream, normalize, out, f"{out}/checkpoint", once=True, held=lambda: parquet_rows(d.spark, f"{out}/landing/*")).awaitTermination()
     arrived = d.spark.read.format("binaryFile").load(f"{out}/landing/*").select(F.element_at(F.split("path", "/"), -1).alias("file_id"))
     record_unread(d.spark, arrived, out)
+    again = statement(d.spark.read.schema(orders.schema).options(**SOURCE).parquet(f"{out}/repaired"))
+    retry_failed(d.spark, again, normalize, out, 1, held=lambda: parquet_rows(d.spark, f"{out}/repaired"))
     failed = failed_files(d.spark, out).agg(F.count(F.lit(1)).alias("failed"))
     files = d.spark.read.parquet(f"{out}/files").where("status = 'success'").groupBy("file_id").agg(F.count(F.lit(1)).alias("files"))
     found = d.spark.read.parquet(f"{out}/transactions").join(files, "file_id")
     return found.withColumn("failed", F.lit(failed.first()["failed"]))
+
+
+def _damaged_copy(spark, source: str, target: str) -> None:
+    """Copy a folder's one small Parquet file under its name, with its rows overwritten from the middle to the footer."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    name = next(x.getPath().getName() for x in fs.listStatus(place(source)) if x.getPath().getName().endswith(".parquet"))
+    with_footer = fs.open(place(source, name))
+    data = bytearray(with_footer.readAllBytes())
+    with_footer.close()
+    footer = len(data) - 8 - int.from_bytes(data[-8:-4], "little")
+    data[footer // 2 : footer] = b"\xff" * (footer - footer // 2)
+    out = fs.create(place(target, name))
+    out.write(data)
+    out.close()

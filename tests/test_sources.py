@@ -6,6 +6,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
+from tallyweave.catalog.pages import _damaged_copy
 from tallyweave.constants import CMB_HEADER_KEYS
 from tallyweave.operators import accounts as A
 from tallyweave.operators import layout as L
@@ -16,7 +17,7 @@ from tallyweave.session import work_path
 from tallyweave.sources.csv_statement import edge_balances, number_rows, scan_csv_statement
 from tallyweave.functions.amounts import amount_strict
 from tallyweave.sources.sinks import voucher_export
-from tallyweave.streaming.ingest import failed_files, ingest, retry_failed
+from tallyweave.streaming.ingest import SOURCE, failed_files, ingest, parquet_rows, retry_failed
 
 
 def _csv(tmp_path, name, lines):
@@ -78,6 +79,29 @@ def test_stream_isolates_and_retries(spark, tmp_path):
     assert spark.read.parquet(f"{out}/transactions").where("file_id = 'bad.csv'").count() == 1
 
 
+def test_file_damaged_in_the_middle(spark, tmp_path):
+    """Its first rows are read, but it is no success; a retry takes it whole, and only from a whole copy."""
+    rows = spark.range(3000).selectExpr("id AS voucher", "'ok' AS status", "repeat(md5(cast(id AS string)), 4) AS text").repartition(1)
+    rows.write.option("parquet.block.size", 4096).parquet(str(tmp_path / "whole"))
+    src = tmp_path / "in"
+    _damaged_copy(spark, str(tmp_path / "whole"), str(src))
+    spark.range(5).selectExpr("id AS voucher", "'ok' AS status", "'' AS text").coalesce(1).write.mode("append").parquet(str(src))
+    name = next((tmp_path / "whole").glob("*.parquet")).name
+    out = work_path(spark, "test")
+    named = lambda reader, at: reader.schema(rows.schema).options(**SOURCE).parquet(str(at)).select("*", F.col("_metadata.file_name").alias("file_id"))
+    part = named(spark.read, src).where(F.col("file_id") == name).agg(F.count("text")).first()[0]
+    assert 0 < part < 3000
+    ingest(named(spark.readStream, src), lambda df: df, out, f"{out}/cp", once=True, held=lambda: parquet_rows(spark, str(src))).awaitTermination()
+    assert [r.file_id for r in failed_files(spark, out).collect()] == [name]
+    assert sorted(r["count"] for r in spark.read.parquet(f"{out}/files").groupBy("status").count().collect()) == [1, 1]
+    assert spark.read.parquet(f"{out}/transactions").count() == 5 and spark.read.parquet(f"{out}/partial").count() == part
+    retry_failed(spark, named(spark.read, src), lambda df: df, out, 1, held=lambda: parquet_rows(spark, str(src)))
+    assert [r.file_id for r in failed_files(spark, out).collect()] == [name]
+    retry_failed(spark, named(spark.read, tmp_path / "whole"), lambda df: df, out, 2, held=lambda: parquet_rows(spark, str(tmp_path / "whole")))
+    assert failed_files(spark, out).count() == 0
+    assert spark.read.parquet(f"{out}/transactions").count() == spark.read.parquet(f"{out}/transactions").select("voucher", "file_id").distinct().count() == 3005
+
+
 def test_config_files(spark, tmp_path):
     rules = tmp_path / "rules.json"
     rules.write_text(json.dumps({"income": {"rules": [{"id": "x", "match": {"keywords": ["款"]}, "subject_code": "1"}]}}, ensure_ascii=False))
