@@ -16,7 +16,7 @@ FEATURES = (
     "url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "hyphen_ratio", "entropy", "parameters", "suffix_count",
     "suffix_bad",
 )
-#: Labelled URLs that a classifier is fitted on at most, taken in order of a hash.
+#: Labelled URLs that the trees are fitted on at most, taken in order of a hash.
 MAX_LABELLED = 10_000
 #: Suffix statistics lean towards the overall rate as if so many more labelled URLs had it.
 PRIOR = 20.0
@@ -115,11 +115,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...
     url = F.col("url")
     known = pages.select("page_id", "url").withColumns({"host": host_of(url), "path": path_of(url)})
     featured = lexical(known)
-    sample = (
-        featured.join(labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id")
-        .orderBy(F.xxhash64("url", "page_id"), "page_id", "url").limit(limit)
-    )
-    stats = suffixes(featured.select("suffix"), sample)
+    marked = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    labelled = featured.join(marked, "page_id")
+    # Only the trees are fitted on a part; the statistics count every labelled URL.
+    sample = labelled.orderBy(F.xxhash64("url", "page_id"), "page_id", "url").limit(limit)
+    stats = suffixes(featured.select("suffix"), labelled.select("suffix", "bad"))
     rule = rule_for(F.col("host"), F.col("path"), rules)
     whole = score(featured.join(stats, "suffix"), fit(sample.join(stats, "suffix")))
     by_model = F.when(F.col("bad_score") > threshold, "block").otherwise("allow")

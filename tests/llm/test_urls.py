@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tallyweave.llm import urls
 from tallyweave.llm.urls import RULES, entropy, judge
 
 URLS = [
@@ -63,3 +64,24 @@ def test_held_out_accuracy(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
     got = judge(df, df.where("page_id < 800").select("page_id", "bad")).where("page_id >= 800").collect()
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in got) / len(got) > 0.95
+
+
+def test_suffix_statistics_of_all_labelled_urls(spark, monkeypatch):
+    """The limit bounds what the trees are fitted on, not what the statistics count."""
+    rows = [(i, f"http://h{i}.s{i % 4}.biz/{i}", int(i % 4 == 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
+    seen = {}
+    whole = urls.suffixes
+
+    def kept(*frames):
+        seen["stats"] = whole(*frames)
+        return seen["stats"]
+
+    def fitted(labelled):
+        seen["fitted"] = labelled.count()
+
+    monkeypatch.setattr(urls, "suffixes", kept)
+    monkeypatch.setattr(urls, "fit", fitted)
+    urls.judge(df, df.select("page_id", "bad"), limit=20)
+    got = {r.suffix: (r.suffix_count, round(r.suffix_bad, 9)) for r in seen["stats"].collect()}
+    assert got == {f"s{k}.biz": (50, round((50 * (k == 1) + 20 * 0.25) / 70, 9)) for k in range(4)} and seen["fitted"] == 20
