@@ -3,7 +3,8 @@
 Archives are plain WARC 1.1 files of UTF-8 records, written by Spark's text writer to any file system Spark knows.  The
 reader also takes gzip members.  A record counts only if its frame, length and digests agree.  After one that doesn't,
 the reader looks for the next version line or gzip member that opens a valid record; the bytes between are logged as a
-gap.
+gap.  What a gzip member decompresses to is read in the same way, so damage to one of its records costs that record only,
+and of a member that breaks the records before the break are kept.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ RECORDS_PER_FILE = 2000
 #: Bits that tell which digests are shared, 2 MB; any number of at least 32768 gives the same archives.
 SHARED_BITS = 1 << 24
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -85,47 +87,89 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     return head | {"payload": payload, "payload_bytes": size, "payload_digest": digest or sha1(payload)}, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    """Records of the gzip member at a place and where it ends."""
+Found = Iterator[tuple[int, int, dict | None, str | None]]
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at a place decompresses to, where it ends, and the error that ended it; then its end is unknown."""
     unzip, parts, end = zlib.decompressobj(31), [], at
     try:
         while not unzip.eof and end < len(data):
-            parts.append(unzip.decompress(data[end : end + (1 << 16)]))
-            end = min(end + (1 << 16), len(data)) - len(unzip.unused_data)
+            # Small steps: the one in which the stream breaks gives nothing.
+            step = data[end : end + (1 << 10)]
+            parts.append(unzip.decompress(step))
+            end += len(step) - len(unzip.unused_data)
     except zlib.error as error:
-        raise ValueError(f"gzip: {error}") from None
-    if not unzip.eof:
-        raise ValueError("gzip member without end")
-    plain = b"".join(parts)
-    found, place = [], 0
-    while place < len(plain):
-        one, place = parse(plain, place)
-        found.append(one)
-    return found, end
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(offset, length, record, None) for each record, (offset, length, None, reason) for each gap, in order."""
+        return b"".join(parts), end, f"gzip: {error}"
+    return b"".join(parts), end, None if unzip.eof else "gzip member without end"
+
+
+def _plain(data: bytes) -> Found:
+    """Records and gaps of uncompressed bytes."""
     at, gap, reason = 0, None, None
     while at < len(data):
         try:
-            found, end = _member(data, at) if data[at : at + 2] == b"\x1f\x8b" else (lambda r: ([r[0]], r[1]))(parse(data, at))
+            one, end = parse(data, at)
         except ValueError as error:
             if gap is None:
                 gap, reason = at, str(error)
-            following = _START.search(data, at + 1)
+            following = _VERSION.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
         if gap is not None:
             yield gap, at - gap, None, reason
             gap = None
-        for one in found:
-            yield at, end - at, one, None
+        yield at, end - at, one, None
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, reason
 
 
+def salvage(data: bytes) -> Found:
+    """(offset, length, record, None) for each record, (offset, length, None, reason) for each gap, in order.
+
+    Records of a gzip member have its place, and so have gaps inside it, with the length 0 and their place in what it
+    decompresses to in the reason.  Of a member that breaks, what came out before is salvaged: its records have the
+    place where it starts and the length 0, and its bytes are a gap.
+    """
+    at, gap, reason = 0, None, None
+    while at < len(data):
+        zipped = data[at : at + 2] == b"\x1f\x8b"
+        try:
+            if zipped:
+                plain, end, broken = _member(data, at)
+                found = list(_plain(plain))
+                if broken and not any(one for _, _, one, _ in found):
+                    raise ValueError(broken)
+                if found and not broken and not any(one for _, _, one, _ in found):
+                    raise ValueError(found[0][3])
+            else:
+                (one, end), broken = parse(data, at), None
+                found = [(at, end - at, one, None)]
+        except ValueError as error:
+            if gap is None:
+                gap, reason = at, str(error)
+            following = _START.search(data, at + 1)
+            at = following.start() if following else len(data)
+            continue
+        if gap is not None:
+            yield gap, at - gap, None, reason
+            gap = None
+        for place, size, one, why in found:
+            if one is not None:
+                yield at, 0 if broken else end - at, one, None
+            elif not broken or place + size < len(plain):  # the last gap of a broken member is the break itself
+                yield at, 0, None, f"bytes {place} to {place + size} of a gzip member: {why}"
+        if broken:
+            gap, reason = at, broken
+            following = _START.search(data, at + 1)
+            at = following.start() if following else len(data)
+        else:
+            at = end
+    if gap is not None:
+        yield gap, len(data) - gap, None, reason
+
+
 def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str, least: int = 0, per_file: int = RECORDS_PER_FILE) -> None:
     """Write an archive folder: a record for each row, payload the UTF-8 of its html (null: empty).
 
@@ -176,7 +220,7 @@ FIELDS = (
 def read(spark, path: str, payloads: bool = True) -> DataFrame:
     """FIELDS of every record and every quarantined gap below a folder.
 
-    A gap has its reason in ``gap`` and no record; offset and length are bytes of the file.  An empty folder gives an
+    A gap has its reason in ``gap`` and no record; offset and length are bytes of the file, see ``salvage``.  An empty folder gives an
     empty result.  ``payloads`` False leaves the payloads out.
     """
     def run(batches: Batches) -> Batches:

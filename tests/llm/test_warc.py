@@ -45,6 +45,24 @@ def test_damage(zipped):
     assert [(a, n) for a, n, r, _ in salvage(b"junk" + whole[: starts[2]] + b"tail") if r is None] == [(0, 4), (starts[2] + 4, 4)]
 
 
+def test_damage_in_a_member_of_several_records():
+    """One bad record costs itself; a member that breaks keeps the records before the break, and what follows it."""
+    whole = b"".join(RECORDS)
+    bad = RECORDS[3].replace(b"</p>", b"</q>", 1)
+    data = gzip.compress(whole.replace(RECORDS[3], bad)) + gzip.compress(RECORDS[0])
+    assert ids(data) == [1, 2, 3, 5, 6, 7, 8, 1]
+    assert [(a, n, "digest" in why) for a, n, r, why in salvage(data) if r is None] == [(0, 0, True)]
+    pick = random.Random(5)
+    large = [record(i, "u", pick.randbytes(5000).hex().encode(), None, False) + b"\r\n\r\n" for i in range(1, 9)]
+    member = gzip.compress(b"".join(large))
+    for broken in (member[: len(member) // 2], member[: len(member) // 2] + b"\xff" * 400 + member[len(member) // 2 + 400 :]):
+        data = broken + gzip.compress(RECORDS[0])
+        got = ids(data)
+        assert got[:3] == [1, 2, 3] and got[-1] == 1 and len(got) == len(set(got[:-1])) + 1
+        assert [(a, n) for a, n, r, _ in salvage(data) if r is None and n] == [(0, len(broken))]
+        assert sum(n for _, n, _, _ in salvage(data)) == len(data)
+
+
 def test_reasons():
     for data, said in ((b"x", "version"), (b"WARC/1.1\r\n", "end"), (b"WARC/1.1\r\nA: b\r\n\r\n", "length"), (RECORDS[0].replace(b"<p>", b"<q>"), "digest")):
         with pytest.raises(ValueError, match=said):
