@@ -24,10 +24,10 @@ class Limits:
     min_words: int = 50
     #: per cent of words inside 3-word windows that occur twice or more
     repeat_words_pct: int = 50
-    #: n-gram length -> part of the words' characters inside windows that occur twice or more
-    coverage: tuple[tuple[int, float], ...] = ((5, 0.50), (8, 0.48), (10, 0.46))
+    #: n-gram length -> part of the words' characters inside windows that occur twice or more; clearly below the base rule
+    coverage: tuple[tuple[int, float], ...] = ((5, 0.30), (8, 0.29), (10, 0.28))
     #: part of the characters in lines equal to an earlier line
-    line_coverage: float = 0.40
+    line_coverage: float = 0.20
     #: symbols for each word
     symbols: float = 0.30
 

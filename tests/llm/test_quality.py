@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyweave.llm.quality import Limits, judge, keep_rows
+from tallyweave.llm.quality import Limits, judge, keep_rows, measure
 from tallyweave.llm.words import grams, portions, repeated, scan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +58,19 @@ def test_against_brute_force(spark):
     assert sorted(r.text for r in keep_rows(df, "text").collect()) == sorted(t for _, t, _ in rows if brute(t)[6])
 
 
+def test_coverage_limits_decide():
+    """A paragraph that stands twice, 45 % of the characters in all, and 38 % in repeats of short lines: no other rule rejects them."""
+    words = [f"w{i:03}" for i in range(400)]
+    twice = " ".join(words[:45] + words[100:210] + words[:45])
+    # Repeats stand between new words, so that no window of three words occurs twice.
+    short = "\n".join(f"{words[i]}\nsame line" if i < 80 else words[i] for i in range(260))
+    clean = " ".join(words[:20] + words[100:300] + words[:20])
+    out = measure([t.encode() for t in (twice, short, clean)], Limits())
+    assert out["base_failed"].tolist() == [False] * 3 and not any(out["n_symbols"])
+    assert out["gram_coverage"].round(2).tolist() == [0.45, 0.0, 0.17] and out["line_coverage"].round(2).tolist() == [0.0, 0.38, 0.0]
+    assert out["kept"].tolist() == [False, False, True]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert judge(df, "doc_id", "text").count() == 0 and keep_rows(df, "text").count() == 0
