@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, jaccard, mixing, neighbours, quality, tokens, urls, warc
+from . import audit, bpe, chat, html, jaccard, languages, merkle, mixing, neighbours, quality, tokens, urls, warc
 from .batches import folder, store
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -80,6 +80,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(store(docs, "mix-sizes"), "source", "size", ["doc_id"], ["doc_id", "source"])
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does each document, as found now, still lead to the root of the table's Merkle manifest?"""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    now = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    made = merkle.manifest(docs, "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], now)
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which language is each document in, by machines that saw three quarters of the others?"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = languages.remainder(F.col("doc_id"), 4) == 2
+    model = languages.train(docs.where(~held_out).select("text", "lang"))
+    return languages.predict(docs, "doc_id", "text", model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What does each of five filters remove at each step of each order, and on average over all orders?"""
+    counts = audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "lang")
+    return audit.audit(counts)
+
+
 def _coverage_sql() -> str:
     """Per text and n-gram length: characters inside windows that occur twice or more."""
     one = """
@@ -164,6 +187,77 @@ OP7_SQL = """
            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
     FROM q"""
 
+#: Unsigned CRC-32 of the text s, by the table of its 256 bytes.
+_CRC_TABLE = """SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))"""
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({s}, ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _op11_sql() -> str:
+    """The trees level by level; each leaf's siblings found by place."""
+    field = lambda x: f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+    leaf = lambda n: f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field(n)} || {field('text')})"
+    tree = """
+        SELECT g, 0 AS lvl, i, h, n FROM {leaves}
+        UNION ALL
+        SELECT g, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {tree} WHERE n > 1 GROUP BY g, lvl, i // 2"""
+    step = """
+        SELECT l.{key}, list(CASE WHEN s.h IS NULL THEN '-' WHEN s.i < l.i >> v.lvl THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY v.lvl) AS steps
+        FROM {leaves} l JOIN (SELECT DISTINCT g, lvl FROM {tree} WHERE n > 1) v ON v.g = l.g
+        LEFT JOIN {tree} s ON s.g = l.g AND s.lvl = v.lvl AND s.i = xor(l.i >> v.lvl, 1) GROUP BY l.{key}"""
+    return f"""
+    WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+    d AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, {leaf('n_chars')} AS h,
+               CASE WHEN {_CRC.format(s="doc_id::varchar")} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS now FROM documents, crc),
+    leaves AS MATERIALIZED (
+        SELECT r, doc_id, g, h, now, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h, r) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+    inner_tree AS ({tree.format(leaves='leaves', tree='inner_tree')}),
+    subroots AS MATERIALIZED (
+        SELECT '' AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM inner_tree WHERE n = 1),
+    outer_tree AS ({tree.format(leaves='subroots', tree='outer_tree')}),
+    a AS ({step.format(key='r', leaves='leaves', tree='inner_tree')}),
+    b AS ({step.format(key='name', leaves='subroots', tree='outer_tree')}),
+    p AS (
+        SELECT doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM outer_tree WHERE n = 1) AS root, now, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+        FROM leaves l JOIN subroots s ON s.name = l.g LEFT JOIN a USING (r) LEFT JOIN b ON b.name = l.g),
+    f AS (
+        SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(steps, lambda x: x <> '-'), lambda x: x[2:]), '')) AS proof_sha256,
+               list_reduce(list_prepend(now, steps), lambda x, y: sha256(CASE y[1] WHEN 'L' THEN y[2:] || x WHEN 'R' THEN x || y[2:] ELSE x END)) AS folded_root FROM p)
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
+
+def _op13_sql() -> str:
+    """Every order applied step by step to the counts of documents by what they fail."""
+    fails = lambda x: f"contains(mask, {x})"
+    return rf"""
+    WITH RECURSIVE t AS MATERIALIZED (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+    known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    f AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+               || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+               || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+               || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS mask
+        FROM t LEFT JOIN known ON known.doc_id = t.doc_id),
+    m AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+    grown(o) AS (SELECT '' UNION ALL SELECT o || l FROM grown, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(l) WHERE NOT contains(o, l)),
+    orders AS MATERIALIZED (SELECT o, k, o[k] AS own, o[1:k - 1] AS before FROM grown, range(1, 6) r(k) WHERE length(o) = 5),
+    s AS MATERIALIZED (
+        SELECT part, o, k, own,
+               sum(CASE WHEN length(translate(mask, before || own, '')) = length(mask) THEN n ELSE 0 END) AS kept,
+               sum(CASE WHEN {fails('own')} AND length(translate(mask, before, '')) = length(mask) THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN {fails('own')} AND length(translate(mask, before, '')) < length(mask) THEN n ELSE 0 END) AS redundant,
+               sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN {fails('own')} AND length(translate(mask, before, '')) = length(mask) THEN good ELSE 0 END) AS good_lost,
+               sum(CASE WHEN {fails('own')} AND length(translate(mask, before, '')) = length(mask) THEN toxic ELSE 0 END) AS toxic_lost
+        FROM m, orders GROUP BY part, o, k, own)
+    SELECT part, o AS filter_order, k::integer AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails,
+           good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley
+    FROM s"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1, None),
     "op2_byte_bpe": (op2, None),
@@ -175,6 +269,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_html_text": (op8, None),
     "op9_url_filter": (op9, None),
     "op10_source_mix": (op10, None),
+    "op11_merkle_manifest": (op11, _op11_sql()),
+    "op12_language_id": (op12, None),
+    "op13_filter_audit": (op13, _op13_sql()),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
