@@ -83,7 +83,17 @@ def history_similarity(d: Data):
 @register("top1_similarity", "direction:s ct:s hid:l",
           f"WITH {_similar('txn')} SELECT direction, ct, hid FROM best", ("txn", "history"))
 def top1_similarity(d: Data):
-    return S.similar_history(d.view("txn"), S.index_history(d.view("history")))
+    return S.top1_history(d.view("txn"), S.index_history(d.view("history")))
+
+
+@register("history_incremental", "direction:s ct:s hid:l code:s score:f",
+          f"WITH {_similar('(SELECT * FROM matched WHERE m_code IS NULL)')} "
+          "SELECT direction, ct, hid, code, round(score, 6) AS score FROM best", ("matched", "history"))
+def history_incremental(d: Data):
+    """The index of one half of the history, extended with the other half."""
+    rest = C.apply_rules(d.view("txn"), d.rules()).where("match IS NULL")
+    index = S.extend_index(S.index_history(d.view("history").where("hid % 2 = 0")), d.view("history").where("hid % 2 = 1"))
+    return S.top1_history(rest, index).withColumn("score", F.round("score", 6))
 
 
 @register("classify_cascade", "txn_seq:l subject_code:s subject_name:s source:s rule_id:s",

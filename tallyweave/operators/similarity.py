@@ -1,24 +1,29 @@
 """History tier of the classification: nearest learned text by TF-IDF cosine.
 
-Exact, and without comparing every pair.  Two facts make that possible:
-
-* equal texts score equally, so each distinct cleaned text is weighed once (document
-  counts keep their multiplicity);
-* grams are put in one global order, rare first.  If cosine(q, h) >= t then the rarest gram
-  they share lies in the *prefix* of both, where a prefix ends as soon as the rest of the
-  vector has norm < t.  Only prefixes are joined, and a pair is kept only for its rarest
-  shared gram and only if the norms left from there on can still reach t.
-
-Common grams carry little weight and rank last, so they rarely enter a prefix; a join key
-such as the gram of "pay" never has to meet itself.
+Exact, and without comparing every pair.
+
+* Equal texts score equally, so each distinct cleaned text is weighed once (document counts keep their multiplicity).
+* Grams are put in one global order, rare first.  If cosine(q, h) >= t then the rarest gram they share lies in the
+  *prefix* of both, where a prefix ends as soon as the rest of the vector has norm < t.  So the index is a list of
+  learned texts for each gram of their prefixes, with the list's length and largest remaining norm, and a query visits
+  the lists of its own prefix only.
+* Lists are cut into blocks, and queries meet blocks through one shuffle; no pair is ever a row.  In a block a query's
+  pairs are bounded by arrays: by the norms left at the shared gram, then by the exact product over each text's
+  rarest grams plus the norm of the rest.  Only pairs whose bound reaches the best score so far are scored in full.
+* ``top1_history`` lets that best score rise from list to list: the rarest list first, then the few that can beat it.
+
+Common grams carry little weight and rank last, so they rarely enter a prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import os
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SIMILARITY_THRESHOLD
@@ -26,6 +31,11 @@ from ..functions.text import char_bigrams, matching_text
 from ..session import materialize
 
 _SLACK = 1e-9
+#: Learned texts of a block, queries that meet a block in one task, and entries of a text that its bound knows exactly.
+#: Any numbers give the same result.
+BLOCK, ASKED, HEAD = 4096, 16384, 16
+#: Queries whose bounds are computed together.
+CHUNK = 32
 
 
 def gram_counts(docs: DataFrame, keys: list[str], text: str = "ct", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -70,40 +80,6 @@ def document_frequency(history: DataFrame, keys: list[str] | None = None) -> Dat
     return inverse_frequency(history, counts, keys)
 
 
-def number_grams(idf: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``gid``, what orders all grams: rare first, then by text.  No numbering is needed, so no gram waits for others."""
-    return idf.withColumn("gid", F.struct("df", "gram"))
-
-
-def weighted_vectors(
-    counts: DataFrame, grams: DataFrame, keys: list[str], threshold: float, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """One row per text: ``vec`` (gid, w, left) rare-first, ``norm`` and ``prefix``.
-
-    ``left`` is the share of the norm from an entry on; the prefix ends where it falls below
-    the threshold.  Grams the history never saw drop out.
-    """
-    weighed = counts.join(grams.select(*keys, "gram", "gid", "idf"), [*keys, "gram"]).withColumn(
-        "w", F.col("cnt") / F.col("total") * F.col("idf"))
-    doc = Window.partitionBy(*keys, "ct")
-    from_here = doc.orderBy("gid").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    sq = F.col("w") * F.col("w")
-    scored = weighed.withColumns({"rest2": F.sum(sq).over(from_here), "norm2": F.sum(sq).over(doc)}).withColumn(
-        "left", F.sqrt(F.col("rest2") / F.col("norm2")))
-    # One array per text, as long as the text has distinct grams.
-    return scored.groupBy(*keys, "ct").agg(
-        F.array_sort(F.collect_list(F.struct("gid", "w", "left"))).alias("vec"), F.sqrt(F.max("norm2")).alias("norm"),
-        *(F.first(c).alias(c) for c in keep),
-    ).withColumn("prefix", F.filter("vec", lambda e: e["left"] >= threshold - _SLACK))
-
-
-def _dot(a: Column, b: Column) -> Column:
-    """Sum over the entries of ``a`` of w times the weight ``b`` maps its gram to."""
-    return F.aggregate(
-        a, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(b, e["gid"]), F.lit(0.0))
-    )
-
-
 def cosine_similarity(a: DataFrame, b: DataFrame, keys: list[str], left: list[str]) -> DataFrame:
     """Cosine of each ``left`` vector of ``a`` with the one vector of ``b`` per key.
 
@@ -123,63 +99,328 @@ def cosine_similarity(a: DataFrame, b: DataFrame, keys: list[str], left: list[st
 
 @dataclass(frozen=True)
 class HistoryIndex:
-    """Learned history prepared for lookups: numbered grams and weighted texts, both written once.
+    """Learned history prepared for lookups, written once.
 
-    Build it when the history changes and use it for any number of query sets.
+    ``bags`` holds each distinct text's gram counts, ``grams`` the frequencies, ``texts`` the weighted vectors and
+    ``lists`` the length and largest remaining norm of each gram's list.  Build it once, ``extend_index`` it with what is
+    learned later, and use it for any number of query sets; ``save_index`` keeps it for other sessions.
     """
 
+    bags: DataFrame
     grams: DataFrame
     texts: DataFrame
+    lists: DataFrame
     keys: tuple[str, ...]
     threshold: float
 
 
+def gram_numbers(text: str) -> np.ndarray:
+    """The bigrams of a cleaned text as numbers: a gram has at most two characters, so their code points name it."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return (points[:-1] << 21) | points[1:] if len(points) > 1 else points << 21
+
+
+def _bagged(texts: DataFrame) -> DataFrame:
+    """Add ``ids`` and ``tf``: the distinct grams of ``ct`` and their share of all its grams.  A null text has none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tf, ends = [], [], [0]
+            for text in batch.column("ct").to_pylist():
+                found, count = np.unique(gram_numbers(text or ""), return_counts=True)
+                ids.append(found)
+                tf.append(count / max(count.sum(), 1))
+                ends.append(ends[-1] + len(found))
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], t)) for x, t in ((ids, pa.int64()), (tf, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "ids", "tf"])
+
+    return texts.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + ", ids array<bigint>, tf array<double>")
+
+
+def _weighted(bags: DataFrame, grams: DataFrame, keys: list[str]) -> DataFrame:
+    """(number, ids, w, left) for ``bags`` (number, keys, ids, tf): unit vectors rare first, and the norm left from each entry on.
+
+    Grams the history never saw drop out, and so do texts without others.
+    """
+    entries = bags.select("number", *keys, F.explode(F.arrays_zip("ids", "tf")).alias("e")).select("number", *keys, F.col("e.ids").alias("id"), F.col("e.tf").alias("tf"))
+    weighed = entries.join(grams.select(*keys, "id", "df", "idf"), [*keys, "id"]).groupBy("number").agg(
+        F.collect_list(F.struct("df", "id", (F.col("tf") * F.col("idf")).alias("w"))).alias("vec"))  # as long as the text has distinct grams
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column("vec")
+            ends, entry = vec.offsets.to_numpy().astype(np.int64), vec.values
+            df, id_, w = (entry.field(k).to_numpy() for k in range(3))
+            lo = int(ends[0])
+            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            order = np.lexsort((id_[lo : ends[-1]], df[lo : ends[-1]], row)) + lo
+            id_, w, starts = id_[order], w[order], ends[:-1] - lo
+            square = w * w
+            norm = np.sqrt(np.add.reduceat(square, starts))
+            w = w / norm[row]
+            # Sums from each entry to its text's end, text by text, so that long batches lose no digits.
+            left = np.concatenate([np.sqrt(np.cumsum(x[::-1])[::-1]) for x in np.split(w * w, starts[1:])])
+            offsets = pa.array(ends - lo, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("number"), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (id_, w, left))], names=["number", "ids", "w", "left"])
+
+    return weighed.mapInArrow(run, "number bigint, ids array<bigint>, w array<double>, left array<double>")
+
+
+def _bags(history: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ct, mult, rec, ids, tf) of each distinct text."""
+    return _bagged(distinct_history(history, keys))
+
+
+def _counted(bags: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, id, df) and (keys, n) counted from texts and their multiplicity."""
+    df = bags.select(*keys, "mult", F.explode("ids").alias("id")).groupBy(*keys, "id").agg(F.sum("mult").alias("df"))
+    return df, bags.groupBy(*keys).agg(F.sum("mult").alias("n"))
+
+
+def _indexed(bags: DataFrame, df: DataFrame, n: DataFrame, keys: list[str], threshold: float) -> HistoryIndex:
+    # One row of n for each key value: the size check of the session decides how it travels.
+    grams = df.join(n, keys).select(*keys, "id", "df", "n", (F.log(F.col("n") / F.col("df")) + 1.0).alias("idf"))
+    grams = materialize(grams, "grams")
+    # Written once, so the numbers stay.
+    numbered = materialize(bags.select(*keys, "ct", "mult", "rec", "ids", "tf", F.monotonically_increasing_id().alias("number")), "bags")
+    vectors = _weighted(numbered, grams, keys).withColumnRenamed("number", "tid")
+    texts = materialize(numbered.select(*keys, "rec", F.col("number").alias("tid")).join(vectors, "tid"), "history")
+    lists = _postings(texts, keys, F.lit(threshold)).groupBy("slot").agg(F.count(F.lit(1)).alias("learned"), F.max("at_left").alias("reach"))
+    return HistoryIndex(numbered, grams, texts, materialize(lists, "lists"), tuple(keys), threshold)
+
+
 def index_history(
     history: DataFrame, threshold: float = SIMILARITY_THRESHOLD, keys: list[str] | None = None
 ) -> HistoryIndex:
-    """history (keys, hid, description, code, name, confirmed)."""
+    """history (keys, hid, description, code, name, confirmed).  Rows with a null key match nothing."""
     keys = keys or ["direction"]
-    counts = gram_counts(distinct_history(history, keys), keys, keep=("mult", "rec"))
-    grams = materialize(number_grams(inverse_frequency(history, counts, keys), keys), "grams")
-    vectors = weighted_vectors(counts, grams, keys, threshold, keep=("rec",))
-    by_gram = F.map_from_entries(F.transform("vec", lambda e: F.struct(e["gid"], e["w"])))
-    texts = vectors.select(*keys, "ct", "rec", "norm", by_gram.alias("weights"), "prefix")
-    return HistoryIndex(grams, materialize(texts, "history"), tuple(keys), threshold)
+    bags = materialize(_bags(history, keys), "counted")
+    return _indexed(bags, *_counted(bags, keys), keys, threshold)
 
 
-def similar_history(queries: DataFrame, index: HistoryIndex) -> DataFrame:
-    """Best history record for each distinct cleaned query text, if it reaches the threshold.
+def extend_index(index: HistoryIndex, learned: DataFrame) -> HistoryIndex:
+    """The index with ``learned`` rows added, as if the history had held them from the start.
 
-    queries (keys, description).  Returns (keys, ct, hid, code, name, score).  Ties go to the
-    most recently confirmed record, then the lowest id.
+    Only the new rows are cleaned, cut into grams and counted; frequencies are added up.  Known texts are weighed again
+    from their stored counts, since every weight hangs on the frequencies.
     """
-    keys, threshold = list(index.keys), index.threshold
-    asked = queries.select(*keys, matching_text(F.col("description")).alias("ct")).distinct()
-
-    def postings(vectors: DataFrame, tag: str, *keep: str) -> DataFrame:
-        return vectors.select(
-            *keys, *keep, F.col("norm").alias(f"{tag}_norm"), F.transform("prefix", lambda e: e["gid"]).alias(f"{tag}_prefix"),
-            F.explode("prefix").alias("__e"),
-        ).withColumns({"gid": F.col("__e.gid"), f"{tag}_left": F.col("__e.left")}).drop("__e")
-
-    q = postings(weighted_vectors(gram_counts(asked, keys), index.grams, keys, threshold), "q", "ct", "vec")
-    h = postings(index.texts, "h", "rec", "weights")
-    pairs = q.join(h, [*keys, "gid"]).where(
-        (F.col("q_left") * F.col("h_left") >= threshold - _SLACK)
-        & (F.get(F.array_intersect("q_prefix", "h_prefix"), F.lit(0)) == F.col("gid"))
-    )
-    scored = pairs.withColumn("score", _dot(F.col("vec"), F.col("weights")) / (F.col("q_norm") * F.col("h_norm"))).where(
-        F.round("score", 12) >= threshold
-    )
-    best = F.struct(F.round("score", 12), F.col("rec.confirmed"), -F.col("rec.hid"))
-    return scored.groupBy(*keys, "ct").agg(
-        F.max_by(F.struct("rec", "score"), best).alias("b")
-    ).select(
+    keys = list(index.keys)
+    fresh = materialize(_bags(learned, keys), "counted")
+    latest = F.struct(F.col("rec.confirmed"), -F.col("rec.hid"))
+    both = index.bags.drop("number").unionByName(fresh).groupBy(*keys, "ct").agg(
+        F.sum("mult").alias("mult"), F.max_by("rec", latest).alias("rec"), F.first("ids").alias("ids"), F.first("tf").alias("tf"))
+    df, n = _counted(fresh, keys)
+    df = index.grams.select(*keys, "id", "df").unionByName(df).groupBy(*keys, "id").agg(F.sum("df").alias("df"))
+    n = index.bags.groupBy(*keys).agg(F.sum("mult").alias("n")).unionByName(n).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return _indexed(both, df, n, keys, index.threshold)
+
+
+_PARTS = ("bags", "grams", "texts", "lists")
+
+
+def save_index(index: HistoryIndex, path: str) -> None:
+    """Write the index below ``path``, for ``load_index``."""
+    for part in _PARTS:
+        getattr(index, part).write.mode("overwrite").parquet(os.path.join(path, part))
+    spark = index.bags.sparkSession
+    spark.createDataFrame([(list(index.keys), index.threshold)], "keys array<string>, threshold double").coalesce(1).write.mode("overwrite").json(os.path.join(path, "about"))
+
+
+def load_index(spark: SparkSession, path: str) -> HistoryIndex:
+    about = spark.read.schema("keys array<string>, threshold double").json(os.path.join(path, "about")).first()
+    return HistoryIndex(*(spark.read.parquet(os.path.join(path, part)) for part in _PARTS), tuple(about["keys"]), about["threshold"])
+
+
+def _postings(vectors: DataFrame, keys: list[str], bound: Column) -> DataFrame:
+    """One row for each entry of a prefix: ``slot`` names the list, ``place`` the entry and ``at_left`` the norm left."""
+    size = F.size(F.filter("left", lambda x: x >= bound - _SLACK))  # ``left`` falls along the vector
+    entry = F.posexplode(F.slice("ids", 1, size)).alias("place", "__id")
+    named = [F.col(k).cast("string") for k in keys]
+    known = vectors.dropna(subset=keys)
+    return known.select("*", entry).withColumn("slot", F.concat_ws("\u0001", *named, F.col("__id").cast("string"))).withColumn(
+        "at_left", F.get("left", F.col("place"))).drop("__id")
+
+
+class _Block:
+    """Learned texts of one block of a list, in order of preference among equal scores."""
+
+    def __init__(self, tid: np.ndarray, left: np.ndarray, ids: list[np.ndarray], w: list[np.ndarray]):
+        self.tid, self.left = tid, left
+        self.size = np.array([len(x) for x in ids])
+        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        self.w = np.concatenate(w)
+        self.vocabulary, self.loc = np.unique(np.concatenate(ids), return_inverse=True)
+        spot = self.start[:, None] + np.arange(HEAD)
+        inside = np.arange(HEAD) < self.size[:, None]
+        spot = np.where(inside, spot, 0)
+        self.head = np.where(inside, self.loc[spot], len(self.vocabulary))  # the last place stands for nothing
+        self.head_w = np.where(inside, self.w[spot], 0.0)
+        self.rest = np.sqrt(np.maximum(0.0, 1.0 - (self.head_w**2).sum(axis=1)))
+
+    def _score(self, dense: np.ndarray, q: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Cosine of the pairs (q, h); ``dense`` has a row for each query."""
+        size = self.size[h]
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        at = np.repeat(self.start[h] - first, size) + np.arange(size.sum())
+        return np.add.reduceat(dense.ravel()[np.repeat(q * dense.shape[1], size) + self.loc[at]] * self.w[at], first)
+
+    def best(self, ids: list[np.ndarray], w: list[np.ndarray], place: np.ndarray, left: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int | None, float, int]]:
+        """(query, text, score, pairs scored): for each query the best text that reaches its bound and whose rarest shared gram is this list's."""
+        width = len(self.vocabulary) + 1
+        dense, earlier = np.zeros((len(ids), width)), np.zeros((len(ids), width), dtype=bool)
+        size = np.array([len(x) for x in ids])
+        q, gram, weight = np.repeat(np.arange(len(ids)), size), np.concatenate(ids), np.concatenate(w)
+        number = np.arange(len(gram)) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        at = np.minimum(np.searchsorted(self.vocabulary, gram), width - 2)
+        known = self.vocabulary[at] == gram
+        dense[q[known], at[known]] = weight[known]
+        rarer = known & (number < place[q])
+        earlier[q[rarer], at[rarer]] = True
+
+        q, h = np.nonzero(left[:, None] * self.left >= bound[:, None] - _SLACK)
+        spot = self.head[h] + (q * width)[:, None]
+        mine = ~earlier.ravel()[spot].any(axis=1)  # a pair that shares a rarer gram belongs to that gram's list
+        q, h, shared = q[mine], h[mine], dense.ravel()[spot[mine]]
+        most = np.einsum("ij,ij->i", shared, self.head_w[h]) + self.rest[h] * np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", shared, shared)))
+        keep = most >= bound[q] - _SLACK
+        q, h, most = q[keep], h[keep], most[keep]
+        if not len(q):
+            return
+        # The most promising pair of each query first; it raises the bound of the others.
+        order = np.lexsort((-most, q))
+        lead = order[np.concatenate(([True], q[order][1:] != q[order][:-1]))]
+        bound = bound.copy()
+        bound[q[lead]] = np.maximum(bound[q[lead]], np.round(self._score(dense, q[lead], h[lead]), 12))
+        keep = most >= bound[q] - _SLACK
+        q, h = q[keep], h[keep]
+        score = self._score(dense, q, h)
+        near = np.round(score, 12)
+        order = np.lexsort((h, -near, q))  # of equal scores the first in the block
+        starts = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1])))
+        for k, scored in zip(order[starts], np.diff(np.append(starts, len(order))), strict=True):
+            hit = near[k] >= bound[q[k]]
+            yield int(q[k]), int(self.tid[h[k]]) if hit else None, float(score[k]) if hit else 0.0, int(scored) + 1
+
+
+_HITS = "qid bigint, tid bigint, score double, scored bigint"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by (slot, block, part), learned texts first: the best hit of each query in each block."""
+    key, parts, block = None, [], None
+    for batch in batches:
+        col = {c: batch.column(c) for c in batch.schema.names}
+        names = list(zip(*(col[c].to_pylist() for c in ("slot", "block", "part")), strict=True))
+        asked, number = col["asked"].to_numpy(zero_copy_only=False), col["number"].to_numpy()
+        place, left, bound = (col[c].to_numpy() for c in ("place", "at_left", "bound"))
+        ends, entries = col["ids"].offsets.to_numpy(), (col["ids"].values.to_numpy(), col["w"].values.to_numpy())
+        hits = []
+        edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1] or asked[i] != asked[i - 1]), len(names)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo == hi:
+                continue
+            if names[lo] != key:
+                key, parts, block = names[lo], [], None
+            cut = [[x[ends[i] : ends[i + 1]] for i in range(lo, hi)] for x in entries]
+            if not asked[lo]:
+                parts.append((number[lo:hi].copy(), left[lo:hi].copy(), [x.copy() for x in cut[0]], [x.copy() for x in cut[1]]))
+                continue
+            if block is None and parts:
+                block = _Block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), sum((p[2] for p in parts), []), sum((p[3] for p in parts), []))
+            if block is not None:
+                for i in range(lo, hi, CHUNK):
+                    some = slice(i, min(i + CHUNK, hi))
+                    mine = slice(some.start - lo, some.stop - lo)
+                    hits += [(int(number[i + q]), *hit) for q, *hit in block.best(cut[0][mine], cut[1][mine], place[some], left[some], bound[some])]
+        columns = list(zip(*hits, strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["qid", "tid", "score", "scored"])
+
+
+def _visited(probes: DataFrame, index: HistoryIndex) -> DataFrame:
+    """Hits of ``probes`` (slot, qid, place, at_left, bound, ids, w) in their lists.
+
+    A long list is cut into blocks that its queries all visit; many queries of one list are dealt over parts, each of
+    which gets the block again.  So a gram that very many texts share neither waits in one task nor fills it.
+    """
+    keys = list(index.keys)
+    wanted = probes.groupBy("slot").agg(F.count(F.lit(1)).alias("queries"), F.max(F.col("at_left") / F.col("bound")).alias("strength")).join(index.lists, "slot")
+    # A few numbers for each gram that is asked for; stored, so that its size decides how it travels.
+    wanted = wanted.where(F.col("strength") * F.col("reach") >= 1 - _SLACK).select(
+        "slot", "reach", "strength", F.ceil(F.col("learned") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("queries") / ASKED).cast("int").alias("parts"))
+    wanted = materialize(wanted, "wanted")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    entry = ["place", "at_left", "bound", "ids", "w"]
+    asked = probes.join(wanted, "slot").where(F.col("at_left") * F.col("reach") >= F.col("bound") - _SLACK).select(
+        "slot", every("blocks").alias("block"), own("qid", "parts").alias("part"), F.lit(True).alias("asked"), F.col("qid").alias("number"), *entry,
+        F.lit(None).cast(index.texts.schema["rec"].dataType).alias("rec"))
+    learned = _postings(index.texts, keys, F.lit(index.threshold)).join(wanted, "slot").where(F.col("at_left") * F.col("strength") >= 1 - _SLACK).select(
+        "slot", own("tid", "blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("asked"), F.col("tid").alias("number"),
+        "place", "at_left", F.lit(0.0).alias("bound"), "ids", "w", F.struct("rec.confirmed", "rec.hid").alias("rec"))
+    asked = asked.withColumn("rec", F.struct("rec.confirmed", "rec.hid"))
+    rows = asked.unionByName(learned).repartition("slot", "block", "part").sortWithinPartitions(
+        "slot", "block", "part", "asked", F.col("rec.confirmed").desc_nulls_last(), "rec.hid")
+    return rows.select("slot", "block", "part", "asked", "number", *entry).mapInArrow(_meet, _HITS)
+
+
+def _asked(queries: DataFrame, index: HistoryIndex) -> DataFrame:
+    """Distinct cleaned query texts as numbered vectors, written once."""
+    keys = list(index.keys)
+    texts = queries.select(*keys, matching_text(F.col("description")).alias("ct")).distinct()
+    bags = materialize(_bagged(texts).withColumn("number", F.monotonically_increasing_id()), "asked-texts")
+    vectors = _weighted(bags, index.grams, keys).withColumnRenamed("number", "qid")
+    return materialize(bags.select(*keys, "ct", F.col("number").alias("qid")).join(vectors, "qid"), "asked")
+
+
+def _answers(asked: DataFrame, hits: DataFrame, index: HistoryIndex) -> DataFrame:
+    keys = list(index.keys)
+    found = hits.where("tid IS NOT NULL").join(index.texts.select("tid", "rec"), "tid")
+    order = F.struct(F.round("score", 12), F.col("rec.confirmed"), -F.col("rec.hid"))
+    best = found.groupBy("qid").agg(F.max_by(F.struct("rec", "score"), order).alias("b"))
+    return asked.select("qid", *keys, "ct").join(best, "qid").select(
         *keys, "ct", F.col("b.rec.hid").alias("hid"), F.col("b.rec.code").alias("code"),
         F.col("b.rec.name").alias("name"), F.col("b.score").alias("score"),
     )
 
 
+def _single_pass(asked: DataFrame, index: HistoryIndex) -> DataFrame:
+    bound = F.lit(index.threshold)
+    return _visited(_postings(asked, list(index.keys), bound).withColumn("bound", bound), index)
+
+
+def _rising(asked: DataFrame, index: HistoryIndex) -> DataFrame:
+    """The rarest list of each query first; then those others that can hold a better text than was found there."""
+    keys, low = list(index.keys), F.lit(index.threshold)
+    first = _postings(asked, keys, low).where("place = 0").withColumn("bound", low)
+    seeds = materialize(_visited(first, index), "seeds")
+    raised = asked.join(seeds.where("tid IS NOT NULL").groupBy("qid").agg(F.round(F.max("score"), 12).alias("bound")), "qid", "left")
+    raised = raised.withColumn("bound", F.greatest(F.coalesce("bound", low), low))
+    rest = _postings(raised, keys, F.col("bound")).where("place > 0")
+    return seeds.unionByName(_visited(rest, index))
+
+
+def similar_history(queries: DataFrame, index: HistoryIndex) -> DataFrame:
+    """Best history record for each distinct cleaned query text, if it reaches the threshold.
+
+    queries (keys, description).  Returns (keys, ct, hid, code, name, score).  Ties go to the
+    most recently confirmed record, then the lowest id.  One pass over all lists of a query's prefix.
+    """
+    asked = _asked(queries, index)
+    return _answers(asked, _single_pass(asked, index), index)
+
+
+def top1_history(queries: DataFrame, index: HistoryIndex) -> DataFrame:
+    """As ``similar_history``, in two passes: fewer lists and fewer pairs, one more shuffle of the queries."""
+    asked = _asked(queries, index)
+    return _answers(asked, _rising(asked, index), index)
+
+
+def scored_pairs(queries: DataFrame, index: HistoryIndex, rising: bool) -> int:
+    """How many pairs the search scores in full."""
+    asked = _asked(queries, index)
+    return (_rising if rising else _single_pass)(asked, index).agg(F.coalesce(F.sum("scored"), F.lit(0))).first()[0]
+
+
 #: Adds a match struct column, null where it has no answer.
 Tier = Callable[[DataFrame, str], DataFrame]
 
@@ -195,7 +436,7 @@ def history_tier(history: DataFrame | HistoryIndex, threshold: float = SIMILARIT
     """The nearest learned text that reaches the threshold."""
     def tier(rows: DataFrame, out: str) -> DataFrame:
         index = history if isinstance(history, HistoryIndex) else index_history(history, threshold)
-        found = similar_history(rows, index).select(
+        found = top1_history(rows, index).select(
             "direction", "ct",
             F.struct(
                 F.col("code").alias("subject_code"), F.coalesce("name", F.lit("")).alias("subject_name"),
@@ -218,8 +459,8 @@ def classify(
 ) -> DataFrame:
     """Rule, then history, then unmatched.  A tier is asked for the rows that no earlier one took.
 
-    ``tiers`` are other tiers than these, in order.  Between tiers the rows are written once to the shared folder,
-    since taken and open rows go different ways.
+    ``tiers`` are other tiers than these, in order.  Taken and open rows go different ways, so a tier's expressions run
+    once for each; a tier that is costly stores what it finds, as the history tier does with the distinct open texts.
     """
     from .classify import with_aux
 
@@ -233,7 +474,6 @@ def classify(
     for i, tier in enumerate(tiers):
         asked = tier(open_, out)
         if i < len(tiers) - 1:
-            asked = materialize(asked, "tier")
             parts.append(asked.where(F.col(out).isNotNull()))
             open_ = asked.where(F.col(out).isNull()).drop(out)
         else:

@@ -140,6 +140,53 @@ def test_exact_against_brute_force(spark, alphabet, threshold):
         assert got.get((way, clean)) == _brute(text, way, rows, threshold), (way, text)
 
 
+def _random_case(seed, n, asked):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("支付费工资房租ab1", k=rnd.randint(0, 9)))
+    rows = [(i, word(), rnd.choice(["expense", "income", None]), f"c{i}", "n", date(2024, 1, rnd.randint(1, 9)) if rnd.random() < 0.9 else None) for i in range(n)]
+    return rows, [(rnd.choice(["expense", "income"]), word()) for _ in range(asked)] + [(None, "支付"), ("expense", None)]
+
+
+def test_both_searches_agree_over_small_blocks(spark, monkeypatch):
+    """Blocks and parts of a list change nothing, and neither does the order in which lists are visited."""
+    rows, asked = _random_case(3, 150, 120)
+    queries, index = spark.createDataFrame(asked, "direction string, description string"), S.index_history(_history(spark, rows), 0.6)
+    want = sorted(map(str, S.similar_history(queries, index).collect()))
+    assert want and want == sorted(map(str, S.top1_history(queries, index).collect()))
+    monkeypatch.setattr(S, "BLOCK", 3)
+    monkeypatch.setattr(S, "ASKED", 2)
+    assert want == sorted(map(str, S.similar_history(queries, index).collect()))
+    assert want == sorted(map(str, S.top1_history(queries, index).collect()))
+
+
+def test_extended_index_is_the_index_of_all(spark, tmp_path):
+    rows, asked = _random_case(4, 120, 100)
+    queries = spark.createDataFrame(asked, "direction string, description string")
+    grown = S.index_history(_history(spark, rows[:50]), 0.6)
+    for part in (rows[50:51], rows[51:]):
+        grown = S.extend_index(grown, _history(spark, part))
+    whole = S.index_history(_history(spark, rows), 0.6)
+    key = lambda i: sorted((str(r.direction), r.id, r.df, r.n, r.idf) for r in i.grams.where("direction IS NOT NULL").collect())
+    assert key(grown) == key(whole)
+    want = sorted(map(str, S.top1_history(queries, whole).collect()))
+    S.save_index(grown, str(tmp_path / "index"))
+    kept = S.load_index(spark, str(tmp_path / "index"))
+    assert kept.keys == ("direction",) and kept.threshold == 0.6
+    assert want == sorted(map(str, S.top1_history(queries, kept).collect()))
+
+
+def test_few_pairs_are_scored(spark):
+    """On templated texts pairs for each query stay few while the history grows, and the rising bound saves some."""
+    def effort(n):
+        texts = lambda lo, hi: [(i, f"payment order {i * 7919 % 99991:05d} branch {i % 7}", "expense", "c", "n", date(2024, 1, 1)) for i in range(lo, hi)]
+        index = S.index_history(_history(spark, texts(0, n)))
+        queries = _history(spark, texts(n // 2, n // 2 + 300)).select("direction", "description")
+        return S.scored_pairs(queries, index, False) / 300, S.scored_pairs(queries, index, True) / 300
+
+    small, large = effort(600), effort(6000)
+    assert large[1] <= large[0] and small[1] <= small[0] and large[1] < 40 and large[1] < 3 * small[1] + 3
+
+
 def test_history_tier(spark):
     history = _history(spark, [
         (1, "支付AWS云主机托管服务费", "expense", "S1", "云", date(2024, 1, 1)), (2, "支付AWS云主机托管服务费", "expense", "S2", "云二", date(2024, 2, 1)),
@@ -162,7 +209,7 @@ def test_most_grams_rare_stay_spread(spark):
     """Grams of one frequency, the largest class of any history, never meet in one window or group."""
     history = spark.createDataFrame([("expense", i, f"u{i:05d}v", "c", "n", date(2024, 1, 1)) for i in range(400)],
                                     "direction string, hid bigint, description string, code string, name string, confirmed date")
-    grams = S.number_grams(S.document_frequency(history), ["direction"])
+    grams, _ = S._counted(S._bags(history, ["direction"]), ["direction"])
     plan = grams._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     got = S.similar_history(history.select("direction", "description"), S.index_history(history)).collect()
