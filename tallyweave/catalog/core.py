@@ -39,6 +39,32 @@ def rule_first_match_joined(d: Data):
     return C.join_rules(d.view("txn"), d.rules()).select("txn_seq", "match.*")
 
 
+# Five rules for each part: at sf0.01 ten thousand.
+_MANY = """
+SELECT p_partkey * 5 + i AS ord, concat('m', cast(p_partkey * 5 + i AS string)) AS rule_id,
+       CASE WHEN (p_partkey + i) % 2 = 0 THEN 'income' ELSE 'expense' END AS direction, (p_partkey * 31 + i * 17) % 50 AS priority,
+       CASE WHEN i = 0 THEN concat(p_name, ' ', cast(p_partkey AS string)) WHEN i = 1 THEN concat(substring(p_name, 3), ' ', cast(p_partkey AS string))
+            WHEN i = 2 THEN cast(p_partkey * 7 + 3 AS string) WHEN i = 3 THEN concat('no ', p_name) ELSE concat(' ', cast(p_partkey AS string)) END AS word,
+       CASE WHEN i = 4 THEN 'urgent' ELSE '' END AS without, concat('5', cast(p_partkey % 100 AS string)) AS code
+FROM (SELECT p_partkey, p_name, {explode}({list}(0, 1, 2, 3, 4)) AS i FROM part) AS p
+"""
+
+
+@register("rule_first_match_many", "txn_seq:l rule_id:s subject_code:s",
+          f"""WITH many AS ({_MANY.format(list='list_value', explode='unnest')}),
+          texts AS (SELECT DISTINCT direction, description FROM txn),
+          won AS (SELECT t.direction, t.description, min_by({{'rule_id': rule_id, 'code': code}}, (priority, ord)) AS w
+            FROM texts t JOIN many m ON m.direction = t.direction AND contains(t.description, m.word)
+            WHERE m.without = '' OR NOT contains(t.description, m.without) GROUP BY ALL)
+          SELECT txn_seq, w.rule_id AS rule_id, w.code AS subject_code FROM txn LEFT JOIN won USING (direction, description)""", ("txn",))
+def rule_first_match_many(d: Data):
+    d.table("part").createOrReplaceTempView("part")
+    rules = d.spark.sql(_MANY.format(list="array", explode="explode")).select(
+        "ord", "rule_id", "direction", "priority", F.array("word").alias("keywords"), F.filter(F.array("without"), lambda w: w != "").alias("exclude"),
+        F.array().cast("array<string>").alias("require"), F.lit("").alias("counterparty_pattern"), "code", F.lit("").alias("name"))
+    return C.join_rules(d.view("txn"), rules).select("txn_seq", "match.*")
+
+
 _CLEAN = "regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')"
 _SIMILAR = f"""
 q AS (SELECT DISTINCT direction, {_CLEAN.format('description')} AS ct FROM @queries),

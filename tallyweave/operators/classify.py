@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PRIORITY
+from ..session import materialize
 
 #: Up to this many rules are compiled into one expression; more are joined.
 COMPILED_RULE_LIMIT = 400
@@ -130,37 +131,46 @@ def rule_column(
     return F.get(results, choice)
 
 
-def _cuts(text: Column, size: int) -> Column:
-    """All substrings of one length."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+def _grams(text: Column) -> Column:
+    """Two-character pieces of a text; a shorter one is its own piece."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(F.length(text) >= 2, pieces).otherwise(F.array(text))
+
+
+def _anchors(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(word, gram): for each word the one of its pieces that fewest texts hold; none where no text holds one of them."""
+    grams = words.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("word")))))
+    frequency = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    rated = grams.join(frequency, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    return rated.groupBy("word").agg(F.min(F.struct("texts", "gram")).alias("a")).where("a.texts > 0").select("word", F.col("a.gram").alias("gram"))
 
 
 def join_rules(df: DataFrame, rules: DataFrame, out: str = "match") -> DataFrame:
     """The same result for rule sets too large to compile.
 
-    "Contains a keyword" becomes an equality: every substring of a text whose length is
-    one of the keyword lengths is looked up.  Each distinct text is looked up once.
+    An index of anchors stands for "contains a keyword": each keyword is known by the rarest of its two-character pieces,
+    a text looks up its own pieces (at most two for each character, however many lengths keywords have), and only what
+    is found is compared as a whole.  Each distinct text is looked up once.
     """
     rules = plain_rules(rules)
-    sizes = [r[0] for r in rules.select(F.explode("keywords").alias("k")).select(F.length("k")).distinct().collect()]
-    by_word = rules.select(F.explode(F.array_distinct("keywords")).alias("__word"), "*").withColumnRenamed(
-        "direction", "__way"
-    )
+    by_word = rules.withColumn("word", F.explode(F.array_distinct("keywords"))).withColumnRenamed("direction", "way")
     key = ["direction", "description", "counterparty"]
     keyed = df.withColumn("__cp", F.coalesce("counterparty", F.lit("")))
     texts = keyed.select("direction", "description", F.col("__cp").alias("counterparty")).distinct()
+    # Written once: candidates are rows of numbers and meet their text by it.
+    texts = materialize(texts.withColumn("tid", F.monotonically_increasing_id()), "rule-texts")
+    words = by_word.select("word").distinct()
+    known = words.select(F.explode(_grams(F.col("word"))).alias("gram")).distinct()
+    letters = F.transform(F.sequence(F.lit(1), F.length("description")), lambda i: F.substring("description", i, F.lit(1)))
+    single = F.when(F.length("description") >= 1, letters).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(F.array(F.lit("")), single, _grams(F.col("description"))))
+    pieces = materialize(texts.select("tid", F.explode(every).alias("gram")).join(known, "gram", "left_semi"), "rule-pieces")
+    found = pieces.join(_anchors(words, pieces), "gram").select("tid", "word")
     text = F.col("description")
-    pieces = F.array().cast("array<string>")
-    for n in sorted(sizes):
-        if n == 0:
-            pieces = F.concat(pieces, F.array(F.lit("")))
-            continue
-        cut = _cuts(text, n)
-        pieces = F.concat(pieces, F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>")))
-    words = texts.withColumn("__piece", F.explode(F.array_distinct(pieces)))
-    hits = words.join(by_word, (F.col("direction") == F.col("__way")) & (F.col("__piece") == F.col("__word")))
+    hits = found.join(by_word, "word").join(texts.withColumnRenamed("tid", "__tid"), (F.col("tid") == F.col("__tid")) & (F.col("direction") == F.col("way")))
     ok = hits.where(
-        ~F.exists("exclude", lambda w: text.contains(w))
+        text.contains(F.col("word"))
+        & ~F.exists("exclude", lambda w: text.contains(w))
         & F.forall("require", lambda w: text.contains(w))
         & F.col("counterparty").contains(F.col("counterparty_pattern"))
     )

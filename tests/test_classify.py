@@ -64,6 +64,20 @@ def test_large_rule_set_joins(spark):
         assert (row.match and row.match.rule_id) == (min(hits)[2] if hits else None)
 
 
+def test_anchor_index(spark):
+    """Keywords of any length, also empty ones; the rarest piece stands for a word, and a word no text can hold has none."""
+    rnd = random.Random(8)
+    rules = [_rule(i, ["".join(rnd.choices("abcde", k=k % 7)) for k in range(i, i + 2)], priority=rnd.randint(1, 99)) for i in range(1, 60)]
+    rules += [_rule(90, ["", "zz"], priority=1000), _rule(91, ["费"], priority=0), _rule(92, ["zzzz"], priority=0)]
+    rows = [("expense", "".join(rnd.choices("abcdef ", k=rnd.randint(0, 14))), "") for _ in range(150)] + [("expense", "手续费", ""), ("expense", "", ""), ("expense", None, "")]
+    texts = _texts(spark, rows)
+    compiled = [r.match for r in C.apply_rules(texts, rules).orderBy("id").collect()]
+    assert compiled == [r.match for r in C.join_rules(texts, C.rules_frame(spark, rules)).orderBy("id").collect()]
+    words = spark.createDataFrame([("abc",), ("bcd",), ("xyz",), ("",)], "word string")
+    pieces = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "bc"), (3, "cd"), (1, "")], "tid int, gram string")
+    assert {(r.word, r.gram) for r in C._anchors(words, pieces).collect()} == {("abc", "bc"), ("bcd", "bc"), ("", "")}
+
+
 def test_both_ways_agree_on_null_bearing_rules(spark):
     """Null conditions, priorities and patterns mean the same whether rules are compiled or joined."""
     rnd = random.Random(5)
