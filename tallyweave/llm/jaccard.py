@@ -5,8 +5,9 @@ shingles; the order used puts frequent shingles last, so that passages which man
 together.  Nodes that share such a shingle meet in blocks.  A block's nodes form a tree whose inner nodes hold the OR of
 their members' token bitmaps and the range of their sizes; two trees are walked together, and a pair of branches is left
 as soon as its largest possible overlap is too small.  Pairs of leaves that remain are checked on the full sets.
-Blocks are walked after a first round has linked each node with the first of its group, and skip nodes that are already
-connected, so a large group of near copies costs about one check for each member.
+Only nodes of fitting sizes and of shingles early enough in both sets meet.  Blocks are walked after a first round has
+linked each node with the most central one of its group and size, and skip nodes that are already connected, so a large
+group of near copies costs about one check for each member.
 """
 
 from __future__ import annotations
@@ -248,13 +249,18 @@ def _fold(raw: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _class_width(pct: int) -> float:
+    """Width of a size class in logarithms: similar sets lie in one class or in neighbouring ones."""
+    return float(np.log(100 / pct)) * 1.0000001
+
+
 def _block_pairs(pct: int, quota: int | None):
-    """Rows of one pair of blocks at a time, ordered by (h, low, high): candidate pairs (a, b, cut).
+    """Rows of one pair of blocks at a time, ordered by (h, kind, cls, low, high): candidate pairs (a, b, cut).
 
     Nodes of a block are dealt over trees by size class; classes are so wide that similar sets lie in the same class
     or in neighbouring ones.
     """
-    step = float(np.log(100 / pct)) * 1.0000001
+    step = _class_width(pct)
 
     def leaf_pairs(rows: dict[str, list], same: bool) -> Iterator[tuple]:
         node, n, root, side = (np.array(rows[c]) for c in ("node", "n", "root", "side"))
@@ -300,18 +306,18 @@ def _block_pairs(pct: int, quota: int | None):
 
     def run(batches: Batches) -> Batches:
         key, rows = None, None
-        names = ("node", "n", "root", "side", "bits")
+        place, names = ("h", "kind", "cls", "low", "high"), ("node", "n", "root", "side", "bits")
 
         def give() -> Iterator[pa.RecordBatch]:
-            found = list(pairs(rows, key[1] == key[2]))
+            found = list(pairs(rows, key[1] == 0 and key[3] == key[4]))
             for lo in range(0, len(found), 1 << 15):
                 a, b, cut = zip(*found[lo : lo + (1 << 15)], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
 
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("h", "low", "high", *names)}
+            cols = {c: batch.column(c).to_pylist() for c in (*place, *names)}
             for i in range(batch.num_rows):
-                now = (cols["h"][i], cols["low"][i], cols["high"][i])
+                now = tuple(cols[c][i] for c in place)
                 if now != key:
                     if rows:
                         yield from give()
@@ -324,24 +330,53 @@ def _block_pairs(pct: int, quota: int | None):
     return run
 
 
+def _slots(members: DataFrame, pct: int) -> DataFrame:
+    """Deal ``members`` (h, node, n, most, root) over (h, kind, cls, side): where a node can meet one that is similar enough.
+
+    Similar sets lie in one size class (kind 0) or in neighbouring ones (kind 1; the smaller is side 0).  A node whose
+    entry allows no partner of the class is left out: what two sets share from their first common shingle on is too
+    little then.
+    """
+    step = _class_width(pct)
+    size_class = F.floor(F.log(F.col("n")) / step).cast("int")
+    at_least = lambda c: F.exp(c * step) - 0.5
+    slot = lambda kind, cls, side: F.struct(F.lit(kind).alias("kind"), cls.alias("cls"), F.lit(side).alias("side"))
+    places = F.array(
+        F.when(at_least(size_class) <= F.col("most"), slot(0, size_class, 0)),
+        F.when(at_least(size_class + 1) <= F.col("most"), slot(1, size_class, 0)),
+        slot(1, size_class - 1, 1),
+    )
+    return members.select("h", "node", "n", "root", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")).select("h", "node", "n", "root", "p.*")
+
+
 def _candidates(members: DataFrame, classes: DataFrame, roots: DataFrame, pct: int, block: int, quota: int | None) -> DataFrame:
     """Pairs (a, b, cut) of nodes of one group in different components that their bitmaps allow.
 
-    Groups that lie in one component are left out, those of two (whose pair was checked in the first round), and all
-    but one of those with the same members.  A group of more than ``block`` members is dealt over pairs of blocks.
+    Slots that lie in one component are left out, those without two sides to compare, those of two nodes of one class
+    (whose pair was checked in the first round), and all but one of those with the same members.  A slot of more than
+    ``block`` members is dealt over pairs of blocks.
     """
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    who = F.struct(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s")).alias("who")
-    groups = labelled.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), who)
-    groups = groups.where("r0 <> r1 AND size > 2").groupBy("who", "size").agg(F.min("h").alias("h"))
-    rows = labelled.join(groups.select("h", F.ceil(F.col("size") / block).cast("int").alias("salts")), "h")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    salts = F.sequence(F.lit(0), F.col("salts") - 1)
-    place = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
-    places = F.transform(salts, lambda s: F.when(s >= F.col("salt"), place(F.col("salt"), s, 0)).otherwise(place(s, F.col("salt"), 1)))
-    dealt = rows.select("h", "node", "n", "root", F.explode(places).alias("p")).select("h", "node", "n", "root", "p.low", "p.high", "p.side")
+    slots = _slots(labelled, pct)
+    who = F.struct(F.bit_xor(F.xxhash64("node", "side")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node", "side").cast("decimal(38,0)")).alias("s")).alias("who")
+    groups = slots.groupBy("h", "kind", "cls").agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("side").alias("right"), who)
+    groups = groups.where("r0 <> r1 AND IF(kind = 0, size > 2, right > 0 AND right < size)").groupBy("who", "size", "right", "kind", "cls").agg(F.min("h").alias("h"))
+    rows = slots.join(groups.select("h", "kind", "cls", "size", "right"), ["h", "kind", "cls"])
+    # Same class: the triangle of its blocks.  Two classes: the grid of the blocks of either side.
+    count = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    here = F.when(F.col("side") == 1, F.col("right")).otherwise(F.col("size") - F.col("right"))
+    rows = rows.withColumns({"own": count(here), "other": F.when(F.col("kind") == 0, count(F.col("size"))).otherwise(count(F.col("size") - here))})
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
+    place = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
+    salt, zero, one = F.col("salt"), F.lit(0), F.lit(1)
+    places = F.transform(F.sequence(zero, F.col("other") - 1), lambda s: F.when(
+        F.col("kind") == 1, F.when(F.col("side") == 0, place(salt, s, zero)).otherwise(place(s, salt, one))
+    ).otherwise(F.when(s >= salt, place(salt, s, zero)).otherwise(place(s, salt, one))))
+    dealt = rows.select("h", "kind", "cls", "node", "n", "root", F.explode(places).alias("p")).select("h", "kind", "cls", "node", "n", "root", "p.*")
     full = dealt.join(classes.select("node", "bits"), "node")
-    ordered = full.select("h", "low", "high", "node", "n", "root", "side", "bits").repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+    key = ["h", "kind", "cls", "low", "high"]
+    ordered = full.select(*key, "node", "n", "root", "side", "bits").repartition(*key).sortWithinPartitions(*key)
     found = ordered.mapInArrow(_block_pairs(pct, quota), "a bigint, b bigint, cut boolean")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
@@ -375,19 +410,29 @@ def join(df: DataFrame, id_col: str, text_col: str, n: int = 5, pct: int = 80, b
     first = lambda c: F.first(c).alias(c)
     classes = sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *map(first, ("n", "prefix", "bits")))
     classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")  # written once, so the numbers stay
-    postings = classes.select("node", "n", F.explode("prefix").alias("h"))
-    groups = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
-    members = store(postings.join(groups.select("h", "lead"), "h").select("h", "node", "n", "lead"), "jaccard-members")
-    fits = (100 * F.least("n", "lead.n") >= pct * F.greatest("n", "lead.n")) & (F.col("node") != F.col("lead.node"))
-    stars = members.where(fits).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    # From the i-th first shingle on (from 0) a set holds n - i others, so a partner that is met there has ``most`` at the most.
+    postings = classes.select("node", "n", F.posexplode("prefix").alias("i", "h")).select(
+        "h", "node", "n", (F.floor((F.col("n") - F.col("i")) * (100 + pct) / pct) - F.col("n")).alias("most"), F.floor(F.log("n") / _class_width(pct)).cast("int").alias("cls"))
+    sizes = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = store(postings.join(sizes, "h"), "jaccard-shared")
+    # The text that the others vary shares more of its first shingles with more of them: it leads those of its size.
+    central = shared.groupBy("node").agg(F.sum(F.log("size")).alias("weight"))
+    members = store(shared.join(central, "node").select("h", "node", "n", "most", "cls", "weight"), "jaccard-members")
+    leads = members.groupBy("h", "cls").agg(F.count(F.lit(1)).alias("size"), F.max_by(F.struct("node", "n", "most"), F.struct("weight", -F.col("node"))).alias("lead")).where("size > 1")
+    fits = (F.col("n") <= F.col("lead.most")) & (F.col("lead.n") <= F.col("most")) & (100 * F.least("n", "lead.n") >= pct * F.greatest("n", "lead.n")) & (F.col("node") != F.col("lead.node"))
+    stars = members.join(leads, ["h", "cls"]).where(fits).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
     stars = _allowed(stars, classes, pct)
 
     links: DataFrame | None = None
     tested: DataFrame | None = None
     roots = classes.limit(0).select("node", F.col("node").alias("root"))
+    met = members.select("h", "node", "n", "most")
     for quota in (0, *rounds):
-        seen = stars if quota == 0 else store(_candidates(members.select("h", "node", "n"), classes, roots, pct, block, quota), "jaccard-candidates")
+        seen = stars if quota == 0 else store(_candidates(met, classes, roots, pct, block, quota), "jaccard-candidates")
         more = quota == 0 or bool(seen.agg(F.max("cut")).first()[0])  # candidates that this round left to the next
+        if quota and more:  # only groups of nodes that were cut short are walked again
+            short = seen.where("cut").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            met = met.join(met.join(short, "node", "left_semi").select("h").distinct(), "h", "left_semi")
         pairs = seen.select("a", "b")
         pairs = store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():

@@ -106,7 +106,8 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     share = F.least(F.lit(1.0), (1.2 * per_language + 200) / F.col("n"))
     small = distinct.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
-    chosen = small.select("lang", "h", rank.alias("rank")).where(F.col("rank") <= per_language)
+    # A few rows of known size, so that the texts need not be shuffled to find theirs.
+    chosen = store(small.select("lang", "h", rank.alias("rank")).where(F.col("rank") <= per_language), "language-chosen")
     return rows.join(chosen, ["lang", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
 
 
