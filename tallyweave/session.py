@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,13 +51,55 @@ def work_path(spark: SparkSession, label: str) -> str:
     return os.path.join(work_root(spark), "tallyweave", f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+#: Shuffle files of a finished write are deleted at once; the written table stands for them from then on.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths written inside each open ``scratch``, innermost last.
+_scopes: list[list[str]] = []
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several branches of a plan read the same costly result.  The files
-    are on shared storage, so a lost executor costs a re-read and no re-run.
+    are on shared storage, so a lost executor costs a re-read and no re-run.  Inside ``scratch`` they go when it ends.
     """
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = work_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append(path)
+    return _write(df, path)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """As ``materialize``, for a result that outlives the innermost ``scratch``."""
+    path = work_path(df.sparkSession, label)
+    if len(_scopes) > 1:
+        _scopes[-2].append(path)
+    return _write(df, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is materialized inside once its result is ``kept``, or once it has failed."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whatever file system it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
