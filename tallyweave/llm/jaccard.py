@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept, scratch
 from .batches import Batches, byte_texts, kind, only, store
 from .components import components
 from .words import grams, mix, portions, scan
@@ -401,9 +402,16 @@ def join(df: DataFrame, id_col: str, text_col: str, n: int = 5, pct: int = 80, b
     Two rows link when 100 * overlap >= pct * union of their sets of n-word shingles.  Null texts and texts without
     words have an empty set and link with nothing.  Repeated rows and equal sets are one class, so copies are never
     paired.  Rows of one id with different texts are documents of their own.  Null ids are never smallest.
-    No link between different sets that could connect two components is missed, whatever the parameters.
+    No link between different sets that could connect two components is missed, whatever the parameters.  An empty table
+    gives no row; columns of other names have no influence.  The result is stored, and all else written on the way deleted.
     """
     docs = only(df, id=id_col, text=text_col)
+    with scratch(df.sparkSession):
+        return kept(_joined(docs, n, pct, block, frequent, filter_bits, rounds), "jaccard").withColumnRenamed("id", id_col)
+
+
+def _joined(docs: DataFrame, n: int, pct: int, block: int, frequent: int, filter_bits: int, rounds: tuple[int | None, ...]) -> DataFrame:
+    """(id, n_shingles, component_id) of ``docs`` (id, text)."""
     spot = F.pmod(F.xxhash64("id"), F.lit(filter_bits))
     late = frequent_shingles(docs, n, frequent)
     sketch = store(docs.mapInArrow(_sketch(n, pct, *late), f"id {kind(docs, 'id')}, {SKETCH}"), "jaccard-sketch")
@@ -448,7 +456,7 @@ def join(df: DataFrame, id_col: str, text_col: str, n: int = 5, pct: int = 80, b
     named = labelled.join(least, "root").select("k1", "k2", "component_id")
     out = sketch.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
 
 
