@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .batches import Batches, store
 from .words import WORD
+from .words import mix as mix_bits
 
 #: Rows of a block on average, and blocks that meet in one block of the next level.
 BLOCK = 1024
@@ -60,13 +61,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def _pivot(last: bool):
+def _draws(u: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in [0, 1) that hang on ``u`` and ``salt``, but don't rise with ``u``."""
+    bits = (u * float(1 << 52)).astype(np.uint64) ^ mix_bits(np.array([salt], dtype=np.uint64))
+    return (mix_bits(bits + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)).astype(np.float64) / float(1 << 52)
+
+
+def _pivot(last: bool, level: int):
     """Rows ordered by (source, block, u) with p in [0, 1]: copies where decided, else the p that is left.
 
+    ``u`` gives the order only.  What is drawn is independent of it, of what was drawn before, and of other levels, so
+    that no transfer changes an expectation; of rows with one ``u`` each has a draw of its own.
     Memory is one batch and one held row.  With ``last``, what is left at the end of a block is drawn.
     """
+    def own(u: float, copy: int, what: int) -> float:
+        return float(_draws(np.array([u]), (copy << 16) + (level << 2) + what)[0])
+
     def run(batches: Batches) -> Batches:
-        held = None  # [one-row batch or None while in this batch, index, group, weight, p, u]
+        held = None  # [one-row batch or None while in this batch, index, group, weight, p, (u, its number among equal ones)]
+        before, copy = None, 0
 
         def settle(row: pa.RecordBatch, extra: float, p: float | None) -> pa.RecordBatch:
             done = p is None
@@ -76,12 +89,13 @@ def _pivot(last: bool):
             )
 
         def close(h) -> pa.RecordBatch:
-            return settle(h[0], float(h[5] < h[4]), None) if last else settle(h[0], 0, h[4])
+            return settle(h[0], float(own(*h[5], 1) < h[4]), None) if last else settle(h[0], 0, h[4])
 
         for batch in batches:
             n = batch.num_rows
             groups = list(zip(batch.column("source").to_pylist(), batch.column("block").to_pylist(), strict=True))
-            weight, prob, draw = (batch.column(c).to_pylist() for c in ("size", "p", "u"))
+            weight, prob, places = (batch.column(c).to_pylist() for c in ("size", "p", "u"))
+            draws = _draws(batch.column("u").to_numpy(), level << 2).tolist()
             left: list[float | None] = [None] * n
             extra = [0] * n
             out = []
@@ -96,17 +110,21 @@ def _pivot(last: bool):
                 if held and held[2] != groups[i]:
                     if held[0] is None:
                         if last:
-                            extra[held[1]] = int(held[5] < held[4])
+                            extra[held[1]] = int(own(*held[5], 1) < held[4])
                         else:
                             left[held[1]] = held[4]
                     else:
                         out.append(close(held))
                     held = None
-                w, p, u = weight[i], prob[i], draw[i]
+                w, p, u = weight[i], prob[i], draws[i]
+                copy = copy + 1 if before == (groups[i], places[i]) else 0
+                before = (groups[i], places[i])
+                if copy:
+                    u = own(places[i], copy, 0)
                 if w <= 0 or p <= 0 or p >= 1:
                     extra[i] = int(u < p)
                     continue
-                new = [None, i, groups[i], w, p, u]
+                new = [None, i, groups[i], w, p, (places[i], copy)]
                 if held is None:
                     held = new
                     continue
@@ -166,15 +184,15 @@ def mix(df: DataFrame, source_col: str, size_col: str, draw_by: list[str], keep:
     row_kind = named.schema["row"].dataType.simpleString()
     kinds = f"source {named.schema['source'].dataType.simpleString()}, block bigint, size bigint, u double, whole bigint, row {row_kind}, p double, extra bigint"
 
-    def level(rows: DataFrame, final: bool) -> DataFrame:
+    def level(rows: DataFrame, final: bool, number: int) -> DataFrame:
         ordered = rows.select(*KEYS, "p").repartition("source", "block").sortWithinPartitions("source", "block", "u", "size")
-        return ordered.mapInArrow(_pivot(final), kinds)
+        return ordered.mapInArrow(_pivot(final, number), kinds)
 
     biggest = aims.agg(F.max("rows")).first()[0] or 1
     depth = math.ceil(math.log(max(1, math.ceil(biggest / block)), fan)) if biggest > block else 0
     parts, rest = [], placed
     for i in range(depth + 1):
-        done = level(rest, i == depth)
+        done = level(rest, i == depth, i)
         if i < depth:
             done = store(done, f"mix-level-{i}")
             rest = done.where("p IS NOT NULL").withColumn("block", F.floor(F.col("block") / fan))

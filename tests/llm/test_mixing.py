@@ -64,6 +64,20 @@ def test_expectation(spark):
     assert abs(sum(r.m - r.t / r.s for r in means)) < 1
 
 
+def test_sizes_do_not_bias_the_draw(spark):
+    """190 short documents and 10 that are a hundred times as long, over many seeds in groups: each kind is taken as often as its share asks for."""
+    pick = [(k, i, f"s{k:03d}", 1000 if i < 10 else 10) for k in range(150) for i in range(200)]
+    df = spark.createDataFrame(pick, "run int, doc_id bigint, source string, size bigint").withColumn("seed", F.xxhash64("run", "doc_id"))
+    for block, fan in ((1 << 20, 64), (16, 2)):
+        got = mix(df, "source", "size", ["seed"], ["run", "doc_id"], block=block, fan=fan)
+        short = F.col("size") == 10
+        sums = got.groupBy((F.col("run") % 3).alias("kind"), short.alias("short")).agg(
+            F.avg("copies").alias("m"), F.avg(F.col("target") / F.col("source_size")).alias("p")).collect()
+        # 1 : 2 : 3 over equal sources are ratios of 0.5, 1 and 1.5.
+        assert len(sums) == 6 and {round(r.p, 6) for r in sums} == {0.5, 1.0, 1.5}
+        assert all(abs(r.m - r.p) < (0.02 if r.short else 0.05) for r in sums), sums
+
+
 def test_empty_and_wordless(spark):
     schema = "doc_id bigint, source string, size bigint"
     assert mix(spark.createDataFrame([], schema), "source", "size", ["doc_id"], ["doc_id"]).count() == 0
