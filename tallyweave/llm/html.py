@@ -1,9 +1,10 @@
 """Main text of HTML pages by tag-path ratios.
 
 Text blocks are grouped by their root-to-leaf tag path.  For each path, text length and punctuation are averaged over
-its blocks; the averages are smoothed over the page's blocks in order and fused.  The blocks of paths above a threshold
-are anchors, and all of the element that holds the anchors together is content, whatever its blocks score.  Elements that
-name themselves menus, adverts and so on never are; where a page has an article or main element, that is what counts.
+its blocks; the averages are smoothed over the page's blocks in order, fused, and weighed: a path that names itself a
+notice, a search box or the like is doubted, and so is one outside of a page's article or main element.  The blocks of
+paths above a threshold are anchors.  Where all anchors are inside an article or main element, that is the content,
+else the element that holds the anchors together, whatever its blocks score.  Long, punctuated text outweighs a doubt.
 """
 
 from __future__ import annotations
@@ -20,30 +21,48 @@ from pyspark.sql import functions as F
 from .batches import Batches, kind, only
 
 #: Fixed values of the HTML standard.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split()
-)
-CLOSES_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav "
-    "ol p pre search section summary table ul".split()
-)
+VOID = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+})
+INLINE = frozenset({
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
+    "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+})
+CLOSES_P = frozenset({
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary",
+    "table", "ul",
+})
 #: An opened element ends an open one of these kinds, up to the given ancestors.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select", "datalist"}),
 }
 #: Elements whose content is no text of the page, and raw text that ends only at their own end tag.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes head noscript template svg math object audio video canvas select datalist".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adverts|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|header|comments?|"
-    r"commentlist|reply|replies|respond|discussion|disqus|related|recommend\w*|share|sharing|social|newsletter|subscribe|subscription|signup|login|cookies?|consent|"
-    r"gdpr|notice|notices|notification|alert|popup|modal|overlay|toolbar|widget|pagination|pager|copyright|legal|form|search)(?:$|[\s_-])",
+RAW = frozenset({
+    "script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes",
+})
+HIDDEN = frozenset({
+    "script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "head", "noscript", "template", "svg", "math", "object", "audio",
+    "video", "canvas", "select", "datalist",
+})
+BOILERPLATE = frozenset({
+    "nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset",
+})
+#: Words of class and id that name what is never the text, and words that do so less surely.
+NEVER = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|nav|navbar|navigation|breadcrumbs?|sidebar|footer|foot|masthead|comments?|commentlist|reply|replies|"
+    r"respond|disqus|newsletter|signup|login|cookies?|consent|gdpr|pagination|pager)(?:$|[\s_-])",
+    re.I,
+)
+DOUBTED = re.compile(
+    r"(?:^|[\s_-])(?:banner|menu|side|header|discussion|related|recommend\w*|share|sharing|social|subscribe|subscription|notice|notices|notification|alert|popup|"
+    r"modal|overlay|toolbar|widget|copyright|legal|form|search)(?:$|[\s_-])",
     re.I,
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+ROLES = frozenset({
+    "navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar",
+})
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
@@ -55,26 +74,30 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 SMOOTH = (1, 2, 4, 2, 1)
 #: Part of the page's largest score that the path of an anchor reaches.
 ANCHOR = 0.5
+#: Factor of a doubted path's score, and the score it needs before that: about a sentence with a comma.
+DOUBT, PROSE = 0.2, 6.0
 #: Elements that are a part of the text around them: an anchor in one stands for what is outside of it too.
-PARTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre blockquote address ul ol li dl dt dd table caption thead tbody tfoot tr figure figcaption summary".split())
+PARTS = frozenset({
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "pre", "blockquote", "address", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption",
+    "thead", "tbody", "tfoot", "tr", "figure", "figcaption", "summary",
+})
 
 
 @dataclass
 class Element:
     tag: str
     path: int  #: identity of the root-to-leaf path
-    bad: bool
+    weight: float  #: 0 for what is never the text, DOUBT below a doubted name, else 1
     inside: bool
     parent: Element | None = None
     number: int = 0  #: in the order of start tags
+    doubted: int = 0  #: number of the outermost element with a doubted name around this one
     last: float = inf  #: number of the last element inside
 
 
 @dataclass
 class Block:
     path: int
-    bad: bool
-    inside: bool
     element: Element
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -83,8 +106,8 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order."""
-    paths: dict[tuple[int, str], int] = {}
-    stack = [Element("", 0, False, False)]
+    paths: dict[tuple[int, str, float, bool], int] = {}
+    stack = [Element("", 0, 1.0, False)]
     out: list[Block] = []
     now: Block | None = None
     links, hidden, opened = 0, None, 0
@@ -95,8 +118,7 @@ def blocks(page: str) -> list[Block]:
         if hidden is not None or not raw:
             return
         if now is None:
-            top = stack[-1]
-            now = Block(top.path, top.bad, top.inside, top)
+            now = Block(stack[-1].path, stack[-1])
         said = html.unescape(raw) if "&" in raw else raw
         now.parts.append(said)
         if links:
@@ -178,13 +200,17 @@ def blocks(page: str) -> list[Block]:
                 marks.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
         label = tag + "".join(f".{x}" for x in marks.get("class", "").split())
         inside = top.inside or tag in ("article", "main") or marks.get("role", "").lower() in ("main", "article")
-        bad = top.bad or tag in BOILERPLATE or (tag == "header" and not top.inside) or marks.get("role", "").lower() in ROLES
-        if not bad and tag not in ("html", "body", "article", "main"):
-            bad = any(MARKS.search(marks[m]) for m in ("class", "id") if m in marks)
-        elif not bad and tag == "article" and "class" in marks:
-            bad = bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|advert\w*|related)(?:$|[\s_-])", marks["class"], re.I))
+        role, names = marks.get("role", "").lower(), [marks[m] for m in ("class", "id") if m in marks]
+        weight = top.weight
+        if tag in BOILERPLATE or (tag == "header" and not top.inside) or role in ROLES:
+            weight = 0.0
+        elif tag == "article" and any(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|advert\w*|related)(?:$|[\s_-])", n, re.I) for n in names):
+            weight = 0.0
+        elif tag not in ("html", "body", "article", "main"):
+            weight = 0.0 if any(map(NEVER.search, names)) else min(weight, DOUBT) if any(map(DOUBTED.search, names)) else weight
         opened += 1
-        stack.append(Element(tag, paths.setdefault((top.path, label), len(paths) + 1), bad, inside, top, opened))
+        doubted = top.doubted or (opened if weight == DOUBT else 0)
+        stack.append(Element(tag, paths.setdefault((top.path, label, weight, inside), len(paths) + 1), weight, inside, top, opened, doubted))
         if hidden is None and tag in HIDDEN:
             hidden = len(stack) - 1
     cut()
@@ -200,36 +226,48 @@ def container(anchors: list[Block]) -> Element:
     return out
 
 
-def main_text(page: str) -> str:
-    """Content blocks in page order, joined by an empty line."""
-    good = [b for b in blocks(page) if not b.bad]
-    if any(b.inside for b in good):
-        return "\n\n".join(b.text for b in good if b.inside)
-    if not good:
-        return ""
+def path_scores(page: list[Block]) -> dict[int, float]:
+    """Score of each path of the blocks that may be content: fused averages, smoothed over the page, weighed."""
     totals: dict[int, list[float]] = {}
-    for b in good:
+    for b in page:
         t = totals.setdefault(b.path, [0, 0, 0, 0])
         for i, x in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)))):
             t[i] += x
     fused = []
-    for b in good:
+    for b in page:
         n, chars, marks, linked = totals[b.path]
         fused.append((log1p(chars / n), log1p(marks / n), 1 - linked / chars))
     reach = len(SMOOTH) // 2
     by_path: dict[int, list[float]] = {}
-    for i, b in enumerate(good):
-        near = [(SMOOTH[j - i + reach], fused[j]) for j in range(max(0, i - reach), min(len(good), i + reach + 1))]
+    for i, b in enumerate(page):
+        near = [(SMOOTH[j - i + reach], fused[j]) for j in range(max(0, i - reach), min(len(page), i + reach + 1))]
         weight = sum(w for w, _ in near)
         length, marks = (sum(w * f[k] for w, f in near) / weight for k in (0, 1))
-        s = by_path.setdefault(b.path, [0.0, 0])
-        s[0] += length * (1 + marks) * fused[i][2]
-        s[1] += 1
-    score = {path: s / n for path, (s, n) in by_path.items()}
-    least = max(score.values()) * ANCHOR
-    anchors = [b for b in good if score[b.path] >= least and score[b.path] > 0]
+        by_path.setdefault(b.path, []).append(length * (1 + marks) * fused[i][2])
+    framed = any(b.element.inside for b in page)
+    out: dict[int, float] = {}
+    for b in page:
+        if b.path not in out:
+            score, n, (_, chars, marks, _) = sum(by_path[b.path]), len(by_path[b.path]), totals[b.path]
+            doubt = b.element.weight if log1p(chars / n) * (1 + log1p(marks / n)) >= PROSE or b.element.weight == 1 else 0.0
+            out[b.path] = score / n * doubt * (DOUBT if framed and not b.element.inside else 1.0)
+    return out
+
+
+def main_text(page: str) -> str:
+    """Content blocks in page order, joined by an empty line."""
+    good = [b for b in blocks(page) if b.element.weight > 0]
+    score = path_scores(good)
+    most = max(score.values(), default=0.0)
+    anchors = [b for b in good if score[b.path] >= most * ANCHOR and score[b.path] > 0]
+    if any(b.element.inside and not b.element.doubted for b in good) and not anchors:  # all of it is links
+        return "\n\n".join(b.text for b in good if b.element.inside and not b.element.doubted)
     if not anchors:
         return ""
+    trusted = {b.element.doubted for b in anchors} | {0}
+    good = [b for b in good if b.element.doubted in trusted]
+    if all(b.element.inside for b in anchors):
+        return "\n\n".join(b.text for b in good if b.element.inside)
     whole = container(anchors)
     # A page's title often stands above the element of its text; a site's name there is a link.
     return "\n\n".join(
@@ -241,7 +279,8 @@ def extract(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
     """id, url, text and n_chars (code points) of every page.  Map-only.
 
     Null and empty pages give an empty text; repeated rows each get their row; a page of any length is read whole, in
-    one task.  A page whose blocks are all boilerplate, or all links and in no article, gives an empty text.
+    one task.  A page whose blocks are all boilerplate, or all links and in no article, gives an empty text.  Other
+    columns of ``df``, whatever their names, are not read.
     """
     picked = only(df, id=id_col, url=url_col, html=html_col)
 
