@@ -77,13 +77,15 @@ def brute_scores(page):
         chars, marks = average(b.path, lambda o: len(o.text)), average(b.path, lambda o: sum(bool(PUNCTUATION.match(c)) for c in o.text))
         return log(1 + chars), log(1 + marks), 1 - average(b.path, lambda o: min(o.linked, len(o.text))) / chars
 
+    known = [fused(b) for b in page]
+
     def smooth(i, k):
-        pairs = [(w, fused(page[i + d])[k]) for d, w in ((-2, 1), (-1, 2), (0, 4), (1, 2), (2, 1)) if 0 <= i + d < len(page)]
+        pairs = [(w, known[i + d][k]) for d, w in ((-2, 1), (-1, 2), (0, 4), (1, 2), (2, 1)) if 0 <= i + d < len(page)]
         return sum(w * v for w, v in pairs) / sum(w for w, _ in pairs)
 
     out = {}
-    for b in page:
-        mine = [smooth(i, 0) * (1 + smooth(i, 1)) * fused(o)[2] for i, o in enumerate(page) if o.path == b.path]
+    for b in {b.path: b for b in page}.values():
+        mine = [smooth(i, 0) * (1 + smooth(i, 1)) * known[i][2] for i, o in enumerate(page) if o.path == b.path]
         long, punctuated, _ = fused(b)
         factor = (1 if b.element.weight == 1 else DOUBT if long * (1 + punctuated) >= PROSE else 0) * (1 if b.element.inside or not any(o.element.inside for o in page) else DOUBT)
         out[b.path] = sum(mine) / len(mine) * factor
