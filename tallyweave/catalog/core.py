@@ -133,6 +133,40 @@ def classify_cascade(d: Data):
     return S.classify(d.view("txn"), d.rules(), d.view("history"))
 
 
+# Large payments first, then rules of a document, then the counterparty: three tiers of a user's own.
+_OWN_RULES = {
+    "expense": {"rules": [
+        {"id": "own1", "priority": 2, "match": {"keywords": ["green", "blue"], "exclude_keywords": ["dark"]}, "subject_code": "610", "subject_name": "Cool"},
+        {"id": "own2", "priority": 1, "match": {"keywords": ["blue"], "require_keywords": ["pale"]}, "subject_code": "611", "subject_name": "Pale"},
+    ]},
+    "income": {"rules": [{"id": "own3", "match": {"keywords": ["red"], "counterparty_pattern": "#"}, "subject_code": "612", "subject_name": "Red"}]},
+}
+_OWN_RULE = """CASE WHEN direction = 'expense' AND contains(description, 'blue') AND contains(description, 'pale') THEN 'own2'
+ WHEN direction = 'expense' AND (contains(description, 'green') OR contains(description, 'blue')) AND NOT contains(description, 'dark') THEN 'own1'
+ WHEN direction = 'income' AND contains(description, 'red') AND contains(counterparty, '#') THEN 'own3' END"""
+
+
+@register("own_rules", "txn_seq:l rule_id:s subject_code:s",
+          f"""SELECT txn_seq, rule_id, CASE rule_id WHEN 'own1' THEN '610' WHEN 'own2' THEN '611' WHEN 'own3' THEN '612' END AS subject_code
+          FROM (SELECT txn_seq, {_OWN_RULE} AS rule_id FROM txn)""", ("txn",))
+def own_rules(d: Data):
+    return C.apply_rules(d.view("txn"), C.load_rules(d.spark, _OWN_RULES)).select("txn_seq", "match.rule_id", "match.subject_code")
+
+
+@register("own_tiers", "txn_seq:l subject_code:s source:s rule_id:s",
+          f"""SELECT txn_seq, CASE WHEN amount >= 250000 THEN '100' WHEN rule_id = 'own1' THEN '610' WHEN rule_id = 'own2' THEN '611' WHEN rule_id = 'own3' THEN '612'
+          WHEN contains(counterparty, '7') THEN '107' ELSE '' END AS subject_code,
+          CASE WHEN amount >= 250000 THEN 'large' WHEN rule_id IS NOT NULL THEN 'rule' WHEN contains(counterparty, '7') THEN 'party' ELSE 'unmatched' END AS source,
+          CASE WHEN amount < 250000 AND rule_id IS NOT NULL THEN rule_id ELSE '' END AS rule_id FROM (SELECT *, {_OWN_RULE} AS rule_id FROM txn)""", ("txn",))
+def own_tiers(d: Data):
+    def taking(when, code: str, source: str) -> S.Tier:
+        named = F.struct(F.lit(code).alias("subject_code"), F.lit("").alias("subject_name"), F.lit(source).alias("source"), F.lit("").alias("rule_id"))
+        return lambda rows, out: rows.withColumn(out, F.when(when, named))
+
+    tiers = [taking(F.col("amount") >= 250000, "100", "large"), S.rule_tier(C.load_rules(d.spark, _OWN_RULES)), taking(F.col("counterparty").contains("7"), "107", "party")]
+    return S.classify(d.view("txn"), tiers=tiers)
+
+
 @register("doc_freq", "direction:s gram:s df:l n:l idf:f",
           f"WITH {_similar('txn')} SELECT direction, gram, df, n, round(idf, 9) AS idf FROM idf",
           ("txn", "history"))

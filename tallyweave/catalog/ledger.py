@@ -319,6 +319,18 @@ def sink_voucher_25col(d: Data):
     return back.select("batch_id", "sheet", *(back[n].alias(f"d{i}") for i, n in enumerate(EXPORT_COLUMNS, 1)))
 
 
+@register("own_export_columns", "batch_id:s sheet:s d2:s d3:f d10:f d25:l",
+          """SELECT batch_id, '凭证列表' AS sheet, upper(subject_code) AS d2, coalesce(debit_amount, 0) - coalesce(credit_amount, 0) AS d3, NULL AS d10, voucher_no AS d25 FROM entries""",
+          ("entries",))
+def own_export_columns(d: Data):
+    from ..constants import EXPORT_COLUMNS
+
+    zero = F.lit(0)
+    own = {2: F.upper("subject_code"), 3: F.coalesce("debit_amount", zero) - F.coalesce("credit_amount", zero), 25: c("voucher_no")}
+    out = SK.voucher_export(d.entries(), columns=own)
+    return out.select("batch_id", "sheet", *(out[EXPORT_COLUMNS[i - 1]].alias(f"d{i}") for i in (2, 3, 10, 25)))
+
+
 @register("sink_txn_detail", "batch_id:s txn_seq:l d1:s d2:s d3:f d4:s d5:s d6:s d7:s d8:s d9:s",
           """SELECT batch_id, txn_seq, cast(txn_date as varchar) AS d1, description AS d2, amount AS d3, currency AS d4, direction AS d5, counterparty AS d6,
           reference_number AS d7, account_number AS d8, NULL AS d9 FROM txn""", ("txn",))
@@ -569,6 +581,21 @@ def first_nonempty_parser(d: Data):
     return X.first_nonempty(union)
 
 
+@register("own_extractors", "file_id:s cand_ord:l line:s",
+          """SELECT file_id, cand_ord, line FROM (SELECT *, min(cand_ord) OVER (PARTITION BY file_id) AS best FROM (
+          SELECT file_id, cast(substring(file_id,2) as bigint) % 2 AS cand_ord, concat('out ', out_text) AS line FROM stmt_rows WHERE row_no % 2 = 0 AND row_no % 3 = 0
+          UNION ALL SELECT file_id, 1 - cast(substring(file_id,2) as bigint) % 2, concat('all ', summary) FROM stmt_rows WHERE row_no % 5 > 0)) WHERE cand_ord = best""", ("stmt_rows",))
+def own_extractors(d: Data):
+    rows = d.view("stmt_rows").select("file_id", "row_no", "out_text", "summary")
+    odd = F.expr("substring(file_id, 2)").cast("bigint") % 2
+    tries = rows.select("file_id").distinct().select(
+        "file_id", F.posexplode(F.when(odd == 0, F.array(F.lit("out"), F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("out")))).alias("cand_ord", "extractor"))
+    return X.run_extractors(rows, tries, {
+        "out": lambda df: df.where("row_no % 2 = 0 AND row_no % 3 = 0").select("file_id", F.concat(F.lit("out "), "out_text").alias("line")),
+        "all": lambda df: df.where("row_no % 5 > 0").select("file_id", F.concat(F.lit("all "), "summary").alias("line")),
+    })
+
+
 @register("batch_ready", "doc_id:l status:s reason:s",
           """SELECT doc_id, CASE WHEN doc_id % 4 IN (0,1) OR doc_id % 3 = 0 THEN 'failed' ELSE 'ready' END AS status,
           CASE WHEN doc_id % 4 IN (0,1) THEN 'bank not set' WHEN doc_id % 3 = 0 THEN 'type not set' END AS reason FROM documents""")

@@ -66,10 +66,38 @@ def column_band(x: Column, bands: Mapping[str, tuple[float, float]], tolerance:
     return F.coalesce(inside, F.when(near["d"] < 2 * tolerance, near["n"]))
 
 
-def ordered_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text", sep: str = "") -> DataFrame:
+#: Fragments of one text that are gathered at once.
+FOLD_ROWS = 4096
+
+
+def folded_texts(df: DataFrame, keys: Sequence[str], order: Sequence[str], texts: Mapping[str, Column], sep: str, rows: int = FOLD_ROWS) -> DataFrame:
+    """One row per key with several texts, each joined in order from the rows where its expression isn't null.
+
+    A key's rows are numbered in order, which Spark sorts and spills; runs of ``rows`` become partial texts, and these
+    the whole ones.  No array is longer than a run or than the number of runs.  One shuffle, by the keys: the runs of a
+    key are folded where it was numbered.  A text without a fragment is empty.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    pieces = df.select(*keys, place.alias("__at"), *(value.alias(name) for name, value in texts.items()))
+
+    def fold(some: DataFrame, by: Sequence[str | Column]) -> DataFrame:
+        each = F.array_sort(F.collect_list(F.struct("__at", *texts)))
+        return some.groupBy(*by).agg(each.alias("__all"))
+
+    def joined(name: str) -> Column:
+        own = F.filter(F.transform("__all", lambda p: p[name]), lambda t: t.isNotNull())
+        return F.when(F.size(own) > 0, F.array_join(own, sep)).alias(name)
+
+    runs = fold(pieces, [*keys, F.floor((F.col("__at") - 1) / rows).alias("__run")])
+    partial = runs.select(*keys, F.col("__run").alias("__at"), *(joined(name) for name in texts))
+    return fold(partial, keys).select(*keys, *(F.coalesce(joined(name), F.lit("")).alias(name) for name in texts))
+
+
+def ordered_text(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text", sep: str = "", rows: int = FOLD_ROWS
+) -> DataFrame:
     """Fragments of one cell or column joined in order.  The result is one text per key."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["__t"]), sep).alias(text))
+    return folded_texts(df, keys, order, {text: F.col(text)}, sep, rows)
 
 
 def table_regions(
@@ -144,15 +172,8 @@ def table_records(
     for c in amounts[1:]:
         money = money | has(c)
     merged = merge_continuations(placed, has("date") & money)
-    # The fragments of a record are gathered and ordered once, then dealt out to the columns.
-    order = F.struct("cluster", "y0", "x0", "span_id", "column", "text")
-    gathered = merged.groupBy("page_id", "record").agg(F.array_sort(F.collect_list(order)).alias("__all"))
-
-    def texts(name: str) -> Column:
-        own = F.filter("__all", lambda p: p["column"] == name)
-        return F.array_join(F.transform(own, lambda p: p["text"]), " ").alias(name)
-
-    return gathered.select("page_id", "record", *(texts(c) for c in bands))
+    texts = {name: F.when(F.col("column") == name, F.col("text")) for name in bands}
+    return folded_texts(merged, ["page_id", "record"], ["cluster", "y0", "x0", "span_id"], texts, " ")
 
 
 def split_receipts(spans: DataFrame) -> DataFrame:

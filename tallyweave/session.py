@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -53,8 +54,16 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 #: Shuffle files of a finished write are deleted at once; the written table stands for them from then on.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths written inside each open ``scratch``, innermost last.
-_scopes: list[list[str]] = []
+
+
+class _Scopes(threading.local):
+    """Paths written inside each open ``scratch`` of a thread, innermost last; a stream's batches run in another one."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
@@ -75,27 +84,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     are on shared storage, so a lost executor costs a re-read and no re-run.  Inside ``scratch`` they go when it ends.
     """
     path = work_path(df.sparkSession, label)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return _write(df, path)
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
     """As ``materialize``, for a result that outlives the innermost ``scratch``."""
     path = work_path(df.sparkSession, label)
-    if len(_scopes) > 1:
-        _scopes[-2].append(path)
+    if len(_scopes.open) > 1:
+        _scopes.open[-2].append(path)
     return _write(df, path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what is materialized inside once its result is ``kept``, or once it has failed."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             remove(spark, path)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import materialize
+from ..session import materialize, scratch
 from ..sources.sinks import write_partitioned
 
 Normalizer = Callable[[DataFrame], DataFrame]
@@ -64,15 +64,16 @@ def ingest(stream: DataFrame, normalize: Normalizer, out: str, checkpoint: str,
 
     Writes ``out/transactions`` and ``out/files``, both partitioned by micro-batch, and with ``held`` also
     ``out/partial``, the transactions of files that were not read whole.
-    ``once`` takes what is there and stops.
+    ``once`` takes what is there and stops.  A micro-batch leaves nothing in the work folder once it is written.
     """
     def one_batch(rows: DataFrame, number: int) -> None:
-        # Several outputs read the batch: it is normalised once and kept on shared storage.
-        whole, short, files = (x.withColumn("micro_batch", F.lit(number)) for x in _attempt(rows, normalize, held, "ingest"))
-        write_partitioned(whole.where("status = 'ok'"), f"{out}/transactions", "micro_batch")
-        if held is not None:
-            write_partitioned(short.where("status = 'ok'"), f"{out}/partial", "micro_batch")
-        write_partitioned(files, f"{out}/files", "micro_batch")
+        # Several outputs read the batch: it is normalised once and kept on shared storage until they are written.
+        with scratch(rows.sparkSession):
+            whole, short, files = (x.withColumn("micro_batch", F.lit(number)) for x in _attempt(rows, normalize, held, "ingest"))
+            write_partitioned(whole.where("status = 'ok'"), f"{out}/transactions", "micro_batch")
+            if held is not None:
+                write_partitioned(short.where("status = 'ok'"), f"{out}/partial", "micro_batch")
+            write_partitioned(files, f"{out}/files", "micro_batch")
 
     writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -84,7 +85,8 @@ def record_unread(spark: SparkSession, arrived: DataFrame, out: str) -> None:
     unread = arrived.select("file_id").distinct().join(known, "file_id", "left_anti")
     lost = unread.select(
         "file_id", F.lit(0).cast("bigint").alias("transactions"), F.lit(0).cast("bigint").alias("errors"), F.lit("failed").alias("status"), F.lit(-1).alias("micro_batch"))
-    write_partitioned(materialize(lost, "unread"), f"{out}/files", "micro_batch")
+    with scratch(spark):
+        write_partitioned(materialize(lost, "unread"), f"{out}/files", "micro_batch")
 
 
 def failed_files(spark: SparkSession, out: str) -> DataFrame:
@@ -100,9 +102,10 @@ def retry_failed(spark: SparkSession, rows: DataFrame, normalize: Normalizer, ou
     ``rows`` are the raw rows of any files; only the failed ones are taken.  The attempt is
     recorded only for files that now succeed, with ``held`` those that were now read whole.
     """
-    whole, _, files = _attempt(rows.join(failed_files(spark, out), "file_id", "left_semi"), normalize, held, "retry")
     number = F.lit(-1 - abs(attempt))
-    # Which files failed is read from the folder that is written last.
-    good = materialize(files.where(F.col("status") == "success"), "retry-files")
-    write_partitioned(whole.where("status = 'ok'").withColumn("micro_batch", number), f"{out}/transactions", "micro_batch")
-    write_partitioned(good.withColumn("micro_batch", number), f"{out}/files", "micro_batch")
+    with scratch(spark):
+        whole, _, files = _attempt(rows.join(failed_files(spark, out), "file_id", "left_semi"), normalize, held, "retry")
+        # Which files failed is read from the folder that is written last.
+        good = materialize(files.where(F.col("status") == "success"), "retry-files")
+        write_partitioned(whole.where("status = 'ok'").withColumn("micro_batch", number), f"{out}/transactions", "micro_batch")
+        write_partitioned(good.withColumn("micro_batch", number), f"{out}/files", "micro_batch")

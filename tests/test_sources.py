@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import date
 from decimal import Decimal as D
 
@@ -91,7 +92,9 @@ def test_file_damaged_in_the_middle(spark, tmp_path):
     named = lambda reader, at: reader.schema(rows.schema).options(**SOURCE).parquet(str(at)).select("*", F.col("_metadata.file_name").alias("file_id"))
     part = named(spark.read, src).where(F.col("file_id") == name).agg(F.count("text")).first()[0]
     assert 0 < part < 3000
+    before = set(os.listdir(os.path.dirname(out))) if os.path.isdir(os.path.dirname(out)) else set()
     ingest(named(spark.readStream, src), lambda df: df, out, f"{out}/cp", once=True, held=lambda: parquet_rows(spark, str(src))).awaitTermination()
+    assert set(os.listdir(os.path.dirname(out))) - before <= {os.path.basename(out)}  # nothing of the batch is left
     assert [r.file_id for r in failed_files(spark, out).collect()] == [name]
     assert sorted(r["count"] for r in spark.read.parquet(f"{out}/files").groupBy("status").count().collect()) == [1, 1]
     assert spark.read.parquet(f"{out}/transactions").count() == 5 and spark.read.parquet(f"{out}/partial").count() == part
@@ -216,3 +219,26 @@ def test_own_export_columns(spark):
     entries = spark.createDataFrame([("B", "text", 7)], "batch_id string, summary string, voucher_no int")
     out = voucher_export(entries, columns={2: F.upper("summary"), 25: F.col("voucher_no")}).first()
     assert len(out) == 27 and out[3] == "TEXT" and out[26] == 7 and all(out[i] is None for i in range(4, 26))
+
+
+def test_texts_folded_by_runs(spark):
+    """Whatever the length of a run, texts are those of one ordered list; a key may hold most rows."""
+    rows = [("hot" if i % 5 else f"k{i % 3}", i * 7919 % 500, i, None if i % 4 == 0 else f"t{i}", "" if i % 6 == 0 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "key string, x int, n int, a string, b string")
+    want = {}
+    for key, _, _, a, b in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        texts = want.setdefault(key, ([], []))
+        for held, t in zip(texts, (a, b), strict=True):
+            if t is not None:
+                held.append(t)
+    for size in (1, 7, 4096):
+        got = L.folded_texts(df, ["key"], ["x", "n"], {"a": F.col("a"), "b": F.col("b")}, "|", size).collect()
+        assert {r.key: (r.a, r.b) for r in got} == {k: ("|".join(a), "|".join(b)) for k, (a, b) in want.items()}
+    assert L.ordered_text(df.limit(0), ["key"], ["x", "n"], "a").count() == 0
+
+
+def test_page_of_a_million_spans(spark):
+    spans = spark.range(1_000_000).selectExpr("1 AS page_id", "id AS span_id", "(id * 7919) % 1000003 AS x0", "'x' AS text")
+    texts = L.ordered_text(spans, ["page_id"], ["x0", "span_id"])
+    assert texts.selectExpr("length(text) AS n").first().n == 1_000_000
+    assert texts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
