@@ -238,7 +238,7 @@ def test_texts_folded_by_runs(spark):
 
 
 def test_page_of_a_million_spans(spark):
-    spans = spark.range(1_000_000).selectExpr("1 AS page_id", "id AS span_id", "(id * 7919) % 1000003 AS x0", "'x' AS text")
+    spans = spark.range(1_000_000).selectExpr("id div 1000000 AS page_id", "id AS span_id", "(id * 7919) % 1000003 AS x0", "'x' AS text")
     texts = L.ordered_text(spans, ["page_id"], ["x0", "span_id"])
     assert texts.selectExpr("length(text) AS n").first().n == 1_000_000
     assert texts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
