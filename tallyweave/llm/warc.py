@@ -24,7 +24,7 @@ from .batches import Batches, byte_texts, only, store
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Records of one file at most; a file is read whole by one task.
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE, FILE_BYTES = 2000, 32 << 20
 #: Bits that tell which digests are shared, 2 MB; any number of at least 32768 gives the same archives.
 SHARED_BITS = 1 << 24
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -170,14 +170,15 @@ def salvage(data: bytes) -> Found:
         yield gap, len(data) - gap, None, reason
 
 
-def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str, least: int = 0, per_file: int = RECORDS_PER_FILE) -> None:
+def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str, least: int = 0, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Write an archive folder: a record for each row, payload the UTF-8 of its html (null: empty).
 
     Of rows with equal payloads of at least ``least`` bytes those with the smallest id are responses, the others
     revisits of them; rows that repeat the smallest id are all responses, and a null id is larger than any other.
     Payloads meet by SHA-1; a payload that many rows share is grouped in part before it is shuffled, and the join back
     to the rows is one whose large keys Spark splits.  Only rows whose payload may be shared are shuffled: a bitmap of
-    fixed size, broadcast, has a bit for each shared digest.
+    fixed size, broadcast, has a bit for each shared digest.  A file holds at most ``per_file`` records and ``file_bytes``
+    bytes, or one longer record; it is one row of what Python returns, so the bound holds however sizes are spread.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = only(pages, id=id_col, url=url_col, html=html_col).withColumn("html", html)
@@ -195,19 +196,25 @@ def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str,
     )
     ready = alone.unionByName(shared)
 
+    def file(records: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([END.join(records)], pa.string())], names=["value"])
+
     def run(batches: Batches) -> Batches:
+        out: list[str] = []
+        size = 0
         for batch in batches:
             pages = zip(*(batch.column(c).to_pylist() for c in ("id", "url", "first", "again")), byte_texts(batch.column("html")), strict=True)
-            out = []
             for i, url, first, again, payload in pages:
-                out.append(record(i, url, payload, first, bool(again)).decode())
-                if len(out) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string()).cast(pa.string())], names=["value"])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    ready.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+                raw = record(i, url, payload, first, bool(again))
+                if out and (size + len(raw) > file_bytes or len(out) == per_file):
+                    yield file(out)
+                    out, size = [], 0
+                out.append(raw.decode())
+                size += len(raw) + len(END)
+        if out:
+            yield file(out)
+
+    ready.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
 
 
 FIELDS = (

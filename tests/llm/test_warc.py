@@ -7,7 +7,7 @@ import re
 import pytest
 
 from tallyweave.llm.batches import folder
-from tallyweave.llm.warc import archived, parse, read, record, salvage, sha1
+from tallyweave.llm.warc import END, archived, parse, read, record, salvage, sha1, write
 
 RECORDS = [record(i, f"http://x/{i}", (f"<p>WARC/1.1\r\n{i}</p>" * i).encode(), None, False) + b"\r\n\r\n" for i in range(1, 9)]
 
@@ -91,3 +91,15 @@ def test_round_trip(spark):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert archived(df, folder(spark, "warc")).count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """A file ends before it gets too long, whatever the sizes; a longer record has its own, and all are read back."""
+    sizes = [10, 4000, 10, 10, 90_000, 10, 3000, 3000, 3000, 0]
+    rows = [(i, "u", chr(97 + i) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    write(df, "page_id", "url", "html", str(tmp_path / "w"), per_file=4, file_bytes=8000)
+    files = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 3 and sorted(files)[-2] <= 8000 + len(END) and max(files) > 90_000
+    found = read(spark, str(tmp_path / "w")).collect()
+    assert sorted(len(r.payload) for r in found) == sorted(sizes) and all(r.gap is None for r in found)
