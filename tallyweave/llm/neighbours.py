@@ -20,7 +20,7 @@ from .batches import Batches, store
 #: Points of a shard and queries of a block on average: both are held by one task.
 SHARD = 8192
 QUERIES = 1024
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, STARTS = 32, 48, 96, 1.2, 8
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, STARTS = 32, 48, 320, 1.2, 8
 
 
 def even_norms(x: np.ndarray) -> np.ndarray:
@@ -29,6 +29,13 @@ def even_norms(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))[:, None]])
 
 
+def comparable(x: np.ndarray) -> np.ndarray:
+    """Points for graph and search: scaled by the largest component, so that no double overflows, with even norms."""
+    wide = x.astype(np.float64)
+    peak = np.abs(wide).max(initial=0)
+    return even_norms(wide / peak if peak else wide).astype(np.float32)
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Points and products of the best ``beam`` found for each query, largest product first; -1 where fewer.
 
@@ -168,8 +175,8 @@ def _build(table: pa.Table) -> pa.Table:
     """All points of a shard become one row: vectors, graph, ids."""
     order = np.lexsort((table.column("k2").to_numpy(), table.column("k1").to_numpy()))
     table = table.take(pa.array(order))
-    vectors = _matrix(table.column("vector")).astype(np.float32)
-    graph, starts = build_graph(even_norms(vectors.astype(np.float64)).astype(np.float32))
+    vectors = _matrix(table.column("vector"))
+    graph, starts = build_graph(comparable(vectors))
     return pa.table({
         "dims": pa.array([vectors.shape[1]], pa.int32()), "shard": table.column("shard").slice(0, 1), "points": pa.array([len(vectors)], pa.int32()),
         "vectors": [vectors.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "starts": [starts.tobytes()],
@@ -182,24 +189,25 @@ INDEX = "dims int, shard int, points int, vectors binary, graph binary, starts b
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    vectors = _matrix(table.column("vector")).astype(np.float32)
+    vectors = _matrix(table.column("vector"))
     keys = np.stack([table.column(c).to_numpy() for c in ("k1", "k2")], axis=1).astype(np.int64)
     return pa.table({"dims": pa.array([vectors.shape[1]], pa.int32()), "queries": [vectors.tobytes()], "query_keys": [keys.tobytes()]})
 
 
-def _search(top: int, beam: int):
+def _search(top: int, beam: int, kind: type):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c, kind, row=row, batch=batch: np.frombuffer(batch.column(c)[row].as_buffer(), dtype=kind)
                 n, dims = batch.column("points")[row].as_py(), batch.column("dims")[row].as_py()
-                vectors, q = get("vectors", np.float32).reshape(n, dims), get("queries", np.float32).reshape(-1, dims)
+                vectors, q = get("vectors", kind).reshape(n, dims), get("queries", kind).reshape(-1, dims)
                 graph, starts = get("graph", np.int32).reshape(n, -1), get("starts", np.int32)
                 keys, query_keys = get("keys", np.int64).reshape(n, 2), get("query_keys", np.int64).reshape(-1, 2)
                 ids = batch.column("ids")[row].as_py()
                 least = np.array([i[0] for i in ids], dtype=np.int64)
-                x = even_norms(vectors.astype(np.float64)).astype(np.float32)
-                ask = np.hstack([q, np.zeros((len(q), 1), dtype=np.float32)])
+                x = comparable(vectors)
+                flat = (q / np.abs(q).max(axis=1, keepdims=True)).astype(np.float32)  # a query's length changes no order
+                ask = np.hstack([flat, np.zeros((len(q), 1), dtype=np.float32)])
                 found, _ = beam_search(x, graph, starts, ask, max(beam, top))
                 who, col = np.nonzero(found >= 0)
                 point = found[who, col]
@@ -234,10 +242,12 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 20,
     part; vectors of different lengths are never compared.  Equal vectors are searched once and keep their k + 1
     smallest ids, which is all that an answer can need, so a vector that many rows share costs no more than another.
     Repeated rows are candidates of each other, and each has its answer.  A query without candidates has no row.
-    The index is written to the shared folder; a task holds one shard and one block of queries.
+    Vectors of doubles stay doubles for classes and scores; the graph compares single-precision copies.  Columns of
+    ``df`` but the two named are not read.  The index is written to the shared folder; a task holds one shard and one block of queries.
     """
     vector = F.col("vector")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("float") + F.lit(0).cast("float")).alias("vector"))
+    part = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast(part) + F.lit(0).cast(part)).alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(vector)).withColumns({"k1": F.xxhash64(vector), "k2": F.xxhash64(F.lit(1), vector)})
     in_class = Window.partitionBy("k1", "k2").orderBy("id")
     points = store(
@@ -258,7 +268,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 20,
         .applyInArrow(_pack, "dims int, queries binary, query_keys binary").join(sizes, "dims")
         .select("dims", "queries", "query_keys", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     )
-    found = packed.join(index, ["dims", "shard"]).repartition(F.xxhash64("query_keys", "shard")).mapInArrow(_search(k + 1, beam), FOUND)
+    found = packed.join(index, ["dims", "shard"]).repartition(F.xxhash64("query_keys", "shard")).mapInArrow(_search(k + 1, beam, np.float32 if part == "float" else np.float64), FOUND)
     best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.element_at("ids", 1), "k1", "k2")
     merged = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
     query = asked.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("query_id"), "times")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.llm import neighbours as N
 from tallyweave.llm.neighbours import beam_search, build_graph, even_norms, nearest
 
 SCHEMA = "vec_id bigint, embedding array<float>, score string"
@@ -51,6 +52,25 @@ def test_recall(scaled):
     assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, true, strict=True)]) > 0.9
 
 
+def test_recall_of_a_full_shard():
+    """Default settings on plain normal vectors, the hardest of those measured."""
+    x = np.random.default_rng(3).normal(size=(N.SHARD, 64))
+    points = N.comparable(x)
+    graph, starts = build_graph(points)
+    q = np.hstack([x[:200], np.zeros((200, 1))]).astype(np.float32)
+    found, _ = beam_search(points, graph, starts, q, N.SEARCH_BEAM)
+    true = np.argsort(-(x[:200] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a[:21]) & set(b)) / 20 for a, b in zip(found, true, strict=True)]) >= 0.9
+
+
+def test_doubles_stay_doubles(spark):
+    """Vectors that are equal in single precision are two, and ones beyond its range take part."""
+    rows = [(20, [1.0, 1.0]), (1, [1.0, 1.0 + 1e-12]), (2, [1.0, 1.0]), (3, [1e39, 0.0]), (4, [-1e39, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest(df, "vec_id", "embedding", F.col("id") % 20 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 1e39), (1, 1.0 + (1.0 + 1e-12)), (2, 2.0), (4, -1e39)]
+
+
 def test_recall_on_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = nearest(df, "vec_id", "embedding", F.col("id") % 20 == 0, shard=2000).collect()
