@@ -68,6 +68,8 @@ def column_band(x: Column, bands: Mapping[str, tuple[float, float]], tolerance:
 
 #: Fragments of one text that are gathered at once.
 FOLD_ROWS = 4096
+#: Spans of a header that are read at once, one after the other.
+STATE_ROWS = 512
 
 
 def folded_texts(df: DataFrame, keys: Sequence[str], order: Sequence[str], texts: Mapping[str, Column], sep: str, rows: int = FOLD_ROWS) -> DataFrame:
@@ -311,12 +313,15 @@ def key_values(spans: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     return found.groupBy("page_id", "field").agg(F.max_by("value", "__i").alias("value"))
 
 
-def key_values_same_line(spans: DataFrame, keys: Mapping[str, str], slack: float = 3.0) -> DataFrame:
+def key_values_same_line(spans: DataFrame, keys: Mapping[str, str], slack: float = 3.0, rows: int = STATE_ROWS) -> DataFrame:
     """(page_id, field, value) like ``key_values``, for headers that print several keys on one line.
 
     An open key takes the next text as its value, unless that text is a known key at most ``slack`` below or above
     it: such a key is read as usual, and replaces the open one if it is open itself.  The last value of a field wins.
-    The spans of one page's header are folded in reading order.
+
+    Spans are read in order, by runs of ``rows``.  What a run leaves open depends on what was open before it in two
+    ways at most, so a run is summed up in one row; a scan over a page's runs tells each what is open where it begins,
+    and the runs are then read side by side.
     """
     t = spans.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
     pattern = r"^(.+?)[:：](.*)$"
@@ -326,24 +331,54 @@ def key_values_same_line(spans: DataFrame, keys: Mapping[str, str], slack: float
         F.when(hit, lookup(strip(F.regexp_extract("text", pattern, 1)), dict(keys))).alias("field"),
         F.when(hit, strip(F.regexp_extract("text", pattern, 2))).otherwise("").alias("value"),
     )
-    page = read.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "span_id", "text", "field", "value"))).alias("__all"))
+    band = F.coalesce(_band("y0"), F.lit(-(1 << 62)))  # spans without a height come first
+    placed = segmented(read, ["page_id"], ["y0", "x0", "span_id"], band, rank="__i")
+    runs = placed.groupBy("page_id", F.floor((F.col("__i") - 1) / rows).alias("__run")).agg(
+        F.array_sort(F.collect_list(F.struct("__i", "y0", "text", "field", "value"))).alias("__all"))
     state = "struct<open:string,y:double,found:array<struct<field:string,value:string>>>"
-    start = F.struct(F.lit(None), F.lit(0.0), F.array()).cast(state)
+    nothing = F.struct(F.lit(None), F.lit(None), F.array()).cast(state)
+    apart = lambda y, before: F.coalesce(F.abs(y - before) > slack, F.lit(False))
 
     def step(acc: Column, s: Column) -> Column:
         made = lambda open_, y, found: F.struct(open_.alias("open"), y.alias("y"), found.alias("found")).cast(state)
         plus = lambda field, value: F.concat(acc["found"], F.array(F.struct(field.alias("field"), value.alias("value"))))
-        beside = s["field"].isNotNull() & (F.abs(s["y0"] - acc["y"]) <= slack)
-        nothing = F.lit(None).cast("string")
+        taken = acc["open"].isNotNull() & (s["field"].isNull() | apart(s["y0"], acc["y"]))
         return (
-            F.when(acc["open"].isNotNull() & ~beside, made(nothing, acc["y"], plus(acc["open"], s["text"])))
+            F.when(taken, made(F.lit(None), F.lit(None), plus(acc["open"], s["text"])))
             .when(s["field"].isNull(), acc)
             .when(s["value"] != "", made(acc["open"], acc["y"], plus(s["field"], s["value"])))
             .otherwise(made(s["field"], s["y0"], acc["found"]))
         )
 
-    folded = page.select("page_id", F.posexplode(F.aggregate("__all", start, step)["found"]).alias("__i", "f"))
-    return folded.groupBy("page_id", F.col("f.field").alias("field")).agg(F.max_by("f.value", "__i").alias("value"))
+    # Keys with values leave a state as it is.  The first other span, the turn, decides which of two states remains:
+    # that of a run which began with nothing open, or that of one whose turn, an open key, was taken as a value.
+    turn = F.get(F.filter("__all", lambda s: s["field"].isNull() | (s["value"] == "")), F.lit(0))
+    ends = lambda some: F.aggregate(some, nothing, step)
+    sums = runs.withColumn("__turn", turn).select("page_id", F.struct(
+        "__run", ends(F.col("__all")).alias("plain"), ends(F.filter("__all", lambda s: s["__i"] > F.col("__turn.__i"))).alias("late"),
+        F.col("__turn").isNotNull().alias("turns"), F.col("__turn.field").isNotNull().alias("key"), F.col("__turn.y0").alias("y"),
+        F.array_max(F.transform(F.filter("__all", lambda s: F.coalesce(s["__i"] < F.col("__turn.__i"), F.lit(True))), lambda s: s["y0"])).alias("ahead"),
+    ).alias("s"))
+    scan = "struct<open:string,y:double,starts:array<struct<run:bigint,open:string,y:double>>>"
+
+    def pass_on(acc: Column, s: Column) -> Column:
+        ahead = apart(s["ahead"], acc["y"])
+        left = lambda f: (
+            F.when(acc["open"].isNull() | (s["turns"] & ahead), s["plain"][f])
+            .when(~s["turns"], F.when(~ahead, acc[f]))
+            .when(s["key"] & apart(s["y"], acc["y"]), s["late"][f])
+            .otherwise(s["plain"][f])
+        )
+        here = F.struct(s["__run"].alias("run"), acc["open"].alias("open"), acc["y"].alias("y"))
+        return F.struct(left("open").alias("open"), left("y").alias("y"), F.concat(acc["starts"], F.array(here)).alias("starts")).cast(scan)
+
+    pages = sums.groupBy("page_id").agg(F.array_sort(F.collect_list("s")).alias("__sums"))
+    begun = F.aggregate("__sums", F.struct(F.lit(None), F.lit(None), F.array()).cast(scan), pass_on)["starts"]
+    starts = pages.select("page_id", F.explode(begun).alias("b")).select(
+        "page_id", F.col("b.run").alias("__run"), F.struct(F.col("b.open"), F.col("b.y"), F.array()).cast(state).alias("__start"))
+    folded = runs.join(starts, ["page_id", "__run"]).select(
+        "page_id", "__run", F.posexplode(F.aggregate("__all", F.col("__start"), step)["found"]).alias("__i", "f"))
+    return folded.groupBy("page_id", F.col("f.field").alias("field")).agg(F.max_by("f.value", F.struct("__run", "__i")).alias("value"))
 
 
 def page_statement(
@@ -376,31 +411,35 @@ def page_statement(
     )
 
 
-def assign_cells(blocks: DataFrame, cells: DataFrame, nearest: bool = True, bin_height: float = 50.0) -> DataFrame:
+def assign_cells(blocks: DataFrame, cells: DataFrame, nearest: bool = True, bin_height: float = 50.0, bin_width: float = 200.0) -> DataFrame:
     """Add (row, col) of the cell with the largest overlap to each block.
 
     cells (page_id, row, col, cx0, cy0, cx1, cy1); blocks (page_id, span_id, x0, y0, x1, y1).
-    Blocks and cells meet in shared height bins.  Blocks without overlap go to the nearest
-    row, then the nearest column of that row, or are dropped (``nearest=False``).
+    Blocks and cells meet in the bins of a grid; a pair counts only in the bin where its overlap begins, so it is met
+    once.  Blocks without overlap go to the nearest row, then the nearest column of that row, or are dropped
+    (``nearest=False``).
     """
-    def binned(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(lo) / bin_height), F.floor(F.col(hi) / bin_height))))
-
-    area = F.greatest(F.lit(0), F.least("x1", "cx1") - F.greatest("x0", "cx0")) * F.greatest(
-        F.lit(0), F.least("y1", "cy1") - F.greatest("y0", "cy0"))
-    b = binned(blocks.select("page_id", "span_id", "x0", "y0", "x1", "y1"), "y0", "y1")
-    c = binned(cells, "cy0", "cy1")
-    over = b.join(c, ["page_id", "__bin"]).withColumn("__area", area).where("__area > 0")
+    def binned(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+        over = lambda lo, hi, size: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+        return df.withColumn("__bx", over(x0, x1, bin_width)).withColumn("__by", over(y0, y1, bin_height))
+
+    left, top = F.greatest("x0", "cx0"), F.greatest("y0", "cy0")
+    area = F.greatest(F.lit(0), F.least("x1", "cx1") - left) * F.greatest(F.lit(0), F.least("y1", "cy1") - top)
+    b = binned(blocks.select("page_id", "span_id", "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1")
+    c = binned(cells, "cx0", "cy0", "cx1", "cy1")
+    met = b.join(c, ["page_id", "__bx", "__by"]).where((F.floor(left / bin_width) == F.col("__bx")) & (F.floor(top / bin_height) == F.col("__by")))
+    over = met.withColumn("__area", area).where("__area > 0")
     best = over.groupBy("page_id", "span_id").agg(
         F.max_by(F.struct("row", "col"), F.struct("__area", -F.col("row"), -F.col("col"))).alias("c")
     ).select("page_id", "span_id", "c.row", "c.col")
-    inside = blocks.join(best, ["page_id", "span_id"])
     if not nearest:
-        return inside
-    apart = blocks.join(best.select("page_id", "span_id"), ["page_id", "span_id"], "left_anti").withColumns({
+        return blocks.join(best, ["page_id", "span_id"])
+    # Found once; those with a cell and those without are then read from it.
+    found = materialize(blocks.join(best, ["page_id", "span_id"], "left"), "cells")
+    inside = found.where("row IS NOT NULL")
+    apart = found.where("row IS NULL").drop("row", "col").withColumns({
         "__y": (F.col("y0") + F.col("y1")).cast("double") / 2, "__x": (F.col("x0") + F.col("x1")).cast("double") / 2,
     })
-    apart = materialize(apart, "apart")  # read by both passes below, costly to find again
     # The height of a grid row is that of its first cell.
     rows = cells.groupBy("page_id", "row").agg(F.min_by((F.col("cy0") + F.col("cy1")).cast("double") / 2, "col").alias("__y"))
     cols = cells.select("page_id", "row", F.col("col").cast("bigint").alias("col"), ((F.col("cx0") + F.col("cx1")).cast("double") / 2).alias("__x"))
