@@ -4,7 +4,8 @@ A text is cut into chunks that overlap.  Each chunk is pre-tokenised on its own;
 chunk shares with the one before, both agree for good, since the pattern looks at nothing before a match.  There
 the chunks are stitched, and what lies between two stitches is encoded on its own.  A stitch never follows white
 space, so the end of a part cannot change how the pattern splits it.  Chunks that share no boundary in the overlap
-(one very long piece) are joined before they are encoded.
+(one very long piece) are joined before they are encoded.  A text of many chunks is dealt over tasks in portions that
+overlap and are stitched in the same way.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain as chain_in
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from .batches import Batches, byte_texts, chain, kind, only, store
 from .words import portions
 
-#: Characters of a chunk and of the overlap with the next one.
-CHUNK = 1 << 16
+#: Characters of a chunk, of a portion that one task takes, and of the overlap with the next chunk or portion.
+CHUNK = 1 << 13
+PORTION = 1 << 16
 OVERLAP = 512
 #: White space for either library that applies the pattern.
 _BLANK = regex.compile(r"[\s\x1c-\x1f\x85]")
@@ -52,14 +55,26 @@ def boundaries(text: str, pattern: str, lo: int, hi: int) -> list[int]:
     return out
 
 
-def encode_step(path: str, pattern: str) -> Callable[[Batches], Batches]:
-    """Batches (id, key, part, text) become (id, key, part, ids); each text is encoded on its own."""
+def regions(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The text cut where consecutive chunks share their first boundary; each part may be encoded on its own."""
+    cuts, tail = [0], set()
+    for at in range(0, len(text), chunk):
+        piece = text[at : at + chunk + overlap]
+        if tail:
+            shared = tail.intersection(boundaries(piece, pattern, 1, overlap))
+            cuts.extend([at + min(shared)] if shared else [])
+        tail = {x - chunk for x in boundaries(piece, pattern, chunk + 1, chunk + overlap)} if len(piece) > chunk else set()
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def encode_step(path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[Batches], Batches]:
+    """Batches (id, key, part, text) become (id, key, part, ids); each text is encoded by the regions of its chunks."""
     def run(batches: Batches) -> Batches:
         encoding = _encoding(path, pattern)
         for batch in batches:
             texts = byte_texts(batch.column("text"))
             for some in portions([len(t) for t in texts]):
-                ids = [encoding.encode_ordinary(t.decode()) for t in texts[some]]
+                ids = [list(chain_in.from_iterable(map(encoding.encode_ordinary, regions(t.decode(), pattern, chunk, overlap)))) for t in texts[some]]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in ids])
                 array = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
@@ -174,19 +189,19 @@ def _join_parts(size: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def encoded_parts(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, overlap: int = OVERLAP, pattern: str = "") -> tuple[DataFrame, DataFrame]:
-    """Texts of at most one chunk, (id, key, part, text), and the others' pieces, which ``_join_parts`` makes regions.
+def encoded_parts(df: DataFrame, id_col: str, text_col: str, portion: int = PORTION, overlap: int = OVERLAP, pattern: str = "") -> tuple[DataFrame, DataFrame]:
+    """Texts of at most one portion, (id, key, part, text), and the others' pieces, which ``_join_parts`` makes regions.
 
     Every region is to be encoded on its own.  ``key`` tells texts apart even where ids repeat; it is null for texts
-    of one chunk.  Long texts are read once, written as chunks to the shared folder, and only small boundary lists
+    of one portion.  Long texts are read once, written as portions to the shared folder, and only small boundary lists
     are ordered by text.
     """
     texts = only(df, id=id_col, text=text_col)
     size = F.coalesce(F.length("text"), F.lit(0))
-    short = texts.where(size <= chunk).select("id", F.lit(None).cast("string").alias("key"), F.lit(0).alias("part"), "text")
+    short = texts.where(size <= portion).select("id", F.lit(None).cast("string").alias("key"), F.lit(0).alias("part"), "text")
     kinds = f"id {kind(texts, 'id')}, key string, part int"
-    long = store(texts.where(size > chunk).mapInArrow(_chunks(chunk, overlap), f"{kinds}, text string"), "bpe-chunks")
-    edges = long.select("key", "part", "text").mapInArrow(_edges(chunk, overlap, pattern), "key string, part int, head array<int>, tail array<int>")
+    long = store(texts.where(size > portion).mapInArrow(_chunks(portion, overlap), f"{kinds}, text string"), "bpe-chunks")
+    edges = long.select("key", "part", "text").mapInArrow(_edges(portion, overlap, pattern), "key string, part int, head array<int>, tail array<int>")
     order = Window.partitionBy("key").orderBy("part")
     cuts = (
         edges.withColumn("cut", F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
@@ -198,17 +213,17 @@ def encoded_parts(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK,
     return short, pieces.repartition("key", "region").sortWithinPartitions("key", "region", "part")
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, portion: int = PORTION, overlap: int = OVERLAP, chunk: int = CHUNK) -> DataFrame:
     """Token ids of every text: (id, key, part, ids), as the rank file's library gives for the whole text.
 
-    A text longer than ``chunk`` has several parts with one ``key``; they are consecutive rows of one partition, in
+    A text longer than ``portion`` has several parts with one ``key``; they are consecutive rows of one partition, in
     order.  Others have one row with a null key and are encoded without a shuffle.  Null and empty texts have no
     ids.  Repeated rows stay apart.  The ids of a text are those of its parts, one after the other.
     """
-    short, long = encoded_parts(df, id_col, text_col, chunk, overlap, pattern)
+    short, long = encoded_parts(df, id_col, text_col, portion, overlap, pattern)
     kinds = f"id {kind(short, 'id')}, key string, part int, ids array<int>"
-    step = encode_step(path, pattern)
-    ordered = long.mapInArrow(chain(_join_parts(chunk), step), kinds).repartition("key").sortWithinPartitions("key", "part")
+    step = encode_step(path, pattern, chunk, overlap)
+    ordered = long.mapInArrow(chain(_join_parts(portion), step), kinds).repartition("key").sortWithinPartitions("key", "part")
     return short.mapInArrow(step, kinds).unionByName(ordered)
 
 
@@ -218,14 +233,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(decode_step(path, pattern), f"{kinds}, bytes binary")
 
 
-def round_trip(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def round_trip(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, portion: int = PORTION, overlap: int = OVERLAP, chunk: int = CHUNK) -> DataFrame:
     """Encode every text, decode its ids, and return id, n_tokens, ids_sha256 and decoded_sha256 of each.
 
     The steps are those of ``encode`` and ``decode``, run in one pass of Python.
     """
-    short, long = encoded_parts(df, id_col, text_col, chunk, overlap, pattern)
+    short, long = encoded_parts(df, id_col, text_col, portion, overlap, pattern)
     id_kind = kind(short, "id")
     kinds = f"id {id_kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    step, back = encode_step(path, pattern), decode_step(path, pattern)
-    ordered = long.mapInArrow(chain(_join_parts(chunk), step), f"id {id_kind}, key string, part int, ids array<int>").repartition("key").sortWithinPartitions("key", "part")
+    step, back = encode_step(path, pattern, chunk, overlap), decode_step(path, pattern)
+    ordered = long.mapInArrow(chain(_join_parts(portion), step), f"id {id_kind}, key string, part int, ids array<int>").repartition("key").sortWithinPartitions("key", "part")
     return short.mapInArrow(chain(step, back, digest_step), kinds).unionByName(ordered.mapInArrow(chain(back, digest_step), kinds)).withColumnRenamed("id", id_col)

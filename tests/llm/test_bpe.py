@@ -6,7 +6,7 @@ import random
 import public_tokenizers as P
 import pytest
 
-from tallyweave.llm.bpe import _encoding, decode, encode, round_trip
+from tallyweave.llm.bpe import CHUNK, _encoding, decode, encode, regions, round_trip
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 HARD = [
@@ -20,11 +20,11 @@ def texts():
     return HARD + ["".join(pick.choice(["ab", " ", "  ", "\n", "'s", "9", "é", "!", "\t", " the"]) for _ in range(pick.randrange(400))) for _ in range(60)]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(1 << 16, 512), (64, 16), (32, 8), (7, 3)])
-def test_as_the_library(spark, chunk, overlap):
+@pytest.mark.parametrize("portion,overlap,chunk", [(1 << 16, 512, 1 << 13), (1 << 16, 8, 20), (1 << 16, 3, 7), (64, 16, 24), (32, 8, 8), (7, 3, 5)])
+def test_as_the_library(spark, portion, overlap, chunk):
     rows = [(i // 2, t, "x") for i, t in enumerate(texts() + ["word " * 80 + "!!!???"] * 3)]  # ids repeat, rows repeat
     df = spark.createDataFrame(rows, "doc_id bigint, text string, part string")
-    got = sorted(map(tuple, round_trip(df, "doc_id", "text", PATH, P.PATTERN, chunk, overlap).collect()))
+    got = sorted(map(tuple, round_trip(df, "doc_id", "text", PATH, P.PATTERN, portion, overlap, chunk).collect()))
     library = _encoding(PATH, P.PATTERN)
     want = []
     for i, t, _ in rows:
@@ -42,5 +42,13 @@ def test_parts_and_bytes(spark):
     assert [(r.ids, bytes(r.bytes)) for r in rows if r.id == 2] == [([], b"")]
 
 
+def test_regions_of_ordinary_texts():
+    """A text of some chunks has as many regions; one without a boundary in the overlap stays whole."""
+    text = "some words, more of them. " * 2000
+    parts = regions(text, P.PATTERN)
+    assert "".join(parts) == text and len(parts) == -(-len(text) // CHUNK)
+    assert regions("x" * 5 * CHUNK, P.PATTERN) == ["x" * 5 * CHUNK] and regions("", P.PATTERN) == [""]
+
+
 def test_empty_table(spark):
     assert round_trip(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text", PATH, P.PATTERN).count() == 0
