@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .batches import Batches, kind, only
 
+#: Turns whose prefixes are rendered together.
+WINDOW = 32
+
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
 
@@ -68,7 +71,41 @@ def _grown(old: str, new: str) -> tuple[int, int, bool]:
     return at, len(new), False
 
 
-def locate(render: Render, turns: list[Turn]) -> Located:
+def locate(render: Render, turns: list[Turn], window: int = WINDOW) -> Located:
+    """As ``locate_prefixes``, at a cost that grows with the turns and not with their square.
+
+    Windows of turns, each with the last turn of the one before, are located by their own prefixes.  Their spans count
+    if no window shows a rewrite, if the shared turns look alike in both windows, and if the spans put together are what
+    the template renders for all turns.  Else the prefixes of the whole conversation are rendered, as for templates
+    that number their turns or rewrite history.  A rewrite that later turns take back, and that no prefix shorter than a
+    window shows, isn't noticed.
+    """
+    first = locate_prefixes(render, turns[:window])
+    if len(turns) <= window:
+        return first
+    at = first.spans[0][0]
+    pieces, spans, texts = [first.formatted[:at]], [], []
+    found, shared, last = first, 0, None
+    for begin in range(0, len(turns), window):
+        if begin:
+            found, shared = locate_prefixes(render, turns[begin - 1 : begin + window]), 1
+            lo, hi = found.spans[0]
+            if found.formatted[lo:hi] != last:
+                return locate_prefixes(render, turns)
+        if found.rewrites:
+            return locate_prefixes(render, turns)
+        for (lo, hi), (a, b) in list(zip(found.spans, found.texts, strict=True))[shared:]:
+            last = found.formatted[lo:hi]
+            pieces.append(last)
+            spans.append((at, at + hi - lo))
+            texts.append((at + a - lo, at + b - lo))
+            at += hi - lo
+    pieces.append(found.formatted[found.spans[-1][1] :])
+    whole = render(turns)
+    return Located(whole, spans, texts, False) if "".join(pieces) == whole else locate_prefixes(render, turns)
+
+
+def locate_prefixes(render: Render, turns: list[Turn]) -> Located:
     """Render each prefix of the turns; consecutive outputs show where a turn stands, a changed past shows a rewrite.
 
     A turn's text is found by rendering the turn once more without text.  If a template rewrites history the spans of
@@ -127,8 +164,10 @@ def format_conversations(df: DataFrame, conv_col: str, turn_col: str, role_col:
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a fixed order; each
     row is a turn.  Null roles and texts count as empty; null conversation ids are one conversation.  ``loss`` has
-    the text span of each turn of role ``learn``.  Conversations stream through a task in order: memory is that of
-    one conversation, whose prefixes are rendered, so its cost is the square of its turns.
+    the text span of each turn of role ``learn``.  An empty table gives no rows; other columns of ``df`` are not read,
+    whatever their names.  Conversations stream through a task in order: memory is that of one conversation, which is one
+    value of the result.  Its cost grows with its turns, with their square only for templates that ``locate`` can't
+    read by windows.
     """
     rows = only(df, conv=conv_col, turn=turn_col, role=role_col, text=text_col)
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")

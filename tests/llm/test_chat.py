@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyweave.llm.chat import digests, escape, format_conversations, locate, marked, read_turn, unescape, with_control_strings
+from tallyweave.llm.chat import digests, escape, format_conversations, locate, locate_prefixes, marked, read_turn, unescape, with_control_strings
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
 TEXT = st.text(alphabet="\\#<>/:turn \nhlcé👍", max_size=30)
@@ -36,6 +36,33 @@ def test_trailer_and_rewriting_templates():
     assert locate(forgets, [("u", "ab"), ("a", "cd")]).rewrites and not locate(forgets, [("u", "ab")]).rewrites
 
 
+def templates():
+    trailer = lambda turns: "<s>" + "".join(f"[{r}]{t}|" for r, t in turns) + "</s>"
+    tricky = lambda turns: "".join(f"<{r}>{t}" for r, t in turns) + "</s>"
+    numbered = lambda turns: "".join(f"{i}. {r}: {t}\n" for i, (r, t) in enumerate(turns))
+    forgets = lambda turns: "".join(f"[{r}]{t if i == len(turns) - 1 else '..'}|" for i, (r, t) in enumerate(turns))
+    drops = lambda turns: marked(turns[-7:])
+    return [marked, trailer, tricky, numbered, forgets, drops]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "/s"]), TEXT), max_size=14), st.integers(1, 5))
+@settings(max_examples=150, deadline=None)
+def test_windows_as_prefixes(turns, window):
+    for render in templates():
+        assert locate(render, turns, window) == locate_prefixes(render, turns)
+
+
+def test_long_conversation_costs_its_turns():
+    turns, seen = [("user" if i % 2 else "assistant", f"turn {i} " * 5) for i in range(3000)], [0]
+
+    def counted(some):
+        seen[0] += len(some)
+        return marked(some)
+
+    found = locate(counted, turns)
+    assert seen[0] < 50 * len(turns) and found.formatted == marked(turns) and [read_turn(found.formatted[a:b]) for a, b in found.spans] == turns
+
+
 def test_query_shape(spark):
     rows = [
         (1, 0, "system", "s"), (1, 2, "assistant", "A#<\\"), (1, 1, "user", None), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 1, None, "x"),
