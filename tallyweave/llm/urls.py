@@ -18,6 +18,10 @@ FEATURES = (
 )
 #: Labelled URLs that the trees are fitted on at most, taken in order of a hash.
 MAX_LABELLED = 10_000
+#: Labelled URLs are dealt into so many folds; a row that the trees learn from sees rates of the other folds only.
+FOLDS = 5
+#: Statistics of a suffix are repeated so often, so that the rows of a frequent suffix meet them in many tasks.
+SALTS = 16
 #: Suffix statistics lean towards the overall rate as if so many more labelled URLs had it.
 PRIOR = 20.0
 
@@ -72,14 +76,44 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
+def _rate(bad: Column, known: Column, overall: Column) -> Column:
+    """Share of bad ones, smoothed towards the overall rate."""
+    return ((bad + PRIOR * overall) / (known + PRIOR)).cast("double")
+
+
 def suffixes(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     """(suffix, suffix_count, suffix_bad): how many URLs have it, and the smoothed share of bad ones among the labelled."""
     total = urls.groupBy("suffix").agg(F.count(F.lit(1)).alias("suffix_count"))
     # One row and never null, so an uncorrelated scalar suffices.
     overall = labelled.agg(F.coalesce(F.avg("bad"), F.lit(0.0)).alias("rate")).first()["rate"]
     seen = labelled.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("known"))
-    rate = (F.coalesce("bad", F.lit(0)) + PRIOR * overall) / (F.coalesce("known", F.lit(0)) + PRIOR)
-    return total.join(seen, "suffix", "left").select("suffix", "suffix_count", rate.cast("double").alias("suffix_bad"))
+    rate = _rate(F.coalesce("bad", F.lit(0)), F.coalesce("known", F.lit(0)), F.lit(overall))
+    return total.join(seen, "suffix", "left").select("suffix", "suffix_count", rate.alias("suffix_bad"))
+
+
+def fold_of(url: Column, folds: int = FOLDS) -> Column:
+    """Equal URLs share a fold."""
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit("")), F.lit("fold")), F.lit(folds))
+
+
+def fold_rates(labelled: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(suffix, fold, suffix_bad): the smoothed share of bad ones among all labelled URLs of other folds; ``labelled`` has suffix, fold, bad."""
+    sums = (F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("known"))
+    whole = {r["fold"]: (r["bad"], r["known"]) for r in labelled.groupBy("fold").agg(*sums).collect()}  # a row for each fold
+    overall = F.lit(0.0)
+    for fold in whole:
+        bad, known = (sum(v[i] for k, v in whole.items() if k != fold) for i in (0, 1))
+        overall = F.when(F.col("fold") == fold, F.lit(bad / known if known else 0.0)).otherwise(overall)
+    each = labelled.groupBy("suffix", "fold").agg(*sums)
+    every = each.groupBy("suffix").agg(F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
+    return each.join(every, "suffix").select("suffix", "fold", _rate(F.col("all_bad") - F.col("bad"), F.col("all_known") - F.col("known"), overall).alias("suffix_bad"))
+
+
+def with_suffix(featured: DataFrame, stats: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Adds the statistics of each row's suffix.  A suffix may hold most rows: they are dealt over ``salts`` tasks."""
+    spread = featured.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
+    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return spread.join(copies, ["suffix", "__salt"]).drop("__salt")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -116,12 +150,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...
     known = pages.select("page_id", "url").withColumns({"host": host_of(url), "path": path_of(url)})
     featured = lexical(known)
     marked = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    labelled = featured.join(marked, "page_id")
+    labelled = featured.join(marked, "page_id").withColumn("fold", fold_of(url))
     # Only the trees are fitted on a part; the statistics count every labelled URL.
     sample = labelled.orderBy(F.xxhash64("url", "page_id"), "page_id", "url").limit(limit)
     stats = suffixes(featured.select("suffix"), labelled.select("suffix", "bad"))
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    whole = score(featured.join(stats, "suffix"), fit(sample.join(stats, "suffix")))
+    learned = sample.join(stats.select("suffix", "suffix_count"), "suffix").join(fold_rates(labelled.select("suffix", "fold", "bad")), ["suffix", "fold"])
+    whole = score(with_suffix(featured, stats), fit(learned))
     by_model = F.when(F.col("bad_score") > threshold, "block").otherwise("allow")
     return whole.withColumn("found", rule).select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", by_model).alias("verdict"), "bad_score"

@@ -85,3 +85,30 @@ def test_suffix_statistics_of_all_labelled_urls(spark, monkeypatch):
     urls.judge(df, df.select("page_id", "bad"), limit=20)
     got = {r.suffix: (r.suffix_count, round(r.suffix_bad, 9)) for r in seen["stats"].collect()}
     assert got == {f"s{k}.biz": (50, round((50 * (k == 1) + 20 * 0.25) / 70, 9)) for k in range(4)} and seen["fitted"] == 20
+
+
+def test_rates_of_other_folds(spark):
+    pick = random.Random(4)
+    rows = [(f"s{pick.randrange(6)}", pick.randrange(5), pick.randrange(2)) for _ in range(150)] + [("alone", 2, 1)]
+    got = {(r.suffix, r.fold): r.suffix_bad for r in urls.fold_rates(spark.createDataFrame(rows, "suffix string, fold bigint, bad int")).collect()}
+    assert got.keys() == {r[:2] for r in rows}
+    for (suffix, fold), rate in got.items():
+        others = [bad for _, f, bad in rows if f != fold]
+        own = [bad for s, f, bad in rows if f != fold and s == suffix]
+        assert abs(rate - (sum(own) + urls.PRIOR * sum(others) / len(others)) / (len(own) + urls.PRIOR)) < 1e-9
+
+
+def test_labels_without_a_pattern_teach_nothing(spark):
+    """Each suffix has few URLs and labels are drawn at random: a rate that held the row's own label would look telling."""
+    pick = random.Random(8)
+    rows = [(i, f"http://h.s{pick.randrange(250)}.biz/{pick.randrange(10 ** 6)}", int(pick.random() < 0.3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
+    scores = [r.bad_score for r in judge(df, df.where("page_id < 1000").select("page_id", "bad")).where("page_id >= 1000").collect()]
+    assert sum(s > 0.5 for s in scores) / len(scores) < 0.1
+
+
+def test_salted_statistics(spark):
+    df = spark.createDataFrame([(i % 7, f"u{i % 40}", "hot" if i % 3 else "cold") for i in range(200)], "page_id bigint, url string, suffix string")
+    stats = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3)], "suffix string, suffix_count int")
+    plain = df.join(stats, "suffix")
+    assert sorted(map(tuple, urls.with_suffix(df, stats).select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
