@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_PRIORITY
-from ..session import materialize
+from ..session import materialize, spread
 
 #: Up to this many rules are compiled into one expression; more are joined.
 COMPILED_RULE_LIMIT = 400
+#: Longest piece by which a keyword is looked up.  Any number of two or more gives the same result.
+PIECE = 8
 
 RULE_SCHEMA = (
     "ord bigint, rule_id string, direction string, priority bigint, keywords array<string>, "
@@ -131,60 +133,80 @@ def rule_column(
     return F.get(results, choice)
 
 
-def _grams(text: Column) -> Column:
-    """Two-character pieces of a text; a shorter one is its own piece."""
-    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(F.length(text) >= 2, pieces).otherwise(F.array(text))
+def _tails(text: Column) -> Column:
+    """What starts at each character of a text, up to ``PIECE`` characters; the last character alone starts nothing."""
+    found = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(PIECE)))
+    return F.when(F.length(text) >= 2, found).otherwise(F.array().cast("array<string>"))
 
 
-def _anchors(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, gram): for each word the one of its pieces that fewest texts hold; none where no text holds one of them."""
-    grams = words.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("word")))))
+def _grams(text: Column, size: int = 2) -> Column:
+    """Pieces of ``size`` characters of a text; a shorter one is its own piece."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, pieces).otherwise(F.array(text))
+
+
+def _anchors(words: DataFrame, pieces: DataFrame, size: int = 2) -> DataFrame:
+    """(word, gram): for each word the one of its pieces that fewest rows of ``pieces`` hold; none where no row holds one of them."""
+    grams = words.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("word"), size))))
     frequency = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     rated = grams.join(frequency, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     return rated.groupBy("word").agg(F.min(F.struct("texts", "gram")).alias("a")).where("a.texts > 0").select("word", F.col("a.gram").alias("gram"))
 
 
+def _pieces(texts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(tid, key): the pieces of each text that begin like an anchor and are as long; key names direction and piece."""
+    # A few sizes for each pair of characters; stored, so that its size decides how it travels.
+    heads = anchors.where(F.length("gram") >= 2).groupBy(F.substring("gram", 1, 2).alias("head")).agg(F.collect_set(F.length("gram")).alias("sizes"))
+    heads = materialize(heads, "rule-heads")
+    tails = texts.select("tid", "direction", F.explode(_tails(F.col("description"))).alias("tail"))
+    sized = tails.join(heads, F.substring("tail", 1, 2) == F.col("head")).select("tid", "direction", "tail", F.explode("sizes").alias("size"))
+    found = sized.where(F.length("tail") >= F.col("size")).select("tid", "direction", F.expr("substring(tail, 1, size)").alias("gram"))
+    if not anchors.where(F.length("gram") < 2).isEmpty():
+        letters = F.transform(F.sequence(F.lit(1), F.length("description")), lambda i: F.substring("description", i, F.lit(1)))
+        single = F.when(F.length("description") >= 1, letters).otherwise(F.array().cast("array<string>"))
+        found = found.unionByName(texts.select("tid", "direction", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), single))).alias("gram")))
+    return found.select("tid", F.xxhash64("direction", "gram").alias("key"))
+
+
 def join_rules(df: DataFrame, rules: DataFrame, out: str = "match") -> DataFrame:
     """The same result for rule sets too large to compile.
 
-    An index of anchors stands for "contains a keyword": each keyword is known by the rarest of its two-character pieces,
-    a text looks up its own pieces (at most two for each character, however many lengths keywords have), and only what
-    is found is compared as a whole.  Each distinct text is looked up once.
+    An index of anchors stands for "contains a keyword": a keyword of up to ``PIECE`` characters is looked up as it is,
+    a longer one by the piece of that length that fewest keywords hold, so few keywords share an anchor however many
+    there are.  A text looks up those of its pieces that begin like an anchor, and only what is found is compared as a
+    whole.  Each distinct text is looked up once.
     """
     rules = plain_rules(rules)
-    by_word = rules.withColumn("word", F.explode(F.array_distinct("keywords"))).withColumnRenamed("direction", "way")
-    key = ["direction", "description", "counterparty"]
-    keyed = df.withColumn("__cp", F.coalesce("counterparty", F.lit("")))
-    texts = keyed.select("direction", "description", F.col("__cp").alias("counterparty")).distinct()
+    conditions = ["exclude", "require", "counterparty_pattern"]
+    payload = F.struct(
+        F.col("code").alias("subject_code"), F.col("name").alias("subject_name"),
+        F.lit("rule").alias("source"), F.col("rule_id"),
+    )
+    # Of rules with one keyword and the same conditions only the first can win.
+    by_word = rules.select("*", F.explode(F.array_distinct("keywords")).alias("word")).groupBy(F.col("direction").alias("way"), "word", *conditions).agg(
+        F.min_by(F.struct("priority", "ord", payload.alias("won")), F.struct("priority", "ord")).alias("rule"))
+    words = spread(rules.select(F.explode("keywords").alias("word")), "word").distinct()
+    held = words.select(F.explode(F.array_distinct(_grams(F.col("word"), PIECE))).alias("gram"))
+    anchors = materialize(_anchors(words, held, PIECE), "rule-anchors")
+    key = ["direction", "description"]
+    keyed = df
+    if not rules.where("counterparty_pattern <> ''").isEmpty():
+        key, keyed = [*key, "__cp"], df.withColumn("__cp", F.coalesce("counterparty", F.lit("")))
     # Written once: candidates are rows of numbers and meet their text by it.
-    texts = materialize(texts.withColumn("tid", F.monotonically_increasing_id()), "rule-texts")
-    words = by_word.select("word").distinct()
-    known = words.select(F.explode(_grams(F.col("word"))).alias("gram")).distinct()
-    letters = F.transform(F.sequence(F.lit(1), F.length("description")), lambda i: F.substring("description", i, F.lit(1)))
-    single = F.when(F.length("description") >= 1, letters).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(F.array(F.lit("")), single, _grams(F.col("description"))))
-    pieces = materialize(texts.select("tid", F.explode(every).alias("gram")).join(known, "gram", "left_semi"), "rule-pieces")
-    found = pieces.join(_anchors(words, pieces), "gram").select("tid", "word")
-    text = F.col("description")
-    hits = found.join(by_word, "word").join(texts.withColumnRenamed("tid", "__tid"), (F.col("tid") == F.col("__tid")) & (F.col("direction") == F.col("way")))
+    texts = materialize(keyed.select(*key).distinct().withColumn("tid", F.monotonically_increasing_id()), "rule-texts")
+    asked = by_word.join(anchors, "word").withColumn("key", F.xxhash64("way", "gram")).drop("gram")
+    text, party = F.col("description"), F.col("__cp") if "__cp" in key else F.lit("")
+    hits = _pieces(texts, anchors).join(asked, "key").drop("key").join(texts, "tid")
     ok = hits.where(
-        text.contains(F.col("word"))
+        (F.col("direction") == F.col("way"))
+        & text.contains(F.col("word"))
         & ~F.exists("exclude", lambda w: text.contains(w))
         & F.forall("require", lambda w: text.contains(w))
-        & F.col("counterparty").contains(F.col("counterparty_pattern"))
-    )
-    won = ok.groupBy(*key).agg(
-        F.min_by(
-            F.struct(
-                F.col("code").alias("subject_code"), F.col("name").alias("subject_name"),
-                F.lit("rule").alias("source"), F.col("rule_id"),
-            ),
-            F.struct("priority", "ord"),
-        ).alias(out)
+        & party.contains(F.col("counterparty_pattern"))
     )
-    won = won.withColumnRenamed("counterparty", "__cp")
-    return keyed.join(won, ["direction", "description", "__cp"], "left").select(*df.columns, out)
+    best = ok.groupBy("tid").agg(F.min_by("rule.won", F.struct("rule.priority", "rule.ord")).alias(out))
+    won = texts.join(best, "tid").drop("tid")
+    return keyed.join(won, key, "left").select(*df.columns, out)
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule] | DataFrame, out: str = "match") -> DataFrame:

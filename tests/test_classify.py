@@ -78,6 +78,33 @@ def test_anchor_index(spark):
     assert {(r.word, r.gram) for r in C._anchors(words, pieces).collect()} == {("abc", "bc"), ("bcd", "bc"), ("", "")}
 
 
+def test_keywords_with_common_pieces(spark, monkeypatch):
+    """Candidates stay in proportion to texts where all keywords are made of the same few pairs of characters."""
+    n = 400
+    words = [f"{k % 10}{i:03d}{k % 10}" for i in range(n) for k in range(2)]
+    rules = [_rule(i, [w], priority=i % 7) for i, w in enumerate(words)]
+    texts = _texts(spark, [("expense", f"pay {w} x", "") for w in words])
+    found = []
+    pieces = C._pieces
+    monkeypatch.setattr(C, "_pieces", lambda *a: found.append((pieces(*a), a[1])) or found[-1][0])
+    joined = C.join_rules(texts, C.rules_frame(spark, rules)).orderBy("id").collect()
+    assert [r.match.rule_id for r in joined] == [f"r{i}" for i in range(2 * n)]
+    keys, anchors = found[0]
+    wanted = anchors.select(F.xxhash64(F.lit("expense"), "gram").alias("key"))
+    assert keys.join(wanted, "key").count() <= 2 * len(words)
+
+
+def test_long_keywords_by_their_rarest_piece(spark):
+    """Keywords longer than a piece, beside short, single and empty ones, and with a pattern of the counterparty."""
+    rnd = random.Random(11)
+    rules = [_rule(i, ["".join(rnd.choices("ab", k=rnd.randint(1, 12)))], priority=rnd.randint(1, 9), counterparty_pattern=rnd.choice(["", "z"])) for i in range(80)]
+    rules += [_rule(80, [""], priority=50, exclude=("bbb",)), _rule(81, ["aaaaaaaaaaaa"], priority=0)]
+    rows = [("expense", "".join(rnd.choices("ab", k=rnd.randint(0, 20))), rnd.choice(["", "xyz", None])) for _ in range(200)]
+    texts = _texts(spark, [*rows, ("expense", "b" + "a" * 13, ""), ("income", "ab", "z")])
+    compiled = [r.match for r in C.apply_rules(texts, rules).orderBy("id").collect()]
+    assert compiled == [r.match for r in C.join_rules(texts, C.rules_frame(spark, rules)).orderBy("id").collect()]
+
+
 def test_both_ways_agree_on_null_bearing_rules(spark):
     """Null conditions, priorities and patterns mean the same whether rules are compiled or joined."""
     rnd = random.Random(5)
