@@ -105,6 +105,15 @@ def test_long_keywords_by_their_rarest_piece(spark):
     assert compiled == [r.match for r in C.join_rules(texts, C.rules_frame(spark, rules)).orderBy("id").collect()]
 
 
+def test_gram_counts_are_spread(spark):
+    """Few small texts become many grams: they are counted in all shuffle partitions, not in those their size asks for."""
+    texts = spark.createDataFrame([("expense", f"text {i}") for i in range(300)] + [("expense", "aaa")] * 2, "direction string, ct string")
+    counts = S.gram_counts(texts, ["direction"])
+    assert counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tuple(r) for r in counts.where("ct = 'aaa'").select("gram", "cnt", "total").collect()] == [("aa", 4, 2)]
+    assert counts.where("ct = 'text 1'").count() == 5
+
+
 def test_both_ways_agree_on_null_bearing_rules(spark):
     """Null conditions, priorities and patterns mean the same whether rules are compiled or joined."""
     rnd = random.Random(5)

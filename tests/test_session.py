@@ -45,3 +45,10 @@ def test_scratch(spark):
         pass
     assert not os.path.exists(files[0].removeprefix("file:"))
     assert spark.conf.get(S._SHUFFLE_CLEANUP) == "false"
+
+
+def test_partitions_bound_what_a_task_holds(spark):
+    """Partitions follow a few megabytes of shuffle, and small tables are split for all cores."""
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "1m"
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
