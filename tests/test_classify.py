@@ -209,6 +209,31 @@ def test_both_searches_agree_over_small_blocks(spark, monkeypatch):
     assert want == sorted(map(str, S.top1_history(queries, index).collect()))
 
 
+def test_bounds_of_few_grams_lose_nothing():
+    """Products over a block's heaviest grams and the norm of the rest bound all pairs; chunks of any size give the best text."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    texts = [np.sort(rnd.choice(40, rnd.integers(1, 12), replace=False)) for _ in range(90)]
+    weights = [rnd.random(len(x)) + 0.1 for x in texts]
+    weights = [w / np.sqrt((w * w).sum()) for w in weights]
+    flat = lambda lo, hi: (np.array([len(x) for x in texts[lo:hi]]), np.concatenate(texts[lo:hi]), np.concatenate(weights[lo:hi]))
+    dense = np.zeros((90, 40))
+    for row, x, w in zip(dense, texts, weights, strict=True):
+        row[x] = w
+    want = np.round(dense[60:] @ dense[:60].T, 12)
+    for grams, some in ((1, 2), (7, 5), (40, 30)):
+        before = S.DENSE, S.CHUNK, S.SCORED
+        S.DENSE, S.CHUNK, S.SCORED = grams, some, some
+        try:
+            block = S._Block(np.arange(60), np.ones(60), *flat(0, 60))
+            parts = list(block.best(np.ones(30), np.full(30, 0.3), *flat(60, 90)))
+        finally:
+            S.DENSE, S.CHUNK, S.SCORED = before
+        found = {int(q): (int(t), round(float(s), 12)) for queries, tids, scores, _ in parts for q, t, s in zip(queries, tids, scores, strict=True) if t >= 0}
+        assert found == {q: (int(row.argmax()), row.max()) for q, row in enumerate(want) if row.max() >= 0.3}
+
+
 def test_extended_index_is_the_index_of_all(spark, tmp_path):
     rows, asked = _random_case(4, 120, 100)
     queries = spark.createDataFrame(asked, "direction string, description string")
