@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import CMB_BANDS, CMB_HEADER_KEYS, GFB_BANDS, GFB_HEADER_KEYS, GFB_LABELS
 from ..operators import layout as L
 from ..operators import normalize as N
-from ..session import work_path
+from ..session import spread, work_path
 from ..sources import cells as CE
 from ..sources import csv_statement as CSV
 from .base import Data, register
@@ -290,7 +290,7 @@ _OVER = f"""(SELECT * FROM (SELECT b.page_id, b.span_id, row, col, row_number()
 
 
 def _grid(d: Data):
-    pages = d.view("spans").select("page_id").distinct()
+    pages = spread(d.view("spans").select("page_id").distinct(), "page_id")
     cells = pages.withColumn("row", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("col", F.explode(F.sequence(F.lit(1), F.lit(8))))
     r, k = c("row"), c("col")
     return cells.select("page_id", r.cast("bigint").alias("row"), k.cast("bigint").alias("col"), (k * 50).cast("double").alias("cx0"),

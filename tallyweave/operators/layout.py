@@ -426,7 +426,8 @@ def assign_cells(blocks: DataFrame, cells: DataFrame, nearest: bool = True, bin_
     left, top = F.greatest("x0", "cx0"), F.greatest("y0", "cy0")
     area = F.greatest(F.lit(0), F.least("x1", "cx1") - left) * F.greatest(F.lit(0), F.least("y1", "cy1") - top)
     b = binned(blocks.select("page_id", "span_id", "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1")
-    c = binned(cells, "cx0", "cy0", "cx1", "cy1")
+    # Exploded rows are estimated at the size from before, and so would be broadcast however many they are.
+    c = binned(cells, "cx0", "cy0", "cx1", "cy1").hint("merge")
     met = b.join(c, ["page_id", "__bx", "__by"]).where((F.floor(left / bin_width) == F.col("__bx")) & (F.floor(top / bin_height) == F.col("__by")))
     over = met.withColumn("__area", area).where("__area > 0")
     best = over.groupBy("page_id", "span_id").agg(

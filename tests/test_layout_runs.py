@@ -70,3 +70,13 @@ def test_cells_by_bins(spark, width, height):
     rows = every.collect()
     assert len(rows) == len(blocks) and {r.span_id: (r.row, r.col) for r in rows if r.span_id in want} == want
     assert every.columns == only.columns and every.schema["row"].dataType.simpleString() in ("int", "bigint")
+
+
+def test_cells_are_not_broadcast(spark):
+    """Few pages whose cells are exploded look small to the planner: their cells are shuffled all the same."""
+    cells = spark.range(50).selectExpr("id AS page_id", "explode(sequence(1L, 40L)) AS row").selectExpr(
+        "page_id", "row", "1L AS col", "0D AS cx0", "row * 10D AS cy0", "50D AS cx1", "row * 10D + 10D AS cy1")
+    blocks = spark.range(100).selectExpr("id % 50 AS page_id", "id AS span_id", "1D AS x0", "double(id) AS y0", "20D AS x1", "double(id) + 5D AS y1")
+    found = assign_cells(blocks, cells, nearest=False)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 94  # the first six end above the first cell
