@@ -34,23 +34,23 @@ def _band(c: str) -> Column:
 def gap_clusters(spans: DataFrame, gap: float = 2.0, key: str = "page_id") -> DataFrame:
     """Add ``cluster`` 1..k per page: a new row of text starts after a vertical gap.
 
-    Only the distinct heights matter.  Gaps are found inside bands of a page; the bands then
-    tell each other where they start.
+    Spans are dealt once, by bands of a page, and gaps are found inside them; only heights are read for the bands to tell
+    each other where they start.
     """
     band = Window.partitionBy(key, "__band").orderBy("y0")
-    heights = spans.select(key, "y0").distinct().withColumn("__band", _band("y0"))
-    jumps = heights.withColumn("__jump", F.coalesce(F.col("y0") - F.lag("y0").over(band) > gap, F.lit(False)).cast("int"))
-    bands = jumps.groupBy(key, "__band").agg(F.sum("__jump").alias("__n"), F.min("y0").alias("__lo"), F.max("y0").alias("__hi"))
+    jump = F.coalesce(F.col("y0") - F.lag("y0").over(band) > gap, F.lit(False)).cast("int")
+    rows = spans.withColumn("__band", _band("y0")).withColumn("__jump", jump)
+    bands = rows.groupBy(key, "__band").agg(F.sum("__jump").alias("__n"), F.min("y0").alias("__lo"), F.max("y0").alias("__hi"))
     page = Window.partitionBy(key).orderBy("__band")
     opens = F.coalesce(F.col("__lo") - F.lag("__hi").over(page) > gap, F.lit(True)).cast("int")
     bands = bands.withColumn("__opens", opens).select(
         key, "__band",
         (F.sum(F.col("__n") + F.col("__opens")).over(page.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__base"),
     )
-    here = F.sum("__jump").over(band.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = jumps.withColumn("__here", here).join(bands, [key, "__band"]).select(
-        key, "y0", (F.col("__base") + F.col("__here")).cast("bigint").alias("cluster"))
-    return spans.join(numbered, [key, "y0"]).select(*spans.columns, "cluster")
+    # Up to and with all spans of a height, so that these have one number however they are ordered.
+    here = F.sum("__jump").over(band.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("__here", here).join(bands, [key, "__band"]).select(
+        *spans.columns, (F.col("__base") + F.col("__here")).cast("bigint").alias("cluster"))
 
 
 def column_band(x: Column, bands: Mapping[str, tuple[float, float]], tolerance: float = BAND_TOLERANCE) -> Column:
@@ -110,14 +110,25 @@ def table_regions(
 
 
 def _regions(clustered: DataFrame, titles: Sequence[str], fallback: float, require_all: bool) -> DataFrame:
+    return _bounds(clustered.withColumns(_marks(titles, require_all)), fallback)
+
+
+def _marks(titles: Sequence[str], require_all: bool) -> dict[str, Column]:
+    """What a region is found by, per span: a date, an amount, the height of a title."""
     marks = [F.col("text").contains(t) for t in titles]
     titled = marks[0]
     for m in marks[1:]:
         titled = (titled & m) if require_all else (titled | m)
-    rows = clustered.groupBy("page_id", "cluster").agg(
-        F.max(F.col("text").rlike(r"\d{8}")).alias("d"), F.max(F.col("text").rlike(r"-?\d[\d,]*\.\d{2}")).alias("a"),
-        F.max("y1").alias("bottom"), F.min(F.when(titled, F.col("y0"))).alias("title"),
-    )
+    return {
+        "__date": F.col("text").rlike(r"\d{8}"), "__money": F.col("text").rlike(r"-?\d[\d,]*\.\d{2}"),
+        "__title": F.when(titled, F.col("y0")),
+    }
+
+
+def _bounds(marked: DataFrame, fallback: float) -> DataFrame:
+    """(page_id, table_start, table_end) of clustered spans with their marks."""
+    rows = marked.groupBy("page_id", "cluster").agg(
+        F.max("__date").alias("d"), F.max("__money").alias("a"), F.max("y1").alias("bottom"), F.min("__title").alias("title"))
     data = F.col("d") & F.col("a")
     pages = rows.groupBy("page_id").agg(
         F.coalesce(F.min("title") - 5, F.lit(fallback)).cast("double").alias("table_start"),
@@ -144,10 +155,14 @@ def merge_continuations(rows: DataFrame, is_record: Column) -> DataFrame:
     rows before the first record are dropped.
     """
     lines = rows.groupBy("page_id", "cluster").agg(is_record.cast("bigint").alias("__starts"))
-    numbered = segmented(
+    return rows.join(_numbered(lines), ["page_id", "cluster"])
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Text rows (page_id, cluster, __starts, ...) with the number of their record, from the first record on."""
+    return segmented(
         lines, ["page_id"], ["cluster"], ordinal_segment("cluster", 12), running={"record": F.col("__starts")}
     ).where("record > 0").drop("__starts")
-    return rows.join(numbered, ["page_id", "cluster"])
 
 
 def table_records(
@@ -160,20 +175,23 @@ def table_records(
     fragments of a column are joined by blanks, text row by text row and left to right.
     ``labels`` are column titles, which are no values of a record.
     """
-    # Regions, records and texts all read the clustered spans: they are written once.
-    clustered = materialize(gap_clusters(spans, gap), "clusters")
-    table = clustered.join(_regions(clustered, titles, 105.0, require_all), "page_id").where(
-        F.col("y0").cast("double").between(F.col("table_start") - 5, F.col("table_end") + 5)
-    )
-    placed = table.withColumn("column", column_band(F.col("x0"), bands)).where("column IS NOT NULL").withColumn(
-        "text", strip(F.col("text")))
+    text, column = strip(F.col("text")), column_band(F.col("x0"), bands)
     if labels:
-        placed = placed.where(~F.col("text").isin(*labels))
-    has = lambda c: F.max((F.col("column") == c) & (F.col("text") != ""))
-    money = has(amounts[0])
-    for c in amounts[1:]:
-        money = money | has(c)
-    merged = merge_continuations(placed, has("date") & money)
+        column = F.when(~text.isin(*labels), column)
+    # Regions, records and texts all read the clustered spans: they are written once, with what is read off each span.
+    clustered = gap_clusters(spans.select("page_id", "span_id", "x0", "y0", "y1", "text"), gap)
+    clustered = materialize(clustered.select(
+        "page_id", "cluster", "span_id", "x0", "y0", "y1", *(v.alias(k) for k, v in _marks(titles, require_all).items()),
+        column.alias("column"), F.when(column.isNotNull(), text).alias("text")), "clusters")
+    placed = clustered.where("column IS NOT NULL")
+    inside = F.col("y0").cast("double").between(F.col("table_start") - 5, F.col("table_end") + 5)
+    has = lambda names: F.col("column").isin(*names) & (F.col("text") != "")
+    seen = placed.select("page_id", "cluster", "y0", has(["date"]).alias("__dated"), has(amounts).alias("__paid"))
+    # Text rows are few beside spans: they carry the region, so that spans meet them and not the pages.
+    lines = seen.join(_bounds(clustered, 105.0), "page_id").where(inside).groupBy("page_id", "cluster").agg(
+        (F.max("__dated") & F.max("__paid")).cast("bigint").alias("__starts"),
+        F.max("table_start").alias("table_start"), F.max("table_end").alias("table_end"))
+    merged = placed.join(_numbered(materialize(lines, "lines")), ["page_id", "cluster"]).where(inside)
     texts = {name: F.when(F.col("column") == name, F.col("text")) for name in bands}
     return folded_texts(merged, ["page_id", "record"], ["cluster", "y0", "x0", "span_id"], texts, " ")
 
