@@ -68,10 +68,15 @@ class Data:
 
     def entries(self) -> DataFrame:
         """Composed voucher entries."""
-        from ..operators.similarity import classify
         from ..operators.vouchers import compose_vouchers
 
-        return self.stored("entries", lambda: compose_vouchers(classify(self.view("txn"), self.rules()), self.view("accounts")))
+        return self.stored("entries", lambda: compose_vouchers(self.classified(), self.view("accounts")))
+
+    def classified(self) -> DataFrame:
+        """Transactions with the subject that the rules give them; grouping reads them several times."""
+        from ..operators.similarity import classify
+
+        return self.stored("classified", lambda: classify(self.view("txn"), self.rules()))
 
     def rules(self) -> DataFrame:
         """The rule view in the shape the classifier expects ('' = no condition)."""

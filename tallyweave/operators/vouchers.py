@@ -48,9 +48,13 @@ def grouped(classified: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
 
     Adds voucher_no, voucher_pos, voucher_size, voucher_total.  Nothing here depends on how
     large a batch or a voucher is: rows are ranked inside (voucher, segment), and batches
-    are numbered over (batch, segment).
+    are numbered over (batch, segment).  A row without a subject is a voucher already: it only
+    looks up its number.  The rows are read several times, so they had better be stored.
     """
-    rows = with_group_key(classified).withColumn("__seg", ordinal_segment("txn_seq", bits))
+    every = with_group_key(classified)
+    alone = F.col("counter_code") == UNMATCHED_CODE
+    lone = every.where(alone)
+    rows = every.where(~alone).withColumn("__seg", ordinal_segment("txn_seq", bits))
     key = ["batch_id", *GROUP_KEY]
     pieces = rows.groupBy(*key, "__seg").agg(
         F.count(F.lit(1)).alias("__n"), F.sum("amount").alias("__amt"), F.min("txn_seq").alias("__first")
@@ -64,14 +68,19 @@ def grouped(classified: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
         F.sum("__amt").over(whole).cast(MONEY).alias("voucher_total"),
         F.min("__first").over(whole).alias("__lead"),
     )
-    numbered = dense_number(pieces, ["batch_id"], "__lead", "voucher_no", bits)
+    leads = lone.select("batch_id", F.col("txn_seq").alias("__lead")).unionByName(pieces.select("batch_id", "__lead"))
+    numbers = dense_number(leads.distinct(), ["batch_id"], "__lead", "voucher_no", bits)
     place = F.row_number().over(Window.partitionBy(*key, "__seg").orderBy("txn_seq"))
-    return (
+    many = (
         rows.withColumn("__rn", place)
-        .join(numbered, [*key, "__seg"])
+        .join(pieces.join(numbers, ["batch_id", "__lead"]), [*key, "__seg"])
         .withColumn("voucher_pos", (F.col("__rn") + F.col("__before")).cast("bigint"))
         .drop("__rn", "__before", "__seg", "__lead")
     )
+    one = F.lit(1).cast("bigint")
+    single = lone.withColumn("__lead", F.col("txn_seq")).join(numbers, ["batch_id", "__lead"]).withColumns({
+        "voucher_size": one, "voucher_total": F.col("amount").cast(MONEY), "voucher_pos": one}).drop("__lead")
+    return many.unionByName(single)
 
 
 def compose_vouchers(
