@@ -21,6 +21,8 @@ from .batches import Batches, store
 SHARD = 8192
 QUERIES = 1024
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, STARTS = 32, 48, 320, 1.2, 8
+#: A shard is searched with the first of these beams that finds this part of the true neighbours of so many of its points, else with the whole beam.
+BEAMS, SURE, PROBES, PROBE_TOP = (96, 160, 224), 0.98, 96, 20
 
 
 def even_norms(x: np.ndarray) -> np.ndarray:
@@ -165,19 +167,44 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rel
     return graph, starts
 
 
+def fit_beam(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, most: int) -> int:
+    """A beam for this shard, at most ``most``: recall of some of its points as queries is measured against brute force.
+
+    The point itself doesn't count, and a query's added coordinate is 0, as in a search.
+    """
+    if len(x) <= PROBE_TOP + 1:
+        return most
+    some = np.random.default_rng(11).permutation(len(x))[:PROBES]
+    ask = x[some].copy()
+    ask[:, -1] = 0
+    products = ask @ x.T
+    products[np.arange(len(some)), some] = -np.inf
+    least = np.partition(products, len(x) - PROBE_TOP, axis=1)[:, len(x) - PROBE_TOP]
+    for beam in BEAMS:
+        if beam >= most:
+            break
+        found, _ = beam_search(x, graph, starts, ask, beam)
+        near = np.where((found >= 0) & (found != some[:, None]), np.take_along_axis(products, np.maximum(found, 0), axis=1), -np.inf)
+        if np.minimum((near >= least[:, None]).sum(axis=1), PROBE_TOP).mean() >= SURE * PROBE_TOP:
+            return beam
+    return most
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length as a matrix."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _build(table: pa.Table) -> pa.Table:
-    """All points of a shard become one row: vectors, graph, ids."""
+def _build(table: pa.Table, most: int = SEARCH_BEAM) -> pa.Table:
+    """All points of a shard become one row: vectors, graph, ids, the beam to search it with."""
     order = np.lexsort((table.column("k2").to_numpy(), table.column("k1").to_numpy()))
     table = table.take(pa.array(order))
     vectors = _matrix(table.column("vector"))
-    graph, starts = build_graph(comparable(vectors))
+    x = comparable(vectors)
+    graph, starts = build_graph(x)
     return pa.table({
+        "beam": pa.array([fit_beam(x, graph, starts, most)], pa.int32()),
         "dims": pa.array([vectors.shape[1]], pa.int32()), "shard": table.column("shard").slice(0, 1), "points": pa.array([len(vectors)], pa.int32()),
         "vectors": [vectors.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "starts": [starts.tobytes()],
         "keys": [np.stack([table.column(c).to_numpy() for c in ("k1", "k2")], axis=1).astype(np.int64).tobytes()],
@@ -185,7 +212,7 @@ def _build(table: pa.Table) -> pa.Table:
     })
 
 
-INDEX = "dims int, shard int, points int, vectors binary, graph binary, starts binary, keys binary, ids array<array<bigint>>"
+INDEX = "beam int, dims int, shard int, points int, vectors binary, graph binary, starts binary, keys binary, ids array<array<bigint>>"
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -194,7 +221,7 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"dims": pa.array([vectors.shape[1]], pa.int32()), "queries": [vectors.tobytes()], "query_keys": [keys.tobytes()]})
 
 
-def _search(top: int, beam: int, kind: type):
+def _search(top: int, kind: type):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -208,7 +235,7 @@ def _search(top: int, beam: int, kind: type):
                 x = comparable(vectors)
                 flat = (q / np.abs(q).max(axis=1, keepdims=True)).astype(np.float32)  # a query's length changes no order
                 ask = np.hstack([flat, np.zeros((len(q), 1), dtype=np.float32)])
-                found, _ = beam_search(x, graph, starts, ask, max(beam, top))
+                found, _ = beam_search(x, graph, starts, ask, max(batch.column("beam")[row].as_py(), top))
                 who, col = np.nonzero(found >= 0)
                 point = found[who, col]
                 score = np.einsum("ij,ij->i", q[who].astype(np.float64), vectors[point].astype(np.float64))
@@ -243,7 +270,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 20,
     smallest ids, which is all that an answer can need, so a vector that many rows share costs no more than another.
     Repeated rows are candidates of each other, and each has its answer.  A query without candidates has no row.
     Vectors of doubles stay doubles for classes and scores; the graph compares single-precision copies.  Columns of
-    ``df`` but the two named are not read.  The index is written to the shared folder; a task holds one shard and one block of queries.
+    ``df`` but the two named are not read.  ``beam`` is the widest: a shard on which a narrower one finds nearly all is searched
+    with that (``fit_beam``).  The index is written to the shared folder; a task holds one shard and one block of queries.
     """
     vector = F.col("vector")
     part = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
@@ -258,7 +286,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 20,
     sizes = store(sizes, "shards")  # one row for each length of vectors
     dealt = points.withColumn("dims", F.size("vector")).join(sizes, "dims")
     dealt = dealt.withColumn("shard", F.pmod(F.col("k2"), F.col("shards")).cast("int"))
-    index = store(dealt.select("dims", "shard", "k1", "k2", "vector", "ids").groupBy("dims", "shard").applyInArrow(_build, INDEX), "graph-index")
+    index = store(dealt.select("dims", "shard", "k1", "k2", "vector", "ids").groupBy("dims", "shard").applyInArrow(lambda table: _build(table, beam), INDEX), "graph-index")
 
     asked = store(rows.where(is_query).groupBy("k1", "k2", "id").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("times")), "asked")
     texts = asked.groupBy("k1", "k2").agg(F.first("vector").alias("vector")).withColumn("dims", F.size("vector"))
@@ -268,7 +296,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 20,
         .applyInArrow(_pack, "dims int, queries binary, query_keys binary").join(sizes, "dims")
         .select("dims", "queries", "query_keys", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     )
-    found = packed.join(index, ["dims", "shard"]).repartition(F.xxhash64("query_keys", "shard")).mapInArrow(_search(k + 1, beam, np.float32 if part == "float" else np.float64), FOUND)
+    found = packed.join(index, ["dims", "shard"]).repartition(F.xxhash64("query_keys", "shard")).mapInArrow(_search(k + 1, np.float32 if part == "float" else np.float64), FOUND)
     best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.element_at("ids", 1), "k1", "k2")
     merged = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
     query = asked.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("query_id"), "times")
