@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept, scratch
@@ -29,7 +29,7 @@ FREQUENT = 1 << 16
 #: Bits of the filter that names documents whose sets are needed; any number gives the same result.
 FILTER_BITS = 1 << 24
 #: Nodes of a block, leaves under a branch, and bits of a bitmap for each shingle.
-BLOCK, FAN, LOAD = 1024, 8, 4
+BLOCK, FAN, LOAD = 1024, 8, 2
 #: Checks of one leader in one task.
 CHECKS = 4096
 #: Candidates of a node with each other component in successive rounds; the last round takes all.
@@ -102,7 +102,7 @@ def frequent_shingles(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np
     return keys[order], level[order]
 
 
-SKETCH = "n bigint, k1 bigint, k2 bigint, prefix array<bigint>, bits binary"
+SKETCH = "n bigint, k1 bigint, k2 bigint, prefix array<bigint>, rare int, bits binary"
 
 
 def _sketch(n: int, pct: int, frequent: np.ndarray, level: np.ndarray):
@@ -121,6 +121,7 @@ def _sketch(n: int, pct: int, frequent: np.ndarray, level: np.ndarray):
                 order = np.lexsort((keys, late, doc))
                 first = np.arange(len(keys)) - at[doc] < prefix_length(sizes, pct)[doc]
                 prefix = keys[order][first].view(np.int64)
+                rare = np.bincount(doc[first & (late[order] == 0)], minlength=len(sizes)).astype(np.int32)  # these come before frequent ones
                 ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, prefix_length(sizes, pct), 0))))
                 # Two sums of mixed hashes name a set; each is spread once more with its size.
                 sums = [np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(keys ^ s), dtype=np.uint64))) for s in salt]
@@ -128,8 +129,8 @@ def _sketch(n: int, pct: int, frequent: np.ndarray, level: np.ndarray):
                 bits = [bitmap(keys[a:b]) if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(some.start, some.stop - some.start), pa.array(sizes.astype(np.int64)), *map(pa.array, names),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), pa.array(bits, pa.binary())],
-                    names=["id", "n", "k1", "k2", "prefix", "bits"],
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), pa.array(rare), pa.array(bits, pa.binary())],
+                    names=["id", "n", "k1", "k2", "prefix", "rare", "bits"],
                 )
 
     return run
@@ -359,7 +360,7 @@ def _candidates(members: DataFrame, classes: DataFrame, roots: DataFrame, pct: i
     """
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     slots = _slots(labelled, pct)
-    who = F.struct(F.bit_xor(F.xxhash64("node", "side")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node", "side").cast("decimal(38,0)")).alias("s")).alias("who")
+    who = F.struct(F.bit_xor(F.xxhash64("node", "side")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node", "side")).alias("y")).alias("who")
     groups = slots.groupBy("h", "kind", "cls").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("side").alias("right"), who)
     groups = groups.where("r0 <> r1 AND IF(kind = 0, size > 2, right > 0 AND right < size)").groupBy("who", "size", "right", "kind", "cls").agg(F.min("h").alias("h"))
@@ -414,22 +415,21 @@ def _joined(docs: DataFrame, n: int, pct: int, block: int, frequent: int, filter
     """(id, n_shingles, component_id) of ``docs`` (id, text)."""
     spot = F.pmod(F.xxhash64("id"), F.lit(filter_bits))
     late = frequent_shingles(docs, n, frequent)
-    sketch = store(docs.mapInArrow(_sketch(n, pct, *late), f"id {kind(docs, 'id')}, {SKETCH}"), "jaccard-sketch")
     first = lambda c: F.first(c).alias(c)
-    classes = sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *map(first, ("n", "prefix", "bits")))
-    classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")  # written once, so the numbers stay
-    # From the i-th first shingle on (from 0) a set holds n - i others, so a partner that is met there has ``most`` at the most.
-    postings = classes.select("node", "n", F.posexplode("prefix").alias("i", "h")).select(
-        "h", "node", "n", (F.floor((F.col("n") - F.col("i")) * (100 + pct) / pct) - F.col("n")).alias("most"), F.floor(F.log("n") / _class_width(pct)).cast("int").alias("cls"))
-    sizes = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = store(postings.join(sizes, "h"), "jaccard-shared")
+    with scratch(docs.sparkSession):  # prefixes, the most of what is written, go once the shared ones are found
+        sketch = store(docs.mapInArrow(_sketch(n, pct, *late), f"id {kind(docs, 'id')}, {SKETCH}"), "jaccard-sketch")
+        names = kept(sketch.select("id", "n", "k1", "k2"), "jaccard-names")
+        whole = sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *map(first, ("n", "prefix", "rare", "bits")))
+        whole = store(whole.withColumn("node", F.monotonically_increasing_id()), "jaccard-whole")  # written once, so the numbers stay
+        shared = kept(_shared(whole, pct), "jaccard-shared")
+        classes = kept(whole.select("k1", "k2", "node", "id", "n", "bits"), "jaccard-classes")
     # The text that the others vary shares more of its first shingles with more of them: it leads those of its size.
     central = shared.groupBy("node").agg(F.sum(F.log("size")).alias("weight"))
     members = store(shared.join(central, "node").select("h", "node", "n", "most", "cls", "weight"), "jaccard-members")
     leads = members.groupBy("h", "cls").agg(F.count(F.lit(1)).alias("size"), F.max_by(F.struct("node", "n", "most"), F.struct("weight", -F.col("node"))).alias("lead")).where("size > 1")
     fits = (F.col("n") <= F.col("lead.most")) & (F.col("lead.n") <= F.col("most")) & (100 * F.least("n", "lead.n") >= pct * F.greatest("n", "lead.n")) & (F.col("node") != F.col("lead.node"))
     stars = members.join(leads, ["h", "cls"]).where(fits).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-    stars = _allowed(stars, classes, pct)
+    stars = _allowed(store(stars, "jaccard-stars"), classes, pct)
 
     links: DataFrame | None = None
     tested: DataFrame | None = None
@@ -439,8 +439,10 @@ def _joined(docs: DataFrame, n: int, pct: int, block: int, frequent: int, filter
         seen = stars if quota == 0 else store(_candidates(met, classes, roots, pct, block, quota), "jaccard-candidates")
         more = quota == 0 or bool(seen.agg(F.max("cut")).first()[0])  # candidates that this round left to the next
         if quota and more:  # only groups of nodes that were cut short are walked again
-            short = seen.where("cut").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            met = met.join(met.join(short, "node", "left_semi").select("h").distinct(), "h", "left_semi")
+            # Each is written, so that the joins know how few they are and leave the large tables where they lie.
+            short = store(seen.where("cut").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-short")
+            cut = store(met.join(short, "node", "left_semi").select("h").distinct(), "jaccard-cut")
+            met = store(met.join(cut, "h", "left_semi"), "jaccard-met")
         pairs = seen.select("a", "b")
         pairs = store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():
@@ -454,12 +456,27 @@ def _joined(docs: DataFrame, n: int, pct: int, block: int, frequent: int, filter
     labelled = classes.select("k1", "k2", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
     named = labelled.join(least, "root").select("k1", "k2", "component_id")
-    out = sketch.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = names.join(named, ["k1", "k2"], "left")
     return out.select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
 
 
+def _shared(whole: DataFrame, pct: int) -> DataFrame:
+    """(h, node, n, most, cls, size) of first shingles that two or more nodes have among theirs.
+
+    The frequent ones are at most as many as their list, so their counts go to every task; those of any other are so few that
+    one task counts them, and each is sent there once.
+    """
+    postings = whole.select("node", "n", "rare", F.posexplode("prefix").alias("i", "h"))
+    often, seldom = (postings.where(c).select("h", "node", "n", "i") for c in ("i >= rare", "i < rare"))
+    sizes = often.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    met = often.join(F.broadcast(sizes), "h").unionByName(seldom.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h")))).where("size > 1")
+    # From the i-th first shingle on (from 0) a set holds n - i others, so a partner that is met there has ``most`` at the most.
+    return met.select("h", "node", "n", (F.floor((F.col("n") - F.col("i")) * (100 + pct) / pct) - F.col("n")).alias("most"),
+                      F.floor(F.log("n") / _class_width(pct)).cast("int").alias("cls"), "size")
+
+
 def _allowed(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
     """Pairs whose bitmaps allow the similarity."""
     def run(batches: Batches) -> Batches:
@@ -472,8 +489,10 @@ def _allowed(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
                 keep.append(most >= required(n, m, pct))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = classes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n"))
-    right = classes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-paired")
+    held = store(classes.join(nodes, "node").select("node", "n", "bits"), "jaccard-bits")  # bitmaps of others stay where they lie
+    left = held.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n"))
+    right = held.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a bigint, b bigint")
 
 

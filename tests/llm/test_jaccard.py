@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallyweave.llm.components import components
-from tallyweave.llm.jaccard import join, shingle_sets, walk, Tree, bitmap, _fold
+from tallyweave.llm.jaccard import _fold, _shared, join, shingle_sets, walk, Tree, bitmap
 
 
 def brute(rows, n, pct):
@@ -56,6 +56,20 @@ def test_against_all_pairs(spark, seed, n, pct, block, frequent, bits):
     assert got == brute(rows, n, pct)
 
 
+def test_first_shingles_are_sent_once(spark):
+    """Seldom shingles meet in one shuffle, whatever their number; frequent ones (from place ``rare`` on) only where two nodes have them."""
+    whole = spark.createDataFrame([(0, 20, 2, [1, 2, 90]), (1, 20, 2, [3, 2, 91]), (2, 30, 1, [4, 90]), (3, 5, 0, []), (4, 40, 0, [92])], "node bigint, n bigint, rare int, prefix array<bigint>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = _shared(whole, 85)
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan  # seldom rows, counts of frequent ones
+    got = sorted((r.h, r.node, r.n, r.most, r["size"]) for r in shared.collect())
+    assert got == [(2, 0, 20, 21, 2), (2, 1, 20, 21, 2), (90, 0, 20, 19, 2), (90, 2, 30, 33, 2)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert join(df, "doc_id", "text").count() == 0
