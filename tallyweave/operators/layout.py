@@ -20,7 +20,7 @@ from ..functions.amounts import amount_strict
 from ..functions.dates import date_iso
 from ..functions.text import compact_ws, lookup, normalize_key, strip
 from ..plans.segments import nearest_site, ordinal_segment, segmented
-from ..session import materialize
+from ..session import materialize, spread
 from .normalize import business_type, receipt_number, verify_code
 
 #: Height of a page segment in points.
@@ -480,12 +480,20 @@ def title_groups(cells: DataFrame) -> DataFrame:
     above = heads.withColumn("row", F.explode(F.array(F.col("head") - 2, F.col("head") - 1))).join(banks, ["page_id", "row"])
     starts = heads.join(above.groupBy("page_id", "head").agg(F.min("row").alias("b")), ["page_id", "head"], "left").select(
         "page_id", F.coalesce("b", "head").cast("bigint").alias("receipt")).distinct()
-    # Every row of the page looks up the last start at or above it.
-    lines = cells.select("page_id", F.col("row").cast("bigint").alias("row")).distinct().join(
-        starts.select("page_id", F.col("receipt").alias("row"), F.col("receipt").alias("__s")), ["page_id", "row"], "full"
-    )
-    owned = segmented(lines, ["page_id"], ["row"], ordinal_segment("row", 12), carry={"receipt": F.col("__s")})
-    return cells.join(owned.where(F.col("receipt").isNotNull()).select("page_id", "row", "receipt"), ["page_id", "row"])
+    # Every cell looks up the last start at or above it; starts stand among the cells, which are dealt once.
+    owned = _carried(cells, materialize(starts, "starts"), "row", "receipt")
+    return owned.select("page_id", "row", *(c for c in cells.columns if c not in ("page_id", "row")), "receipt")
+
+
+def _carried(rows: DataFrame, starts: DataFrame, place: str, name: str, **carry: Column) -> DataFrame:
+    """``rows`` (page_id, ``place``, ...) at or after a start of their page, with its place as ``name`` and the values in ``carry``.
+
+    starts (page_id, ``name``) are few and stored.
+    """
+    both = rows.withColumns({place: F.col(place).cast("bigint"), "__kind": F.lit(1)}).unionByName(
+        starts.select("page_id", F.col(name).alias(place), F.col(name).alias("__at"), F.lit(0).alias("__kind")), allowMissingColumns=True)
+    out = segmented(both, ["page_id"], [place, "__kind"], ordinal_segment(place, 12), carry={name: F.col("__at"), **carry})
+    return out.where((F.col("__kind") == 1) & F.col(name).isNotNull()).drop("__kind", "__at")
 
 
 def grid_fields(cells: DataFrame) -> DataFrame:
@@ -538,26 +546,22 @@ def column_statement(lines: DataFrame) -> DataFrame:
     then free text up to a blank line or the next date.  A bad amount rejects the record.
     """
     t = lines.withColumn("line", strip(F.col("line")))
-    start = _statement_start(t)
-    body = t.join(start, "page_id", "left").where(F.col("line_no") >= F.coalesce("__start", F.lit(0))).drop("__start")
     seg = ordinal_segment("line_no", 12)
     # A date in one of a record's three fixed lines does not start another record.  Dates at most three lines apart
     # form a run, which is walked from its first: the next start is the first date more than three lines further.
-    dates = body.where(F.col("line").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("page_id", "line_no")
+    # Only dates are held against the header: lines before the first record belong to none anyway.
+    dates = t.where(F.col("line").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("page_id", "line_no").join(_statement_start(t), "page_id", "left")
+    dates = materialize(dates.where(F.col("line_no") >= F.coalesce("__start", F.lit(0))).select("page_id", "line_no"), "dates")
     dates = segmented(dates, ["page_id"], ["line_no"], seg, previous={"__before": F.col("line_no")})
     opens = F.col("__before").isNull() | (F.col("line_no") - F.col("__before") > 3)
     runs = segmented(dates.withColumn("__open", F.when(opens, F.col("line_no"))), ["page_id"], ["line_no"], seg, carry={"__run": F.col("__open")})
-    walked = runs.groupBy("page_id", "__run").agg(F.array_sort(F.collect_list("line_no")).alias("__all")).select(
+    walked = spread(runs, "page_id", "__run").groupBy("page_id", "__run").agg(F.array_sort(F.collect_list("line_no")).alias("__all")).select(
         "page_id", F.explode(F.aggregate(
             "__all", F.array().cast("array<bigint>"),
             lambda taken, at: F.when((F.size(taken) == 0) | (at - F.try_element_at(taken, F.lit(-1)) > 3), F.concat(taken, F.array(at.cast("bigint")))).otherwise(taken),
-        )).alias("line_no"))
-    starts = walked.select("page_id", "line_no", F.col("line_no").alias("__anchor"))
-    marked = body.join(starts, ["page_id", "line_no"], "left")
-    owned = segmented(
-        marked, ["page_id"], ["line_no"], seg,
-        carry={"record": F.col("__anchor"), "__blank": F.when(F.col("line") == "", F.col("line_no"))},
-    ).where("record IS NOT NULL").withColumn("__step", F.col("line_no") - F.col("record"))
+        )).alias("record"))
+    blank = F.when(F.col("line") == "", F.col("line_no"))
+    owned = _carried(t, materialize(walked, "records"), "line_no", "record", __blank=blank).withColumn("__step", F.col("line_no") - F.col("record"))
     # Closed once the latest blank line lies in the free text of the record.
     stopped = F.coalesce(F.col("__blank") >= F.col("record") + 4, F.lit(False))
     open_ = owned.where(~stopped & ((F.col("__step") < 4) | ~F.col("line").isin(*COLUMN_STATEMENT_HEADER)))

@@ -16,6 +16,8 @@ column never decreases along the order.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +94,11 @@ def segmented(
         reduced.append(F.max_by(F.struct(value.alias("v")), at).alias(f"__e_{name}"))
 
     rows = base.withColumns(added) if added else base
-    pieces = base.groupBy(*keys, _SEG).agg(*reduced)
+    if rank or running or totals or ahead or previous:
+        pieces = base.groupBy(*keys, _SEG).agg(*reduced)
+    else:  # rows that carry nothing only tell that their segment is there, and needn't be sorted
+        some = reduce(or_, (v.isNotNull() for v in (*carry.values(), *prior.values())))
+        pieces = base.select(*keys, _SEG).distinct().join(base.where(some).groupBy(*keys, _SEG).agg(*reduced), [*keys, _SEG], "left")
 
     line = Window.partitionBy(*keys).orderBy(_SEG)
     before = line.rowsBetween(Window.unboundedPreceding, -1)

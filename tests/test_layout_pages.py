@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -48,3 +49,31 @@ def test_a_region_cuts_a_text_row(spark):
     df = spark.createDataFrame(spans, "page_id bigint, span_id bigint, x0 double, y0 double, text string, y1 double")
     got = [tuple(r) for r in L.table_records(df, ["title"], BANDS, ["amount"]).orderBy("page_id", "record").select("page_id", "record", "date", "amount", "name").collect()]
     assert got == [(1, 1, "20240101", "1.00", "a b"), (1, 2, "20240102", "2.00", "c")]
+
+
+def test_cells_are_dealt_once(spark):
+    """Receipts over several segments, a bank one or two rows above or three, titles close together, cells before the first."""
+    pick = random.Random(5)
+    kinds = ("网上银行电子回单", "中国工商银行", "x", "x", "x", "x", None)
+    rows = {(p, r, c): pick.choice(kinds if c == 1 else ("x",)) for p in range(4) for r in pick.sample(range(9000 if p else 60), 60) for c in (1, 2)}
+    df = spark.createDataFrame([(*k, v) for k, v in rows.items()], "page_id bigint, row bigint, col bigint, text string")
+    grouped = L.title_groups(df)
+    assert not re.search(r"Join \[page_id#\d+L, row#\d+L\]", grouped._jdf.queryExecution().executedPlan().toString())
+    want = set()
+    for p in range(4):
+        at = lambda word: sorted(r for (q, r, _), t in rows.items() if q == p and t == word)  # noqa: E731, B023
+        titles, banks = at(kinds[0]), at(kinds[1])
+        heads = [r for i, r in enumerate(titles) if not i or r - titles[i - 1] > 3]
+        starts = [min((b for b in banks if b in (h - 2, h - 1)), default=h) for h in heads]
+        want |= {(q, r, c, max(s for s in starts if s <= r)) for q, r, c in rows if q == p and any(s <= r for s in starts)}
+    assert {(r.page_id, r.row, r.col, r.receipt) for r in grouped.collect()} == want
+
+
+def test_lines_are_dealt_once(spark):
+    """A header, a record that a blank line closes, dates inside a record, a record in a later segment."""
+    text = ["2024-01-01", "Date", "Currency", "x", "x", "x", "Counter Party", "2024-01-02", "CNY", "-1.50", "9", "type", "note", "", "2024-99", "2024-01-03", "CNY", "2024-01-04", "9"]
+    lines = [(1, i, t) for i, t in enumerate(text)] + [(1, 9000 + i, t) for i, t in enumerate(["2024-01-05", "CNY", "2.00", "9", "only", "a", "b"])]
+    out = L.column_statement(spark.createDataFrame(lines, "page_id bigint, line_no bigint, line string"))
+    assert not re.search(r"Join \[page_id#\d+L, line_no#\d+L\]", out._jdf.queryExecution().executedPlan().toString())
+    got = [(r.record, str(r.txn_date), float(r.amount), r.direction, r.description, r.counterparty) for r in out.orderBy("record").collect()]
+    assert got == [(7, "2024-01-02", 1.5, "expense", "note", "note"), (9000, "2024-01-05", 2.0, "income", "a b", "a b")]
