@@ -66,7 +66,7 @@ def _csv(d: Data) -> str:
           """SELECT file_id AS file, row_number() OVER (PARTITION BY file_id ORDER BY row_no) AS row_no, cast(row_no as varchar) AS voucher, account_number AS own_account,
           iso AS value_date, flag, out_text AS debit, concat('贷款, ', summary) AS summary, counterparty, balance_text AS balance FROM stmt_rows""", ("stmt_rows",))
 def scan_csv_statement(d: Data):
-    rows = CSV.number_rows(CSV.scan_csv_statement(d.spark, _csv(d) + "/*/*.csv"))
+    rows = CSV.number_rows(CSV.scan_csv_statement(d.spark, _csv(d)))
     return rows.withColumn("file", F.regexp_extract("file_id", "file_id=([^/]+)/", 1))
 
 
@@ -76,7 +76,7 @@ def scan_csv_statement(d: Data):
 def csv_edge_balances(d: Data):
     from ..functions.amounts import amount_strict
 
-    scanned = CSV.scan_csv_statement(d.spark, _csv(d) + "/*/*.csv")
+    scanned = CSV.scan_csv_statement(d.spark, _csv(d))
     out = CSV.edge_balances(scanned, amount_strict(c("balance")))
     return out.withColumn("file", F.regexp_extract("file_id", "file_id=([^/]+)/", 1))
 

@@ -55,6 +55,17 @@ def test_split_file_keeps_row_order(spark, tmp_path):
     assert [(r.row_no, r.voucher) for r in rows] == [(i + 1, str(i)) for i in range(3000)]
 
 
+def test_folders_of_statements(spark, tmp_path):
+    """Statements in folders of folders are found by few listing tasks, and the session's setting stays."""
+    for i in range(40):
+        (tmp_path / f"a{i % 4}" / f"file_id=F{i}").mkdir(parents=True)
+        _csv(tmp_path / f"a{i % 4}" / f"file_id=F{i}", "s.csv", GOOD[:2])
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    got = number_rows(scan_csv_statement(spark, str(tmp_path))).groupBy("file_id").agg(F.max("row_no")).collect()
+    assert len(got) == 40 and {r[1] for r in got} == {2}
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
 def test_stream_isolates_and_retries(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
