@@ -49,7 +49,7 @@ def gap_clusters(spans: DataFrame, gap: float = 2.0, key: str = "page_id") -> Da
     )
     # Up to and with all spans of a height, so that these have one number however they are ordered.
     here = F.sum("__jump").over(band.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("__here", here).join(bands, [key, "__band"]).select(
+    return rows.withColumn("__here", here).join(bands.hint("merge"), [key, "__band"]).select(
         *spans.columns, (F.col("__base") + F.col("__here")).cast("bigint").alias("cluster"))
 
 
@@ -159,10 +159,14 @@ def merge_continuations(rows: DataFrame, is_record: Column) -> DataFrame:
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Text rows (page_id, cluster, __starts, ...) with the number of their record, from the first record on."""
+    """Text rows (page_id, cluster, __starts, ...) with the number of their record, from the first record on.
+
+    They are as many as the tables have lines, yet a file of them is small: numbers that rise by one and equal heights
+    pack well.  The planner would broadcast them by that, so they ask for a sort-merge join.
+    """
     return segmented(
         lines, ["page_id"], ["cluster"], ordinal_segment("cluster", 12), running={"record": F.col("__starts")}
-    ).where("record > 0").drop("__starts")
+    ).where("record > 0").drop("__starts").hint("merge")
 
 
 def table_records(

@@ -119,6 +119,8 @@ def segmented(
         offsets.append(F.lag(f"__e_{name}").over(line).alias(f"__before_e_{name}"))
     pieces = pieces.select(*keys, _SEG, *offsets)
 
+    if added:  # the windows have dealt and sorted the rows by segment already, so segments needn't be broadcast
+        pieces = pieces.hint("merge")
     joined = rows.join(pieces, [*keys, _SEG])
     out = [F.col(c) for c in df.columns]
     if rank:

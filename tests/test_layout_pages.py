@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.operators import layout as L
 
@@ -51,6 +52,21 @@ def test_a_region_cuts_a_text_row(spark):
     assert got == [(1, 1, "20240101", "1.00", "a b"), (1, 2, "20240102", "2.00", "c")]
 
 
+def test_text_rows_are_not_broadcast(spark):
+    """However small the file of text rows is, they and their segments meet the spans in tasks, not in the driver."""
+    spans = spark.range(600).selectExpr(
+        "id div 60 AS page_id", "id AS span_id", "double(id % 3 * 20) AS x0", "double(100 + id % 60 div 3 * 12) AS y0",
+        "CASE id % 3 WHEN 0 THEN '20240101' WHEN 1 THEN '1.00' ELSE 'n' END AS text", "double(101 + id % 60 div 3 * 12) AS y1")
+    out = L.table_records(spans, ["title"], BANDS, ["amount"])
+    starts = F.when(F.col("x0") == 0, 1).otherwise(0)
+    merged = L.merge_continuations(L.gap_clusters(spans, 2.0), F.max(starts))
+    for df in (out, merged):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(r"BroadcastHashJoin \[page_id#\d+L?, (?:cluster|__segment|__band)#\d+L?\]", plan), plan
+    assert out.count() == 200
+    assert merged.agg(F.max("record")).first()[0] == 20
+
+
 def test_cells_are_dealt_once(spark):
     """Receipts over several segments, a bank one or two rows above or three, titles close together, cells before the first."""
     pick = random.Random(5)
