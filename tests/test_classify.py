@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 from datetime import date
 
@@ -234,6 +235,64 @@ def test_bounds_of_few_grams_lose_nothing():
         assert found == {q: (int(row.argmax()), row.max()) for q, row in enumerate(want) if row.max() >= 0.3}
 
 
+@pytest.mark.parametrize("split,worth,wide,cells,bound", [(0, 0, 7, 2**25, 0.3), (5, 0, 64, 900, 0.6), (0, 0, 1, 40, 0.0), (20, 10, 8192, 2**25, 0.85)])
+def test_long_lists_are_cut_by_the_next_gram(monkeypatch, split, worth, wide, cells, bound):
+    """Queries that can reach many texts of a list meet fewer by the next gram they share, and each still finds its best."""
+    import numpy as np
+
+    for name, value in {"SPLIT": split, "WORTH": worth, "WIDE": wide, "CELLS": cells, "CHUNK": 9}.items():
+        monkeypatch.setattr(S, name, value)
+    rnd = np.random.default_rng(split + wide)
+    idf = np.concatenate(([9.0], np.sort(rnd.random(40) + 1)[::-1]))  # gram 0 is the rarest, and all texts have it
+    texts = [np.concatenate(([0], np.sort(rnd.choice(np.arange(1, 41), rnd.integers(0, 9), replace=False)))) for _ in range(320)]
+    tf = [rnd.integers(1, 3, len(x)) * np.where(x == 0, rnd.random(), 4.0) for x in texts]
+    norm = [np.sqrt(((t * idf[x]) ** 2).sum()) for x, t in zip(texts, tf, strict=True)]
+    dense = np.zeros((320, 41))
+    for row, x, t, n in zip(dense, texts, tf, norm, strict=True):
+        row[x] = t * idf[x] / n
+    want = np.round(dense[200:] @ dense[:200].T, 12)
+    size, ids = np.array([len(x) for x in texts]), np.concatenate(texts)
+    w, cut = np.concatenate([row[x] for row, x in zip(dense, texts, strict=True)]), int(size[:200].sum())
+    block = S._Block(np.arange(200), np.ones(200), size[:200], ids[:cut], w[:cut], idf[ids[:cut]], 0, bound)
+    asked = size[200:], ids[cut:]
+    mine = block.weights(*asked, np.concatenate(tf)[cut:], np.array(norm[200:]))
+    assert np.allclose(mine, w[cut:])
+    known = np.searchsorted(block.vocabulary, asked[1])
+    meetings = [int(reach.sum()) for _, reach, _ in block._meetings(np.ones(120), np.full(120, bound), asked[0], known, mine)]
+    assert len(meetings) > 1 and (bound < 0.6 or sum(meetings) < 0.5 * 200 * 120)
+    found = {int(q): (int(t), round(float(x), 12)) for part in block.best(np.ones(120), np.full(120, bound), *asked, mine) for q, t, x in zip(*part[:3], strict=True) if t >= 0}
+    best = {q: (int(row.argmax()), row.max()) for q, row in enumerate(want) if row.max() >= bound}
+    assert found.keys() == best.keys()
+    assert all(found[q][1] == pytest.approx(x, abs=2e-12) and want[q][found[q][0]] == pytest.approx(x, abs=2e-12) for q, (_, x) in best.items())
+
+
+def test_grams_of_many_texts_at_once():
+    """Null, empty and lone characters, characters beyond 16 bits, grams that repeat; a text's grams end with it."""
+    import pyarrow as pa
+
+    texts = ["ab", None, "", "x", "abab", "\U0001f600支", "\U0001f600", "ba", ""]
+    size, ids, tf = S._cut(pa.array(texts))
+    got = np_split(size, ids, tf)
+    name = lambda i: (chr(i >> 21) if i >> 21 else "") + (chr(i & 0x1FFFFF) if i & 0x1FFFFF else "")
+    assert [{name(int(i)): float(f) for i, f in row} for row in got] == [{g: n / sum(c.values()) for g, n in c.items()} for c in map(
+        lambda t: Counter([t]) if t and len(t) == 1 else Counter((t or "")[i:i + 2] for i in range(len(t or "") - 1)), texts)]
+    assert [len(x) for x in (S._cut(pa.array([None, ""], pa.string())))] == [2, 0, 0]
+
+
+def np_split(size, ids, tf):
+    ends = [0, *size.cumsum()]
+    return [list(zip(ids[a:b], tf[a:b], strict=True)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def test_texts_travel_without_vectors_and_not_through_the_driver(spark):
+    rows, asked = _random_case(6, 40, 30)
+    queries, index = spark.createDataFrame(asked, "direction string, description string"), S.index_history(_history(spark, rows), 0.6)
+    assert "w" not in index.texts.columns and {"w", "idf"}.isdisjoint(S._asked(queries, index).columns)
+    plan = S.similar_history(queries, index)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(slot" in line]
+    assert dealt and not re.search(r"BroadcastHashJoin \[[qt]id#", plan), plan
+
+
 def test_extended_index_is_the_index_of_all(spark, tmp_path):
     rows, asked = _random_case(4, 120, 100)
     queries = spark.createDataFrame(asked, "direction string, description string")
